@@ -120,12 +120,14 @@ def labels_question(missing) -> Column:
 
 
 def intent_of(agents) -> Column:
-    """XPR-19: intent from the final agent list."""
+    """XPR-19: intent from the final agent list (one agent -> its intent,
+    several -> travel planning, none -> unknown)."""
     a = col_of(agents)
-    return (F.when((F.size(a) == 1) & (a[0] == F.lit("weather_agent")), F.lit(C.INTENT_WEATHER))
-            .when((F.size(a) == 1) & (a[0] == F.lit("ticket_agent")), F.lit(C.INTENT_TICKET))
-            .when(F.size(a) > 1, F.lit(C.INTENT_BOTH))
-            .otherwise(F.lit(C.INTENT_UNKNOWN)))
+    single = F.create_map(F.lit("weather_agent"), F.lit(C.INTENT_WEATHER),
+                          F.lit("ticket_agent"), F.lit(C.INTENT_TICKET))
+    return (F.when(F.size(a) > 1, F.lit(C.INTENT_BOTH))
+            .otherwise(F.coalesce(F.try_element_at(single, F.try_element_at(a, F.lit(1))),
+                                  F.lit(C.INTENT_UNKNOWN))))
 
 
 def sorted_entries(m) -> Column:

@@ -44,18 +44,20 @@ def required_agents(model_agents: Column, dedupe: bool = False) -> Column:
     (after negation), else the model's supported agents; negated agents are
     removed last. ``dedupe=False`` keeps the model's repeats, as the reference does.
     """
-    ww = F.col("wants_weather") & ~F.col("excludes_weather")
-    wt = F.col("wants_train") & ~F.col("excludes_ticket")
+    exw, ext = F.col("excludes_weather"), F.col("excludes_ticket")
+    ww = F.col("wants_weather") & ~exw
+    wt = F.col("wants_train") & ~ext
     explicit = ww | wt | F.col("wants_flight") | F.col("wants_attraction")
+    # Flag-made lists already leave out negated agents; the model's list is
+    # filtered to supported agents and negated ones in one pass.
     from_flags = F.filter(F.array(F.when(ww, F.lit("weather_agent")), F.when(wt, F.lit("ticket_agent"))),
                           lambda x: x.isNotNull())
-    from_model = X.keep_members(F.coalesce(model_agents, F.array().cast("array<string>")), C.SUPPORTED_AGENTS)
+    from_model = F.filter(F.coalesce(model_agents, F.array().cast("array<string>")),
+                          lambda x: x.isin(*C.SUPPORTED_AGENTS)
+                          & ~(exw & (x == F.lit("weather_agent"))) & ~(ext & (x == F.lit("ticket_agent"))))
     if dedupe:
         from_model = F.array_distinct(from_model)
-    agents = F.when(explicit, from_flags).otherwise(from_model)
-    agents = F.when(F.col("excludes_weather"), X.drop_member(agents, "weather_agent")).otherwise(agents)
-    agents = F.when(F.col("excludes_ticket"), X.drop_member(agents, "ticket_agent")).otherwise(agents)
-    return agents
+    return F.when(explicit, from_flags).otherwise(from_model)
 
 
 def derived_slot(own: Column, source: Column, agents: Column) -> Column:
