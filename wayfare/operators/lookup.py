@@ -153,15 +153,22 @@ def live_or_stored(requests: DataFrame, live: DataFrame, weather: DataFrame, as_
     """JON-3: the whole live row if the day is in the window and a live row
     exists, else the whole stored row, else nothing. Row level, not per-column
     coalesce: a live row never borrows the stored humidity.
+
+    Adds source, weather_city, weather_date, temp_max, temp_min, text_day,
+    humidity, precip (numbers as double) and *_text renderings of the
+    numbers as the reference prints them (int, float or decimal).
     """
-    req = requests
+    req = requests.withColumn("__req_day", X.iso_date(X.strict_date(date)))
     if live_enabled:
         lv = live.select(*[F.col(c).alias("l_" + c) for c in
                            ["city", "fx_date", "temp_max", "temp_min", "text_day", "precip", "source"]])
-        req = req.join(lv, (req[city] == F.col("l_city")) & (req[date] == F.col("l_fx_date"))
+        req = req.join(lv, (req[city] == F.col("l_city")) & (req["__req_day"] == F.col("l_fx_date"))
                        & in_forecast_window(req[date], as_of), "left")
     else:
-        req = req.withColumn("l_source", F.lit(None).cast("string"))
+        req = req.select("*", *[F.lit(None).cast(t).alias("l_" + c) for c, t in
+                                [("city", "string"), ("fx_date", "string"), ("temp_max", "double"),
+                                 ("temp_min", "double"), ("text_day", "string"), ("precip", "double"),
+                                 ("source", "string")]])
     st = stored_weather(req, weather, city, date)
     use_live = F.col("l_source").isNotNull()
     use_db = ~use_live & F.col("w_source").isNotNull()
@@ -179,11 +186,10 @@ def live_or_stored(requests: DataFrame, live: DataFrame, weather: DataFrame, as_
         pick(F.col("l_text_day"), F.col("w_text_day")).alias("text_day"),
         pick(F.lit(None).cast("int"), F.col("w_humidity")).alias("humidity"),
         pick(F.col("l_precip"), F.col("w_precip").cast("double")).alias("precip"),
-    ) if live_enabled else st.select(
-        *requests.columns, F.col("w_source").alias("source"), F.col("w_city").alias("weather_city"),
-        X.iso_date("w_fx_date").alias("weather_date"), F.col("w_temp_max").cast("double").alias("temp_max"),
-        F.col("w_temp_min").cast("double").alias("temp_min"), F.col("w_text_day").alias("text_day"),
-        F.col("w_humidity").alias("humidity"), F.col("w_precip").cast("double").alias("precip"))
+        pick(F.col("l_temp_max").cast("string"), F.col("w_temp_max").cast("string")).alias("temp_max_text"),
+        pick(F.col("l_temp_min").cast("string"), F.col("w_temp_min").cast("string")).alias("temp_min_text"),
+        pick(F.col("l_precip").cast("string"), F.col("w_precip").cast("string")).alias("precip_text"),
+    )
 
 
 def weather_summary_text(found: Column, city: Column, fx_date: Column, text_day: Column, temp_min: Column,

@@ -180,8 +180,8 @@ def live_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-6 input: landed forecast payloads, one per city, built from events.
 
     City = ``NATION_<user_id % 25>``; one daily entry per (city, day):
-    max/min of ``value`` as temperatures, the sum as precipitation, the
-    event count as weather code and the mean value as wind. Arrays are
+    max/min of ``value`` as temperatures, the sum as precipitation,
+    (7 x event count) % 100 as weather code and the value range as wind. Arrays are
     ordered by day. Cities whose id is divisible by 5 have no wind arrays,
     like a payload with missing fields.
     """
@@ -191,8 +191,8 @@ def live_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = ev.groupBy("name", "day").agg(
         F.max("value").alias("tmax"), F.min("value").alias("tmin"),
         F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("psum"),
-        F.count(F.lit(1)).cast("int").alias("code"),
-        F.avg(F.col("value").cast("decimal(18,2)")).cast("double").alias("wind"))
+        ((F.count(F.lit(1)) * 7) % 100).cast("int").alias("code"),
+        (F.max("value") - F.min("value")).alias("wind"))
     arr = daily.groupBy("name").agg(F.array_sort(F.collect_list(F.struct(
         "day", "tmax", "tmin", "psum", "code", "wind"))).alias("d"))
     no_wind = F.regexp_extract("name", r"(\d+)$", 1).cast("int") % 5 == 0
@@ -208,3 +208,82 @@ def live_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(~no_wind, F.transform("d", lambda s: s["wind"])).alias("wind_speed_10m_max"),
             F.when(~no_wind, F.transform("d", lambda s: s["wind"])).alias("wind_direction_10m_dominant"),
         ).alias("daily"))
+
+
+AS_OF = "2024-01-15"
+
+
+def weather_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(city, fx_date) requests: every stored key and every live payload day."""
+    stored = readings(spark, sf_dir).select("city", X.iso_date("fx_date").alias("fx_date"))
+    live = (live_payloads(spark, sf_dir)
+            .select(F.col("name").alias("city"), F.explode(F.col("daily.time")).alias("fx_date")))
+    return stored.unionByName(live).distinct()
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Geocoder candidates: every customer is a candidate for its nation's name,
+    ranked by customer key."""
+    c = table(spark, sf_dir, "customer")
+    return (c.join(nation_names(spark, sf_dir, "q"), F.col("c_nationkey") == F.col("q_nationkey"))
+            .select(F.col("q_city").alias("query_name"), F.col("c_name").alias("cand_name"),
+                    F.col("c_custkey").alias("cand_rank"), F.col("c_acctbal").alias("latitude"),
+                    F.col("c_nationkey").cast("double").alias("longitude")))
+
+
+def place_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names to geocode: every nation and region name (regions have no candidate)."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
+    r = table(spark, sf_dir, "region").select(F.col("r_name").alias("name"))
+    return n.unionByName(r).distinct()
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agent tasks as an outside client sends them, one per request.
+
+    shape = (e div 7) % 3: 0 nests standard slot names under ``slots``;
+    1 sends flat aliases (origin, destination, date); 2 sends a blank
+    departure_city next to ``from``, a weather_date, and no arrival or
+    weather city (so both agents report missing slots).
+    """
+    r = requests(spark, sf_dir)
+    e = epoch_day(F.to_date("route_day"))
+    shape = F.floor(e / 7) % 3
+    dep, arr, d = F.col("departure_city"), F.col("arrival_city"), F.col("asked_date")
+    nested = F.create_map(F.lit("departure_city"), dep, F.lit("arrival_city"), arr, F.lit("travel_date"), d,
+                          F.lit("city"), arr, F.lit("fx_date"), d)
+    flat1 = F.create_map(F.lit("origin"), dep, F.lit("destination"), arr, F.lit("date"), d, F.lit("city"), arr)
+    flat2 = F.create_map(F.lit("departure_city"), F.lit(""), F.lit("from"), dep,
+                         F.lit("travel_date"), d, F.lit("weather_date"), d)
+    return r.select(
+        "request_id", "route_day", shape.alias("shape"),
+        F.when(shape == 0, nested).alias("slots"),
+        F.when(shape == 0, F.create_map(F.lit("trace_id"), F.col("request_id")))
+        .when(shape == 1, flat1).otherwise(flat2).alias("metadata"))
+
+
+def agent_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transport faults per (request, agent): the weather call fails when
+    e % 13 == 0 and the ticket call when e % 17 == 0 (e = route day number)."""
+    r = requests(spark, sf_dir).select("request_id", epoch_day(F.to_date("route_day")).alias("e"))
+    w = r.filter(F.col("e") % 13 == 0).select("request_id", F.lit("weather_agent").alias("agent"))
+    t = r.filter(F.col("e") % 17 == 0).select("request_id", F.lit("ticket_agent").alias("agent"))
+    return w.unionByName(t).select("request_id", "agent",
+                                   F.format_string("TimeoutError('%s call timed out')", F.col("agent")).alias("error"))
+
+
+def tool_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text a tool sent back, per request: shape = e % 5: 0/1 a JSON object
+    with the lookup's status, 2 an error line, 3 a JSON list, 4 an object
+    followed by trailing text."""
+    from wayfare.operators.lookup import first_departures
+    req = requests(spark, sf_dir).select("request_id", "departure_city", "arrival_city", "asked_date", "route_day")
+    f = first_departures(req, trips(spark, sf_dir), date="asked_date")
+    e = epoch_day(F.to_date("route_day"))
+    status = F.when(F.col("ticket_count") > 0, F.lit("success")).otherwise(F.lit("not_found"))
+    obj = F.to_json(F.struct(status.alias("status"), F.col("ticket_count").alias("count")))
+    text = (F.when(e % 5 <= 1, obj)
+            .when(e % 5 == 2, F.lit("Error: tool process exited"))
+            .when(e % 5 == 3, F.format_string("[%d]", F.col("ticket_count")))
+            .otherwise(F.concat(obj, F.lit(" (cached)"))))
+    return f.select("request_id", text.alias("tool_text"))

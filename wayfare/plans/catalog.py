@@ -142,3 +142,109 @@ def clarification(spark, sf):
 
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
+
+
+# --- live over stored, codes, candidates ------------------------------------
+
+CREATED_AT = "2024-01-15T00:00:00"
+
+
+@register("live_or_stored")
+def live_or_stored(spark, sf):
+    req = B.weather_requests(spark, sf)
+    out = L.live_or_stored(req, L.live_rows(B.live_payloads(spark, sf)), B.weather_table(spark, sf), B.AS_OF)
+    return out.select("city", "fx_date", "source", "weather_city", "weather_date", "temp_max", "temp_min",
+                      "text_day", "humidity", "precip")
+
+
+@register("forecast_window")
+def forecast_window(spark, sf):
+    e = L.explode_payloads(B.live_payloads(spark, sf))
+    return e.select(F.col("name").alias("city"), "fx_date",
+                    L.in_forecast_window(F.col("fx_date"), B.AS_OF).alias("in_window"))
+
+
+@register("code_text")
+def code_text(spark, sf):
+    e = L.explode_payloads(B.live_payloads(spark, sf))
+    return e.select(F.col("name").alias("city"), "fx_date", "weather_code",
+                    L.code_text(F.col("weather_code")).alias("text_day"), "wind_speed_day")
+
+
+@register("first_candidate")
+def first_candidate(spark, sf):
+    out = L.first_candidate(B.place_names(spark, sf), B.candidates(spark, sf))
+    return out.select("name", "cand_name", "latitude", "longitude")
+
+
+# --- model text and tool text -------------------------------------------------
+
+@register("model_output_json")
+def model_output_json(spark, sf):
+    from wayfare.functions.modeltext import model_json
+    r = B.requests(spark, sf).select("request_id", "model_output")
+    return model_json(r, "model_output").select("request_id", "model_json", "model_error")
+
+
+@register("tool_result_triage")
+def tool_result_triage(spark, sf):
+    from wayfare.functions.modeltext import triage_tool_text
+    return triage_tool_text(B.tool_texts(spark, sf), "tool_text").select("request_id", "raw_status", "status")
+
+
+# --- tasks, artifacts, status ------------------------------------------------
+
+@register("slot_aliases")
+def slot_aliases(spark, sf):
+    from wayfare.operators.answer import task_slots
+    t = B.tasks(spark, sf)
+    ts = task_slots(F.col("slots"), F.col("metadata"), C.TICKET_ALIASES)
+    ws = task_slots(F.col("slots"), F.col("metadata"), C.WEATHER_ALIASES)
+    return t.select("request_id", "shape", *[v.alias(k) for k, v in ts.items()], *[v.alias(k) for k, v in ws.items()])
+
+
+@register("ticket_tasks")
+def ticket_tasks(spark, sf):
+    from wayfare.operators.answer import ticket_artifacts
+    out = ticket_artifacts(B.tasks(spark, sf), B.trips(spark, sf), CREATED_AT)
+    return out.select("request_id", F.col("artifact.artifact_type").alias("artifact_type"),
+                      F.col("artifact.agent").alias("agent"), F.col("artifact.status").alias("status"),
+                      F.col("artifact.summary").alias("summary"), "ticket_count",
+                      X.list_text("missing").alias("missing"))
+
+
+@register("weather_tasks")
+def weather_tasks(spark, sf):
+    from wayfare.operators.answer import weather_artifacts
+    out = weather_artifacts(B.tasks(spark, sf), L.live_rows(B.live_payloads(spark, sf)),
+                            B.weather_table(spark, sf), B.AS_OF, CREATED_AT)
+    return out.select("request_id", F.col("artifact.artifact_type").alias("artifact_type"),
+                      F.col("artifact.agent").alias("agent"), F.col("artifact.status").alias("status"),
+                      F.col("artifact.summary").alias("summary"), "source",
+                      X.list_text("missing").alias("missing"))
+
+
+def _batch(spark, sf):
+    from wayfare.operators.answer import route_batch as run
+    return run(B.requests(spark, sf).select("request_id", "query", "model_output"), B.trips(spark, sf),
+               L.live_rows(B.live_payloads(spark, sf)), B.weather_table(spark, sf),
+               B.agent_faults(spark, sf), B.AS_OF, CREATED_AT)
+
+
+@register("route_batch")
+def route_batch(spark, sf):
+    b = _batch(spark, sf)
+    return b.select("request_id", "intent", "status", X.list_text("called_agents").alias("called_agents"),
+                    "artifact_count", "agent_error_count", "weather_status", "weather_summary",
+                    "ticket_status", "ticket_summary", "clarification_question")
+
+
+@register("request_status")
+def request_status(spark, sf):
+    return _batch(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("requests"))
+
+
+@register("prompt_rows")
+def prompt_rows(spark, sf):
+    from wayfare.operators.answer import prompt_rows as build
+    return build(_batch(spark, sf))

@@ -265,4 +265,245 @@ FROM analysis""")
 SELECT request_id, array_to_string(missing_slots, ',') AS missing_slots, need_clarification FROM analysis""")
     s["clarification"] = with_ctes(TRIPS, REQUESTS, analysis_ctes("requests"), body="""
 SELECT request_id, clarification_question FROM analysis WHERE need_clarification""")
+    more_sql(s)
     return s
+
+
+# --- live payloads, tasks, batch --------------------------------------------
+
+def _code_case(col: str) -> str:
+    return ("CASE " + col + " " + " ".join(f"WHEN {k} THEN {q(v)}" for k, v in C.WEATHER_CODE_TEXT.items())
+            + f" ELSE {q(C.UNKNOWN_WEATHER_TEXT)} END")
+
+
+AS_OF = "2024-01-15"
+WINDOW = f"BETWEEN DATE '{AS_OF}' AND DATE '{AS_OF}' + INTERVAL {C.FORECAST_MAX_DAYS} DAY"
+
+LIVE = f"""ev AS (
+  SELECT 'NATION_' || CAST(user_id % 25 AS VARCHAR) AS name, CAST(ts AS DATE) AS day, value FROM events),
+daily AS (
+  SELECT name, day, max(value) AS tmax, min(value) AS tmin,
+         CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS psum,
+         CAST((count(*) * 7) % 100 AS INTEGER) AS code, max(value) - min(value) AS wind
+  FROM ev GROUP BY 1, 2),
+live AS (
+  SELECT name AS city, strftime(day, '%Y-%m-%d') AS fx_date, tmax AS temp_max, tmin AS temp_min,
+         psum AS precip, code AS weather_code, {_code_case('code')} AS text_day,
+         CASE WHEN CAST(regexp_extract(name, '(\\d+)$', 1) AS INTEGER) % 5 = 0 THEN NULL ELSE wind END AS wind_speed_day
+  FROM daily)"""
+
+
+def los(name: str, src: str, city: str, date: str) -> str:
+    """JON-3 in SQL: ``src`` plus the chosen live or stored row."""
+    return f"""{name} AS (
+  SELECT r.*,
+    CASE WHEN l.city IS NOT NULL THEN 'open-meteo' WHEN w.city IS NOT NULL THEN 'database' END AS source,
+    CASE WHEN l.city IS NOT NULL THEN l.city ELSE w.city END AS weather_city,
+    CASE WHEN l.city IS NOT NULL THEN l.fx_date ELSE strftime(w.fx_date, '%Y-%m-%d') END AS weather_date,
+    CASE WHEN l.city IS NOT NULL THEN l.temp_max ELSE CAST(w.temp_max AS DOUBLE) END AS temp_max,
+    CASE WHEN l.city IS NOT NULL THEN l.temp_min ELSE CAST(w.temp_min AS DOUBLE) END AS temp_min,
+    CASE WHEN l.city IS NOT NULL THEN l.text_day ELSE w.text_day END AS text_day,
+    CASE WHEN l.city IS NOT NULL THEN NULL ELSE w.humidity END AS humidity,
+    CASE WHEN l.city IS NOT NULL THEN l.precip ELSE CAST(w.precip AS DOUBLE) END AS precip,
+    CASE WHEN l.city IS NOT NULL THEN CAST(l.temp_max AS VARCHAR) ELSE CAST(w.temp_max AS VARCHAR) END AS temp_max_text,
+    CASE WHEN l.city IS NOT NULL THEN CAST(l.temp_min AS VARCHAR) ELSE CAST(w.temp_min AS VARCHAR) END AS temp_min_text,
+    CASE WHEN l.city IS NOT NULL THEN CAST(l.precip AS VARCHAR) ELSE CAST(w.precip AS VARCHAR) END AS precip_text
+  FROM {src} r
+  LEFT JOIN live l ON l.city = r.{city} AND l.fx_date = strftime(try_strptime(r.{date}, '%Y-%m-%d'), '%Y-%m-%d')
+       AND CAST(try_strptime(r.{date}, '%Y-%m-%d') AS DATE) {WINDOW}
+  LEFT JOIN weather w ON w.city = r.{city} AND w.fx_date = CAST(try_strptime(r.{date}, '%Y-%m-%d') AS DATE))"""
+
+
+def weather_summary_sql() -> str:
+    d = C.WEATHER_DEFAULTS
+    return render(C.WEATHER_SUMMARY,
+                  city=f"coalesce(weather_city, {q(d['city'])})", fx_date=f"coalesce(weather_date, {q(d['fx_date'])})",
+                  text_day=f"coalesce(text_day, {q(d['text_day'])})",
+                  temp_min=f"coalesce(temp_min_text, {q(d['temp_min'])})",
+                  temp_max=f"coalesce(temp_max_text, {q(d['temp_max'])})",
+                  humidity=f"coalesce(CAST(humidity AS VARCHAR), {q(d['humidity'])})",
+                  precip=f"coalesce(precip_text, {q(d['precip'])})")
+
+
+def ticket_summary_sql() -> str:
+    return render(C.TICKET_SUMMARY.replace("{currency}", C.DEFAULT_CURRENCY),
+                  departure_city="f_dep", arrival_city="f_arr", count="ticket_count",
+                  train_number="train_number", departure_time=iso_ts("departure_time"),
+                  arrival_time=iso_ts("arrival_time"), price="CAST(CAST(price AS DOUBLE) AS VARCHAR)",
+                  remaining_seats="remaining_seats")
+
+
+FIRSTS = f"""firsts AS (
+  SELECT * FROM (
+    SELECT departure_city AS f_dep, arrival_city AS f_arr, CAST(departure_time AS DATE) AS day, t.*,
+           row_number() OVER (PARTITION BY departure_city, arrival_city, CAST(departure_time AS DATE)
+                              ORDER BY {TICKET_ORDER_SQL}) AS rn,
+           count(*) OVER (PARTITION BY departure_city, arrival_city, CAST(departure_time AS DATE)) AS n
+    FROM trips t) WHERE rn = 1)"""
+
+
+def first_lookup(name: str, src: str, dep: str, arr: str, date: str) -> str:
+    return f"""{name} AS (
+  SELECT r.*, coalesce(f.n, 0) AS ticket_count, f.f_dep, f.f_arr, f.train_number, f.departure_time,
+         f.arrival_time, f.price, f.remaining_seats
+  FROM {src} r LEFT JOIN firsts f
+    ON f.f_dep = r.{dep} AND f.f_arr = r.{arr} AND f.day = CAST(try_strptime(r.{date}, '%Y-%m-%d') AS DATE))"""
+
+
+def _first_truthy(cols: list[str]) -> str:
+    out = cols[-1]
+    for c in reversed(cols[:-1]):
+        out = f"CASE WHEN coalesce({c} <> '', false) THEN {c} ELSE {out} END"
+    return out
+
+
+TASKS = f"""tshape AS (
+  SELECT request_id, route_day, (date_diff('day', DATE '1970-01-01', CAST(route_day AS DATE)) // 7) % 3 AS shape,
+         departure_city AS dep, arrival_city AS arr, asked_date AS d
+  FROM requests),
+tkeys AS (
+  SELECT request_id, route_day, shape,
+    CASE WHEN shape = 0 THEN dep WHEN shape = 2 THEN '' END AS k_departure_city,
+    CASE WHEN shape = 0 THEN arr END AS k_arrival_city,
+    CASE WHEN shape IN (0, 2) THEN d END AS k_travel_date,
+    CASE WHEN shape IN (0, 1) THEN arr END AS k_city,
+    CASE WHEN shape = 0 THEN d END AS k_fx_date,
+    CASE WHEN shape = 1 THEN dep END AS k_origin, CASE WHEN shape = 1 THEN arr END AS k_destination,
+    CASE WHEN shape = 1 THEN d END AS k_date, CASE WHEN shape = 2 THEN dep END AS k_from,
+    CAST(NULL AS VARCHAR) AS k_to, CASE WHEN shape = 2 THEN d END AS k_weather_date
+  FROM tshape),
+tasks AS (
+  SELECT request_id, route_day, shape,
+    {_first_truthy(['k_departure_city', 'k_origin', 'k_from'])} AS departure_city,
+    {_first_truthy(['k_arrival_city', 'k_destination', 'k_to'])} AS arrival_city,
+    {_first_truthy(['k_travel_date', 'k_date'])} AS travel_date,
+    k_city AS city,
+    {_first_truthy(['k_fx_date', 'k_date', 'k_weather_date'])} AS fx_date
+  FROM tkeys)"""
+
+
+def _missing_sql(cols: list[str]) -> str:
+    return ("list_filter([" + ", ".join(f"CASE WHEN NOT coalesce({c} <> '', false) THEN {q(c)} END" for c in cols)
+            + "], lambda x: x IS NOT NULL)")
+
+
+def more_sql(s: dict[str, str]) -> None:
+    s["forecast_window"] = with_ctes(LIVE, body=f"""
+SELECT city, fx_date, CAST(fx_date AS DATE) {WINDOW} AS in_window FROM live""")
+    s["code_text"] = with_ctes(LIVE, body="SELECT city, fx_date, weather_code, text_day, wind_speed_day FROM live")
+    s["live_or_stored"] = with_ctes(LIVE, READINGS, WEATHER, """wreq AS (
+  SELECT DISTINCT city, fx_date FROM (
+    SELECT city, strftime(fx_date, '%Y-%m-%d') AS fx_date FROM readings
+    UNION ALL SELECT city, fx_date FROM live))""", los("lw", "wreq", "city", "fx_date"), body="""
+SELECT city, fx_date, source, weather_city, weather_date, temp_max, temp_min, text_day, humidity, precip FROM lw""")
+    s["first_candidate"] = with_ctes("""names AS (SELECT n_name AS name FROM nation UNION SELECT r_name FROM region)""",
+                                     """top AS (
+  SELECT * FROM (
+    SELECT n.n_name AS query_name, c.c_name AS cand_name, c.c_acctbal AS latitude,
+           CAST(c.c_nationkey AS DOUBLE) AS longitude,
+           row_number() OVER (PARTITION BY n.n_name ORDER BY c.c_custkey) AS rn
+    FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey) WHERE rn = 1)""", body="""
+SELECT names.name, cand_name, latitude, longitude FROM names LEFT JOIN top ON top.query_name = names.name""")
+    slots_json = ("concat_ws(',', " + ", ".join(
+        f"""CASE WHEN m_{n} IS NOT NULL THEN '"{n}":"' || m_{n} || '"' END""" for n in C.SLOT_NAMES) + ")")
+    s["model_output_json"] = with_ctes(TRIPS, REQUESTS, body=f"""
+SELECT request_id,
+  '{{"intent":"' || CASE family WHEN 0 THEN 'ticket_query' WHEN 1 THEN 'weather_query' ELSE 'travel_planning' END
+  || '","required_agents":[' || CASE family WHEN 0 THEN '"ticket_agent"' WHEN 1 THEN '"weather_agent"'
+                                   ELSE '"weather_agent","ticket_agent"' END
+  || '],"slots":{{' || {slots_json} || '}}}}' AS model_json,
+  CAST(NULL AS VARCHAR) AS model_error
+FROM requests""")
+    s["tool_result_triage"] = with_ctes(TRIPS, REQUESTS, FIRSTS, first_lookup("fl", "requests", "departure_city",
+                                                                               "arrival_city", "asked_date"), """tt AS (
+  SELECT request_id, date_diff('day', DATE '1970-01-01', CAST(route_day AS DATE)) AS e,
+         '{"status":"' || CASE WHEN ticket_count > 0 THEN 'success' ELSE 'not_found' END || '","count":'
+           || CAST(ticket_count AS VARCHAR) || '}' AS obj, ticket_count
+  FROM fl)""", """tx AS (
+  SELECT request_id, CASE WHEN e % 5 <= 1 THEN obj WHEN e % 5 = 2 THEN 'Error: tool process exited'
+                          WHEN e % 5 = 3 THEN '[' || CAST(ticket_count AS VARCHAR) || ']'
+                          ELSE obj || ' (cached)' END AS t
+  FROM tt)""", """tr AS (
+  SELECT request_id,
+    CASE WHEN json_valid(t) THEN (CASE WHEN json_type(t) = 'OBJECT' THEN json_extract_string(t, '$.status')
+                                       ELSE 'unknown' END)
+         ELSE 'unknown' END AS raw_status
+  FROM tx)""", body="""
+SELECT request_id, raw_status, CASE WHEN raw_status = 'success' THEN 'success' ELSE 'not_found' END AS status FROM tr""")
+    s["slot_aliases"] = with_ctes(TRIPS, REQUESTS, TASKS, body="""
+SELECT request_id, shape, departure_city, arrival_city, travel_date, city, fx_date FROM tasks""")
+    tmiss = _missing_sql(["departure_city", "arrival_city", "travel_date"])
+    nf_t = render(C.TICKET_NOT_FOUND_SUMMARY, departure_city="departure_city", arrival_city="arrival_city",
+                  travel_date="travel_date")
+    s["ticket_tasks"] = with_ctes(TRIPS, REQUESTS, TASKS, FIRSTS, f"""tm AS (SELECT *, {tmiss} AS missing FROM tasks)""",
+                                  first_lookup("tl", "tm", "departure_city", "arrival_city", "travel_date"), body=f"""
+SELECT request_id, 'ticket_result' AS artifact_type, 'ticket_agent' AS agent,
+  CASE WHEN len(missing) > 0 THEN 'failed' WHEN ticket_count = 0 THEN 'not_found' ELSE 'success' END AS status,
+  CASE WHEN len(missing) > 0 THEN {q(C.TICKET_MISSING_SUMMARY)} WHEN ticket_count = 0 THEN {nf_t}
+       ELSE {ticket_summary_sql()} END AS summary,
+  CASE WHEN len(missing) > 0 THEN 0 ELSE ticket_count END AS ticket_count,
+  array_to_string(missing, ',') AS missing
+FROM tl""")
+    wmiss = _missing_sql(["city", "fx_date"])
+    nf_w = render(C.WEATHER_NOT_FOUND_SUMMARY, city="city", fx_date="fx_date")
+    s["weather_tasks"] = with_ctes(TRIPS, REQUESTS, TASKS, LIVE, READINGS, WEATHER,
+                                   f"""wm AS (SELECT *, {wmiss} AS missing FROM tasks)""",
+                                   los("wl", "wm", "city", "fx_date"), body=f"""
+SELECT request_id, 'weather_result' AS artifact_type, 'weather_agent' AS agent,
+  CASE WHEN len(missing) > 0 THEN 'failed' WHEN source IS NULL THEN 'not_found' ELSE 'success' END AS status,
+  CASE WHEN len(missing) > 0 THEN {q(C.WEATHER_MISSING_SUMMARY)} WHEN source IS NULL THEN {nf_w}
+       ELSE {weather_summary_sql()} END AS summary,
+  source, array_to_string(missing, ',') AS missing
+FROM wl""")
+    batch = [TRIPS, REQUESTS, analysis_ctes("requests"), LIVE, READINGS, WEATHER, FIRSTS,
+             """ready AS (SELECT *, date_diff('day', DATE '1970-01-01', CAST(route_day AS DATE)) AS re FROM analysis
+                WHERE NOT need_clarification AND len(required_agents) > 0)""",
+             """wt AS (SELECT request_id, re, s_city AS city, s_fx_date AS fx_date FROM ready
+                WHERE list_contains(required_agents, 'weather_agent'))""",
+             los("wl", "wt", "city", "fx_date"),
+             """tt AS (SELECT request_id, re, s_departure_city AS dep, s_arrival_city AS arr, s_travel_date AS d FROM ready
+                WHERE list_contains(required_agents, 'ticket_agent'))""",
+             first_lookup("tl", "tt", "dep", "arr", "d"),
+             f"""calls AS (
+  SELECT request_id, 0 AS pos, 'weather_agent' AS agent, re % 13 = 0 AS failed,
+         CASE WHEN source IS NULL THEN 'not_found' ELSE 'success' END AS status,
+         CASE WHEN source IS NULL THEN {render(C.WEATHER_NOT_FOUND_SUMMARY, city='city', fx_date='fx_date')}
+              ELSE {weather_summary_sql()} END AS summary
+  FROM wl
+  UNION ALL
+  SELECT request_id, 1, 'ticket_agent', re % 17 = 0,
+         CASE WHEN ticket_count = 0 THEN 'not_found' ELSE 'success' END,
+         CASE WHEN ticket_count = 0 THEN {render(C.TICKET_NOT_FOUND_SUMMARY, departure_city='dep', arrival_city='arr', travel_date='d')}
+              ELSE {ticket_summary_sql()} END
+  FROM tl)""",
+             """per AS (
+  SELECT request_id,
+    array_to_string(list(agent ORDER BY pos), ',') AS called_agents,
+    count(*) FILTER (WHERE NOT failed) AS artifact_count,
+    count(*) FILTER (WHERE failed) AS agent_error_count,
+    max(status) FILTER (WHERE agent = 'weather_agent' AND NOT failed) AS weather_status,
+    max(summary) FILTER (WHERE agent = 'weather_agent' AND NOT failed) AS weather_summary,
+    max(status) FILTER (WHERE agent = 'ticket_agent' AND NOT failed) AS ticket_status,
+    max(summary) FILTER (WHERE agent = 'ticket_agent' AND NOT failed) AS ticket_summary,
+    string_agg(agent || ' | ' || status || ' | ' || summary, chr(10) ORDER BY pos) FILTER (WHERE NOT failed) AS lines
+  FROM calls GROUP BY request_id)""",
+             """batch AS (
+  SELECT a.request_id, a.query, a.intent, a.required_agents, a.clarification_question,
+    CASE WHEN a.need_clarification THEN 'need_clarification'
+         WHEN len(a.required_agents) = 0 THEN 'no_supported_agent'
+         WHEN coalesce(p.agent_error_count, 0) > 0 AND coalesce(p.artifact_count, 0) = 0 THEN 'agent_failed'
+         WHEN coalesce(p.agent_error_count, 0) > 0 THEN 'partial_success'
+         ELSE 'success' END AS status,
+    coalesce(p.called_agents, '') AS called_agents, coalesce(p.artifact_count, 0) AS artifact_count,
+    coalesce(p.agent_error_count, 0) AS agent_error_count, p.weather_status, p.weather_summary,
+    p.ticket_status, p.ticket_summary, p.lines
+  FROM analysis a LEFT JOIN per p ON p.request_id = a.request_id)"""]
+    s["route_batch"] = with_ctes(*batch, body="""
+SELECT request_id, intent, status, called_agents, artifact_count, agent_error_count, weather_status,
+       weather_summary, ticket_status, ticket_summary, clarification_question FROM batch""")
+    s["request_status"] = with_ctes(*batch, body="SELECT status, count(*) AS requests FROM batch GROUP BY status")
+    s["prompt_rows"] = with_ctes(*batch, body=f"""
+SELECT request_id, {q('用户原始需求：' + chr(10))} || query || {q(chr(10) + chr(10) + '识别结果：' + chr(10))}
+       || concat_ws(' | ', intent, array_to_string(required_agents, ','))
+       || {q(chr(10) + chr(10) + '查询结果：' + chr(10))} || lines || chr(10) AS prompt
+FROM batch WHERE status IN ('success', 'partial_success')""")
