@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wayfare import contracts as C
 from wayfare.functions import text as X
-from wayfare.operators.ordering import even_sample
+from wayfare.operators.ordering import EvenSampler
 
 ROUTE_ORDER = ["departure_city", "arrival_city", "travel_date"]
 WEATHER_ORDER = ["city", "fx_date"]
@@ -64,9 +64,19 @@ def _arr(items) -> F.Column:
     return F.array(*[F.lit(i) for i in items]) if items else F.array().cast("array<string>")
 
 
-def weather_cases(keys: DataFrame) -> DataFrame:
+class KeySamples:
+    """The three ordered key tables the case families sample, each indexed once."""
+
+    def __init__(self, keys: DataFrame, routes: DataFrame):
+        self.spark = keys.sparkSession
+        self.weather = EvenSampler(keys.select(*WEATHER_ORDER), WEATHER_ORDER)
+        self.routes = EvenSampler(routes.select(*ROUTE_ORDER), ROUTE_ORDER)
+        self.usable = EvenSampler(routes_with_readings(routes, keys).select(*ROUTE_ORDER), ROUTE_ORDER)
+
+
+def weather_cases(ks: KeySamples) -> DataFrame:
     """GEN-1: even sample of the weather keys, one template each in turn."""
-    rows = even_sample(keys, WEATHER_ORDER, C.CASE_COUNTS["weather"])
+    rows = ks.weather.pick(C.CASE_COUNTS["weather"])
     tpl = X.pick_cyclic(C.WEATHER_TEMPLATES, F.col("pick"))
     q = X.render_template_col(tpl, F.col("city"), F.col("fx_date"), F.lit(""), F.lit(""))
     return _case(rows, "weather", "weather", "pick", q, F.lit(C.INTENT_WEATHER), _arr(["weather_agent"]),
@@ -78,18 +88,18 @@ def _route_query(tpl):
                                  F.col("departure_city"), F.col("arrival_city"))
 
 
-def ticket_cases(routes: DataFrame) -> DataFrame:
+def ticket_cases(ks: KeySamples) -> DataFrame:
     """GEN-2: even sample of all routes."""
-    rows = even_sample(routes, ROUTE_ORDER, C.CASE_COUNTS["ticket"])
+    rows = ks.routes.pick(C.CASE_COUNTS["ticket"])
     q = _route_query(X.pick_cyclic(C.TICKET_TEMPLATES, F.col("pick")))
     slots = _slots_map({"departure_city": F.col("departure_city"), "arrival_city": F.col("arrival_city"),
                         "travel_date": F.col("travel_date")})
     return _case(rows, "ticket", "ticket", "pick", q, F.lit(C.INTENT_TICKET), _arr(["ticket_agent"]), slots, None)
 
 
-def combined_cases(routes: DataFrame, keys: DataFrame) -> DataFrame:
+def combined_cases(ks: KeySamples) -> DataFrame:
     """GEN-3: even sample of the routes that have a weather row."""
-    rows = even_sample(routes_with_readings(routes, keys), ROUTE_ORDER, C.CASE_COUNTS["combined"])
+    rows = ks.usable.pick(C.CASE_COUNTS["combined"])
     q = _route_query(X.pick_cyclic(C.COMBINED_TEMPLATES, F.col("pick")))
     slots = _slots_map({"departure_city": F.col("departure_city"), "arrival_city": F.col("arrival_city"),
                         "travel_date": F.col("travel_date"), "city": F.col("arrival_city"),
@@ -112,28 +122,18 @@ def _spec_frame(spark: SparkSession, specs: list[tuple], with_missing: bool) ->
     return spark.createDataFrame(rows, schema)
 
 
-def _picked(df: DataFrame, src: str, order: list, count: int) -> DataFrame:
-    s = even_sample(df, order, count)
-    if "city" not in s.columns:
-        s = s.withColumn("city", F.lit(None).cast("string")).withColumn("fx_date", F.lit(None).cast("string"))
-    else:
-        s = (s.withColumn("departure_city", F.lit(None).cast("string"))
-             .withColumn("arrival_city", F.lit(None).cast("string"))
-             .withColumn("travel_date", F.lit(None).cast("string")))
-    return s.select(F.lit(src).alias("src"), "pick", "city", "fx_date", "departure_city", "arrival_city",
-                    "travel_date")
-
-
-def _field(name: str) -> F.Column:
-    return F.col(name)
+def _as_slot_row(s: DataFrame, src: str) -> DataFrame:
+    for c in ["city", "fx_date", *ROUTE_ORDER]:
+        if c not in s.columns:
+            s = s.withColumn(c, F.lit(None).cast("string"))
+    return s.select(F.lit(src).alias("src"), "pick", "city", "fx_date", *ROUTE_ORDER)
 
 
-def missing_cases(keys: DataFrame, routes: DataFrame) -> DataFrame:
+def missing_cases(ks: KeySamples) -> DataFrame:
     """GEN-4: 22 templates, each naming the slots it leaves out."""
-    spark = keys.sparkSession
-    specs = _spec_frame(spark, C.MISSING_SLOT_SPECS, True)
-    picked = (_picked(keys, "w", WEATHER_ORDER, C.MISSING_SAMPLE_SIZES["w"])
-              .unionByName(_picked(routes.select(*ROUTE_ORDER), "t", ROUTE_ORDER, C.MISSING_SAMPLE_SIZES["t"])))
+    specs = _spec_frame(ks.spark, C.MISSING_SLOT_SPECS, True)
+    picked = (_as_slot_row(ks.weather.pick(C.MISSING_SAMPLE_SIZES["w"]), "w")
+              .unionByName(_as_slot_row(ks.routes.pick(C.MISSING_SAMPLE_SIZES["t"]), "t")))
     # The spec table is the fixed 22-row plan; the picks are bounded by it.
     rows = specs.join(F.broadcast(picked), ["src", "pick"], "left")
     city = F.coalesce(F.col("city"), F.col("arrival_city"))
@@ -150,20 +150,18 @@ def missing_cases(keys: DataFrame, routes: DataFrame) -> DataFrame:
 
 
 def unsupported_cases(spark: SparkSession) -> DataFrame:
-    """GEN-5: the fixed out-of-scope texts."""
+    """GEN-5: the fixed out-of-scope texts (only ever part of ``all_cases``)."""
     rows = [(i, q) for i, q in enumerate(C.UNSUPPORTED_QUERIES, 1)]
     df = spark.createDataFrame(rows, "n int, q string")
     return _case(df, "unsupported", "unsupported", "n", F.col("q"), F.lit(C.INTENT_UNKNOWN),
                  F.array().cast("array<string>"), F.create_map().cast("map<string,string>"), None)
 
 
-def edge_cases(routes: DataFrame, keys: DataFrame) -> DataFrame:
+def edge_cases(ks: KeySamples) -> DataFrame:
     """GEN-6: negations and distractors over two route samples."""
-    spark = routes.sparkSession
-    specs = _spec_frame(spark, C.EDGE_SPECS, False)
-    r = even_sample(routes.select(*ROUTE_ORDER), ROUTE_ORDER, C.EDGE_SAMPLE_SIZES["r"]).withColumn("src", F.lit("r"))
-    c = (even_sample(routes_with_readings(routes, keys).select(*ROUTE_ORDER), ROUTE_ORDER, C.EDGE_SAMPLE_SIZES["c"])
-         .withColumn("src", F.lit("c")))
+    specs = _spec_frame(ks.spark, C.EDGE_SPECS, False)
+    r = ks.routes.pick(C.EDGE_SAMPLE_SIZES["r"]).withColumn("src", F.lit("r"))
+    c = ks.usable.pick(C.EDGE_SAMPLE_SIZES["c"]).withColumn("src", F.lit("c"))
     rows = specs.join(F.broadcast(r.unionByName(c)), ["src", "pick"], "left")
     q = X.render_template_col(F.col("template"), F.col("arrival_city"), F.col("travel_date"),
                               F.col("departure_city"), F.col("arrival_city"))
@@ -179,18 +177,17 @@ def edge_cases(routes: DataFrame, keys: DataFrame) -> DataFrame:
     return _case(rows, "routing_edge", "routing_edge", "spec", q, F.col("intent"), F.col("agents"), slots, None)
 
 
-def all_cases(keys: DataFrame, routes: DataFrame) -> DataFrame:
+def all_cases(ks: KeySamples) -> DataFrame:
     """SET-1: the six families in order; the total must match the plan."""
-    spark = keys.sparkSession
-    fams = [weather_cases(keys), ticket_cases(routes), combined_cases(routes, keys),
-            missing_cases(keys, routes), unsupported_cases(spark), edge_cases(routes, keys)]
+    fams = [weather_cases(ks), ticket_cases(ks), combined_cases(ks), missing_cases(ks),
+            unsupported_cases(ks.spark), edge_cases(ks)]
     out = fams[0]
     for f in fams[1:]:
         out = out.unionByName(f)
     total = sum(C.CASE_COUNTS.values())
     n = out.select(F.count(F.lit(1))).scalar()
-    return out.withColumn("__chk", F.when(n != F.lit(total), F.raise_error(
-        F.format_string("Generated %d cases, expected " + str(total), n)))).drop("__chk")
+    check = F.when(n != F.lit(total), F.raise_error(F.format_string("Generated %d cases, expected " + str(total), n)))
+    return out.filter(F.coalesce(check.cast("boolean"), F.lit(True)))
 
 
 def flat_cases(cases: DataFrame) -> DataFrame:

@@ -66,28 +66,40 @@ def rank_in_group(df: DataFrame, group_cols: list, order_cols: list, out_col: st
             .drop("__gpos", "__first"))
 
 
-def even_sample(df: DataFrame, order_cols: list, count: int, pick_col: str = "pick") -> DataFrame:
-    """SMP-1 ``_pick_evenly``: rows at ``round(i * (n-1)/(count-1))``.
-
-    Python's ``round`` is half-even on the binary value; ``rint`` is the same.
-    Too few rows raise, ``count == 1`` gives the first row. ``pick_col`` is the
-    1-based pick number (the reference's enumerate index).
+class EvenSampler:
+    """SMP-1 ``_pick_evenly`` over one ordered table, indexed once.
+
+    Several samples of the same table (different counts) share the index.
+    Rows sit at ``round(i * (n-1)/(count-1))``; Python's ``round`` is
+    half-even on the binary value and so is ``rint``. Too few rows raise,
+    ``count == 1`` gives the first row. ``pick`` is 1-based (the
+    reference's enumerate index).
     """
-    spark = df.sparkSession
-    indexed = global_index(df, order_cols, "__pos")
-    n = indexed.select(F.count(F.lit(1)).alias("n")).scalar()
-    if count == 1:
-        pos = F.lit(0).cast("long")
-    else:
-        step = (n - F.lit(1)).cast("double") / F.lit(float(count - 1))
-        pos = F.rint(F.col("id").cast("double") * step).cast("long")
-    picks = spark.range(count).select(
-        (F.col("id") + 1).alias(pick_col),
-        F.when(n < F.lit(count),
-               F.raise_error(F.lit(f"Not enough rows for an even sample of {count}")))
-        .otherwise(pos).cast("long").alias("__pos"))
-    # picks holds ``count`` rows, a caller's parameter: broadcast is bounded.
-    return indexed.join(F.broadcast(picks), "__pos").drop("__pos")
+
+    def __init__(self, df: DataFrame, order_cols: list):
+        self.indexed = global_index(df, order_cols, "__pos")
+        self.n = self.indexed.select(F.count(F.lit(1)).alias("n")).scalar()
+
+    def pick(self, count: int, pick_col: str = "pick") -> DataFrame:
+        spark = self.indexed.sparkSession
+        n = self.n
+        if count == 1:
+            pos = F.lit(0).cast("long")
+        else:
+            step = (n - F.lit(1)).cast("double") / F.lit(float(count - 1))
+            pos = F.rint(F.col("id").cast("double") * step).cast("long")
+        picks = spark.range(count).select(
+            (F.col("id") + 1).alias(pick_col),
+            F.when(n < F.lit(count),
+                   F.raise_error(F.lit(f"Not enough rows for an even sample of {count}")))
+            .otherwise(pos).cast("long").alias("__pos"))
+        # picks holds ``count`` rows, a caller's parameter: broadcast is bounded.
+        return self.indexed.join(F.broadcast(picks), "__pos").drop("__pos")
+
+
+def even_sample(df: DataFrame, order_cols: list, count: int, pick_col: str = "pick") -> DataFrame:
+    """One even sample (see ``EvenSampler``)."""
+    return EvenSampler(df, order_cols).pick(count, pick_col)
 
 
 def numbered(df: DataFrame, order_cols: list, out_col: str = "n") -> DataFrame:

@@ -248,3 +248,87 @@ def request_status(spark, sf):
 def prompt_rows(spark, sf):
     from wayfare.operators.answer import prompt_rows as build
     return build(_batch(spark, sf))
+
+
+# --- evaluation cases and scores ---------------------------------------------
+
+def _samples(spark, sf):
+    return K.KeySamples(K.reading_keys(B.readings(spark, sf)), B.route_keys(spark, sf))
+
+
+@register("weather_cases")
+def weather_cases(spark, sf):
+    return K.flat_cases(K.weather_cases(_samples(spark, sf)))
+
+
+@register("ticket_cases")
+def ticket_cases(spark, sf):
+    return K.flat_cases(K.ticket_cases(_samples(spark, sf)))
+
+
+@register("combined_cases")
+def combined_cases(spark, sf):
+    return K.flat_cases(K.combined_cases(_samples(spark, sf)))
+
+
+@register("missing_cases")
+def missing_cases(spark, sf):
+    return K.flat_cases(K.missing_cases(_samples(spark, sf)))
+
+
+@register("edge_cases")
+def edge_cases(spark, sf):
+    return K.flat_cases(K.edge_cases(_samples(spark, sf)))
+
+
+@register("all_cases")
+def all_cases(spark, sf):
+    return K.flat_cases(K.all_cases(_samples(spark, sf)))
+
+
+def _scored(spark, sf):
+    from wayfare.operators import evaluate as V
+    return V.score(V.predictions(K.all_cases(_samples(spark, sf))))
+
+
+@register("case_checks")
+def case_checks(spark, sf):
+    from wayfare.operators.evaluate import CHECKS
+    return _scored(spark, sf).select("id", "category", *[k + "_ok" for k in CHECKS], "error", "failed", "latency_ms")
+
+
+@register("eval_summary")
+def eval_summary(spark, sf):
+    from wayfare.operators.evaluate import summary
+    return summary(_scored(spark, sf))
+
+
+@register("eval_by_category")
+def eval_by_category(spark, sf):
+    from wayfare.operators.evaluate import by_category
+    return by_category(_scored(spark, sf))
+
+
+@register("category_counts")
+def category_counts(spark, sf):
+    return K.all_cases(_samples(spark, sf)).groupBy("category").agg(F.count(F.lit(1)).alias("cases"))
+
+
+@register("eval_failures")
+def eval_failures(spark, sf):
+    from wayfare.operators.evaluate import failures
+    return failures(_scored(spark, sf))
+
+
+@register("latency_percentiles")
+def latency_percentiles(spark, sf):
+    from wayfare.operators.evaluate import percentiles
+    return percentiles(_scored(spark, sf))
+
+
+@register("run_comparison")
+def run_comparison(spark, sf):
+    from wayfare.operators import evaluate as V
+    cases = K.all_cases(_samples(spark, sf))
+    runs = {"model_only": V.score(V.model_only(cases)), "rules": V.score(V.predictions(cases))}
+    return V.compare_runs(runs, "model_only", "rules")

@@ -266,6 +266,7 @@ SELECT request_id, array_to_string(missing_slots, ',') AS missing_slots, need_cl
     s["clarification"] = with_ctes(TRIPS, REQUESTS, analysis_ctes("requests"), body="""
 SELECT request_id, clarification_question FROM analysis WHERE need_clarification""")
     more_sql(s)
+    eval_sql(s)
     return s
 
 
@@ -507,3 +508,226 @@ SELECT request_id, {q('用户原始需求：' + chr(10))} || query || {q(chr(10)
        || concat_ws(' | ', intent, array_to_string(required_agents, ','))
        || {q(chr(10) + chr(10) + '查询结果：' + chr(10))} || lines || chr(10) AS prompt
 FROM batch WHERE status IN ('success', 'partial_success')""")
+
+
+# --- cases and scoring ----------------------------------------------------------
+
+def even_sql(name: str, src: str, order: str, count: int) -> str:
+    step = "0" if count == 1 else f"CAST(round_even(CAST(i AS DOUBLE) * (CAST(n - 1 AS DOUBLE) / CAST({count - 1} AS DOUBLE)), 0) AS BIGINT)"
+    return f"""{name} AS (
+  SELECT x.* EXCLUDE (pos, n), CAST(i + 1 AS BIGINT) AS pick FROM (
+    SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS pos, count(*) OVER () AS n FROM {src}) x,
+    range({count}) t(i)
+  WHERE pos = {step})"""
+
+
+ROUTE_ORDER_SQL = "departure_city, arrival_city, travel_date"
+USABLE = """usable AS (
+  SELECT r.departure_city, r.arrival_city, r.travel_date FROM routes r
+  WHERE EXISTS (SELECT 1 FROM reading_keys k WHERE k.city = r.arrival_city AND k.fx_date = r.travel_date))"""
+CASE_BASE = [TRIPS, ROUTES, READINGS, READING_KEYS, USABLE]
+
+
+def _flat(prefix: str, cat: str, pick: str, query: str, intent: str, agents: str, slots: dict, missing: str) -> str:
+    cols = ", ".join(f"{slots.get(s, 'CAST(NULL AS VARCHAR)')} AS slot_{s}" for s in C.SLOT_NAMES)
+    return (f"SELECT {q(prefix + '_')} || lpad(CAST({pick} AS VARCHAR), 2, '0') AS id, {q(cat)} AS category, "
+            f"{query} AS query, {intent} AS intent, {agents} AS required_agents, {cols}, "
+            f"{missing} AS missing_slots, ({missing}) <> '' AS need_clarification")
+
+
+def _pick_tpl(templates, pick="pick"):
+    return f"{sql_list(templates)}[(({pick}) - 1) % {len(templates)} + 1]"
+
+
+def case_sqls() -> dict[str, str]:
+    out: dict[str, str] = {}
+    w = _flat("weather", "weather", "pick",
+              render_col(_pick_tpl(C.WEATHER_TEMPLATES), "city", "fx_date", "''", "''"),
+              "'weather_query'", "'weather_agent'", {"city": "city", "fx_date": "fx_date"}, "''")
+    out["weather"] = (even_sql("wpick", "reading_keys", "city, fx_date", C.CASE_COUNTS["weather"]), w + " FROM wpick")
+    t = _flat("ticket", "ticket", "pick",
+              render_col(_pick_tpl(C.TICKET_TEMPLATES), "arrival_city", "travel_date", "departure_city", "arrival_city"),
+              "'ticket_query'", "'ticket_agent'",
+              {"departure_city": "departure_city", "arrival_city": "arrival_city", "travel_date": "travel_date"}, "''")
+    out["ticket"] = (even_sql("tpick", "routes", ROUTE_ORDER_SQL, C.CASE_COUNTS["ticket"]), t + " FROM tpick")
+    cb = _flat("combined", "combined", "pick",
+               render_col(_pick_tpl(C.COMBINED_TEMPLATES), "arrival_city", "travel_date", "departure_city", "arrival_city"),
+               "'travel_planning'", "'weather_agent,ticket_agent'",
+               {"departure_city": "departure_city", "arrival_city": "arrival_city", "travel_date": "travel_date",
+                "city": "arrival_city", "fx_date": "travel_date"}, "''")
+    out["combined"] = (even_sql("cpick", "usable", ROUTE_ORDER_SQL, C.CASE_COUNTS["combined"]), cb + " FROM cpick")
+    # missing-slot specs as VALUES
+    rows = []
+    for i, (tpl, src, idx, intent, agents, kept, missing) in enumerate(C.MISSING_SLOT_SPECS, 1):
+        kmap = dict(kv.split("=") for kv in kept)
+        fields = ", ".join(q(kmap[s]) if s in kmap else "NULL" for s in C.SLOT_NAMES)
+        rows.append(f"({i}, {q(tpl)}, {q(src) if src else 'NULL'}, {idx + 1 if idx is not None else 'NULL'}, "
+                    f"{q(intent)}, {q(','.join(agents))}, {fields}, {q(','.join(missing))})")
+    spec_cols = "spec, template, src, pick, intent, agents, " + ", ".join(f"k_{s}" for s in C.SLOT_NAMES) + ", missing"
+    field = lambda s: (f"CASE k_{s} WHEN 'city' THEN p.city WHEN 'fx_date' THEN p.fx_date "
+                       f"WHEN 'departure_city' THEN p.departure_city WHEN 'arrival_city' THEN p.arrival_city "
+                       f"WHEN 'travel_date' THEN p.travel_date END")
+    m = _flat("missing_slots", "missing_slots", "spec",
+              render_col("template", "coalesce(p.city, p.arrival_city)", "coalesce(p.fx_date, p.travel_date)",
+                         "p.departure_city", "p.arrival_city"),
+              "intent", "agents", {s: field(s) for s in C.SLOT_NAMES}, "missing")
+    out["missing"] = (
+        even_sql("mw", "reading_keys", "city, fx_date", C.MISSING_SAMPLE_SIZES["w"]) + ",\n"
+        + even_sql("mt", "(SELECT departure_city, arrival_city, travel_date FROM routes)", ROUTE_ORDER_SQL,
+                   C.MISSING_SAMPLE_SIZES["t"]) + ",\n"
+        + f"""mpicks AS (
+  SELECT 'w' AS src, pick, city, fx_date, NULL AS departure_city, NULL AS arrival_city, NULL AS travel_date FROM mw
+  UNION ALL SELECT 't', pick, NULL, NULL, departure_city, arrival_city, travel_date FROM mt),
+mspecs({spec_cols}) AS (VALUES {', '.join(rows)})""",
+        m + " FROM mspecs s LEFT JOIN mpicks p ON p.src = s.src AND p.pick = s.pick")
+    erows = []
+    for i, (tpl, src, idx, intent, agents) in enumerate(C.EDGE_SPECS, 1):
+        erows.append(f"({i}, {q(tpl)}, {q(src)}, {idx + 1}, {q(intent)}, {q(','.join(agents))})")
+    has = lambda a: f"contains(agents, {q(a)})"
+    e = _flat("routing_edge", "routing_edge", "spec",
+              render_col("template", "p.arrival_city", "p.travel_date", "p.departure_city", "p.arrival_city"),
+              "intent", "agents",
+              {"departure_city": f"CASE WHEN {has('ticket_agent')} THEN p.departure_city END",
+               "arrival_city": f"CASE WHEN {has('ticket_agent')} THEN p.arrival_city END",
+               "travel_date": f"CASE WHEN {has('ticket_agent')} THEN p.travel_date END",
+               "city": f"CASE WHEN {has('weather_agent')} THEN p.arrival_city END",
+               "fx_date": f"CASE WHEN {has('weather_agent')} THEN p.travel_date END"}, "''")
+    out["edge"] = (
+        even_sql("er", "(SELECT departure_city, arrival_city, travel_date FROM routes)", ROUTE_ORDER_SQL,
+                 C.EDGE_SAMPLE_SIZES["r"]) + ",\n"
+        + even_sql("ec", "usable", ROUTE_ORDER_SQL, C.EDGE_SAMPLE_SIZES["c"]) + ",\n"
+        + f"""epicks AS (SELECT 'r' AS src, * FROM er UNION ALL SELECT 'c', * FROM ec),
+especs(spec, template, src, pick, intent, agents) AS (VALUES {', '.join(erows)})""",
+        e + " FROM especs s LEFT JOIN epicks p ON p.src = s.src AND p.pick = s.pick")
+    urows = ", ".join(f"({i}, {q(t)})" for i, t in enumerate(C.UNSUPPORTED_QUERIES, 1))
+    u = _flat("unsupported", "unsupported", "n", "txt", "'unknown'", "''", {}, "''")
+    out["unsupported"] = (f"uspecs(n, txt) AS (VALUES {urows})", u + " FROM uspecs")
+    return out
+
+
+def _all_cases_ctes() -> list[str]:
+    cs = case_sqls()
+    ctes = list(CASE_BASE)
+    for k in ["weather", "ticket", "combined", "missing", "edge", "unsupported"]:
+        ctes.append(cs[k][0])
+        ctes.append(f"fam_{k} AS ({cs[k][1]})")
+    ctes.append("cases AS (" + " UNION ALL ".join(f"SELECT * FROM fam_{k}" for k in
+                                                   ["weather", "ticket", "combined", "missing", "unsupported", "edge"]) + ")")
+    return ctes
+
+
+NO_JSON_ERROR = "no JSON object in model output"
+
+
+def scored_ctes(run: str = "rules") -> list[str]:
+    """Cases -> simulated model answer -> (rules | model_only) -> five checks."""
+    ctes = _all_cases_ctes()
+    ctes.append("""dmg AS (
+  SELECT id, category, query, intent AS e_intent, need_clarification AS e_need,
+         """ + ", ".join(f"slot_{s} AS e_{s}" for s in C.SLOT_NAMES) + """,
+         (CAST(split_part(id, '_', -1) AS INTEGER) + length(category)) % 6 AS k,
+         CASE WHEN required_agents = '' THEN []::VARCHAR[] ELSE string_split(required_agents, ',') END AS exp_agents,
+         CASE WHEN missing_slots = '' THEN []::VARCHAR[] ELSE string_split(missing_slots, ',') END AS exp_missing
+  FROM cases)""")
+    ctes.append("""model AS (
+  SELECT *,
+    CASE WHEN k = 1 THEN list_transform(exp_agents, lambda a: CASE WHEN a = 'weather_agent' THEN 'ticket_agent'
+                                                                   ELSE 'weather_agent' END)
+         ELSE exp_agents END AS model_agents,
+    """ + ", ".join(f"CASE WHEN k = 2 THEN NULL ELSE e_{s} END AS m_{s}" for s in C.SLOT_NAMES) + """
+  FROM dmg)""")
+    if run == "rules":
+        ctes.append(analysis_ctes("model", "an"))
+        ctes.append(f"""pred AS (
+  SELECT id, category, query, e_intent, exp_agents, exp_missing, e_need,
+         """ + ", ".join(f"e_{s}" for s in C.SLOT_NAMES) + f""",
+         CASE WHEN k = 0 THEN NULL ELSE an.intent END AS a_intent,
+         CASE WHEN k = 0 THEN []::VARCHAR[] ELSE required_agents END AS a_agents,
+         CASE WHEN k = 0 THEN []::VARCHAR[] ELSE an.missing_slots END AS a_missing,
+         CASE WHEN k = 0 THEN false ELSE an.need_clarification END AS a_need,
+         """ + ", ".join(f"CASE WHEN k = 0 THEN NULL ELSE s_{s} END AS a_{s}" for s in C.SLOT_NAMES) + f""",
+         CASE WHEN k = 0 THEN {q(NO_JSON_ERROR)} ELSE '' END AS error
+  FROM an)""")
+    else:
+        ctes.append(f"""pred AS (
+  SELECT id, category, query, e_intent, exp_agents, exp_missing, e_need,
+         """ + ", ".join(f"e_{s}" for s in C.SLOT_NAMES) + f""",
+         CASE WHEN k = 0 THEN NULL ELSE e_intent END AS a_intent,
+         CASE WHEN k = 0 THEN []::VARCHAR[] ELSE model_agents END AS a_agents,
+         CASE WHEN k = 0 THEN []::VARCHAR[] ELSE exp_missing END AS a_missing,
+         CASE WHEN k = 0 THEN false ELSE e_need END AS a_need,
+         """ + ", ".join(f"CASE WHEN k = 0 THEN NULL ELSE m_{s} END AS a_{s}" for s in C.SLOT_NAMES) + f""",
+         CASE WHEN k = 0 THEN {q(NO_JSON_ERROR)} ELSE '' END AS error
+  FROM model)""")
+    norm = lambda c: f"CASE WHEN trim({c}) <> '' THEN trim({c}) END"
+    rel = {"city": "w", "fx_date": "w", "departure_city": "t", "arrival_city": "t", "travel_date": "t"}
+    slot_ok = " AND ".join(
+        f"(NOT list_contains(exp_agents, {q('weather_agent' if r == 'w' else 'ticket_agent')}) OR "
+        f"{norm('e_' + s)} IS NOT DISTINCT FROM {norm('a_' + s)})" for s, r in rel.items())
+    ctes.append(f"""scored AS (
+  SELECT id, category, query,
+    coalesce(a_intent = e_intent, false) AS intent_ok,
+    list_sort(a_agents) = list_sort(exp_agents) AS agent_routing_ok,
+    {slot_ok} AS slot_exact_ok,
+    list_sort(a_missing) = list_sort(exp_missing) AS missing_slots_ok,
+    coalesce(a_need, false) = coalesce(e_need, false) AS need_clarification_ok,
+    error, CAST(length(query) * 37 AS BIGINT) AS latency_ms
+  FROM pred)""")
+    ctes.append("""scored2 AS (
+  SELECT *, NOT (intent_ok AND agent_routing_ok AND slot_exact_ok AND missing_slots_ok AND need_clarification_ok)
+            OR error <> '' AS failed
+  FROM scored)""")
+    return ctes
+
+
+RATES = """count_if(intent_ok) / count(*) AS intent_accuracy,
+  count_if(agent_routing_ok) / count(*) AS agent_routing_accuracy,
+  count_if(slot_exact_ok) / count(*) AS slot_exact_match,
+  count_if(missing_slots_ok) / count(*) AS missing_slot_accuracy"""
+
+
+def eval_sql(s: dict[str, str]) -> None:
+    cs = case_sqls()
+    for key, fam in [("weather_cases", "weather"), ("ticket_cases", "ticket"), ("combined_cases", "combined"),
+                     ("missing_cases", "missing"), ("edge_cases", "edge")]:
+        s[key] = with_ctes(*CASE_BASE, cs[fam][0], body=cs[fam][1])
+    s["all_cases"] = with_ctes(*_all_cases_ctes(), body="SELECT * FROM cases")
+    s["category_counts"] = with_ctes(*_all_cases_ctes(), body="SELECT category, count(*) AS cases FROM cases GROUP BY 1")
+    sc = scored_ctes("rules")
+    s["case_checks"] = with_ctes(*sc, body="""
+SELECT id, category, intent_ok, agent_routing_ok, slot_exact_ok, missing_slots_ok, need_clarification_ok,
+       error, failed, latency_ms FROM scored2""")
+    s["eval_summary"] = with_ctes(*sc, body=f"""
+SELECT count(*) AS case_count, count_if(failed) AS failed_count, {RATES},
+  count_if(need_clarification_ok) / count(*) AS need_clarification_accuracy,
+  coalesce(avg(latency_ms) / 1000.0, 0.0) AS average_latency_seconds
+FROM scored2""")
+    s["eval_by_category"] = with_ctes(*sc, body=f"""
+SELECT category, count(*) AS count, {RATES}, avg(latency_ms) / 1000.0 AS average_latency_seconds
+FROM scored2 GROUP BY category""")
+    s["eval_failures"] = with_ctes(*sc, body="""
+SELECT id, category,
+  array_to_string(list_filter([CASE WHEN NOT intent_ok THEN 'intent' END,
+    CASE WHEN NOT agent_routing_ok THEN 'agent_routing' END, CASE WHEN NOT slot_exact_ok THEN 'slot_exact' END,
+    CASE WHEN NOT missing_slots_ok THEN 'missing_slots' END,
+    CASE WHEN NOT need_clarification_ok THEN 'need_clarification' END], lambda x: x IS NOT NULL), ',') AS failed_checks,
+  error
+FROM scored2 WHERE failed""")
+    s["latency_percentiles"] = with_ctes(*sc, body="""
+SELECT category, round(quantile_cont(latency_ms, 0.5), 3) AS p50_ms,
+       round(quantile_cont(latency_ms, 0.9), 3) AS p90_ms
+FROM scored2 GROUP BY category""")
+
+    def metrics(run):
+        return with_ctes(*scored_ctes(run), body=f"""
+SELECT count_if(failed) AS failed_count, {RATES},
+  count_if(need_clarification_ok) / count(*) AS need_clarification_accuracy FROM scored2""")
+    names = ["intent_accuracy", "agent_routing_accuracy", "slot_exact_match", "missing_slot_accuracy",
+             "need_clarification_accuracy"]
+    unpivot = lambda alias: " UNION ALL ".join(
+        [f"SELECT {q(m)} AS metric, CAST({m} AS DOUBLE) AS v FROM {alias}" for m in names]
+        + [f"SELECT 'failed_count', CAST(failed_count AS DOUBLE) FROM {alias}"])
+    s["run_comparison"] = (f"WITH mo AS ({metrics('model_only')}), ru AS ({metrics('rules')}), "
+                           f"lo AS ({unpivot('mo')}), lr AS ({unpivot('ru')}) "
+                           "SELECT lo.metric, lo.v AS model_only, lr.v AS rules, lr.v - lo.v AS difference "
+                           "FROM lo JOIN lr ON lo.metric = lr.metric")
