@@ -287,3 +287,59 @@ def tool_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(e % 5 == 3, F.format_string("[%d]", F.col("ticket_count")))
             .otherwise(F.concat(obj, F.lit(" (cached)"))))
     return f.select("request_id", text.alias("tool_text"))
+
+
+def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log events (LOG_EVENT contract) from ``events``.
+
+    trace = user and day; view/click/error are a call's start/success/error
+    (agent by user parity, attempt 1 + event_id % 2); purchase is a stage
+    timer (name by event_id % 3, seconds = value); signup ends the trace with
+    a status by event_id % 3, or (event_id % 4 == 3) asks for clarification.
+    """
+    ev = table(spark, sf_dir, "events")
+    et = F.col("event_type")
+    timer = F.element_at(F.array(*[F.lit(n) for n in C.TIMER_NAMES]), (F.col("event_id") % 3 + 1).cast("int"))
+    done = F.element_at(F.array(F.lit("success"), F.lit("partial_success"), F.lit("agent_failed")),
+                        (F.col("event_id") % 3 + 1).cast("int"))
+    event = (F.when(et == "view", F.lit("a2a_call_start")).when(et == "click", F.lit("a2a_call_success"))
+             .when(et == "error", F.lit("a2a_call_error")).when(et == "purchase", F.lit("timer"))
+             .when(F.col("event_id") % 4 == 3, F.lit("route_need_clarification"))
+             .otherwise(F.lit("route_query_done")))
+    is_call = et.isin("view", "click", "error")
+    return ev.select(
+        F.col("ts").cast("timestamp").alias("time"),
+        F.when(et == "error", F.lit("WARNING")).otherwise(F.lit("INFO")).alias("level"),
+        F.lit("router").alias("logger"),
+        event.alias("message"), event.alias("event"),
+        F.format_string("u%d-%s", F.col("user_id"), F.date_format("ts", "yyyyMMdd")).alias("trace_id"),
+        F.when(is_call, F.when(F.col("user_id") % 2 == 0, F.lit("weather_agent")).otherwise(F.lit("ticket_agent")))
+        .alias("agent"),
+        F.lit(None).cast("string").alias("model"),
+        F.when(is_call, (F.col("event_id") % 2 + 1).cast("int")).alias("attempt"),
+        F.col("value").alias("elapsed_seconds"),
+        F.when(et == "purchase", timer).alias("name"),
+        F.when(event == "route_query_done", done).alias("status"),
+        F.lit(None).cast("string").alias("intent"),
+        F.lit(None).cast("array<string>").alias("required_agents"),
+        F.lit(None).cast("array<string>").alias("missing_slots"),
+        F.when(et == "error", F.lit("TimeoutError()")).alias("error"),
+        F.col("event_id"))
+
+
+def landed_logs(spark: SparkSession, sf_dir: str) -> str:
+    """Write the log events as JSON lines under the shared checkpoint folder
+    and return the folder (the log-read source reads it back)."""
+    import uuid
+    from wayfare.session import ensure_checkpoint_dir
+    root = ensure_checkpoint_dir(spark)
+    path = f"{root}/logs-{uuid.uuid4().hex[:8]}"
+    from wayfare.operators.logs import LOG_TIME_WRITE_FORMAT
+    (log_events(spark, sf_dir).drop("event_id").write.mode("errorifexists")
+     .option("timestampFormat", LOG_TIME_WRITE_FORMAT).json(path))
+    return path
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat turns: ``conversations`` as (conv_id, turn, role, text)."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")

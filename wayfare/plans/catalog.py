@@ -332,3 +332,52 @@ def run_comparison(spark, sf):
     cases = K.all_cases(_samples(spark, sf))
     runs = {"model_only": V.score(V.model_only(cases)), "rules": V.score(V.predictions(cases))}
     return V.compare_runs(runs, "model_only", "rules")
+
+
+# --- logs ------------------------------------------------------------------------
+
+@register("log_read")
+def log_read(spark, sf):
+    from wayfare.operators.logs import read_logs
+    logs = read_logs(spark, B.landed_logs(spark, sf))
+    return logs.select(F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("time"), "level", "event",
+                       "trace_id", "agent", "attempt", "elapsed_seconds", "name", "status", "error")
+
+
+@register("stage_seconds")
+def stage_seconds(spark, sf):
+    from wayfare.operators.logs import stage_seconds as run
+    return run(B.log_events(spark, sf))
+
+
+@register("call_attempts")
+def call_attempts(spark, sf):
+    from wayfare.operators.logs import call_attempts as run
+    return run(B.log_events(spark, sf))
+
+
+@register("open_attempts")
+def open_attempts(spark, sf):
+    from wayfare.operators.logs import open_attempts as run
+    return run(B.log_events(spark, sf)).select(
+        "trace_id", "agent", "attempt", F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("time"))
+
+
+@register("trace_outcome")
+def trace_outcome(spark, sf):
+    from wayfare.operators.logs import trace_outcome as run
+    return run(B.log_events(spark, sf))
+
+
+# --- dialog ---------------------------------------------------------------------
+
+@register("followup_latest")
+def followup_latest(spark, sf):
+    from wayfare.operators.dialog import followup_latest as run
+    return run(B.turns(spark, sf))
+
+
+@register("followup_nested")
+def followup_nested(spark, sf):
+    from wayfare.operators.dialog import followup_nested as run
+    return run(B.turns(spark, sf))

@@ -267,6 +267,7 @@ SELECT request_id, array_to_string(missing_slots, ',') AS missing_slots, need_cl
 SELECT request_id, clarification_question FROM analysis WHERE need_clarification""")
     more_sql(s)
     eval_sql(s)
+    logs_sql(s)
     return s
 
 
@@ -731,3 +732,85 @@ SELECT count_if(failed) AS failed_count, {RATES},
                            f"lo AS ({unpivot('mo')}), lr AS ({unpivot('ru')}) "
                            "SELECT lo.metric, lo.v AS model_only, lr.v AS rules, lr.v - lo.v AS difference "
                            "FROM lo JOIN lr ON lo.metric = lr.metric")
+
+
+# --- logs and dialog ---------------------------------------------------------------
+
+LOGS = f"""logs AS (
+  SELECT ts AS time, CASE WHEN event_type = 'error' THEN 'WARNING' ELSE 'INFO' END AS level,
+    CASE event_type WHEN 'view' THEN 'a2a_call_start' WHEN 'click' THEN 'a2a_call_success'
+         WHEN 'error' THEN 'a2a_call_error' WHEN 'purchase' THEN 'timer'
+         ELSE CASE WHEN event_id % 4 = 3 THEN 'route_need_clarification' ELSE 'route_query_done' END END AS event,
+    'u' || CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y%m%d') AS trace_id,
+    CASE WHEN event_type IN ('view', 'click', 'error')
+         THEN CASE WHEN user_id % 2 = 0 THEN 'weather_agent' ELSE 'ticket_agent' END END AS agent,
+    CASE WHEN event_type IN ('view', 'click', 'error') THEN CAST(event_id % 2 + 1 AS INTEGER) END AS attempt,
+    value AS elapsed_seconds,
+    CASE WHEN event_type = 'purchase' THEN {sql_list(C.TIMER_NAMES)}[event_id % 3 + 1] END AS name,
+    CASE WHEN event_type NOT IN ('view', 'click', 'error', 'purchase') AND event_id % 4 <> 3
+         THEN ['success', 'partial_success', 'agent_failed'][event_id % 3 + 1] END AS status,
+    CASE WHEN event_type = 'error' THEN 'TimeoutError()' END AS error
+  FROM events)"""
+
+
+def _dialog_ctes() -> list[str]:
+    return ["""u AS (
+  SELECT a.conv_id, a.turn, a.text, CASE WHEN n.role = 'assistant' THEN n.text END AS reply
+  FROM conversations a LEFT JOIN conversations n ON n.conv_id = a.conv_id AND n.turn = a.turn + 1
+  WHERE a.role = 'user')""",
+            """u2 AS (SELECT *, coalesce(contains(reply, ' the '), false) AS asks FROM u)""",
+            """u3 AS (
+  SELECT *, coalesce(lag(asks) OVER (PARTITION BY conv_id ORDER BY turn), false) AS prev_asks,
+         lag(reply) OVER (PARTITION BY conv_id ORDER BY turn) AS question
+  FROM u2)""",
+            """u4 AS (
+  SELECT *, CAST(sum(CASE WHEN prev_asks THEN 0 ELSE 1 END)
+                 OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS episode
+  FROM u3)"""]
+
+
+def logs_sql(s: dict[str, str]) -> None:
+    s["log_read"] = with_ctes(LOGS, body="""
+SELECT strftime(time, '%Y-%m-%dT%H:%M:%S.%f') AS time, level, event, trace_id, agent, attempt, elapsed_seconds,
+       name, status, error FROM logs""")
+    cols = ", ".join(
+        f"CAST(sum(CAST(elapsed_seconds AS DECIMAL(18,3))) FILTER (WHERE name = {q(n)}) AS DOUBLE) AS {a}"
+        for n, a in zip(C.TIMER_NAMES, ["analyze_seconds", "agents_seconds", "answer_seconds"]))
+    s["stage_seconds"] = with_ctes(LOGS, body=f"""
+SELECT trace_id, {cols} FROM logs WHERE event = 'timer' AND trace_id IS NOT NULL GROUP BY trace_id""")
+    s["call_attempts"] = with_ctes(LOGS, """calls AS (
+  SELECT * FROM logs WHERE event IN ('a2a_call_start', 'llm_call_start', 'a2a_call_success', 'llm_call_success',
+                                     'a2a_call_error', 'llm_call_error'))""", """lastev AS (
+  SELECT trace_id, agent, event FROM (
+    SELECT *, row_number() OVER (PARTITION BY trace_id, agent ORDER BY attempt DESC, time DESC, event DESC) AS rn
+    FROM calls) WHERE rn = 1)""", body="""
+SELECT c.trace_id, c.agent, count_if(c.event IN ('a2a_call_start', 'llm_call_start')) AS starts,
+       count_if(c.event IN ('a2a_call_error', 'llm_call_error')) AS errors, max(c.attempt) AS attempts,
+       any_value(l.event) AS last_event
+FROM calls c JOIN lastev l ON l.trace_id = c.trace_id AND l.agent IS NOT DISTINCT FROM c.agent
+GROUP BY c.trace_id, c.agent""")
+    s["open_attempts"] = with_ctes(LOGS, body="""
+SELECT s.trace_id, s.agent, s.attempt, strftime(s.time, '%Y-%m-%dT%H:%M:%S.%f') AS time
+FROM logs s WHERE s.event IN ('a2a_call_start', 'llm_call_start') AND NOT EXISTS (
+  SELECT 1 FROM logs e WHERE e.event IN ('a2a_call_success', 'llm_call_success', 'a2a_call_error', 'llm_call_error')
+    AND e.trace_id = s.trace_id AND e.agent = s.agent AND e.attempt = s.attempt)""")
+    s["trace_outcome"] = with_ctes(LOGS, """done AS (
+  SELECT trace_id, status FROM (
+    SELECT trace_id, status, row_number() OVER (PARTITION BY trace_id ORDER BY time DESC, status DESC) AS rn
+    FROM logs WHERE event = 'route_query_done') WHERE rn = 1)""", """g AS (
+  SELECT trace_id, bool_or(event = 'route_need_clarification') AS clar, count(*) AS events
+  FROM logs WHERE trace_id IS NOT NULL GROUP BY trace_id)""", body="""
+SELECT g.trace_id, coalesce(d.status, CASE WHEN g.clar THEN 'need_clarification' END, 'open') AS outcome, g.events
+FROM g LEFT JOIN done d ON d.trace_id = g.trace_id""")
+    web = render(C.FOLLOWUP_WEB, original="original", question="coalesce(question, '')", reply="text")
+    s["followup_latest"] = with_ctes(*_dialog_ctes(), """u5 AS (
+  SELECT *, first_value(text) OVER (PARTITION BY conv_id, episode ORDER BY turn) AS original FROM u4)""", body=f"""
+SELECT conv_id, turn, episode, prev_asks AS follow_up, CASE WHEN prev_asks THEN {web} ELSE text END AS query_sent
+FROM u5""")
+    cli = render(C.FOLLOWUP_CLI, original="acc", reply="x")
+    s["followup_nested"] = with_ctes(*_dialog_ctes(), """u5 AS (
+  SELECT *, list(text) OVER (PARTITION BY conv_id, episode ORDER BY turn
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS texts FROM u4)""", body=f"""
+SELECT conv_id, turn, episode, prev_asks AS follow_up,
+       list_reduce(texts, lambda acc, x: {cli}) AS query_sent
+FROM u5""")
