@@ -41,21 +41,21 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: list[str], order: list
     return merged.select(*cols)
 
 
-def load_report(table_name: str, file_name: str, incoming: DataFrame, before: DataFrame,
+def load_report(table_name: str, file_name: str, read: DataFrame, before: DataFrame,
                 after: DataFrame, key: list[str]) -> DataFrame:
-    """SNK-2: file, csv_rows, before, after, inserted, updated (one row).
-
-    ``updated`` counts incoming keys that already existed.
-    """
-    spark = incoming.sparkSession
-    n_in = incoming.select(F.count(F.lit(1))).scalar()
+    """SNK-2: one row: file, csv_rows (all rows read), rejected, before, after,
+    inserted = after - before, updated = accepted keys that already existed."""
+    spark = read.sparkSession
+    ok = read.filter(F.col("__reason").isNull())
+    n_in = read.select(F.count(F.lit(1))).scalar()
+    n_bad = read.select(F.count_if(F.col("__reason").isNotNull())).scalar()
     n_before = before.select(F.count(F.lit(1))).scalar()
     n_after = after.select(F.count(F.lit(1))).scalar()
-    n_upd = (incoming.select(*key).distinct().join(before.select(*key).distinct(), key, "left_semi")
+    n_upd = (ok.select(*key).distinct().join(before.select(*key).distinct(), key, "left_semi")
              .select(F.count(F.lit(1))).scalar())
     return spark.range(1).select(
         F.lit(table_name).alias("table"), F.lit(file_name).alias("file"),
-        n_in.alias("csv_rows"), n_before.alias("before"), n_after.alias("after"),
+        n_in.alias("csv_rows"), n_bad.alias("rejected"), n_before.alias("before"), n_after.alias("after"),
         (n_after - n_before).alias("inserted"), n_upd.alias("updated"))
 
 
@@ -64,23 +64,32 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> str
 
     Readers go through ``read_published``, which only sees versions named by
     a manifest, so a failure before the manifest leaves the old version live.
+    Each manifest carries the next publish number; the highest one is live.
     Returns the version id.
     """
     version = uuid.uuid4().hex[:12]
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{root}/v={version}/{name}")
-    manifest = {"version": version, "tables": sorted(tables)}
-    spark.createDataFrame([(version, json.dumps(manifest))], "version string, manifest string") \
-        .coalesce(1).write.mode("append").json(f"{root}/_manifests")
+    current = _manifests(spark, root)
+    seq = 1 if current is None else (current.agg(F.max("seq")).first()[0] or 0) + 1
+    manifest = json.dumps({"version": version, "tables": sorted(tables)})
+    (spark.createDataFrame([(version, seq, manifest)], "version string, seq long, manifest string")
+     .coalesce(1).write.mode("append").json(f"{root}/_manifests"))
     return version
 
 
-def latest_version(spark: SparkSession, root: str) -> str | None:
+def _manifests(spark: SparkSession, root: str) -> DataFrame | None:
     try:
-        m = spark.read.json(f"{root}/_manifests")
-    except Exception:  # no manifest yet
+        return spark.read.schema("version string, seq long, manifest string").json(f"{root}/_manifests")
+    except Exception:  # no manifest folder yet
+        return None
+
+
+def latest_version(spark: SparkSession, root: str) -> str | None:
+    m = _manifests(spark, root)
+    if m is None:
         return None
-    row = m.agg(F.max_by("version", F.input_file_name()).alias("v")).first()
+    row = m.agg(F.max_by("version", "seq").alias("v")).first()
     return row["v"] if row else None
 
 

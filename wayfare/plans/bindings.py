@@ -343,3 +343,55 @@ def landed_logs(spark: SparkSession, sf_dir: str) -> str:
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat turns: ``conversations`` as (conv_id, turn, role, text)."""
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+
+
+TICKET_FILES = ["train_tickets_20240101.csv", "train_tickets_20240102.csv"]
+
+
+def ticket_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickets as a feed writes them: train number = part-order-line (unique
+    per departure), line number kept for the drop rules."""
+    t = trips(spark, sf_dir)
+    return t.withColumn("train_number", F.concat_ws(
+        "-", F.col("train_number"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
+
+
+def ticket_drops(spark: SparkSession, sf_dir: str) -> str:
+    """Write two CSV snapshots of the ticket feed under the shared folder.
+
+    Older file: line numbers 1-4, seats all free. Newer file: line numbers
+    3-7 with current seats, so lines 3-4 update, 5-7 insert. Text cells on
+    every third line are padded with an ideographic space and blanks; line 7
+    has a blank train number, line 6 with return flag R a bad departure time,
+    line 5 with flag N an over-long seat type. Columns are written in another
+    order, with an extra ``id`` column.
+    """
+    import uuid
+    from wayfare.session import ensure_checkpoint_dir
+    root = f"{ensure_checkpoint_dir(spark)}/drops-{uuid.uuid4().hex[:8]}"
+    feed = ticket_feed(spark, sf_dir)
+    ln = F.col("l_linenumber")
+    pad = (ln % 3) == 0
+
+    def text(c):
+        return F.when(pad, F.concat(F.lit("\u3000"), F.col(c), F.lit("  "))).otherwise(F.col(c))
+
+    def shaped(df, fresh):
+        return df.select(
+            F.lit("0").alias("id"),
+            F.col("price").cast("string").alias("price"),
+            text("departure_city").alias("departure_city"),
+            text("arrival_city").alias("arrival_city"),
+            F.when((ln == 6) & (F.col("seat_type") == "R"), F.lit("not-a-date"))
+            .otherwise(F.date_format("departure_time", "yyyy-MM-dd HH:mm:ss")).alias("departure_time"),
+            F.date_format("arrival_time", "yyyy-MM-dd HH:mm:ss").alias("arrival_time"),
+            F.when(ln == 7, F.lit("")).otherwise(F.col("train_number")).alias("train_number"),
+            F.when((ln == 5) & (F.col("seat_type") == "N"), F.lit("X" * 25)).otherwise(text("seat_type"))
+            .alias("seat_type"),
+            F.col("total_seats").cast("string").alias("total_seats"),
+            (F.col("total_seats") if fresh else F.col("remaining_seats")).cast("string").alias("remaining_seats"),
+            F.lit("").alias("created_at"))
+
+    shaped(feed.filter(ln <= 4), True).write.option("header", True).csv(f"{root}/{TICKET_FILES[0]}")
+    shaped(feed.filter(ln >= 3), False).write.option("header", True).csv(f"{root}/{TICKET_FILES[1]}")
+    return root

@@ -381,3 +381,83 @@ def followup_latest(spark, sf):
 def followup_nested(spark, sf):
     from wayfare.operators.dialog import followup_nested as run
     return run(B.turns(spark, sf))
+
+
+# --- ingest: snapshot, contract, upsert, report, publish ------------------------
+
+class _Ingest:
+    """ING-1 over the ticket drops: newest file, contract read, upsert onto
+    the table loaded from the older file."""
+
+    def __init__(self, spark, sf):
+        from wayfare.operators.load import latest_per_key, upsert
+        from wayfare.sources import files as S
+        self.root = B.ticket_drops(spark, sf)
+        self.newest = S.newest_snapshot(spark, self.root, "train_tickets_*.csv")
+        self.file = self.newest.rstrip("/").rsplit("/", 1)[-1]
+        old = S.accepted(S.read_contract(spark, f"{self.root}/{B.TICKET_FILES[0]}", "train_tickets"))
+        self.before = latest_per_key(old, C.TICKET_KEY, ["__order"]).drop("__order")
+        self.read = S.read_contract(spark, self.newest, "train_tickets")
+        self.incoming = S.accepted(self.read)
+        self.after = upsert(self.before, self.incoming, C.TICKET_KEY, ["__order"])
+
+
+def _ticket_report(df):
+    return df.select(X.iso_date("departure_time").alias("departure_day"),
+                     F.date_format("departure_time", "yyyy-MM-dd HH:mm:ss").alias("departure_time"),
+                     "train_number", "departure_city", "arrival_city", "seat_type", "total_seats",
+                     "remaining_seats", F.col("price").cast("double").alias("price"))
+
+
+@register("newest_snapshot")
+def newest_snapshot(spark, sf):
+    ing = _Ingest(spark, sf)
+    n = ing.read.select(F.count(F.lit(1))).scalar()
+    return spark.range(1).select(F.lit("train_tickets").alias("table"), F.lit(ing.file).alias("file"),
+                                 n.alias("csv_rows"))
+
+
+@register("csv_contract")
+def csv_contract(spark, sf):
+    return _ticket_report(_Ingest(spark, sf).incoming)
+
+
+@register("rejected_rows")
+def rejected_rows(spark, sf):
+    from wayfare.sources.files import rejected
+    r = rejected(_Ingest(spark, sf).read)
+    return r.select(F.col("raw_departure_city").alias("departure_city"), F.col("raw_arrival_city").alias("arrival_city"),
+                    F.col("raw_departure_time").alias("departure_time"), F.col("raw_train_number").alias("train_number"),
+                    F.col("raw_seat_type").alias("seat_type"), F.col("__reason").alias("reason"))
+
+
+@register("upsert")
+def upsert_q(spark, sf):
+    return _ticket_report(_Ingest(spark, sf).after)
+
+
+@register("load_report")
+def load_report(spark, sf):
+    from wayfare.operators.load import load_report as report
+    ing = _Ingest(spark, sf)
+    return report("train_tickets", ing.file, ing.read, ing.before, ing.after, C.TICKET_KEY)
+
+
+@register("table_counts")
+def table_counts(spark, sf):
+    ing = _Ingest(spark, sf)
+    t = ing.after.select(F.lit("train_tickets").alias("table"))
+    w = B.weather_table(spark, sf).select(F.lit("weather_data").alias("table"))
+    return t.unionByName(w).groupBy("table").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("published_tables")
+def published_tables(spark, sf):
+    import uuid
+    from wayfare.operators.load import publish, read_published
+    from wayfare.session import ensure_checkpoint_dir
+    ing = _Ingest(spark, sf)
+    root = f"{ensure_checkpoint_dir(spark)}/published-{uuid.uuid4().hex[:8]}"
+    publish(spark, {"train_tickets": ing.after, "weather_data": B.weather_table(spark, sf)}, root)
+    parts = [read_published(spark, root, n).select(F.lit(n).alias("table")) for n in ["train_tickets", "weather_data"]]
+    return parts[0].unionByName(parts[1]).groupBy("table").agg(F.count(F.lit(1)).alias("rows"))

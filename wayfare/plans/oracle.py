@@ -268,6 +268,7 @@ SELECT request_id, clarification_question FROM analysis WHERE need_clarification
     more_sql(s)
     eval_sql(s)
     logs_sql(s)
+    ingest_sql(s)
     return s
 
 
@@ -814,3 +815,55 @@ FROM u5""")
 SELECT conv_id, turn, episode, prev_asks AS follow_up,
        list_reduce(texts, lambda acc, x: {cli}) AS query_sent
 FROM u5""")
+
+
+# --- ingest -------------------------------------------------------------------------
+
+FEED = """feed AS (
+  SELECT departure_city, arrival_city, departure_time, arrival_time,
+         train_number || '-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS tn,
+         seat_type, total_seats, remaining_seats, price, l_linenumber AS ln
+  FROM trips)""", """newf AS (
+  SELECT *, CASE WHEN ln = 7 THEN 'missing train_number'
+                 WHEN ln = 6 AND seat_type = 'R' THEN 'bad departure_time'
+                 WHEN ln = 5 AND seat_type = 'N' THEN 'too long seat_type' END AS reason
+  FROM feed WHERE ln >= 3)""", """oldf AS (SELECT * REPLACE (total_seats AS remaining_seats) FROM feed WHERE ln <= 4)""", \
+"""merged AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY departure_time, tn ORDER BY src DESC) AS rn FROM (
+      SELECT departure_city, arrival_city, departure_time, tn, seat_type, total_seats, remaining_seats, price, 0 AS src
+      FROM oldf
+      UNION ALL
+      SELECT departure_city, arrival_city, departure_time, tn, seat_type, total_seats, remaining_seats, price, 1
+      FROM newf WHERE reason IS NULL)) WHERE rn = 1)"""
+
+TICKET_REPORT = """strftime(departure_time, '%Y-%m-%d') AS departure_day,
+  strftime(departure_time, '%Y-%m-%d %H:%M:%S') AS departure_time, tn AS train_number, departure_city, arrival_city,
+  seat_type, total_seats, remaining_seats, CAST(price AS DOUBLE) AS price"""
+
+
+def ingest_sql(s: dict[str, str]) -> None:
+    base = [TRIPS, *FEED]
+    s["newest_snapshot"] = with_ctes(*base, body="""
+SELECT 'train_tickets' AS "table", 'train_tickets_20240102.csv' AS file, count(*) AS csv_rows FROM newf""")
+    s["csv_contract"] = with_ctes(*base, body=f"SELECT {TICKET_REPORT} FROM newf WHERE reason IS NULL")
+    s["rejected_rows"] = with_ctes(*base, body="""
+SELECT departure_city, arrival_city,
+  CASE WHEN reason = 'bad departure_time' THEN 'not-a-date' ELSE strftime(departure_time, '%Y-%m-%d %H:%M:%S') END
+    AS departure_time,
+  CASE WHEN reason = 'missing train_number' THEN NULL ELSE tn END AS train_number,
+  CASE WHEN reason = 'too long seat_type' THEN repeat('X', 25) ELSE seat_type END AS seat_type, reason
+FROM newf WHERE reason IS NOT NULL""")
+    s["upsert"] = with_ctes(*base, body=f"SELECT {TICKET_REPORT} FROM merged")
+    s["load_report"] = with_ctes(*base, body="""
+SELECT 'train_tickets' AS "table", 'train_tickets_20240102.csv' AS file,
+  (SELECT count(*) FROM newf) AS csv_rows, (SELECT count(*) FROM newf WHERE reason IS NOT NULL) AS rejected,
+  (SELECT count(*) FROM oldf) AS before, (SELECT count(*) FROM merged) AS after,
+  (SELECT count(*) FROM merged) - (SELECT count(*) FROM oldf) AS inserted,
+  (SELECT count(*) FROM newf n WHERE reason IS NULL AND EXISTS (
+     SELECT 1 FROM oldf o WHERE o.departure_time = n.departure_time AND o.tn = n.tn)) AS updated""")
+    counts = with_ctes(*base, READINGS, WEATHER, body="""
+SELECT 'train_tickets' AS "table", count(*) AS rows FROM merged
+UNION ALL SELECT 'weather_data', count(*) FROM weather""")
+    s["table_counts"] = counts
+    s["published_tables"] = counts
