@@ -346,6 +346,8 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TICKET_FILES = ["train_tickets_20240101.csv", "train_tickets_20240102.csv"]
+DROP_HEADER = ["id", "price", "departure_city", "arrival_city", "departure_time", "arrival_time", "train_number",
+               "seat_type", "total_seats", "remaining_seats", "created_at"]
 
 
 def ticket_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -395,3 +397,15 @@ def ticket_drops(spark: SparkSession, sf_dir: str) -> str:
     shaped(feed.filter(ln <= 4), True).write.option("header", True).csv(f"{root}/{TICKET_FILES[0]}")
     shaped(feed.filter(ln >= 3), False).write.option("header", True).csv(f"{root}/{TICKET_FILES[1]}")
     return root
+
+
+def ticket_drop_stream_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The two snapshots landed one after another in one folder (older first)."""
+    import time
+    root = ticket_drops(spark, sf_dir)
+    folder = f"{root}/incoming"
+    for i, name in enumerate(TICKET_FILES):
+        if i:
+            time.sleep(1.1)
+        spark.read.option("header", True).csv(f"{root}/{name}").write.mode("append").option("header", True).csv(folder)
+    return folder

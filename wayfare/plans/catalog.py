@@ -461,3 +461,110 @@ def published_tables(spark, sf):
     publish(spark, {"train_tickets": ing.after, "weather_data": B.weather_table(spark, sf)}, root)
     parts = [read_published(spark, root, n).select(F.lit(n).alias("table")) for n in ["train_tickets", "weather_data"]]
     return parts[0].unionByName(parts[1]).groupBy("table").agg(F.count(F.lit(1)).alias("rows"))
+
+
+# --- streams ---------------------------------------------------------------------
+
+def _landed_log_folder(spark, sf, copies: int = 1) -> str:
+    """Log events landed as JSON in two waves (first half of the days, then
+    the rest), each wave ``copies`` times."""
+    import time
+    from wayfare.operators.logs import LOG_TIME_WRITE_FORMAT
+    from wayfare.streaming.streams import scratch
+    path = scratch(spark, "log-drops")
+    logs = B.log_events(spark, sf).drop("event_id")
+    waves = [logs.filter(F.dayofmonth("time") <= 15), logs.filter(F.dayofmonth("time") > 15)]
+    for i, w in enumerate(waves):
+        for _ in range(copies):
+            if i or _:
+                time.sleep(1.1)
+            w.write.mode("append").option("timestampFormat", LOG_TIME_WRITE_FORMAT).json(path)
+    return path
+
+
+TS = "yyyy-MM-dd'T'HH:mm:ss"
+TS_US = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
+@register("stream_tumbling")
+def stream_tumbling(spark, sf):
+    from wayfare.streaming import streams as S
+    out = S.scratch(spark, "stm-tumbling")
+    flat = lambda b, _: b.select(F.date_format("w.start", TS).alias("window_start"), "events", "errors")
+    S.run_batches(S.tumbling_counts(S.log_stream(spark, _landed_log_folder(spark, sf))), out, "update", flat)
+    return S.final_rows(spark, out, ["window_start"])
+
+
+@register("stream_sliding")
+def stream_sliding(spark, sf):
+    from wayfare.streaming import streams as S
+    out = S.scratch(spark, "stm-sliding")
+    flat = lambda b, _: b.select(F.date_format("w.start", TS).alias("window_start"), "name", "timers",
+                                 F.col("total").cast("double").alias("total_seconds"))
+    S.run_batches(S.sliding_timers(S.log_stream(spark, _landed_log_folder(spark, sf))), out, "update", flat)
+    return S.final_rows(spark, out, ["window_start", "name"]).withColumn(
+        "mean_seconds", F.col("total_seconds") / F.col("timers"))
+
+
+SENTINEL_TRACE = "__end_of_input__"
+
+
+def _land_sentinel(spark, path: str) -> None:
+    """A far-future event landed last: it moves the watermark past every real
+    session so append mode can emit them; its own session is filtered out."""
+    import datetime as dt
+    import time
+    from wayfare.operators.logs import LOG_TIME_WRITE_FORMAT
+    time.sleep(1.1)
+    row = [(dt.datetime(2100, 1, 1), "INFO", "sentinel", "end", "end", SENTINEL_TRACE)]
+    (spark.createDataFrame(row, "time timestamp, level string, logger string, message string, event string, "
+                                "trace_id string")
+     .write.mode("append").option("timestampFormat", LOG_TIME_WRITE_FORMAT).json(path))
+
+
+@register("stream_sessions")
+def stream_sessions(spark, sf):
+    from wayfare.streaming import streams as S
+    src = _landed_log_folder(spark, sf)
+    _land_sentinel(spark, src)
+    out = S.scratch(spark, "stm-sessions")
+    flat = lambda b, _: b.select("trace_id", F.date_format("s.start", TS_US).alias("session_start"),
+                                 F.date_format("s.end", TS_US).alias("session_end"), "events")
+    S.run_batches(S.trace_sessions(S.log_stream(spark, src), delay="10 minutes"), out, "append", flat)
+    return S.final_rows(spark, out, ["trace_id", "session_start"]).filter(F.col("trace_id") != SENTINEL_TRACE)
+
+
+@register("stream_dedupe")
+def stream_dedupe(spark, sf):
+    from wayfare.streaming import streams as S
+    out = S.scratch(spark, "stm-dedupe")
+    flat = lambda b, _: b.select("trace_id", F.date_format("time", TS_US).alias("time"), "event")
+    S.run_batches(S.deduped(S.log_stream(spark, _landed_log_folder(spark, sf, copies=2)),
+                            ["trace_id", "time", "event"]), out, "append", flat)
+    return S.final_rows(spark, out, ["trace_id", "time", "event"])
+
+
+@register("stream_dialog")
+def stream_dialog(spark, sf):
+    import time
+    from wayfare.streaming import streams as S
+    src = S.scratch(spark, "turn-drops")
+    t = B.turns(spark, sf)
+    t.filter(F.col("turn") > 3).write.json(f"{src}/late")      # later turns land first
+    time.sleep(1.1)
+    t.filter(F.col("turn") <= 3).write.mode("append").json(f"{src}/early")
+    out = S.scratch(spark, "stm-dialog")
+    schema = "conv_id long, turn long, role string, text string"
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 2)
+              .option("recursiveFileLookup", True).json(src))
+    S.run_batches(S.dialog_stream(stream), out, "append")
+    return S.final_rows(spark, out, ["conv_id", "turn"])
+
+
+@register("stream_upsert")
+def stream_upsert(spark, sf):
+    from wayfare.streaming import streams as S
+    folder = B.ticket_drop_stream_folder(spark, sf)
+    out = S.scratch(spark, "stm-upsert")
+    last = S.upsert_stream(spark, folder, "train_tickets", C.TICKET_KEY, out, B.DROP_HEADER)
+    return _ticket_report(spark.read.parquet(last))

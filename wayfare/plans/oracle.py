@@ -269,6 +269,7 @@ SELECT request_id, clarification_question FROM analysis WHERE need_clarification
     eval_sql(s)
     logs_sql(s)
     ingest_sql(s)
+    stream_sql(s)
     return s
 
 
@@ -867,3 +868,32 @@ SELECT 'train_tickets' AS "table", count(*) AS rows FROM merged
 UNION ALL SELECT 'weather_data', count(*) FROM weather""")
     s["table_counts"] = counts
     s["published_tables"] = counts
+
+
+# --- streams (batch SQL over the same rows) -------------------------------------------
+
+def stream_sql(s: dict[str, str]) -> None:
+    s["stream_tumbling"] = with_ctes(LOGS, body="""
+SELECT strftime(time_bucket(INTERVAL 1 minute, time), '%Y-%m-%dT%H:%M:%S') AS window_start, count(*) AS events,
+       count_if(level = 'WARNING') AS errors
+FROM logs GROUP BY 1""")
+    s["stream_sliding"] = with_ctes(LOGS, """sl AS (
+  SELECT time_bucket(INTERVAL 1 minute, time) - to_minutes(CAST(i AS BIGINT)) AS ws, name, elapsed_seconds
+  FROM logs, range(10) r(i) WHERE event = 'timer')""", body="""
+SELECT strftime(ws, '%Y-%m-%dT%H:%M:%S') AS window_start, name, count(*) AS timers,
+       CAST(sum(CAST(elapsed_seconds AS DECIMAL(18,3))) AS DOUBLE) AS total_seconds,
+       CAST(sum(CAST(elapsed_seconds AS DECIMAL(18,3))) AS DOUBLE) / count(*) AS mean_seconds
+FROM sl GROUP BY ws, name""")
+    s["stream_sessions"] = with_ctes(LOGS, """lg AS (
+  SELECT trace_id, time,
+    CASE WHEN lag(time) OVER (PARTITION BY trace_id ORDER BY time) IS NULL
+           OR time - lag(time) OVER (PARTITION BY trace_id ORDER BY time) >= INTERVAL 5 MINUTE THEN 1 ELSE 0 END AS new
+  FROM logs WHERE trace_id IS NOT NULL)""", """sg AS (
+  SELECT *, sum(new) OVER (PARTITION BY trace_id ORDER BY time ROWS UNBOUNDED PRECEDING) AS sid FROM lg)""", body="""
+SELECT trace_id, strftime(min(time), '%Y-%m-%dT%H:%M:%S.%f') AS session_start,
+       strftime(max(time) + INTERVAL 5 MINUTE, '%Y-%m-%dT%H:%M:%S.%f') AS session_end, count(*) AS events
+FROM sg GROUP BY trace_id, sid""")
+    s["stream_dedupe"] = with_ctes(LOGS, body="""
+SELECT DISTINCT trace_id, strftime(time, '%Y-%m-%dT%H:%M:%S.%f') AS time, event FROM logs""")
+    s["stream_dialog"] = s["followup_latest"]
+    s["stream_upsert"] = s["upsert"]
