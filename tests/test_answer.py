@@ -68,3 +68,19 @@ def test_statuses(spark):
     assert out["clarify"].status == "need_clarification" and out["clarify"].called_agents == []
     assert out["none"].status == "no_supported_agent"
     assert out["nf"].status == "success" and out["nf"].ticket_status == "not_found"
+
+
+def test_single_request_tools(spark):
+    from wayfare.plans.tools import query_train_tickets, query_train_tickets_sql, query_weather
+    tickets, weather, live = _tables(spark)
+    got = [r.train_number for r in query_train_tickets(spark, tickets, "富山", "东京", "2026-06-20")
+           .orderBy("rank").collect()]
+    assert got == ["Kagayaki 508", "Hakutaka 560", "Hakutaka 566"]
+    tickets.createOrReplaceTempView("tickets_fixture")
+    got_sql = [r.train_number for r in query_train_tickets_sql(spark, "tickets_fixture", "富山", "东京",
+                                                                "2026-06-20").collect()]
+    assert got_sql == got
+    assert query_train_tickets(spark, tickets, "富山", "东京", "2026-6-20").count() == 0
+    w = query_weather(spark, live, weather, "东京", "2026-06-20", "2026-06-15").first()
+    assert w.source == "database" and w.humidity == 60
+    assert query_weather(spark, live, weather, "东京", "2026-06-21", "2026-06-15").count() == 0

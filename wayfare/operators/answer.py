@@ -14,6 +14,7 @@ from wayfare import contracts as C
 from wayfare.functions import text as X
 from wayfare.operators import lookup as L
 from wayfare.operators import routing as R
+from wayfare.session import cut_lineage
 
 
 def task_slots(slots: Column, metadata: Column, aliases: dict[str, list[str]]) -> dict[str, Column]:
@@ -86,7 +87,10 @@ def route_batch(requests: DataFrame, tickets: DataFrame, live: DataFrame, weathe
     becomes a task row; a transport fault (``faults``: request_id, agent,
     error) replaces that agent's artifact with an error (JON-9).
     """
-    a = R.analyze(requests)
+    # The analysis feeds three branches (weather tasks, ticket tasks, the
+    # final status); write it once to the shared checkpoint folder instead
+    # of re-running the model-text scan per branch.
+    a = cut_lineage(R.analyze(requests))
     ready = a.filter(F.col("error").isNull() & ~F.col("need_clarification") & (F.size("required_agents") > 0))
     slots = F.create_map(*[x for n in C.SLOT_NAMES for x in (F.lit(n), F.col("slot_" + n))])
     base = ready.select("request_id", F.map_filter(slots, lambda k, v: v.isNotNull()).alias("slots"),
