@@ -41,3 +41,16 @@ def test_same_multiset(spark):
     df = spark.createDataFrame([(["a", "b", "a"], ["a", "a", "b"]), (["a", "b"], ["a", "b", "b"]), (None, [])],
                                "l array<string>, r array<string>")
     assert [r.s for r in df.select(X.same_multiset("l", "r").alias("s")).collect()] == [True, False, True]
+
+
+def test_collated_canonical_keys(spark):
+    left = spark.createDataFrame([("Café  ", 1), ("CAFE", 2), ("Tokyo", 3)], "city string, v int")
+    right = spark.createDataFrame([("cafe", "x"), ("tokyo ", "y"), ("Osaka", "z")], "city string, w string")
+    mapping = X.canonical_map(left.select("city").unionByName(right.select("city")), "city")
+    got = dict((r.raw, r.canonical) for r in mapping.collect())
+    assert got["Café  "] == got["CAFE"] == got["cafe"]
+    assert got["Tokyo"] == got["tokyo "]
+    assert got["Osaka"] == "Osaka"
+    joined = X.canonicalize(left, "city", mapping, "k").join(
+        X.canonicalize(right, "city", mapping, "k").select("k", "w"), "k")
+    assert sorted((r.v, r.w) for r in joined.collect()) == [(1, "x"), (2, "x"), (3, "y")]

@@ -144,3 +144,31 @@ def same_multiset(left, right) -> Column:
 def list_text(arr) -> Column:
     """Arrays are reported as comma-joined text."""
     return F.array_join(col_of(arr), ",")
+
+
+COLLATION = "UNICODE_CI_AI_RTRIM"
+
+
+def canonical_map(values, col: str, collation: str = COLLATION):
+    """§1.2/§4: raw value -> canonical value under a collation (case, accents
+    and trailing spaces ignored by default).
+
+    Collated comparisons are neither pushed down nor hash-joined, so the
+    collation is applied once, to the distinct raw values only (a table that
+    grows with the number of spellings, not with the rows); the canonical
+    value of a group is its smallest raw spelling. Callers join both sides
+    to this table on the raw value (plain string equality), then join on
+    ``canonical``.
+    """
+    distinct = values.select(F.col(col).alias("raw")).where(F.col("raw").isNotNull()).distinct()
+    groups = distinct.groupBy(F.collate(F.col("raw"), collation).alias("__k")).agg(
+        F.min(F.col("raw").cast("string")).alias("canonical"))
+    keyed = distinct.withColumn("__k", F.collate(F.col("raw"), collation))
+    return keyed.join(groups, "__k").select("raw", "canonical")
+
+
+def canonicalize(df, col: str, mapping, out: str | None = None):
+    """Replace ``col`` by its canonical value (unknown values stay as they are)."""
+    m = mapping.withColumnRenamed("raw", "__raw").withColumnRenamed("canonical", "__canon")
+    joined = df.join(m, df[col] == m["__raw"], "left")
+    return joined.withColumn(out or col, F.coalesce(F.col("__canon"), F.col(col))).drop("__raw", "__canon")

@@ -68,10 +68,13 @@ class KeySamples:
     """The three ordered key tables the case families sample, each indexed once."""
 
     def __init__(self, keys: DataFrame, routes: DataFrame):
+        from wayfare.session import cut_lineage
         self.spark = keys.sparkSession
+        # Both route samplers read the same keys: build them once.
+        routes = cut_lineage(routes.select(*ROUTE_ORDER))
         self.weather = EvenSampler(keys.select(*WEATHER_ORDER), WEATHER_ORDER)
-        self.routes = EvenSampler(routes.select(*ROUTE_ORDER), ROUTE_ORDER)
-        self.usable = EvenSampler(routes_with_readings(routes, keys).select(*ROUTE_ORDER), ROUTE_ORDER)
+        self.routes = EvenSampler(routes, ROUTE_ORDER)
+        self.usable = EvenSampler(routes_with_readings(routes, keys), ROUTE_ORDER)
 
 
 def weather_cases(ks: KeySamples) -> DataFrame:

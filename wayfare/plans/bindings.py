@@ -370,8 +370,9 @@ def ticket_drops(spark: SparkSession, sf_dir: str) -> str:
     """
     import uuid
     from wayfare.session import ensure_checkpoint_dir
+    from wayfare.session import cut_lineage
     root = f"{ensure_checkpoint_dir(spark)}/drops-{uuid.uuid4().hex[:8]}"
-    feed = ticket_feed(spark, sf_dir)
+    feed = cut_lineage(ticket_feed(spark, sf_dir))  # written twice below: build once
     ln = F.col("l_linenumber")
     pad = (ln % 3) == 0
 
