@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wayfare import contracts as C
 from wayfare.functions import text as X
+from wayfare.operators.ordering import global_index
 
 CLARIFY_TOKEN = " the "
 
@@ -42,15 +43,43 @@ def episodes(turns: DataFrame, is_clarification=None) -> DataFrame:
     return u
 
 
-def followup_latest(turns: DataFrame, is_clarification=None) -> DataFrame:
-    """DLG-1 (web): original + latest question + reply while a chain is open."""
-    e = episodes(turns, is_clarification)
-    we = Window.partitionBy("conv_id", "episode").orderBy("turn")
-    e = e.withColumn("original", F.first("text").over(we.rowsBetween(Window.unboundedPreceding, 0)))
-    sent = F.when(F.col("prev_asks"), X.render(C.FOLLOWUP_WEB, original=F.col("original"),
+def followup_latest(turns: DataFrame, is_clarification=None, bucket: int = 1024) -> DataFrame:
+    """DLG-1 (web): original + latest question + reply while a chain is open.
+
+    No window per conversation: user turns get global positions (range
+    sort); the previous user turn is an equi-join on position - 1; episode
+    starts get their own positions k, and every turn finds its start with a
+    range join [start, next start) done as an equi-join on position buckets
+    (a range covering many buckets is repeated once per bucket, so the extra
+    rows are bounded by starts + turns / bucket). A conversation holding a
+    third of all turns is spread over as many tasks as its positions span.
+    """
+    is_clarification = is_clarification or (lambda c: F.instr(c, CLARIFY_TOKEN) > 0)
+    u = global_index(user_turns(turns, is_clarification), ["conv_id", "turn"], "upos")
+    prev = u.select(F.col("conv_id").alias("p_conv"), (F.col("upos") + 1).alias("p_next"),
+                    F.col("asks").alias("p_asks"), F.col("reply").alias("p_reply"))
+    x = (u.join(prev, (F.col("upos") == F.col("p_next")) & (F.col("conv_id") == F.col("p_conv")), "left")
+         .select("conv_id", "turn", "text", "upos", F.coalesce("p_asks", F.lit(False)).alias("follow_up"),
+                 F.col("p_reply").alias("question")))
+    n = x.select(F.count(F.lit(1))).scalar()
+    starts = global_index(x.filter(~F.col("follow_up")).select("conv_id", "upos", F.col("text").alias("original")),
+                          ["upos"], "k")
+    nxt = starts.select((F.col("k") - 1).alias("k"), F.col("upos").alias("hi"))
+    first_k = starts.groupBy(F.col("conv_id").alias("f_conv")).agg(F.min("k").alias("k0"))
+    ranges = (starts.join(nxt, "k", "left")
+              .select("k", F.col("conv_id").alias("r_conv"), F.col("upos").alias("lo"),
+                      F.coalesce(F.col("hi"), n).alias("hi"), "original")
+              .join(first_k, F.col("r_conv") == F.col("f_conv"))
+              .select("lo", "hi", "original", (F.col("k") - F.col("k0") + 1).alias("episode"))
+              .withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / bucket),
+                                                    F.floor((F.col("hi") - 1) / bucket)))))
+    rows = x.withColumn("b", F.floor(F.col("upos") / bucket))
+    j = rows.join(ranges, ["b"]).filter((F.col("upos") >= F.col("lo")) & (F.col("upos") < F.col("hi")))
+    sent = F.when(F.col("follow_up"), X.render(C.FOLLOWUP_WEB, original=F.col("original"),
                                                question=F.coalesce(F.col("question"), F.lit("")),
                                                reply=F.col("text"))).otherwise(F.col("text"))
-    return e.select("conv_id", "turn", "episode", F.col("prev_asks").alias("follow_up"), sent.alias("query_sent"))
+    return j.select("conv_id", "turn", F.col("episode").cast("long").alias("episode"), "follow_up",
+                    sent.alias("query_sent"))
 
 
 def followup_nested(turns: DataFrame, is_clarification=None) -> DataFrame:
