@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from wayfare import contracts as C
 
-# Whitespace as Python's str.strip() sees it: the Unicode White_Space set plus
-# the four ASCII separators 0x1c-0x1f.
-_EDGE_SPACE = r"(?U)^[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+$"
+# Whitespace as Python's str.strip() sees it, derived from str.isspace()
+# (all such characters lie below U+3001).
+PY_SPACES = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 
 
 def col_of(c) -> Column:
@@ -24,7 +24,7 @@ def col_of(c) -> Column:
 
 def py_strip(c) -> Column:
     """XPR-1 without the NULL step: strip edge whitespace like Python."""
-    return F.regexp_replace(col_of(c), _EDGE_SPACE, "")
+    return F.trim(col_of(c), F.lit(PY_SPACES))
 
 
 def blank_to_null(c) -> Column:
