@@ -90,7 +90,9 @@ def route_batch(requests: DataFrame, tickets: DataFrame, live: DataFrame, weathe
     # The analysis feeds three branches (weather tasks, ticket tasks, the
     # final status); write it once to the shared checkpoint folder instead
     # of re-running the model-text scan per branch.
-    a = cut_lineage(R.analyze(requests))
+    keep = ["request_id", "query", "intent", "required_agents", "missing_slots", "need_clarification",
+            "clarification_question", "error", *[f"slot_{n}" for n in C.SLOT_NAMES]]
+    a = cut_lineage(R.analyze(requests).select(*keep))
     ready = a.filter(F.col("error").isNull() & ~F.col("need_clarification") & (F.size("required_agents") > 0))
     slots = F.create_map(*[x for n in C.SLOT_NAMES for x in (F.lit(n), F.col("slot_" + n))])
     base = ready.select("request_id", F.map_filter(slots, lambda k, v: v.isNotNull()).alias("slots"),
