@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import bpe, toxicity
 from .common import table
+from .decontaminate import contaminated
 from .exact_dedup import exact_groups
 from .minhash import near_duplicates
 from .url_filter import judge_urls
@@ -15,6 +18,14 @@ URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+TOXIC_AT = 0.3
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of a contaminated document and an item that it contains."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -24,6 +35,26 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", toxicity.held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
+
+
+def tokens(docs: DataFrame) -> DataFrame:
+    """Digests of the ids of each text and of the bytes they decode to."""
+    done = bpe.decode(bpe.encode(docs.select("doc_id", "text")).select("doc_id", "ids"))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return done.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                       F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -52,7 +83,8 @@ FROM (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_url_filter, op5_minhash, op10_exact_dedup)}
+    return {f.__name__: f for f in (op3_decontamination, op4_url_filter, op5_minhash, op6_toxicity, op8_bpe,
+                                   op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
