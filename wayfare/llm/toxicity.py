@@ -2,9 +2,9 @@
 
 A word is the bag of its hashed character n-grams; the mean of their vectors
 is the word's embedding, and the mean over a window of words goes through a
-linear softmax. Vectors and softmax are trained jointly in numpy, first on
-whole texts, then on the highest-scoring windows of each text, so that one
-insult in a long text counts as much as in a short one. Words never seen in
+linear softmax. Vectors and softmax are trained jointly in numpy, from the
+n-grams' log odds, on the highest-scoring window of each text and a random
+one, so that one insult in a long text counts as much as in a short one. Words never seen in
 training, misspellings too, score by the n-grams that they share with others.
 A text's score is that of its highest window, calibrated on the labels' rate.
 
@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROWS, LONGEST = 3000, 20_000
-BUCKETS, DIM, WINDOW = 1 << 18, 8, 8
+BUCKETS, DIM, WINDOW = 1 << 18, 8, 4
 GRAMS = (3, 4, 5, 6)
+SUPPORT, SHRINK, DECAY, START = 3, 10, 1e-5, 4.0
+STEPS, RATE = 60, 0.03
 _words = re.compile(r"[^\W\d_]+").findall
 
 
@@ -102,36 +104,46 @@ def fit(texts: list[str], labels: list[int], rate: float) -> Model:
     sizes = np.array([len(d) for d in docs])
     tokens = np.array([vocab[w] for d in docs for w in d], np.int64)
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    doc_of = np.repeat(np.arange(len(docs)), sizes)
     balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
 
     random = np.random.default_rng(7)
-    vectors = random.normal(0, 0.1, (BUCKETS, DIM))
+    vectors = random.normal(0, 0.01, (BUCKETS, DIM))
     soft = random.normal(0, 0.1, (DIM, 2))
+    soft[0] = -START, START
+    bias = np.zeros(2)
+    # Where training starts: an n-gram's log odds of label 1, drawn to 0 where few texts have it.
+    grams_of = np.split(flat, np.cumsum(per)[:-1])
+    with_it, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for d, label in enumerate(y):
+        if sizes[d]:
+            own = np.unique(np.concatenate([grams_of[w] for w in np.unique(tokens[starts[d]:starts[d] + sizes[d]])]))
+            with_it[own] += 1
+            toxic[own] += label
+    p = y.mean()
+    odds = np.log((toxic + SHRINK * p) / (with_it + SHRINK) / p) - np.log(
+        (with_it - toxic + SHRINK * (1 - p)) / (with_it + SHRINK) / (1 - p))
+    # those of few texts would only be learnt by heart; their vectors stay out of it
+    keep = np.flatnonzero(with_it[flat] >= SUPPORT)
+    flat, owner = flat[keep], owner[keep]
+    used, flat = np.unique(flat, return_inverse=True)
+    vectors = vectors[used]
+    vectors[:, 0] += odds[used]
+    soft = random.normal(0, 0.1, (DIM, 2))
+    soft[0] = -START, START
     bias = np.zeros(2)
-    used = np.unique(flat)
 
     def word_logits() -> np.ndarray:
-        z = vectors @ (soft[:, 1] - soft[:, 0])
-        return np.bincount(owner, z[flat], len(lists)) / per
+        return np.bincount(owner, (vectors @ (soft[:, 1] - soft[:, 0]))[flat], len(lists)) / per
 
     def learn(adam: Adam, word_pull: np.ndarray, pull: float) -> None:
         """One step; ``word_pull``: the loss's derivative by each word's logit."""
-        share = np.bincount(flat, (word_pull / per)[owner], BUCKETS)[used]
-        own = vectors[used]
-        up = own.T @ share
-        adam.step(v=(own, np.outer(share, soft[:, 1] - soft[:, 0]) + 1e-6 * own),
+        share = np.bincount(flat, (word_pull / per)[owner], len(used))
+        up = share @ vectors
+        adam.step(v=(vectors, np.outer(share, soft[:, 1] - soft[:, 0]) + DECAY * vectors),
                   u=(soft, np.stack([-up, up], axis=1) + 1e-4 * soft), b=(bias, np.array([-pull, pull])))
-        vectors[used] = own
 
-    adam = Adam(0.05)
     n = np.maximum(sizes, 1)
-    for _ in range(25):  # whole texts
-        z = np.bincount(doc_of, word_logits()[tokens], len(docs)) / n + bias[1] - bias[0]
-        pull = (1 / (1 + np.exp(-z)) - y) * balance
-        learn(adam, np.bincount(tokens, (pull / n)[doc_of], len(lists)), pull.sum())
-
-    adam = Adam(0.03)
+    adam = Adam(RATE)
     width = np.minimum(n, WINDOW)
     first = starts + np.zeros(len(docs), np.int64)
     spans = [np.arange(max(1, s - WINDOW + 1)) + a for s, a in zip(sizes, starts)]
@@ -139,7 +151,7 @@ def fit(texts: list[str], labels: list[int], rate: float) -> Model:
     begin = np.concatenate(spans)
     ends = np.minimum(begin + WINDOW, (starts + sizes)[span_doc])
     at = np.concatenate(([0], np.cumsum([len(s) for s in spans])[:-1]))
-    for step in range(120):  # the highest window of each text, and one at random
+    for _ in range(STEPS):  # the highest window of each text, and one at random
         sums = np.concatenate(([0.0], np.cumsum(word_logits()[tokens])))
         means = (sums[ends] - sums[begin]) / width[span_doc]
         top = np.maximum.reduceat(means, at)
@@ -157,7 +169,8 @@ def fit(texts: list[str], labels: list[int], rate: float) -> Model:
                 weights += np.bincount(tokens[base[inside] + k], (p / width)[inside], len(lists))
         learn(adam, weights, (pull + other).sum())
 
-    z = (vectors @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
+    z = np.zeros(BUCKETS, np.float32)
+    z[used] = vectors @ (soft[:, 1] - soft[:, 0])
     model = Model(z, float(bias[1] - bias[0]), 1.0, 0.0)
     logits = word_logits()
     tops = np.array([model.top(logits[tokens[s:s + k]]) for s, k in zip(starts, sizes)])
