@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROWS, LONGEST = 3000, 20_000
+ROWS, LONGEST = 2000, 20_000
 BUCKETS, DIM, WINDOW = 1 << 18, 8, 4
 GRAMS = (3, 4, 5, 6)
 SUPPORT, SHRINK, DECAY, START = 3, 10, 1e-5, 4.0
@@ -96,77 +97,75 @@ def fit(texts: list[str], labels: list[int], rate: float) -> Model:
     if not len(y) or y.min() == y.max():
         p = min(max(rate, 1e-9), 1 - 1e-9)
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, float(np.log(p / (1 - p))))
-    docs = [_words(t.lower()) for t in texts]
-    vocab = {w: i for i, w in enumerate(dict.fromkeys(w for d in docs for w in d))}
-    lists = [grams(w) for w in vocab] or [[0]]
-    per = np.array([len(g) for g in lists])
-    flat, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), per)
-    sizes = np.array([len(d) for d in docs])
-    tokens = np.array([vocab[w] for d in docs for w in d], np.int64)
+    vocab: dict[str, int] = {}
+    placed = [np.fromiter((vocab.setdefault(w, len(vocab)) for w in _words(t.lower())), np.int32) for t in texts]
+    some = np.flatnonzero([len(d) for d in placed])  # texts without words teach nothing
+    y, sizes, tokens = y[some], np.array([len(placed[i]) for i in some]), np.concatenate([placed[i] for i in some])
+    del placed
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    per, packed = np.zeros(len(vocab), np.int32), array("i")
+    for i, w in enumerate(vocab):
+        got = grams(w)
+        per[i] = len(got)
+        packed.extend(got)
+    flat, owner = np.array(packed, np.int32), np.repeat(np.arange(len(vocab), dtype=np.int32), per)
+    del packed
     balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
 
-    random = np.random.default_rng(7)
-    vectors = random.normal(0, 0.01, (BUCKETS, DIM))
-    soft = random.normal(0, 0.1, (DIM, 2))
-    soft[0] = -START, START
-    bias = np.zeros(2)
     # Where training starts: an n-gram's log odds of label 1, drawn to 0 where few texts have it.
-    grams_of = np.split(flat, np.cumsum(per)[:-1])
+    grams_of = np.concatenate(([0], np.cumsum(per)))
     with_it, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for d, label in enumerate(y):
-        if sizes[d]:
-            own = np.unique(np.concatenate([grams_of[w] for w in np.unique(tokens[starts[d]:starts[d] + sizes[d]])]))
-            with_it[own] += 1
-            toxic[own] += label
+    for start, size, label in zip(starts, sizes, y):
+        own = np.unique(np.concatenate([flat[grams_of[w]:grams_of[w + 1]] for w in np.unique(tokens[start:start + size])]))
+        with_it[own] += 1
+        toxic[own] += label
     p = y.mean()
     odds = np.log((toxic + SHRINK * p) / (with_it + SHRINK) / p) - np.log(
         (with_it - toxic + SHRINK * (1 - p)) / (with_it + SHRINK) / (1 - p))
     # those of few texts would only be learnt by heart; their vectors stay out of it
-    keep = np.flatnonzero(with_it[flat] >= SUPPORT)
+    keep = with_it[flat] >= SUPPORT
     flat, owner = flat[keep], owner[keep]
     used, flat = np.unique(flat, return_inverse=True)
-    vectors = vectors[used]
+    random = np.random.default_rng(7)
+    vectors = random.normal(0, 0.01, (len(used), DIM)).astype(np.float32)
     vectors[:, 0] += odds[used]
-    soft = random.normal(0, 0.1, (DIM, 2))
+    soft = random.normal(0, 0.1, (DIM, 2)).astype(np.float32)
     soft[0] = -START, START
     bias = np.zeros(2)
 
     def word_logits() -> np.ndarray:
-        return np.bincount(owner, (vectors @ (soft[:, 1] - soft[:, 0]))[flat], len(lists)) / per
+        return np.bincount(owner, (vectors @ (soft[:, 1] - soft[:, 0]))[flat], len(per)) / per
 
     def learn(adam: Adam, word_pull: np.ndarray, pull: float) -> None:
         """One step; ``word_pull``: the loss's derivative by each word's logit."""
-        share = np.bincount(flat, (word_pull / per)[owner], len(used))
+        share = np.bincount(flat, (word_pull / per)[owner], len(used)).astype(np.float32)
         up = share @ vectors
         adam.step(v=(vectors, np.outer(share, soft[:, 1] - soft[:, 0]) + DECAY * vectors),
                   u=(soft, np.stack([-up, up], axis=1) + 1e-4 * soft), b=(bias, np.array([-pull, pull])))
 
-    n = np.maximum(sizes, 1)
     adam = Adam(RATE)
-    width = np.minimum(n, WINDOW)
-    first = starts + np.zeros(len(docs), np.int64)
-    spans = [np.arange(max(1, s - WINDOW + 1)) + a for s, a in zip(sizes, starts)]
-    span_doc = np.repeat(np.arange(len(docs)), [len(s) for s in spans])
-    begin = np.concatenate(spans)
-    ends = np.minimum(begin + WINDOW, (starts + sizes)[span_doc])
-    at = np.concatenate(([0], np.cumsum([len(s) for s in spans])[:-1]))
-    for _ in range(STEPS):  # the highest window of each text, and one at random
-        sums = np.concatenate(([0.0], np.cumsum(word_logits()[tokens])))
-        means = (sums[ends] - sums[begin]) / width[span_doc]
-        top = np.maximum.reduceat(means, at)
-        hits = np.flatnonzero(means >= top[span_doc])
-        first[span_doc[hits[::-1]]] = begin[hits[::-1]]
-        z = top + bias[1] - bias[0]
-        pull = (1 / (1 + np.exp(-z)) - y) * balance
-        some = begin[at + (random.random(len(docs)) * np.diff(np.append(at, len(begin)))).astype(int)]
-        other = np.where(y > 0, 0.0, 1 / (1 + np.exp(-(sums[np.minimum(some + width, len(tokens))] - sums[some]) / width
-                                                     - bias[1] + bias[0]))) * balance
-        weights = np.zeros(len(lists))
+    doc_of = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
+    width = np.minimum(sizes, WINDOW)
+    last = (starts + sizes - width)[doc_of]  # where a text's last window begins
+    begin = np.arange(len(tokens), dtype=np.int32)
+    inside = begin <= last
+    ends = np.where(inside, begin + width[doc_of], begin)
+    for _ in range(STEPS):  # the highest window of each text, and one at random of label 0
+        logits = word_logits()
+        sums = np.concatenate(([0.0], np.cumsum(logits[tokens])))
+        means = np.where(inside, (sums[ends] - sums[:-1]) / width[doc_of], -np.inf)
+        top = np.maximum.reduceat(means, starts)
+        hits = np.flatnonzero(means >= top[doc_of])[::-1]
+        first = starts.copy()
+        first[doc_of[hits]] = hits
+        pull = (1 / (1 + np.exp(-(top + bias[1] - bias[0]))) - y) * balance
+        drawn = starts + (random.random(len(y)) * (sizes - width + 1)).astype(np.int64)
+        other = np.where(y > 0, 0.0, balance / (1 + np.exp(-means[drawn] - bias[1] + bias[0])))
+        weights = np.zeros(len(per))
         for k in range(WINDOW):
-            for base, p in ((first, pull), (some, other)):
-                inside = np.flatnonzero((k < width) & (sizes > k))
-                weights += np.bincount(tokens[base[inside] + k], (p / width)[inside], len(lists))
+            there = np.flatnonzero(k < width)
+            for base, force in ((first, pull), (drawn, other)):
+                weights += np.bincount(tokens[base[there] + k], (force / width)[there], len(per))
         learn(adam, weights, (pull + other).sum())
 
     z = np.zeros(BUCKETS, np.float32)
