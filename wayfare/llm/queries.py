@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, toxicity
+from . import bpe, pii, toxicity, warc
 from .common import table
 from .decontaminate import contaminated
 from .exact_dedup import exact_groups
+from .html_text import main_text
 from .minhash import near_duplicates
+from .quality import quality
 from .url_filter import judge_urls
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -21,6 +23,14 @@ URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
 TOXIC_AT = 0.3
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of a contaminated document and an item that it contains."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -43,6 +53,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the archives, then reads every record back."""
+    return warc.read(warc.write(table(spark, sf_dir, "pages"))).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def tokens(docs: DataFrame) -> DataFrame:
     """Digests of the ids of each text and of the bytes they decode to."""
     done = bpe.decode(bpe.encode(docs.select("doc_id", "text")).select("doc_id", "ids"))
@@ -55,6 +71,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -75,6 +98,15 @@ SELECT page_id, parts.host, parts.path, rule, coalesce(rverdict, 'allow') AS ver
 FROM parts LEFT JOIN (SELECT * FROM fits WHERE k = 1) f ON parts.host = f.host AND parts.path = f.path
 """
 
+OP7_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM g
+"""
+
 OP10_SQL = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
@@ -83,9 +115,9 @@ FROM (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontamination, op4_url_filter, op5_minhash, op6_toxicity, op8_bpe,
-                                   op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality, op2_html_text, op3_decontamination, op4_url_filter, op5_minhash, op6_toxicity,
+                                   op7_warc, op8_bpe, op9_pii, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op4_url_filter": OP4_SQL, "op7_warc": OP7_SQL, "op10_exact_dedup": OP10_SQL}

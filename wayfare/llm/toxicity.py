@@ -42,10 +42,10 @@ _words = re.compile(r"[^\W\d_]+").findall
 
 
 def grams(word: str) -> list[int]:
-    """Buckets of a word's n-grams, and of the word."""
-    data = f"<{word}>"
+    """Buckets of a word's n-grams (of UTF-8 bytes), and of the word."""
+    data = b"<%b>" % word.encode()
     parts = [data[i:i + n] for n in GRAMS for i in range(len(data) - n + 1)]
-    return [zlib.crc32(p.encode()) & (BUCKETS - 1) for p in (data, *parts)]
+    return [h & (BUCKETS - 1) for h in map(zlib.crc32, (data, *parts))]
 
 
 @dataclass
@@ -68,12 +68,13 @@ class Model:
 
 class WordLogits(dict):
     def __init__(self, weight: np.ndarray):
-        self.weight = weight
+        self.weight = weight.tolist()
 
     def __missing__(self, word: str) -> float:
         if len(self) > 300_000:
             self.clear()
-        z = float(self.weight[grams(word)].mean())
+        buckets = grams(word)
+        z = sum(map(self.weight.__getitem__, buckets)) / len(buckets)
         if len(word) <= 64:
             self[word] = z
         return z
