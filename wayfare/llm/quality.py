@@ -16,10 +16,12 @@ rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import groupby, islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +33,18 @@ BUCKETS = 1 << 14
 PRIOR_WEIGHT = 20.0       # of the heuristics' prior, as a share of the documents
 GOOD, BAD, NONE = 1, 0, 2
 NAMES = ("symbols", "top_word", "capitals", "sentences", "bars", "repeats", "length", "word_length")
-_marks, _stops, _capitals, _letters = (re.compile(p) for p in (r"[^\w\s.,;:'\"()?-]", r"[.!?]", r"[A-ZÀ-ÖØ-Þ]", r"[^\W\d_]"))
+MARKS = b"!#$%&*+/<=>@[\\]^`{|}~"  # fixed value: ASCII marks that prose has few of
 
 
 def measures(text: str) -> tuple[list[str], list[float]]:
     """Words, and what the heuristics look at (in the order of NAMES)."""
-    words = text.split()
-    n, chars = max(1, len(words)), max(1, len(text))
+    words, raw = text.split(), text.encode()
+    n = max(1, len(words))
     counts = Counter(words)
-    return words, [len(_marks.findall(text)) / chars, max(counts.values(), default=0) / n,
-                   len(_capitals.findall(text)) / max(1, len(_letters.findall(text))), n / max(1, len(_stops.findall(text))),
-                   counts["|"] / n, sum(a == b for a, b in zip(words, words[1:])) / n, len(words), len(text) / n]
+    stops = text.count(".") + text.count("!") + text.count("?")
+    return words, [(len(raw) - len(raw.translate(None, MARKS))) / max(1, len(raw)), max(counts.values(), default=0) / n,
+                   sum(map(str.isupper, words)) / n, n / max(1, stops), counts["|"] / n,
+                   sum(map(eq, words, islice(words, 1, None))) / n, len(words), len(text) / n]
 
 
 def votes(m: list[float]) -> list[int]:
@@ -51,7 +54,7 @@ def votes(m: list[float]) -> list[int]:
     def low(x: float, good: float, bad: float) -> int:
         return GOOD if x <= good else BAD if x >= bad else NONE
 
-    return [low(m[0], 0.005, 0.03), low(m[1], 0.12, 0.25) if long else NONE, low(m[2], 0.12, 0.4),
+    return [low(m[0], 0.005, 0.03), low(m[1], 0.12, 0.25) if long else NONE, low(m[2], 0.15, 0.4),
             NONE if not long else BAD if m[3] > 120 or m[3] < 1.5 else GOOD if m[3] <= 40 else NONE,
             low(m[4], 0.0, 0.1), low(m[5], 0.03, 0.15), GOOD if long else BAD if m[6] < 3 else NONE,
             GOOD if 3 <= m[7] <= 12 else BAD if m[7] < 2 or m[7] > 25 else NONE]
@@ -95,19 +98,23 @@ class WeakLabels:
 
 # --- the scorer ----------------------------------------------------------------
 
-_runs = re.compile(r"(a+|A+|9+|.)\1*")
-
-
+@lru_cache(1 << 16)
 def _bucket(*parts: object) -> int:
     return zlib.crc32(" ".join(map(str, parts)).encode()) & (BUCKETS - 1)
 
 
-def word_buckets(word: str) -> tuple[int, ...]:
+def shape(word: str) -> str:
+    """A for capitals, a for other letters, 9 for digits; runs are one."""
+    if word.isalpha():
+        return "a" if word.islower() else "A" if word.isupper() else "Aa" if word.istitle() else "aA"
+    kinds = ("9" if c.isdigit() else ("A" if c.isupper() else "a") if c.isalpha() else c for c in word)
+    return "".join(c for c, _ in groupby(kinds))
+
+
+def word_buckets(word: str) -> tuple[int, int, int]:
     """Hashed shape, length and last characters of a word."""
-    word = word[:200] if len(word) > 200 else word  # a shape, not the text
-    shape = "".join("9" if c.isdigit() else ("A" if c.isupper() else "a") if c.isalpha() else c for c in word)
-    return (_bucket("shape", _runs.sub(r"\1", re.sub(r"(.)\1+", r"\1", shape))), _bucket("size", min(len(word), 20)),
-            _bucket("end", word[-2:].lower()))
+    core = word.rstrip(".,")
+    return _bucket("shape", shape(core[:100]), word[len(core):][:2]), _bucket("size", min(len(word), 20)), _bucket("end", word[-2:])
 
 
 def text_buckets(m: list[float]) -> list[int]:
