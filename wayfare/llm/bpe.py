@@ -27,11 +27,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import slices, small_batches
+
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-PIECES = 300_000     # pieces remembered by a worker
-PAIRS = 1_000_000    # pairs of tokens
+PIECES = 150_000     # pieces remembered by a worker
+PAIRS = 300_000      # pairs of tokens
 LONG = 48            # longer pieces aren't remembered
-ROWS = 1000          # rows handed back at a time
 
 
 class Pieces(dict):
@@ -151,13 +152,10 @@ def _with_column(df: DataFrame, name: str, kind: T.DataType, source: str, make:
     at = df.columns.index(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, len(whole), ROWS):
-                batch = whole.slice(start, ROWS)
-                yield pa.RecordBatch.from_arrays([*batch.columns, make(batch.column(at))],
-                                                 names=[*batch.schema.names, name])
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, make(batch.column(at))], names=[*batch.schema.names, name])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, kind)]))
+    return small_batches(df).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, kind)]))
 
 
 def _shared(df: DataFrame, path: str):

@@ -6,6 +6,9 @@ clash with them; operators select the columns they need before adding any.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,22 @@ def stage(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in small parts, so that few rows are Python objects at once."""
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.slice(start, rows)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; whole texts then go to Python 500 rows at a time, which bounds
+    the memory of both sides. A session's own setting is left alone."""
+    key, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if df.sparkSession.conf.get(key) == default:
+        df.sparkSession.conf.set(key, "500")
+    return df
+
+
 # --- blocked Bloom filters ---------------------------------------------------
 # A key belongs to one block and sets two of its bits. A filter is a table of
 # (_w_block, _w_bits): at most ``max_bits / 8`` bytes whatever the input, so it

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, small_batches
+
 SEED, THRESHOLD, BLOCK = 5, 0.5, 2_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _table = bytes(ord(chr(b).lower()) if 65 <= b <= 90 else 32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
@@ -156,14 +158,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                  item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD,
                  block: int = BLOCK) -> DataFrame:
     """A row for each document and item with coverage of ``threshold`` or more."""
-    texts = docs.select(F.col(id_col).cast("bigint").alias("_w_id"), F.col(text_col).alias("_w_text"))
+    texts = small_batches(docs).select(F.col(id_col).cast("bigint").alias("_w_id"), F.col(text_col).alias("_w_text"))
     out = None
     for rows in _blocks(benchmark, item_col, item_text, block):
         shared = docs.sparkSession.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             bench = _per_worker(shared)
-            for batch in batches:
+            for batch in slices(batches):
                 found = []
                 for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     for item, n, tiles in bench.covered(text):
@@ -189,10 +191,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             bench = _per_worker(shared)
-            for batch in batches:
+            for batch in slices(batches):
                 keep = [all(n < threshold * len(bench.items[item]) for item, n, _ in bench.covered(text))
                         for text in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = small_batches(docs).mapInArrow(run, docs.schema)
     return docs

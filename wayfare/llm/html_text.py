@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, small_batches
+
 # Fixed values of HTML: elements by how they are parsed and laid out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span "
@@ -291,16 +293,14 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     model = model or train()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, len(whole), 500):
-                batch = whole.slice(start, 500)
-                out = []
-                for html in batch.column(2).to_pylist():
-                    page = Page(html) if html else None
-                    out.append(page.text(model.marginals(page)) if page else "")
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())],
-                    names=["page_id", "url", "text", "n_chars"])
-
-    rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+        for batch in slices(batches):
+            out = []
+            for html in batch.column(2).to_pylist():
+                page = Page(html) if html else None
+                out.append(page.text(model.marginals(page)) if page else "")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())],
+                names=["page_id", "url", "text", "n_chars"])
+
+    rows = small_batches(pages).select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     return rows.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, small_batches
+
 # The base formats' kinds in the order in which they are listed, then the others.
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "id", "account")
@@ -287,13 +289,13 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees, least = model.value
         named = lambda found: [dict(zip(("kind", "start", "end", "score"), s)) for s in found]
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([named((*s, 1.0) for s in base_spans(t)) for t in texts], pa.list_(span)),
                  pa.array([named(find(t, trees, least)) for t in texts], pa.list_(span))], names=["id", "base", "spans"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id bigint, base {SPANS}, spans {SPANS}").withColumnRenamed("id", id_col)
 
 

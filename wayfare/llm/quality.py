@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, small_batches
+
 ROWS, LONGEST = 4000, 20_000
 BUCKETS = 1 << 14
 PRIOR_WEIGHT = 20.0       # of the heuristics' prior, as a share of the documents
@@ -162,7 +164,7 @@ class WordWeights(dict):
         self.weight = weight.tolist()
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         x = sum(map(self.weight.__getitem__, word_buckets(word)))
         if len(word) <= 64:
@@ -174,10 +176,10 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
             keep_at: float = 0.5) -> DataFrame:
     """Per document: id, ``posterior`` of the votes, ``score`` (0 to 1) and
     whether it is ``kept``."""
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    texts = small_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             codes = Counter(_code(votes(measures(t or "")[1])) for t in batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(codes.keys(), pa.int32()), pa.array(codes.values(), pa.int64())],
                                              names=["code", "n"])
@@ -196,7 +198,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weak, weight, bias = shared.value
         known = WordWeights(weight)
-        for batch in batches:
+        for batch in slices(batches):
             codes, z = [], []
             for text in batch.column(1).to_pylist():
                 words, m = measures(text or "")

@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices, small_batches
+
 ROWS, LONGEST = 2000, 20_000
 BUCKETS, DIM, WINDOW = 1 << 18, 8, 4
 GRAMS = (3, 4, 5, 6)
@@ -71,7 +73,7 @@ class WordLogits(dict):
         self.weight = weight.tolist()
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         buckets = grams(word)
         z = sum(map(self.weight.__getitem__, buckets)) / len(buckets)
@@ -212,7 +214,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         logits = WordLogits(m.weight)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column(at).to_pylist():
                 words = _words((text or "").lower())
@@ -220,4 +222,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())],
                                              names=[*batch.schema.names, score_col])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return small_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))

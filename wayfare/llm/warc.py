@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_filter, filter_blocks, probe, stage
+from .common import bloom_filter, filter_blocks, probe, slices, small_batches, stage
 
 LEAST = 1000
 SIZE = 8 << 20            # payload bytes of an archive, but for its last record
@@ -133,7 +133,7 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(
             [pa.array([hashlib.sha1(content).hexdigest()]), pa.array([content], pa.binary())], names=["archive", "content"])
 
-    for batch in batches:
+    for batch in slices(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             held.append(record(*row))
             size += len(held[-1])
@@ -175,7 +175,7 @@ def decided(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
 
 def write(pages: DataFrame, **names) -> DataFrame:
     """The archives of the pages: a table in the shared folder."""
-    return stage(decided(pages, **names).mapInArrow(_write, ARCHIVES))
+    return stage(decided(small_batches(pages), **names).mapInArrow(_write, ARCHIVES))
 
 
 def read(archives: DataFrame) -> DataFrame:
