@@ -240,11 +240,30 @@ SKELETONS = (
     '<body><div class="body-text" data-y="1"><p>L</p><div class="menu" data-y="0"><p>L</p></div><p>L</p><div class="login-form" data-y="0"><p>L</p></div>'
     '<div class="header" data-y="0"><p>L</p></div><div class="footer" data-y="0"><p>L</p></div><div class="popup" data-y="0"><p>L</p></div>'
     '<div class="sidebar" data-y="0"><p>L</p></div><p hidden data-y="0">L</p><p>W</p></div></body>',
+    '<body><div class="header">W</div><div id="content" data-y="1"><p>S</p><div class="ad" data-y="0">W</div><p>W</p></div><div class="cookie-banner">S</div></body>',
+    '<body><div class="article-body" data-y="1"><p>S</p><form data-y="0"><p>S</p></form><p>L</p><form data-y="0">S</form></div><form><p>L</p></form></body>',
+    '<body><article data-y="1"><h1>W</h1><p>S</p><form data-y="0"><p>W</p></form><nav data-y="0"><p>S</p></nav><aside data-y="0"><p>S</p><p>L</p></aside>'
+    '<footer data-y="0"><p>S</p></footer></article><div id="cookies"><p>S</p></div></body>',
+    '<body><div id="page"><div id="entry" data-y="1"><h1>W</h1><p>W</p></div><div id="search"><form><p>S</p></form></div></div></body>',
+    '<body><section class="main-text" data-y="1"><p>L</p><section class="reviews" data-y="0"><p>L</p></section><aside data-y="0">S</aside></section></body>',
     '<body><div><div><a>W</a><a>W</a><a>W</a></div></div><div><div data-y="1"><h1>W</h1><p>L</p><p>L</p><p>L</p><p>S</p></div></div><div>W</div></body>',
 )
 
-
-def labelled_pages(copies: int = 6) -> list[Page]:
+# Each kind of boilerplate around the main content and inside it, with long texts of its own, too.
+NAMED = ("ad", "menu", "header", "footer", "sidebar", "comments", "cookie-notice", "login-form", "share", "promo", "banner", "related",
+         "newsletter", "breadcrumb", "copyright")
+SKELETONS += tuple(
+    f'<body><div class="{n}">L</div><{main} data-y="1"><h1>W</h1><p>L</p><div class="{n}" data-y="0">L<p>S</p></div><p>S</p></{main[:7]}>'
+    f'<div id="{n}"><p>L</p>S</div></body>' for n in NAMED for main in ("article", "main")) + tuple(
+    f'<body><{t}>L</{t}><article data-y="1"><p>L</p><{t} data-y="0"><p>L</p></{t}><p>W</p></article><{t}><p>S</p>L</{t}></body>'
+    for t in ("nav", "header", "footer", "aside", "form", "button"))
+LISTS = tuple("<ul>" + f"<li><a>{w}</a></li>" * n + "</ul>" for n in (3, 6, 9) for w in ("W", "S"))
+SKELETONS += tuple(
+    f'<body><{t}>{links}</{t}><div class="ad">S</div><article data-y="1"><h1>W</h1><p><b>S<br></b></p><p>W</p><p>L</p></article><{t}>{links}</{t}>'
+    f'<footer>W S</footer></body>' for links in LISTS for t in ("nav", "header", "footer", 'div class="menu"', "div"))
+
+
+def labelled_pages(copies: int = 3) -> list[Page]:
     r = random.Random(11)
 
     def words(least: int, most: int) -> str:
@@ -260,7 +279,7 @@ def labelled_pages(copies: int = 6) -> list[Page]:
 
 
 @lru_cache(1)
-def train(steps: int = 80) -> Model:
+def train(steps: int = 150) -> Model:
     """Maximum likelihood on the labelled pages, with a little weight decay."""
     pages = labelled_pages()
     rows, seen, pairs_seen = [], np.zeros(len(FEATURES)), np.zeros((2, 2))
@@ -281,7 +300,7 @@ def train(steps: int = 80) -> Model:
         expected, pairs = np.zeros(len(FEATURES)), np.zeros((2, 2))
         for page, x in zip(pages, rows):
             expected += np.array(model.marginals(page, pairs)[1:]) @ x[1:]
-        g = np.concatenate((seen - expected, (pairs_seen - pairs).ravel())) / nodes - 3e-4 * theta
+        g = np.concatenate((seen - expected, (pairs_seen - pairs).ravel())) / nodes - 1e-4 * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta += 0.15 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-8)
     return Model(theta[:-4].tolist(), theta[-4:].reshape(2, 2).tolist())

@@ -14,7 +14,7 @@ logit; executors get these numbers only (1 MiB, whatever the input).
 The model is fitted on at most ``rows`` labelled texts of each class, those
 with the least hash of their id, and of at most ``longest`` characters; all
 texts are scored whole. Defined results: null and empty texts have no words
-and get the bias alone; without labels of both classes the score is the rate
+and get the rate of label 1; without labels of both classes the score is the rate
 of label 1 (0 without any); rows with null labels or ids don't train; repeated
 rows are scored each; input columns pass through.
 """
@@ -56,6 +56,7 @@ class Model:
     bias: float
     slope: float        # of the calibration
     shift: float
+    rate: float         # share of label 1, the score of a text without words
 
     def top(self, scores: np.ndarray) -> float:
         """Highest mean over a window of word logits."""
@@ -99,7 +100,7 @@ def fit(texts: list[str], labels: list[int], rate: float) -> Model:
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         p = min(max(rate, 1e-9), 1 - 1e-9)
-        return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, float(np.log(p / (1 - p))))
+        return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, float(np.log(p / (1 - p))), p)
     vocab: dict[str, int] = {}
     placed = [np.fromiter((vocab.setdefault(w, len(vocab)) for w in _words(t.lower())), np.int32) for t in texts]
     some = np.flatnonzero([len(d) for d in placed])  # texts without words teach nothing
@@ -173,7 +174,7 @@ def fit(texts: list[str], labels: list[int], rate: float) -> Model:
 
     z = np.zeros(BUCKETS, np.float32)
     z[used] = vectors @ (soft[:, 1] - soft[:, 0])
-    model = Model(z, float(bias[1] - bias[0]), 1.0, 0.0)
+    model = Model(z, float(bias[1] - bias[0]), 1.0, 0.0, rate)
     logits = word_logits()
     tops = np.array([model.top(logits[tokens[s:s + k]]) for s, k in zip(starts, sizes)])
     weight = np.where(y > 0, rate / y.mean(), (1 - rate) / (1 - y.mean()))
@@ -184,7 +185,7 @@ def fit(texts: list[str], labels: list[int], rate: float) -> Model:
         m = np.array([[(h * tops * tops).sum() + 1e-3, (h * tops).sum()], [(h * tops).sum(), h.sum() + 1e-3]])
         da, db = np.linalg.solve(m, [(g * tops).sum(), g.sum()])
         a, b = a - np.clip(da, -1, 1), b - np.clip(db, -1, 1)
-    return Model(z, model.bias, float(a), float(b))
+    return Model(z, model.bias, float(a), float(b), rate)
 
 
 def held_out(id_col: str):
@@ -218,7 +219,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
             out = []
             for text in batch.column(at).to_pylist():
                 words = _words((text or "").lower())
-                out.append(m.score(m.top(np.fromiter(map(logits.__getitem__, words), float, len(words)))))
+                found = np.fromiter(map(logits.__getitem__, words), float, len(words))
+                out.append(m.score(m.top(found)) if words else m.rate)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())],
                                              names=[*batch.schema.names, score_col])
 
