@@ -79,3 +79,13 @@ def test_publish_follows_manifest(spark):
     v2 = publish(spark, {"t": spark.range(5)}, root)
     assert latest_version(spark, root) == v2
     assert read_published(spark, root, "t").count() == 5
+
+
+def test_quoted_csv_cells(spark, tmp_path):
+    from wayfare.sources.files import read_contract
+    cells = ["departure_city", "arrival_city", "departure_time", "arrival_time", "train_number", "seat_type", "total_seats",
+             "remaining_seats", "price", "created_at"]
+    row = ['"A, ""x"""', '"B\nC"', "2026-06-20 09:21:00", "2026-06-20 11:00:00", '"K ""508"""', "s", "10", "5", "12.50", ""]
+    (tmp_path / "t.csv").write_text(",".join(cells) + "\n" + ",".join(row) + "\n", encoding="utf-8")
+    got = read_contract(spark, str(tmp_path / "t.csv"), "train_tickets").collect()
+    assert [(r.departure_city, r.arrival_city, r.train_number) for r in got] == [('A, "x"', "B\nC", 'K "508"')]

@@ -54,3 +54,12 @@ def test_collated_canonical_keys(spark):
     joined = X.canonicalize(left, "city", mapping, "k").join(
         X.canonicalize(right, "city", mapping, "k").select("k", "w"), "k")
     assert sorted((r.v, r.w) for r in joined.collect()) == [(1, "x"), (2, "x"), (3, "y")]
+
+
+def test_placeholders_inside_values_stay(spark):
+    from pyspark.sql import functions as F
+    from wayfare.functions import text as X
+    row = spark.range(1).select(
+        X.render("{original}|{reply}{other}", original=F.lit("我问{reply}"), reply=F.lit("R")).alias("a"),
+        X.render_template_col(F.lit("{city} {date}{dep}{x}"), F.lit("{date}"), F.lit("d"), F.lit(None).cast("string"), F.lit("z")).alias("b")).first()
+    assert (row.a, row.b) == ("我问{reply}|R{other}", "{date} d{x}")

@@ -6,6 +6,8 @@ codegen; nothing is evaluated in Python.
 
 from __future__ import annotations
 
+import re
+
 from functools import reduce
 
 from pyspark.sql import Column
@@ -70,19 +72,26 @@ def first_present(values) -> Column:
 
 
 def render(template: str, **values) -> Column:
-    """Fill ``{name}`` placeholders with columns (XPR-3 / summaries)."""
-    out = F.lit(template)
-    for name, value in values.items():
-        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(col_of(value).cast("string"), F.lit("")))
-    return out
+    """Fill ``{name}`` placeholders with columns (XPR-3 / summaries), all at
+    once: a placeholder inside a value stays as it is."""
+    parts = re.split(r"(\{\w+\})", template)
+    filled = [F.coalesce(col_of(values[p[1:-1]]).cast("string"), F.lit("")) if p[:1] == "{" and p[1:-1] in values
+              else F.lit(p) for p in parts if p]
+    return F.concat(*filled) if filled else F.lit("")
 
 
 def render_template_col(template_col, city, date, dep, arr) -> Column:
     """XPR-3: fill a template held in a column; missing values print as ''."""
-    out = col_of(template_col)
-    for name, value in (("city", city), ("date", date), ("dep", dep), ("arr", arr)):
-        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(col_of(value), F.lit("")))
-    return out
+    marks = r"\{(?:city|date|dep|arr)\}"
+    pieces = F.split(col_of(template_col), rf"(?={marks})|(?<={marks})")
+
+    def fill(piece: Column) -> Column:
+        out = piece
+        for name, value in (("city", city), ("date", date), ("dep", dep), ("arr", arr)):
+            out = F.when(piece == "{" + name + "}", F.coalesce(col_of(value), F.lit(""))).otherwise(out)
+        return out
+
+    return F.array_join(F.transform(pieces, fill), "")
 
 
 def pick_cyclic(items: list[str], one_based_index) -> Column:

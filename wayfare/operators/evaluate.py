@@ -101,7 +101,7 @@ def score(pred: DataFrame) -> DataFrame:
 
 def _rates(prefix: str = "") -> list[Column]:
     n = F.count(F.lit(1))
-    return [(F.count_if(F.col(f"{k}_ok")) / n).alias(f"{prefix}{name}") for k, name in
+    return [F.coalesce(F.try_divide(F.count_if(F.col(f"{k}_ok")), n), F.lit(0.0)).alias(f"{prefix}{name}") for k, name in
             [("intent", "intent_accuracy"), ("agent_routing", "agent_routing_accuracy"),
              ("slot_exact", "slot_exact_match"), ("missing_slots", "missing_slot_accuracy"),
              ("need_clarification", "need_clarification_accuracy")]]

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,8 +82,10 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> str
 def _manifests(spark: SparkSession, root: str) -> DataFrame | None:
     try:
         return spark.read.schema("version string, seq long, manifest string").json(f"{root}/_manifests")
-    except Exception:  # no manifest folder yet
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":  # no manifest folder yet
+            return None
+        raise
 
 
 def latest_version(spark: SparkSession, root: str) -> str | None:
