@@ -43,8 +43,9 @@ def ticket_artifacts(tasks: DataFrame, tickets: DataFrame, created_at: str,
     s = task_slots(F.col("slots"), F.col("metadata"), C.TICKET_ALIASES)
     t = tasks.select("*", *[v.alias("t_" + k) for k, v in s.items()])
     t = t.withColumn("missing", _missing({k: F.col("t_" + k) for k in C.TICKET_ALIASES}))
-    looked = L.first_departures(t, tickets, dep="t_departure_city", arr="t_arrival_city", date="t_travel_date")
     has_missing = F.size("missing") > 0
+    looked = L.first_departures(t.where(~has_missing), tickets, dep="t_departure_city", arr="t_arrival_city",
+                                date="t_travel_date").unionByName(t.where(has_missing), allowMissingColumns=True)
     status = (F.when(has_missing, F.lit("failed"))
               .when(F.col("ticket_count") == 0, F.lit("not_found")).otherwise(F.lit("success")))
     not_found = X.render(C.TICKET_NOT_FOUND_SUMMARY, departure_city=F.col("t_departure_city"),
@@ -64,8 +65,9 @@ def weather_artifacts(tasks: DataFrame, live: DataFrame, weather: DataFrame, as_
     s = task_slots(F.col("slots"), F.col("metadata"), C.WEATHER_ALIASES)
     t = tasks.select("*", *[v.alias("t_" + k) for k, v in s.items()])
     t = t.withColumn("missing", _missing({k: F.col("t_" + k) for k in C.WEATHER_ALIASES}))
-    looked = L.live_or_stored(t, live, weather, as_of, city="t_city", date="t_fx_date", live_enabled=live_enabled)
     has_missing = F.size("missing") > 0
+    looked = L.live_or_stored(t.where(~has_missing), live, weather, as_of, city="t_city", date="t_fx_date",
+                              live_enabled=live_enabled).unionByName(t.where(has_missing), allowMissingColumns=True)
     found = F.col("source").isNotNull()
     status = (F.when(has_missing, F.lit("failed")).when(~found, F.lit("not_found")).otherwise(F.lit("success")))
     not_found = X.render(C.WEATHER_NOT_FOUND_SUMMARY, city=F.col("t_city"), fx_date=F.col("t_fx_date"))

@@ -1,7 +1,8 @@
 """Score predicted analyses against labelled cases (EVL-*, AGG-3..8, AGG-12, JON-8, SET-2).
 
-Every metric is emitted with its hits and total; ratios stay unrounded
-(rounding is a report-edge concern, see XPR-17).
+Cases and predictions are two tables that meet on the case id. Every metric
+is emitted with its hits and total; ratios stay unrounded (rounding is a
+report-edge concern, see XPR-17).
 """
 
 from __future__ import annotations
@@ -12,55 +13,38 @@ from pyspark.sql import functions as F
 from wayfare import contracts as C
 from wayfare.functions import text as X
 from wayfare.operators import routing as R
+from wayfare.operators.ordering import numbered
 
 CHECKS = ["intent", "agent_routing", "slot_exact", "missing_slots", "need_clarification"]
-NO_JSON_TEXT = "抱歉，我暂时无法给出结构化结果。"
+METRICS = dict(zip(CHECKS, ["intent_accuracy", "agent_routing_accuracy", "slot_exact_match",
+                            "missing_slot_accuracy", "need_clarification_accuracy"]))
+NO_PREDICTION = "no prediction"
+ANALYSIS = ["intent", "required_agents", *[f"slot_{n}" for n in C.SLOT_NAMES], "missing_slots", "need_clarification"]
 
 
-def simulated_model_output(cases: DataFrame) -> DataFrame:
-    """A stand-in for the model's raw answer per case, from its label.
+def predictions(answers: DataFrame) -> DataFrame:
+    """Rules run (thinking + rules): the analyzer over each model answer.
 
-    k = (case number + len(category)) % 6: 0 no JSON at all, 1 agents
-    swapped, 2 slots left out, 3 JSON inside a think block and a fence,
-    otherwise the label itself. The model also states missing slots and
-    need_clarification (the label's), as the prompt asks it to.
+    ``answers``: id, query, model_output, latency_ms; out: id, the analysis,
+    error and latency_ms.
     """
-    e = F.col("expected")
-    n = F.substring_index(F.col("id"), "_", -1).cast("int")
-    k = (n + F.length("category")) % 6
-    swapped = F.transform(e["required_agents"], lambda a: F.when(a == "weather_agent", F.lit("ticket_agent"))
-                          .otherwise(F.lit("weather_agent")))
-    agents = F.when(k == 1, swapped).otherwise(e["required_agents"])
-    slots = F.when(k == 2, F.create_map().cast("map<string,string>")).otherwise(e["slots"])
-    body = F.to_json(F.struct(e["intent"].alias("intent"), agents.alias("required_agents"), slots.alias("slots"),
-                              e["missing_slots"].alias("missing_slots"),
-                              e["need_clarification"].alias("need_clarification")))
-    raw = (F.when(k == 0, F.lit(NO_JSON_TEXT))
-           .when(k == 3, F.concat(F.lit("<think>按规则分析。</think>\n```json\n"), body, F.lit("\n```")))
-           .otherwise(body))
-    return cases.withColumn("model_output", raw).withColumn("damage", k)
-
-
-def predictions(cases: DataFrame) -> DataFrame:
-    """Rules run (thinking + rules): the analyzer over each case's model text."""
-    a = R.analyze(simulated_model_output(cases))
-    return a
-
-
-def model_only(cases: DataFrame) -> DataFrame:
+    return R.analyze(answers).select("id", *ANALYSIS, "error", "latency_ms")
+
+
+def model_only(answers: DataFrame) -> DataFrame:
     """Baseline run: the model's own fields, no rule layer."""
-    p = R.parse_model(simulated_model_output(cases))
+    p = R.parse_model(answers)
     top = F.from_json(F.col("model_json"), "map<string,string>")
     ok = F.col("model_error").isNull()
     return p.select(
-        "*",
+        "id",
         F.when(ok, F.try_element_at(top, F.lit("intent"))).alias("intent"),
         F.when(ok, F.coalesce(F.col("model_agents"), F.array().cast("array<string>"))).alias("required_agents"),
         *[F.when(ok, F.try_element_at(F.col("model_slots"), F.lit(s))).alias(f"slot_{s}") for s in C.SLOT_NAMES],
         F.when(ok, F.coalesce(F.from_json(F.try_element_at(top, F.lit("missing_slots")), "array<string>"),
                               F.array().cast("array<string>"))).alias("missing_slots"),
         F.when(ok, F.try_element_at(top, F.lit("need_clarification")) == F.lit("true")).alias("need_clarification"),
-        F.col("model_error").alias("error"))
+        F.col("model_error").alias("error"), "latency_ms")
 
 
 def _norm(c: Column) -> Column:
@@ -68,12 +52,26 @@ def _norm(c: Column) -> Column:
     return F.when(v != F.lit(""), v)
 
 
-def score(pred: DataFrame) -> DataFrame:
-    """EVL-1: five checks per case. A case whose analysis failed is scored
-    against an empty prediction and carries the error text."""
-    e = F.col("expected")
-    empty = F.array().cast("array<string>")
-    agents = F.coalesce(F.col("required_agents"), empty)
+def _slots(value) -> Column:
+    """The non-NULL slots as a map, in the fixed slot order."""
+    return F.map_filter(F.create_map(*[x for n in C.SLOT_NAMES for x in (F.lit(n), value(n))]),
+                        lambda k, v: v.isNotNull())
+
+
+def score(cases: DataFrame, pred: DataFrame) -> DataFrame:
+    """JON-8 / EVL-1: five checks per case against its prediction.
+
+    A case without a prediction, or whose analysis failed, is scored against
+    an empty prediction and carries the error text; its latency is the
+    prediction's, NULL without one. ``actual`` is the prediction in the shape
+    of ``expected``. Predictions of unknown cases are left out.
+    """
+    e, empty = F.col("expected"), F.array().cast("array<string>")
+    p = pred.select("id", *[F.col(c).alias("p_" + c) for c in ANALYSIS],
+                    F.coalesce("error", F.lit("")).alias("error"), "latency_ms")
+    both = cases.select("id", "category", "query", "expected").join(p, "id", "left")
+    agents = F.coalesce(F.col("p_required_agents"), empty)
+    missing = F.coalesce(F.col("p_missing_slots"), empty)
     exp_agents = F.coalesce(e["required_agents"], empty)
     w_rel = F.array_contains(exp_agents, "weather_agent")
     t_rel = F.array_contains(exp_agents, "ticket_agent")
@@ -81,52 +79,64 @@ def score(pred: DataFrame) -> DataFrame:
                 "travel_date": t_rel}
     slot_ok = F.lit(True)
     for s, rel in relevant.items():
-        slot_ok = slot_ok & (~rel | _norm(F.try_element_at(e["slots"], F.lit(s))).eqNullSafe(_norm(F.col(f"slot_{s}"))))
+        slot_ok = slot_ok & (~rel | _norm(F.try_element_at(e["slots"], F.lit(s))).eqNullSafe(_norm(F.col(f"p_slot_{s}"))))
+    need = F.coalesce(F.col("p_need_clarification"), F.lit(False))
     checks = {
-        "intent": F.coalesce(F.col("intent") == e["intent"], F.lit(False)),
+        "intent": F.coalesce(F.col("p_intent") == e["intent"], F.lit(False)),
         "agent_routing": X.same_multiset(agents, exp_agents),
         "slot_exact": slot_ok,
-        "missing_slots": X.same_multiset(F.col("missing_slots"), e["missing_slots"]),
-        "need_clarification": F.coalesce(F.col("need_clarification"), F.lit(False))
-        == F.coalesce(e["need_clarification"], F.lit(False)),
+        "missing_slots": X.same_multiset(missing, e["missing_slots"]),
+        "need_clarification": need == F.coalesce(e["need_clarification"], F.lit(False)),
     }
-    latency_ms = (F.length("query") * 37).cast("long")
-    out = pred.select("id", "category", "query", *[v.alias(k + "_ok") for k, v in checks.items()],
-                      F.coalesce(F.col("error"), F.lit("")).alias("error"), latency_ms.alias("latency_ms"))
+    actual = F.struct(F.col("p_intent").alias("intent"), agents.alias("required_agents"),
+                      _slots(lambda n: F.col(f"p_slot_{n}")).alias("slots"),
+                      missing.alias("missing_slots"), need.alias("need_clarification"))
+    out = both.select("id", "category", "query", "expected", actual.alias("actual"),
+                      *[v.alias(k + "_ok") for k, v in checks.items()],
+                      F.coalesce("error", F.lit(NO_PREDICTION)).alias("error"), "latency_ms")
     all_ok = F.lit(True)
     for k in CHECKS:
         all_ok = all_ok & F.col(k + "_ok")
     return out.withColumn("failed", ~all_ok | (F.col("error") != ""))
 
 
-def _rates(prefix: str = "") -> list[Column]:
+def _rates(checks: list[str]) -> list[Column]:
+    """Per check the hits and the ratio to all cases (zero of none)."""
     n = F.count(F.lit(1))
-    return [F.coalesce(F.try_divide(F.count_if(F.col(f"{k}_ok")), n), F.lit(0.0)).alias(f"{prefix}{name}") for k, name in
-            [("intent", "intent_accuracy"), ("agent_routing", "agent_routing_accuracy"),
-             ("slot_exact", "slot_exact_match"), ("missing_slots", "missing_slot_accuracy"),
-             ("need_clarification", "need_clarification_accuracy")]]
+    hits = {k: F.count_if(F.col(f"{k}_ok")) for k in checks}
+    return [*[h.alias(f"{k}_hits") for k, h in hits.items()],
+            *[F.coalesce(F.try_divide(h, n), F.lit(0.0)).alias(METRICS[k]) for k, h in hits.items()]]
 
 
 def summary(scored: DataFrame) -> DataFrame:
-    """EVL-2 / AGG-3 / AGG-7: one row; empty input gives zeros."""
+    """EVL-2 / AGG-3 / AGG-7: one row; empty input gives zeros. The count per
+    category is ``by_category``'s and the failed ids are ``failures``'s."""
     return scored.agg(
         F.count(F.lit(1)).alias("case_count"),
         F.count_if("failed").alias("failed_count"),
-        *_rates(),
+        *_rates(CHECKS),
         F.coalesce(F.avg("latency_ms") / 1000.0, F.lit(0.0)).alias("average_latency_seconds"))
 
 
 def by_category(scored: DataFrame) -> DataFrame:
-    """AGG-4: per category the count, four rates and mean latency."""
+    """AGG-4: per category the count, four checks and mean latency."""
     return scored.groupBy("category").agg(
-        F.count(F.lit(1)).alias("count"), *_rates()[:4],
-        (F.avg("latency_ms") / 1000.0).alias("average_latency_seconds"))
+        F.count(F.lit(1)).alias("count"), *_rates(CHECKS[:4]),
+        F.coalesce(F.avg("latency_ms") / 1000.0, F.lit(0.0)).alias("average_latency_seconds"))
 
 
 def failures(scored: DataFrame) -> DataFrame:
-    """AGG-6 / EVL-3: failed cases with the names of the checks they failed."""
+    """AGG-6 / EVL-3: the failed cases in case order (category order, then
+    id; ``position`` from 1), each with the checks it failed, its query, and
+    expected and actual analysis as JSON."""
     names = F.filter(F.array(*[F.when(~F.col(k + "_ok"), F.lit(k)) for k in CHECKS]), lambda x: x.isNotNull())
-    return scored.filter("failed").select("id", "category", F.array_join(names, ",").alias("failed_checks"), "error")
+    place = F.array_position(F.array(*[F.lit(c) for c in C.CASE_COUNTS]), F.col("category"))
+    e = F.col("expected")
+    expected = e.withField("slots", _slots(lambda n: F.try_element_at(e["slots"], F.lit(n))))
+    rows = scored.filter("failed").select(
+        place.alias("__place"), "id", "category", F.array_join(names, ",").alias("failed_checks"), "error", "query",
+        F.to_json(expected).alias("expected"), F.to_json("actual").alias("actual"), "latency_ms")
+    return numbered(rows, ["__place", "category", "id"], "position").drop("__place")
 
 
 def percentiles(scored: DataFrame, exact: bool = True) -> DataFrame:
@@ -144,8 +154,7 @@ def percentiles(scored: DataFrame, exact: bool = True) -> DataFrame:
 
 def compare_runs(runs: dict[str, DataFrame], baseline: str, final: str) -> DataFrame:
     """AGG-8: metrics x runs, plus final minus baseline."""
-    metric_cols = ["intent_accuracy", "agent_routing_accuracy", "slot_exact_match", "missing_slot_accuracy",
-                   "need_clarification_accuracy"]
+    metric_cols = list(METRICS.values())
     long = None
     for name, scored in runs.items():
         s = summary(scored).select(F.lit(name).alias("run"), F.stack(

@@ -288,7 +288,8 @@ def all_cases(spark, sf):
 
 def _scored(spark, sf):
     from wayfare.operators import evaluate as V
-    return V.score(V.predictions(K.all_cases(_samples(spark, sf))))
+    cases = K.all_cases(_samples(spark, sf))
+    return V.score(cases, V.predictions(B.model_answers(cases)))
 
 
 @register("case_checks")
@@ -330,7 +331,8 @@ def latency_percentiles(spark, sf):
 def run_comparison(spark, sf):
     from wayfare.operators import evaluate as V
     cases = K.all_cases(_samples(spark, sf))
-    runs = {"model_only": V.score(V.model_only(cases)), "rules": V.score(V.predictions(cases))}
+    answers = B.model_answers(cases)
+    runs = {"model_only": V.score(cases, V.model_only(answers)), "rules": V.score(cases, V.predictions(answers))}
     return V.compare_runs(runs, "model_only", "rules")
 
 

@@ -622,6 +622,15 @@ def _all_cases_ctes() -> list[str]:
 NO_JSON_ERROR = "no JSON object in model output"
 
 
+def shown(intent: str, agents: str, slot: str, missing: str, need: str) -> str:
+    """An analysis as compact JSON; a NULL intent and NULL slots are left out."""
+    strings = lambda c: f"""'[' || coalesce(array_to_string(list_transform({c}, lambda x: '"' || x || '"'), ','), '') || ']'"""
+    slots = ", ".join(f"""'"{n}":"' || {slot}{n} || '"'""" for n in C.SLOT_NAMES)
+    return (f"""'{{' || coalesce('"intent":"' || {intent} || '",', '') || '"required_agents":' || {strings(agents)}"""
+            f""" || ',"slots":{{' || concat_ws(',', {slots}) || '}},"missing_slots":' || {strings(missing)}"""
+            f""" || ',"need_clarification":' || CAST({need} AS VARCHAR) || '}}'""")
+
+
 def scored_ctes(run: str = "rules") -> list[str]:
     """Cases -> simulated model answer -> (rules | model_only) -> five checks."""
     ctes = _all_cases_ctes()
@@ -629,6 +638,7 @@ def scored_ctes(run: str = "rules") -> list[str]:
   SELECT id, category, query, intent AS e_intent, need_clarification AS e_need,
          """ + ", ".join(f"slot_{s} AS e_{s}" for s in C.SLOT_NAMES) + """,
          (CAST(split_part(id, '_', -1) AS INTEGER) + length(category)) % 6 AS k,
+         (CAST(split_part(id, '_', -1) AS INTEGER) + length(category)) % 11 = 0 AS unanswered,
          CASE WHEN required_agents = '' THEN []::VARCHAR[] ELSE string_split(required_agents, ',') END AS exp_agents,
          CASE WHEN missing_slots = '' THEN []::VARCHAR[] ELSE string_split(missing_slots, ',') END AS exp_missing
   FROM cases)""")
@@ -642,26 +652,24 @@ def scored_ctes(run: str = "rules") -> list[str]:
     if run == "rules":
         ctes.append(analysis_ctes("model", "an"))
         ctes.append(f"""pred AS (
-  SELECT id, category, query, e_intent, exp_agents, exp_missing, e_need,
-         """ + ", ".join(f"e_{s}" for s in C.SLOT_NAMES) + f""",
+  SELECT id,
          CASE WHEN k = 0 THEN NULL ELSE an.intent END AS a_intent,
          CASE WHEN k = 0 THEN []::VARCHAR[] ELSE required_agents END AS a_agents,
          CASE WHEN k = 0 THEN []::VARCHAR[] ELSE an.missing_slots END AS a_missing,
          CASE WHEN k = 0 THEN false ELSE an.need_clarification END AS a_need,
          """ + ", ".join(f"CASE WHEN k = 0 THEN NULL ELSE s_{s} END AS a_{s}" for s in C.SLOT_NAMES) + f""",
-         CASE WHEN k = 0 THEN {q(NO_JSON_ERROR)} ELSE '' END AS error
-  FROM an)""")
+         CASE WHEN k = 0 THEN {q(NO_JSON_ERROR)} ELSE '' END AS error, CAST(length(query) * 37 AS BIGINT) AS latency_ms
+  FROM an WHERE NOT unanswered)""")
     else:
         ctes.append(f"""pred AS (
-  SELECT id, category, query, e_intent, exp_agents, exp_missing, e_need,
-         """ + ", ".join(f"e_{s}" for s in C.SLOT_NAMES) + f""",
+  SELECT id,
          CASE WHEN k = 0 THEN NULL ELSE e_intent END AS a_intent,
          CASE WHEN k = 0 THEN []::VARCHAR[] ELSE model_agents END AS a_agents,
          CASE WHEN k = 0 THEN []::VARCHAR[] ELSE exp_missing END AS a_missing,
          CASE WHEN k = 0 THEN false ELSE e_need END AS a_need,
          """ + ", ".join(f"CASE WHEN k = 0 THEN NULL ELSE m_{s} END AS a_{s}" for s in C.SLOT_NAMES) + f""",
-         CASE WHEN k = 0 THEN {q(NO_JSON_ERROR)} ELSE '' END AS error
-  FROM model)""")
+         CASE WHEN k = 0 THEN {q(NO_JSON_ERROR)} ELSE '' END AS error, CAST(length(query) * 37 AS BIGINT) AS latency_ms
+  FROM model WHERE NOT unanswered)""")
     norm = lambda c: f"CASE WHEN trim({c}) <> '' THEN trim({c}) END"
     rel = {"city": "w", "fx_date": "w", "departure_city": "t", "arrival_city": "t", "travel_date": "t"}
     slot_ok = " AND ".join(
@@ -670,12 +678,14 @@ def scored_ctes(run: str = "rules") -> list[str]:
     ctes.append(f"""scored AS (
   SELECT id, category, query,
     coalesce(a_intent = e_intent, false) AS intent_ok,
-    list_sort(a_agents) = list_sort(exp_agents) AS agent_routing_ok,
+    list_sort(coalesce(a_agents, [])) = list_sort(exp_agents) AS agent_routing_ok,
     {slot_ok} AS slot_exact_ok,
-    list_sort(a_missing) = list_sort(exp_missing) AS missing_slots_ok,
+    list_sort(coalesce(a_missing, [])) = list_sort(exp_missing) AS missing_slots_ok,
     coalesce(a_need, false) = coalesce(e_need, false) AS need_clarification_ok,
-    error, CAST(length(query) * 37 AS BIGINT) AS latency_ms
-  FROM pred)""")
+    coalesce(error, 'no prediction') AS error, latency_ms,
+    {shown('e_intent', 'exp_agents', 'e_', 'exp_missing', 'e_need')} AS expected,
+    {shown('a_intent', 'coalesce(a_agents, [])', 'a_', 'coalesce(a_missing, [])', 'coalesce(a_need, false)')} AS actual
+  FROM dmg LEFT JOIN pred USING (id))""")
     ctes.append("""scored2 AS (
   SELECT *, NOT (intent_ok AND agent_routing_ok AND slot_exact_ok AND missing_slots_ok AND need_clarification_ok)
             OR error <> '' AS failed
@@ -683,10 +693,14 @@ def scored_ctes(run: str = "rules") -> list[str]:
     return ctes
 
 
-RATES = """count_if(intent_ok) / count(*) AS intent_accuracy,
-  count_if(agent_routing_ok) / count(*) AS agent_routing_accuracy,
-  count_if(slot_exact_ok) / count(*) AS slot_exact_match,
-  count_if(missing_slots_ok) / count(*) AS missing_slot_accuracy"""
+CHECK_METRICS = {"intent": "intent_accuracy", "agent_routing": "agent_routing_accuracy", "slot_exact": "slot_exact_match",
+                 "missing_slots": "missing_slot_accuracy", "need_clarification": "need_clarification_accuracy"}
+
+
+def rates(n: int) -> str:
+    """Hits and ratio of the first ``n`` checks."""
+    return ", ".join(f"count_if({k}_ok) AS {k}_hits, count_if({k}_ok) / count(*) AS {m}"
+                     for k, m in list(CHECK_METRICS.items())[:n])
 
 
 def eval_sql(s: dict[str, str]) -> None:
@@ -701,15 +715,15 @@ def eval_sql(s: dict[str, str]) -> None:
 SELECT id, category, intent_ok, agent_routing_ok, slot_exact_ok, missing_slots_ok, need_clarification_ok,
        error, failed, latency_ms FROM scored2""")
     s["eval_summary"] = with_ctes(*sc, body=f"""
-SELECT count(*) AS case_count, count_if(failed) AS failed_count, {RATES},
-  count_if(need_clarification_ok) / count(*) AS need_clarification_accuracy,
+SELECT count(*) AS case_count, count_if(failed) AS failed_count, {rates(5)},
   coalesce(avg(latency_ms) / 1000.0, 0.0) AS average_latency_seconds
 FROM scored2""")
     s["eval_by_category"] = with_ctes(*sc, body=f"""
-SELECT category, count(*) AS count, {RATES}, avg(latency_ms) / 1000.0 AS average_latency_seconds
+SELECT category, count(*) AS count, {rates(4)}, coalesce(avg(latency_ms) / 1000.0, 0.0) AS average_latency_seconds
 FROM scored2 GROUP BY category""")
-    s["eval_failures"] = with_ctes(*sc, body="""
-SELECT id, category,
+    s["eval_failures"] = with_ctes(*sc, body=f"""
+SELECT row_number() OVER (ORDER BY list_position({sql_list(list(C.CASE_COUNTS))}, category), category, id) AS position,
+  id, category, query, expected, actual, latency_ms,
   array_to_string(list_filter([CASE WHEN NOT intent_ok THEN 'intent' END,
     CASE WHEN NOT agent_routing_ok THEN 'agent_routing' END, CASE WHEN NOT slot_exact_ok THEN 'slot_exact' END,
     CASE WHEN NOT missing_slots_ok THEN 'missing_slots' END,
@@ -723,10 +737,8 @@ FROM scored2 GROUP BY category""")
 
     def metrics(run):
         return with_ctes(*scored_ctes(run), body=f"""
-SELECT count_if(failed) AS failed_count, {RATES},
-  count_if(need_clarification_ok) / count(*) AS need_clarification_accuracy FROM scored2""")
-    names = ["intent_accuracy", "agent_routing_accuracy", "slot_exact_match", "missing_slot_accuracy",
-             "need_clarification_accuracy"]
+SELECT count_if(failed) AS failed_count, {rates(5)} FROM scored2""")
+    names = list(CHECK_METRICS.values())
     unpivot = lambda alias: " UNION ALL ".join(
         [f"SELECT {q(m)} AS metric, CAST({m} AS DOUBLE) AS v FROM {alias}" for m in names]
         + [f"SELECT 'failed_count', CAST(failed_count AS DOUBLE) FROM {alias}"])

@@ -3,21 +3,28 @@ functions over the batch operators and as parameterized SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfare import contracts as C
+from wayfare.functions import text as X
 from wayfare.operators import lookup as L
 
 
 def query_train_tickets(spark: SparkSession, tickets: DataFrame, departure_city: str, arrival_city: str,
                         travel_date: str) -> DataFrame:
-    """UDF-2: tickets of one route and day, in departure order (JON-1 on a
-    one-row request table; the day predicate becomes a range on the scan)."""
-    req = spark.createDataFrame([(departure_city, arrival_city, travel_date)],
-                                "departure_city string, arrival_city string, travel_date string")
-    hits = L.search_tickets(req, tickets).filter(F.col("rank").isNotNull())
-    return hits.select("rank", *[c for c in C.TICKET_SEARCH_COLUMNS if c not in ("departure_city", "arrival_city")])
+    """UDF-2: tickets of one route and day, in departure order. The literals
+    filter the tickets on the scan (the day as a range of departure times)
+    before anything is ranked; a day that isn't ``yyyy-MM-dd`` has none."""
+    day = X.strict_date(F.lit(travel_date))
+    start = day.cast("timestamp_ntz")
+    asked = tickets.where((F.col("departure_city") == departure_city) & (F.col("arrival_city") == arrival_city)
+                          & (F.col("departure_time") >= start)
+                          & (F.col("departure_time") < F.date_add(day, 1).cast("timestamp_ntz")))
+    # one route's day is what the caller gets back: its window is the answer's size
+    ranked = asked.withColumn("rank", F.row_number().over(
+        Window.partitionBy("departure_city", "arrival_city").orderBy(*L.TICKET_ORDER)).cast("long"))
+    return ranked.select("rank", *[c for c in C.TICKET_SEARCH_COLUMNS if c not in ("departure_city", "arrival_city")])
 
 
 def query_train_tickets_sql(spark: SparkSession, view: str, departure_city: str, arrival_city: str,
