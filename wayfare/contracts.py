@@ -226,6 +226,34 @@ TICKET_DEFAULTS = {
     "departure_time": "未知出发时间", "arrival_time": "未知到达时间", "price": "未知价格",
     "remaining_seats": "未知",
 }
+# Messages of lookups without a row, and the final answer's prompt.
+TICKET_NO_ROWS = "No train tickets found for {departure_city} -> {arrival_city} on {travel_date}"
+WEATHER_NO_ROW = "No weather data found for city={city}, date={fx_date}"
+FINAL_PROMPT = """
+你是一个旅行/出行规划助手。
+
+请根据用户原始需求、RouterAgent 的意图识别结果，以及多个 Agent 返回的 artifacts，生成一段清晰、自然、实用的中文回答。
+
+用户原始需求：
+{query}
+
+RouterAgent 识别结果：
+{analysis}
+
+Agent artifacts：
+{artifacts}
+
+回答要求：
+1. 不要输出 JSON。
+2. 不要提到内部技术名，例如 A2A、MCP、artifact、RouterAgent。
+3. 直接面向用户回答。
+4. 如果有天气信息，要说明天气、温度、降水、出行建议。
+5. 如果有车票信息，要说明车次、出发时间、到达时间、价格、余票。
+6. 如果同时有天气和车票信息，要整合成一个完整建议。
+7. 语气自然，适合旅行助手。
+8. 不要编造 artifacts 里没有的数据。
+"""
+
 TICKET_NONE_SUMMARY = "没有查询到车票数据。"
 TICKET_MISSING_SUMMARY = "票务查询缺少必要参数。"
 TICKET_NOT_FOUND_SUMMARY = "没有查询到 {departure_city} 到 {arrival_city} 在 {travel_date} 的车票。"

@@ -80,6 +80,11 @@ def render(template: str, **values) -> Column:
     return F.concat(*filled) if filled else F.lit("")
 
 
+def json_text(pairs: dict) -> Column:
+    """One JSON object of the given columns; NULL prints as null."""
+    return F.to_json(F.struct(*[col_of(v).alias(k) for k, v in pairs.items()]), {"ignoreNullFields": "false"})
+
+
 def render_template_col(template_col, city, date, dep, arr) -> Column:
     """XPR-3: fill a template held in a column; missing values print as ''."""
     marks = r"\{(?:city|date|dep|arr)\}"

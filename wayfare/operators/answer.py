@@ -1,8 +1,10 @@
 """Artifacts, per-request status and the request batch (ART-*, RES-*, JON-9, AGG-9, SNK-6).
 
-A task's artifact is one row keyed by (request, agent); the ticket rows
-behind a ticket artifact stay in their own table (``search_tickets``), so an
-artifact never carries an unbounded list.
+A task's artifact is one row keyed by (request, agent) whose ``data`` is JSON
+text: the missing slots, the lookup's answer without rows, the weather row,
+or the route-day's tickets. The tickets are listed only where asked for
+(``with_data``); elsewhere the rows behind an artifact come from
+``search_tickets`` and ``data`` stays NULL.
 """
 
 from __future__ import annotations
@@ -30,33 +32,64 @@ def _missing(values: dict[str, Column]) -> Column:
                     lambda x: x.isNotNull())
 
 
-def artifact(artifact_type: str, agent: str, status: Column, summary: Column, created_at: Column) -> Column:
-    """ART-1: the artifact envelope (data travels in its own table)."""
+def artifact(artifact_type: str, agent: str, status: Column, data: Column, summary: Column,
+             created_at: Column) -> Column:
+    """ART-1: the artifact envelope; ``data`` is JSON text."""
     return F.struct(F.lit(artifact_type).alias("artifact_type"), F.lit(agent).alias("agent"),
-                    status.alias("status"), summary.alias("summary"),
+                    status.alias("status"), data.alias("data"), summary.alias("summary"),
                     F.struct(created_at.alias("created_at")).alias("metadata"))
 
 
+def _open(obj: Column) -> Column:
+    """A JSON object without its closing brace."""
+    return F.substr(obj, F.lit(1), F.length(obj) - 1)
+
+
+def artifact_json(a: Column) -> Column:
+    """An artifact as JSON, its data in place (null without)."""
+    head = X.json_text({k: a[k] for k in ("artifact_type", "agent", "status")})
+    tail = X.json_text({k: a[k] for k in ("summary", "metadata")})
+    return F.concat(_open(head), F.lit(',"data":'), F.coalesce(a["data"], F.lit("null")), F.lit(","),
+                    F.substr(tail, F.lit(2)))
+
+
+def _no_rows(template: str, data: Column, **values) -> Column:
+    head = X.json_text({"status": F.lit("not_found"), "message": X.render(template, **values)})
+    return F.concat(_open(head), F.lit(',"data":'), data, F.lit("}"))
+
+
+def _missing_data() -> Column:
+    return X.json_text({"missing_slots": F.col("missing")})
+
+
 def ticket_artifacts(tasks: DataFrame, tickets: DataFrame, created_at: str,
-                     currency: str = C.DEFAULT_CURRENCY) -> DataFrame:
+                     currency: str = C.DEFAULT_CURRENCY, with_data: bool = True) -> DataFrame:
     """ART-2: aliases -> missing (failed) -> search -> not_found / success."""
     s = task_slots(F.col("slots"), F.col("metadata"), C.TICKET_ALIASES)
     t = tasks.select("*", *[v.alias("t_" + k) for k, v in s.items()])
     t = t.withColumn("missing", _missing({k: F.col("t_" + k) for k in C.TICKET_ALIASES}))
     has_missing = F.size("missing") > 0
     looked = L.first_departures(t.where(~has_missing), tickets, dep="t_departure_city", arr="t_arrival_city",
-                                date="t_travel_date").unionByName(t.where(has_missing), allowMissingColumns=True)
+                                date="t_travel_date")
+    key = {"departure_city": F.col("t_departure_city"), "arrival_city": F.col("t_arrival_city"),
+           "travel_date": F.col("t_travel_date")}
+    data = F.lit(None).cast("string")
+    if with_data:
+        looked = L.with_tickets(looked, tickets, "t_departure_city", "t_arrival_city", "t_travel_date")
+        data = (F.when(has_missing, _missing_data())
+                .when(F.col("ticket_count") == 0, _no_rows(C.TICKET_NO_ROWS, F.lit("[]"), **key))
+                .otherwise(F.col("tickets")))
+    looked = looked.unionByName(t.where(has_missing), allowMissingColumns=True)
     status = (F.when(has_missing, F.lit("failed"))
               .when(F.col("ticket_count") == 0, F.lit("not_found")).otherwise(F.lit("success")))
-    not_found = X.render(C.TICKET_NOT_FOUND_SUMMARY, departure_city=F.col("t_departure_city"),
-                         arrival_city=F.col("t_arrival_city"), travel_date=F.col("t_travel_date"))
+    not_found = X.render(C.TICKET_NOT_FOUND_SUMMARY, **key)
     summary = (F.when(has_missing, F.lit(C.TICKET_MISSING_SUMMARY))
                .when(F.col("ticket_count") == 0, not_found)
                .otherwise(L.ticket_summary_text(F.col("first"), F.col("ticket_count"), currency)))
     return looked.select(
         *tasks.columns, "missing",
         F.when(has_missing, F.lit(0).cast("long")).otherwise(F.col("ticket_count")).alias("ticket_count"),
-        artifact("ticket_result", "ticket_agent", status, summary, F.lit(created_at)).alias("artifact"))
+        artifact("ticket_result", "ticket_agent", status, data, summary, F.lit(created_at)).alias("artifact"))
 
 
 def weather_artifacts(tasks: DataFrame, live: DataFrame, weather: DataFrame, as_of: str, created_at: str,
@@ -70,24 +103,29 @@ def weather_artifacts(tasks: DataFrame, live: DataFrame, weather: DataFrame, as_
                               live_enabled=live_enabled).unionByName(t.where(has_missing), allowMissingColumns=True)
     found = F.col("source").isNotNull()
     status = (F.when(has_missing, F.lit("failed")).when(~found, F.lit("not_found")).otherwise(F.lit("success")))
-    not_found = X.render(C.WEATHER_NOT_FOUND_SUMMARY, city=F.col("t_city"), fx_date=F.col("t_fx_date"))
+    key = {"city": F.col("t_city"), "fx_date": F.col("t_fx_date")}
+    not_found = X.render(C.WEATHER_NOT_FOUND_SUMMARY, **key)
+    data = (F.when(has_missing, _missing_data())
+            .when(~found, _no_rows(C.WEATHER_NO_ROW, F.lit("null"), **key)).otherwise(F.col("data")))
     ok = L.weather_summary_text(found, F.col("weather_city"), F.col("weather_date"), F.col("text_day"),
                                 F.col("temp_min_text"), F.col("temp_max_text"), F.col("humidity"),
                                 F.col("precip_text"))
     summary = (F.when(has_missing, F.lit(C.WEATHER_MISSING_SUMMARY)).when(~found, not_found).otherwise(ok))
     return looked.select(
         *tasks.columns, "missing", "source",
-        artifact("weather_result", "weather_agent", status, summary, F.lit(created_at)).alias("artifact"))
+        artifact("weather_result", "weather_agent", status, data, summary, F.lit(created_at)).alias("artifact"))
 
 
 def route_batch(requests: DataFrame, tickets: DataFrame, live: DataFrame, weather: DataFrame,
-                faults: DataFrame, as_of: str, created_at: str, live_enabled: bool = True) -> DataFrame:
-    """RES-2: requests -> analysis -> both lookups -> status, one lazy plan.
+                faults: DataFrame, as_of: str, created_at: str, live_enabled: bool = True,
+                with_data: bool = False) -> DataFrame:
+    """RES-2: requests -> analysis (written once) -> both lookups -> status.
 
     Requests that need clarification or name no agent stop before the
     lookups (filtered, like the reference's early return). Each called agent
     becomes a task row; a transport fault (``faults``: request_id, agent,
-    error) replaces that agent's artifact with an error (JON-9).
+    error) replaces that agent's artifact with an error (JON-9). Artifacts and
+    errors of a request are in agent order; ``with_data`` lists the tickets.
     """
     # The analysis feeds three branches (weather tasks, ticket tasks, the
     # final status); write it once to the shared checkpoint folder instead
@@ -104,7 +142,7 @@ def route_batch(requests: DataFrame, tickets: DataFrame, live: DataFrame, weathe
     t_tasks = base.filter(F.array_contains("required_agents", "ticket_agent")).drop("required_agents")
     w = weather_artifacts(w_tasks, live, weather, as_of, created_at, live_enabled).select(
         "request_id", F.lit("weather_agent").alias("agent"), F.lit(0).alias("agent_pos"), "artifact")
-    t = ticket_artifacts(t_tasks, tickets, created_at).select(
+    t = ticket_artifacts(t_tasks, tickets, created_at, with_data=with_data).select(
         "request_id", F.lit("ticket_agent").alias("agent"), F.lit(1).alias("agent_pos"), "artifact")
     calls = w.unionByName(t).join(faults, ["request_id", "agent"], "left")
     # AGG-9: per request, artifacts of the calls that returned, in agent order.
@@ -112,6 +150,8 @@ def route_batch(requests: DataFrame, tickets: DataFrame, live: DataFrame, weathe
         F.array_sort(F.collect_list(F.struct("agent_pos", "agent"))).alias("__called"),
         F.array_sort(F.collect_list(F.when(F.col("error").isNull(), F.struct("agent_pos", "artifact"))))
         .alias("__arts"),
+        F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("agent_pos", "agent", "error"))))
+        .alias("__errs"),
         F.count(F.col("error")).alias("error_count"))
     out = a.join(per_req, "request_id", "left")
     arts = F.transform("__arts", lambda x: x["artifact"])
@@ -137,17 +177,22 @@ def route_batch(requests: DataFrame, tickets: DataFrame, live: DataFrame, weathe
         art_of("weather_agent", "summary").alias("weather_summary"),
         art_of("ticket_agent", "status").alias("ticket_status"),
         art_of("ticket_agent", "summary").alias("ticket_summary"),
+        F.coalesce(F.transform("__errs", lambda x: F.struct(x["agent"], x["error"])),
+                   F.array().cast("array<struct<agent:string,error:string>>")).alias("agent_errors"),
+        "need_clarification", *[f"slot_{n}" for n in C.SLOT_NAMES],
         arts.alias("artifacts"))
 
 
 def prompt_rows(batch: DataFrame) -> DataFrame:
     """SNK-6: the final-answer prompt per request that got artifacts
-    (success or partial_success), for offline inference."""
-    lines = F.array_join(F.transform("artifacts", lambda x: F.concat_ws(
-        " | ", x["agent"], x["status"], x["summary"])), "\n")
-    prompt = F.concat(
-        F.lit("用户原始需求：\n"), F.col("query"),
-        F.lit("\n\n识别结果：\n"), F.concat_ws(" | ", F.col("intent"), X.list_text("required_agents")),
-        F.lit("\n\n查询结果：\n"), lines, F.lit("\n"))
+    (success or partial_success), for offline inference: query, analysis and
+    artifacts with their data, as compact JSON. Needs ``with_data``."""
+    slots = F.create_map(*[x for n in C.SLOT_NAMES for x in (F.lit(n), F.col(f"slot_{n}"))])
+    analysis = X.json_text({"intent": "intent", "required_agents": "required_agents",
+                            "slots": F.map_filter(slots, lambda k, v: v.isNotNull()),
+                            "missing_slots": "missing_slots", "need_clarification": "need_clarification",
+                            "clarification_question": "clarification_question"})
+    artifacts = F.concat(F.lit("["), F.array_join(F.transform("artifacts", artifact_json), ","), F.lit("]"))
+    prompt = X.render(C.FINAL_PROMPT, query=F.col("query"), analysis=analysis, artifacts=artifacts)
     return (batch.filter(F.col("status").isin("success", "partial_success"))
             .select("request_id", prompt.alias("prompt")))

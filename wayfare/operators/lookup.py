@@ -18,6 +18,8 @@ from wayfare.operators.ordering import rank_in_group
 
 TICKET_ORDER = ["departure_time", "train_number", "seat_type", "arrival_time", "price",
                 "total_seats", "remaining_seats"]
+LIVE_COLUMNS = ["city", "fx_date", "temp_max", "temp_min", "text_day", "text_night", "precip", "wind_speed_day",
+                "wind_dir_day", "source"]
 ROUTE_DAY = ["departure_city", "arrival_city", "__day"]
 
 
@@ -35,16 +37,49 @@ def search_tickets(requests: DataFrame, tickets: DataFrame, dep: str = "departur
                    arr: str = "arrival_city", date: str = "travel_date") -> DataFrame:
     """JON-1 + FLT-1: every ticket of the requested route and day, ranked.
 
-    ``date`` is request text ``yyyy-MM-dd`` (strict); the day predicate is an
-    equality on the derived day, which Catalyst turns into a range on the scan
-    when the request is a literal. Requests without tickets keep one row with
-    NULL ticket columns.
+    ``date`` is request text ``yyyy-MM-dd`` (strict). Only tickets of a
+    requested route and day are ranked. Requests without tickets keep one row
+    with NULL ticket columns; they come from an anti join beside the inner
+    join, which AQE can split on a hot route where it can't split an outer
+    join's right side.
     """
     req = requests.withColumn("__day", X.strict_date(date))
-    rt = (ranked_tickets(tickets).withColumnRenamed("departure_city", "__dep")
-          .withColumnRenamed("arrival_city", "__arr").withColumnRenamed("__day", "__tday"))
+    asked = req.select(F.col(dep).alias("departure_city"), F.col(arr).alias("arrival_city"), "__day").distinct()
+    wanted = _with_day(tickets).join(asked, ROUTE_DAY, "left_semi")
+    names = dict(zip(ROUTE_DAY, ["__dep", "__arr", "__tday"]))
+    rt = ranked_tickets(wanted).withColumnsRenamed(names)
     cond = (req[dep] == F.col("__dep")) & (req[arr] == F.col("__arr")) & (req["__day"] == F.col("__tday"))
-    return req.join(rt, cond, "left").drop("__dep", "__arr", "__tday", "__day")
+    known = _with_day(tickets).select(*ROUTE_DAY).distinct().withColumnsRenamed(names)
+    return (req.join(rt, cond).unionByName(req.join(known, cond, "left_anti"), allowMissingColumns=True)
+            .drop("__dep", "__arr", "__tday", "__day"))
+
+
+def ticket_fields(row: Column) -> dict[str, Column]:
+    """A ticket as the lookup tool reports it: times as ISO text, price as a number."""
+    shown = {"departure_time": X.iso_datetime, "arrival_time": X.iso_datetime, "price": lambda c: c.cast("double")}
+    return {c: shown.get(c, lambda v: v)(row[c]) for c in C.TICKET_SEARCH_COLUMNS}
+
+
+def route_day_tickets(tickets: DataFrame) -> DataFrame:
+    """AGG-10: the ordered tickets of a (route, day) as one JSON list.
+
+    A row holds what one answer about that route and day shows, so use it
+    where that text is wanted (prompts) and ``search_tickets`` elsewhere.
+    """
+    t = _with_day(tickets)
+    cols = [*TICKET_ORDER, *[c for c in C.TICKET_SEARCH_COLUMNS if c not in TICKET_ORDER]]
+    listed = F.array_sort(F.collect_list(F.struct(*cols)))
+    return t.groupBy(*ROUTE_DAY).agg(listed.alias("__l")).select(*ROUTE_DAY, F.to_json(
+        F.transform("__l", lambda x: F.struct(*[v.alias(k) for k, v in ticket_fields(x).items()])),
+        {"ignoreNullFields": "false"}).alias("tickets"))
+
+
+def with_tickets(requests: DataFrame, tickets: DataFrame, dep: str, arr: str, date: str) -> DataFrame:
+    """The requests and their route-day's JSON list (``tickets``, NULL without one)."""
+    req = requests.withColumn("__day", X.strict_date(date))
+    rows = route_day_tickets(tickets).toDF("__dep", "__arr", "__tday", "tickets")
+    return (req.join(rows, (req[dep] == F.col("__dep")) & (req[arr] == F.col("__arr"))
+                     & (req["__day"] == F.col("__tday")), "left").drop("__dep", "__arr", "__tday", "__day"))
 
 
 def route_day_fold(tickets: DataFrame) -> DataFrame:
@@ -155,18 +190,19 @@ def live_or_stored(requests: DataFrame, live: DataFrame, weather: DataFrame, as_
     coalesce: a live row never borrows the stored humidity.
 
     Adds source, weather_city, weather_date, temp_max, temp_min, text_day,
-    humidity, precip (numbers as double) and *_text renderings of the
-    numbers as the reference prints them (int, float or decimal).
+    humidity, precip (numbers as double), *_text renderings of the numbers
+    (int, float or decimal) and ``data``, the chosen row whole as JSON.
     """
     req = requests.withColumn("__req_day", X.iso_date(X.strict_date(date)))
     if live_enabled:
         lv = live.select(*[F.col(c).alias("l_" + c) for c in
-                           ["city", "fx_date", "temp_max", "temp_min", "text_day", "precip", "source"]])
+                           ["city", "fx_date", "temp_max", "temp_min", "text_day", "precip", "source"]],
+                         X.json_text({c: c for c in LIVE_COLUMNS}).alias("l_data"))
         req = req.join(lv, (req[city] == F.col("l_city")) & (req["__req_day"] == F.col("l_fx_date"))
                        & in_forecast_window(req[date], as_of), "left")
     else:
         req = req.select("*", *[F.lit(None).cast(t).alias("l_" + c) for c, t in
-                                [("city", "string"), ("fx_date", "string"), ("temp_max", "double"),
+                                [("city", "string"), ("fx_date", "string"), ("data", "string"), ("temp_max", "double"),
                                  ("temp_min", "double"), ("text_day", "string"), ("precip", "double"),
                                  ("source", "string")]])
     st = stored_weather(req, weather, city, date)
@@ -189,6 +225,10 @@ def live_or_stored(requests: DataFrame, live: DataFrame, weather: DataFrame, as_
         pick(F.col("l_temp_max").cast("string"), F.col("w_temp_max").cast("string")).alias("temp_max_text"),
         pick(F.col("l_temp_min").cast("string"), F.col("w_temp_min").cast("string")).alias("temp_min_text"),
         pick(F.col("l_precip").cast("string"), F.col("w_precip").cast("string")).alias("precip_text"),
+        pick(F.col("l_data"), X.json_text(
+            {c: F.col("w_" + c) for c in C.WEATHER_LOOKUP_COLUMNS}
+            | {"fx_date": X.iso_date("w_fx_date"), "update_time": X.iso_datetime("w_update_time"),
+               "source": F.col("w_source")})).alias("data"),
     )
 
 

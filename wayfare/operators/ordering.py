@@ -11,7 +11,7 @@ because the sort key includes the tie-breaking columns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.session import cut_lineage
@@ -24,21 +24,28 @@ def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _placed(df: DataFrame, order_cols: list, num_partitions: int | None = None) -> DataFrame:
+    """The rows range-sorted by ``order_cols`` and written once, with their
+    partition and their place (``monotonically_increasing_id``).
+
+    Range boundaries come from a sample of the input, whose order is not
+    fixed, so two evaluations may split differently: the rows are written
+    to the shared folder so that all counts and places come from one split,
+    also after a lost executor.
+    """
+    n = num_partitions or _partitions(df)
+    ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    return cut_lineage(ranged.withColumn(_PID, F.spark_partition_id())
+                       .withColumn(_MID, F.monotonically_increasing_id()))
+
+
 def global_index(df: DataFrame, order_cols: list, out_col: str = "pos",
                  num_partitions: int | None = None) -> DataFrame:
     """Add ``out_col``: 0-based position of each row in ``order_cols`` order.
 
     ``order_cols`` must be a total order (ties only between identical rows).
     """
-    n = num_partitions or _partitions(df)
-    ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-    ids = (ranged.withColumn(_PID, F.spark_partition_id())
-           .withColumn(_MID, F.monotonically_increasing_id()))
-    # Range boundaries come from a sample of the input, whose order is not
-    # fixed, so two evaluations may split differently. Materialize the
-    # numbered rows once (reliable checkpoint in the shared folder) so the
-    # counts and the ids come from the same split, also after a lost executor.
-    ids = cut_lineage(ids)
+    ids = _placed(df, order_cols, num_partitions)
     # monotonically_increasing_id = (partition id << 33) + place in partition.
     local = F.col(_MID) - F.shiftleft(F.col(_PID).cast("long"), 33)
     counts = ids.groupBy(_PID).agg(F.count(F.lit(1)).alias("__n"))
@@ -55,15 +62,26 @@ def global_index(df: DataFrame, order_cols: list, out_col: str = "pos",
 def rank_in_group(df: DataFrame, group_cols: list, order_cols: list, out_col: str = "rank") -> DataFrame:
     """1-based rank inside each group, without putting a group in one task.
 
-    Position in the global (group, order) sort minus the group's first
-    position; the per-group minimum is a partial aggregate, so a hot group
-    costs no more than a cold one.
+    Rows are range-sorted by group and order, so a hot group lies in several
+    partitions: the rank is the place among the group's rows of the same
+    partition, plus what earlier partitions hold of that group. Only a
+    partition's first group can have begun before it, so these sums are one
+    row per partition.
     """
-    indexed = global_index(df, [*group_cols, *order_cols], "__gpos")
-    firsts = indexed.groupBy(*group_cols).agg(F.min("__gpos").alias("__first"))
-    return (indexed.join(firsts, [*group_cols])
-            .withColumn(out_col, F.col("__gpos") - F.col("__first") + 1)
-            .drop("__gpos", "__first"))
+    ids = _placed(df, [*group_cols, *order_cols])
+    group = F.struct(*[F.col(c) for c in group_cols])
+    per = ids.groupBy(_PID, group.alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
+    edges = per.groupBy(_PID).agg(F.min("__g").alias("__first"), F.max("__g").alias("__last"),
+                                  F.max_by("__n", "__g").alias("__tail"))
+    before = edges.select(F.col(_PID).alias("__p"), F.col("__last").alias("__l"), F.col("__tail").alias("__t"))
+    begun = (edges.join(before, (F.col("__l") == F.col("__first")) & (F.col("__p") < F.col(_PID)))
+             .groupBy(_PID, "__first").agg(F.sum("__t").alias("__begun")))
+    place = F.row_number().over(Window.partitionBy(_PID, *group_cols).orderBy(_MID))
+    # begun has at most one row per partition: bounded, so broadcast.
+    return (ids.withColumn("__place", place).join(F.broadcast(begun), _PID, "left")
+            .withColumn(out_col, F.col("__place") + F.when(group == F.col("__first"), F.col("__begun"))
+                        .otherwise(F.lit(0)))
+            .drop(_PID, _MID, "__place", "__first", "__begun"))
 
 
 class EvenSampler:
@@ -105,7 +123,3 @@ def even_sample(df: DataFrame, order_cols: list, count: int, pick_col: str = "pi
 def numbered(df: DataFrame, order_cols: list, out_col: str = "n") -> DataFrame:
     """WIN-1: 1-based numbering in a total order."""
     return global_index(df, order_cols, "__p").withColumn(out_col, F.col("__p") + 1).drop("__p")
-
-
-def lit_col(v) -> Column:
-    return F.lit(v)

@@ -209,7 +209,7 @@ def ticket_tasks(spark, sf):
     out = ticket_artifacts(B.tasks(spark, sf), B.trips(spark, sf), CREATED_AT)
     return out.select("request_id", F.col("artifact.artifact_type").alias("artifact_type"),
                       F.col("artifact.agent").alias("agent"), F.col("artifact.status").alias("status"),
-                      F.col("artifact.summary").alias("summary"), "ticket_count",
+                      F.col("artifact.summary").alias("summary"), F.col("artifact.data").alias("data"), "ticket_count",
                       X.list_text("missing").alias("missing"))
 
 
@@ -220,22 +220,24 @@ def weather_tasks(spark, sf):
                             B.weather_table(spark, sf), B.AS_OF, CREATED_AT)
     return out.select("request_id", F.col("artifact.artifact_type").alias("artifact_type"),
                       F.col("artifact.agent").alias("agent"), F.col("artifact.status").alias("status"),
-                      F.col("artifact.summary").alias("summary"), "source",
+                      F.col("artifact.summary").alias("summary"), F.col("artifact.data").alias("data"), "source",
                       X.list_text("missing").alias("missing"))
 
 
-def _batch(spark, sf):
+def _batch(spark, sf, with_data=False):
     from wayfare.operators.answer import route_batch as run
     return run(B.requests(spark, sf).select("request_id", "query", "model_output"), B.trips(spark, sf),
                L.live_rows(B.live_payloads(spark, sf)), B.weather_table(spark, sf),
-               B.agent_faults(spark, sf), B.AS_OF, CREATED_AT)
+               B.agent_faults(spark, sf), B.AS_OF, CREATED_AT, with_data=with_data)
 
 
 @register("route_batch")
 def route_batch(spark, sf):
     b = _batch(spark, sf)
     return b.select("request_id", "intent", "status", X.list_text("called_agents").alias("called_agents"),
-                    "artifact_count", "agent_error_count", "weather_status", "weather_summary",
+                    "artifact_count", "agent_error_count",
+                    F.array_join(F.transform("agent_errors", lambda x: F.concat_ws(": ", x["agent"], x["error"])), "; ")
+                    .alias("agent_errors"), "weather_status", "weather_summary",
                     "ticket_status", "ticket_summary", "clarification_question")
 
 
@@ -247,7 +249,7 @@ def request_status(spark, sf):
 @register("prompt_rows")
 def prompt_rows(spark, sf):
     from wayfare.operators.answer import prompt_rows as build
-    return build(_batch(spark, sf))
+    return build(_batch(spark, sf, with_data=True))
 
 
 # --- evaluation cases and scores ---------------------------------------------

@@ -304,6 +304,14 @@ def los(name: str, src: str, city: str, date: str) -> str:
     CASE WHEN l.city IS NOT NULL THEN 'open-meteo' WHEN w.city IS NOT NULL THEN 'database' END AS source,
     CASE WHEN l.city IS NOT NULL THEN l.city ELSE w.city END AS weather_city,
     CASE WHEN l.city IS NOT NULL THEN l.fx_date ELSE strftime(w.fx_date, '%Y-%m-%d') END AS weather_date,
+    CASE WHEN l.city IS NOT NULL THEN CAST(to_json({{'city': l.city, 'fx_date': l.fx_date, 'temp_max': l.temp_max,
+      'temp_min': l.temp_min, 'text_day': l.text_day, 'text_night': l.text_day, 'precip': l.precip,
+      'wind_speed_day': l.wind_speed_day, 'wind_dir_day': l.wind_speed_day, 'source': 'open-meteo'}}) AS VARCHAR)
+    WHEN w.city IS NOT NULL THEN CAST(to_json({{'city': w.city, 'fx_date': strftime(w.fx_date, '%Y-%m-%d'),
+      'temp_max': w.temp_max, 'temp_min': w.temp_min, 'text_day': w.text_day, 'text_night': w.text_night,
+      'wind_dir_day': NULL, 'wind_scale_day': NULL, 'wind_speed_day': w.wind_speed_day, 'precip': w.precip,
+      'uv_index': NULL, 'humidity': w.humidity, 'pressure': NULL, 'vis': NULL, 'cloud': NULL,
+      'update_time': {iso_ts('w.update_time')}, 'source': 'database'}}) AS VARCHAR) END AS w_data,
     CASE WHEN l.city IS NOT NULL THEN l.temp_max ELSE CAST(w.temp_max AS DOUBLE) END AS temp_max,
     CASE WHEN l.city IS NOT NULL THEN l.temp_min ELSE CAST(w.temp_min AS DOUBLE) END AS temp_min,
     CASE WHEN l.city IS NOT NULL THEN l.text_day ELSE w.text_day END AS text_day,
@@ -340,6 +348,12 @@ def ticket_summary_sql() -> str:
 FIRSTS = f"""firsts AS (
   SELECT * FROM (
     SELECT departure_city AS f_dep, arrival_city AS f_arr, CAST(departure_time AS DATE) AS day, t.*,
+           '[' || string_agg(CAST(to_json({{'departure_city': departure_city, 'arrival_city': arrival_city,
+             'departure_time': {iso_ts('departure_time')}, 'arrival_time': {iso_ts('arrival_time')},
+             'train_number': train_number, 'seat_type': seat_type, 'total_seats': total_seats,
+             'remaining_seats': remaining_seats, 'price': CAST(price AS DOUBLE)}}) AS VARCHAR), ',') OVER (
+               PARTITION BY departure_city, arrival_city, CAST(departure_time AS DATE) ORDER BY {TICKET_ORDER_SQL}
+               ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) || ']' AS tickets,
            row_number() OVER (PARTITION BY departure_city, arrival_city, CAST(departure_time AS DATE)
                               ORDER BY {TICKET_ORDER_SQL}) AS rn,
            count(*) OVER (PARTITION BY departure_city, arrival_city, CAST(departure_time AS DATE)) AS n
@@ -348,7 +362,7 @@ FIRSTS = f"""firsts AS (
 
 def first_lookup(name: str, src: str, dep: str, arr: str, date: str) -> str:
     return f"""{name} AS (
-  SELECT r.*, coalesce(f.n, 0) AS ticket_count, f.f_dep, f.f_arr, f.train_number, f.departure_time,
+  SELECT r.*, coalesce(f.n, 0) AS ticket_count, f.tickets, f.f_dep, f.f_arr, f.train_number, f.departure_time,
          f.arrival_time, f.price, f.remaining_seats
   FROM {src} r LEFT JOIN firsts f
     ON f.f_dep = r.{dep} AND f.f_arr = r.{arr} AND f.day = CAST(try_strptime(r.{date}, '%Y-%m-%d') AS DATE))"""
@@ -391,6 +405,14 @@ def _missing_sql(cols: list[str]) -> str:
             + "], lambda x: x IS NOT NULL)")
 
 
+MISSING_JSON = """'{"missing_slots":["' || array_to_string(missing, '","') || '"]}'"""
+
+
+def no_rows(message: str, data: str, **values) -> str:
+    """A lookup's answer without rows, as JSON."""
+    return f"""'{{"status":"not_found","message":' || to_json({render(message, **values)}) || ',"data":{data}}}'"""
+
+
 def more_sql(s: dict[str, str]) -> None:
     s["forecast_window"] = with_ctes(LIVE, body=f"""
 SELECT city, fx_date, CAST(fx_date AS DATE) {WINDOW} AS in_window FROM live""")
@@ -445,6 +467,9 @@ SELECT request_id, 'ticket_result' AS artifact_type, 'ticket_agent' AS agent,
   CASE WHEN len(missing) > 0 THEN 'failed' WHEN ticket_count = 0 THEN 'not_found' ELSE 'success' END AS status,
   CASE WHEN len(missing) > 0 THEN {q(C.TICKET_MISSING_SUMMARY)} WHEN ticket_count = 0 THEN {nf_t}
        ELSE {ticket_summary_sql()} END AS summary,
+  CASE WHEN len(missing) > 0 THEN {MISSING_JSON}
+       WHEN ticket_count = 0 THEN {no_rows(C.TICKET_NO_ROWS, '[]', departure_city='departure_city', arrival_city='arrival_city', travel_date='travel_date')}
+       ELSE tickets END AS data,
   CASE WHEN len(missing) > 0 THEN 0 ELSE ticket_count END AS ticket_count,
   array_to_string(missing, ',') AS missing
 FROM tl""")
@@ -457,8 +482,13 @@ SELECT request_id, 'weather_result' AS artifact_type, 'weather_agent' AS agent,
   CASE WHEN len(missing) > 0 THEN 'failed' WHEN source IS NULL THEN 'not_found' ELSE 'success' END AS status,
   CASE WHEN len(missing) > 0 THEN {q(C.WEATHER_MISSING_SUMMARY)} WHEN source IS NULL THEN {nf_w}
        ELSE {weather_summary_sql()} END AS summary,
+  CASE WHEN len(missing) > 0 THEN {MISSING_JSON}
+       WHEN source IS NULL THEN {no_rows(C.WEATHER_NO_ROW, 'null', city='city', fx_date='fx_date')}
+       ELSE w_data END AS data,
   source, array_to_string(missing, ',') AS missing
 FROM wl""")
+    shown_slots = "concat_ws(',', " + ", ".join(
+        f"""'"{n}":"' || a.s_{n} || '"'""" for n in C.SLOT_NAMES) + ")"
     batch = [TRIPS, REQUESTS, analysis_ctes("requests"), LIVE, READINGS, WEATHER, FIRSTS,
              """ready AS (SELECT *, date_diff('day', DATE '1970-01-01', CAST(route_day AS DATE)) AS re FROM analysis
                 WHERE NOT need_clarification AND len(required_agents) > 0)""",
@@ -472,13 +502,18 @@ FROM wl""")
   SELECT request_id, 0 AS pos, 'weather_agent' AS agent, re % 13 = 0 AS failed,
          CASE WHEN source IS NULL THEN 'not_found' ELSE 'success' END AS status,
          CASE WHEN source IS NULL THEN {render(C.WEATHER_NOT_FOUND_SUMMARY, city='city', fx_date='fx_date')}
-              ELSE {weather_summary_sql()} END AS summary
+              ELSE {weather_summary_sql()} END AS summary,
+         CASE WHEN source IS NULL THEN {no_rows(C.WEATHER_NO_ROW, 'null', city='city', fx_date='fx_date')}
+              ELSE w_data END AS data
   FROM wl
   UNION ALL
   SELECT request_id, 1, 'ticket_agent', re % 17 = 0,
          CASE WHEN ticket_count = 0 THEN 'not_found' ELSE 'success' END,
          CASE WHEN ticket_count = 0 THEN {render(C.TICKET_NOT_FOUND_SUMMARY, departure_city='dep', arrival_city='arr', travel_date='d')}
-              ELSE {ticket_summary_sql()} END
+              ELSE {ticket_summary_sql()} END,
+         CASE WHEN ticket_count = 0
+              THEN {no_rows(C.TICKET_NO_ROWS, '[]', departure_city='dep', arrival_city='arr', travel_date='d')}
+              ELSE tickets END
   FROM tl)""",
              """per AS (
   SELECT request_id,
@@ -489,10 +524,14 @@ FROM wl""")
     max(summary) FILTER (WHERE agent = 'weather_agent' AND NOT failed) AS weather_summary,
     max(status) FILTER (WHERE agent = 'ticket_agent' AND NOT failed) AS ticket_status,
     max(summary) FILTER (WHERE agent = 'ticket_agent' AND NOT failed) AS ticket_summary,
-    string_agg(agent || ' | ' || status || ' | ' || summary, chr(10) ORDER BY pos) FILTER (WHERE NOT failed) AS lines
+    string_agg(agent || ': TimeoutError(''' || agent || ' call timed out'')', '; ' ORDER BY pos) FILTER (WHERE failed) AS agent_errors,
+    string_agg('{"artifact_type":"' || CASE pos WHEN 0 THEN 'weather_result' ELSE 'ticket_result' END || '","agent":"'
+      || agent || '","status":"' || status || '","data":' || data || ',"summary":' || to_json(summary)
+      || ',"metadata":{"created_at":"2024-01-15T00:00:00"}}', ',' ORDER BY pos) FILTER (WHERE NOT failed) AS arts
   FROM calls GROUP BY request_id)""",
              """batch AS (
   SELECT a.request_id, a.query, a.intent, a.required_agents, a.clarification_question,
+    """ + shown_slots + """ AS slots,
     CASE WHEN a.need_clarification THEN 'need_clarification'
          WHEN len(a.required_agents) = 0 THEN 'no_supported_agent'
          WHEN coalesce(p.agent_error_count, 0) > 0 AND coalesce(p.artifact_count, 0) = 0 THEN 'agent_failed'
@@ -500,16 +539,16 @@ FROM wl""")
          ELSE 'success' END AS status,
     coalesce(p.called_agents, '') AS called_agents, coalesce(p.artifact_count, 0) AS artifact_count,
     coalesce(p.agent_error_count, 0) AS agent_error_count, p.weather_status, p.weather_summary,
-    p.ticket_status, p.ticket_summary, p.lines
+    p.ticket_status, p.ticket_summary, p.arts, coalesce(p.agent_errors, '') AS agent_errors
   FROM analysis a LEFT JOIN per p ON p.request_id = a.request_id)"""]
     s["route_batch"] = with_ctes(*batch, body="""
-SELECT request_id, intent, status, called_agents, artifact_count, agent_error_count, weather_status,
+SELECT request_id, intent, status, called_agents, artifact_count, agent_error_count, agent_errors, weather_status,
        weather_summary, ticket_status, ticket_summary, clarification_question FROM batch""")
     s["request_status"] = with_ctes(*batch, body="SELECT status, count(*) AS requests FROM batch GROUP BY status")
+    analysis = ("""'{"intent":"' || intent || '","required_agents":["' || array_to_string(required_agents, '","') || '"],"""
+                """"slots":{' || slots || '},"missing_slots":[],"need_clarification":false,"clarification_question":""}'""")
     s["prompt_rows"] = with_ctes(*batch, body=f"""
-SELECT request_id, {q('用户原始需求：' + chr(10))} || query || {q(chr(10) + chr(10) + '识别结果：' + chr(10))}
-       || concat_ws(' | ', intent, array_to_string(required_agents, ','))
-       || {q(chr(10) + chr(10) + '查询结果：' + chr(10))} || lines || chr(10) AS prompt
+SELECT request_id, {render(C.FINAL_PROMPT, query='query', analysis=analysis, artifacts="'[' || arts || ']'")} AS prompt
 FROM batch WHERE status IN ('success', 'partial_success')""")
 
 
