@@ -116,7 +116,8 @@ def shape(word: str) -> str:
 def word_buckets(word: str) -> tuple[int, int, int]:
     """Hashed shape, length and last characters of a word."""
     core = word.rstrip(".,")
-    return _bucket("shape", shape(core[:100]), word[len(core):][:2]), _bucket("size", min(len(word), 20)), _bucket("end", word[-2:])
+    shaped = _bucket if len(word) <= 64 else _bucket.__wrapped__  # the cache keeps no long words
+    return shaped("shape", shape(core), word[len(core):]), _bucket("size", min(len(word), 20)), _bucket("end", word[-2:])
 
 
 def text_buckets(m: list[float]) -> list[int]:
