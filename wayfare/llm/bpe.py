@@ -35,6 +35,11 @@ PAIRS = 300_000      # pairs of tokens
 LONG = 48            # longer pieces aren't remembered
 
 
+def ranks(lines: bytes) -> dict[bytes, int]:
+    """A line is a token in base 64 and its rank."""
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines()) if a}
+
+
 class Pieces(dict):
     """Packed ids of a match of the pattern; a whole token stays whole."""
 
@@ -53,10 +58,10 @@ class Pieces(dict):
 
 
 class Codec:
-    """One vocabulary of ranks: a line is a token in base 64 and its rank."""
+    """One vocabulary, ready to encode."""
 
     def __init__(self, lines: bytes, pattern: str):
-        self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines()) if a}
+        self.rank = ranks(lines)
         self.token = dict(zip(self.rank.values(), self.rank))
         self.find = regex.compile(pattern).findall
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
@@ -133,9 +138,6 @@ class Codec:
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.find(text or "")))
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
-
 
 _codecs: dict[tuple[int, str], Codec] = {}
 
@@ -147,6 +149,17 @@ def _codec(lines: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
+_tokens: dict[int, dict[int, bytes]] = {}
+
+
+def _tokens_of(lines: bytes) -> dict[int, bytes]:
+    """Token by rank: all that decoding needs."""
+    key = hash(lines)
+    if key not in _tokens:
+        _tokens[key] = {r: t for t, r in ranks(lines).items()}
+    return _tokens[key]
+
+
 def _with_column(df: DataFrame, name: str, kind: T.DataType, source: str, make: Callable) -> DataFrame:
     """``df`` and a column that ``make(array)`` gives for that of ``source``."""
     at = df.columns.index(source)
@@ -183,8 +196,8 @@ def decode(df: DataFrame, ids_col: str = "ids", bytes_col: str = "decoded", voca
     lines = _shared(df, vocabulary)
 
     def make(ids: pa.Array) -> pa.Array:
-        codec = _codec(lines.value, public_tokenizers.PATTERN)
-        return pa.array([codec.decode(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []) for x in ids],
-                        pa.binary())
+        token = _tokens_of(lines.value).__getitem__
+        return pa.array([b"".join(map(token, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else b""
+                         for x in ids], pa.binary())
 
     return _with_column(df, bytes_col, T.BinaryType(), ids_col, make)
