@@ -236,6 +236,18 @@ def test_personal_data(spark):
     assert pii.redact("call 555-123-4567 now", [("phone", 5, 17, 1.0)]) == "call [phone] now"
 
 
+def test_pii_numbers_side_by_side():
+    model = pii.train()
+    for text, kind, want in (
+            ("2024-01-05 555-123-4567", "phone", ["555-123-4567"]),
+            ("(555) 123-4567 (555) 987-6543", "phone", ["(555) 123-4567", "(555) 987-6543"]),
+            ("tel 0171 234567 0171 345678", "phone", ["0171 234567", "0171 345678"]),
+            ("ssn 123-45-6789 987-65-4320", "id", ["123-45-6789", "987-65-4320"])):
+        assert {(kind, text.index(w), text.index(w) + len(w)) for w in want} <= set(pii.candidates(text))
+        assert [(s[0], text[s[1]:s[2]]) for s in pii.find(text, *model)] == [(kind, w) for w in want]
+    assert len(pii.candidates("1 " * 5000)) < 40 * 5000 and pii.candidates("7" * 60_000) == [("card", 59_981, 60_000)]
+
+
 def test_pii_held_out():
     trees, least = pii.train()
     x, y = pii._examples(1500, 99)

@@ -44,6 +44,7 @@ _card = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _local_char = re.compile(r"[^A-Za-z0-9._%+-]")
 _digits = re.compile(r"[^0-9]")
+_not_digits = re.compile(r"[^0-9]+")
 
 Span = tuple[str, int, int]
 
@@ -97,6 +98,9 @@ _run = re.compile(r"[0-9(](?:[ ().\/-]{0,2}[0-9])++")
 _group = re.compile(r"[0-9]{13,19}(?![0-9])|[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])")
 _letters_run = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b")
 _has_digit = re.compile(r"[0-9]")
+_digit_group = re.compile(r"\(?[0-9]++")
+_digit_before = re.compile(r"[0-9][ ().\/-]{0,2}\Z")
+_digit_after = re.compile(r"[ ().\/-]{0,2}[0-9]")
 
 
 def candidates(text: str) -> list[Span]:
@@ -110,19 +114,38 @@ def candidates(text: str) -> list[Span]:
     if not _has_digit.search(text):
         return out
     for m in _run.finditer(text):
-        n = len(_digits.sub("", m[0]))
-        if 7 <= n <= 15:
-            out.append(("phone", *m.span()))
-        if 8 <= n <= 12:
-            out.append(("id", *m.span()))
-        if 13 <= n <= 19:
-            out.append(("card", *m.span()))
-        if n > 19:  # several numbers side by side
-            out += [("card", m.start() + g.start(), m.start() + g.end()) for g in _group.finditer(m[0])]
+        out += _stretches(text, *m.span())
     out += [("account", *m.span()) for m in _letters_run.finditer(text)]
     return out
 
 
+def _stretches(text: str, start: int, end: int) -> list[Span]:
+    """Every stretch of consecutive digit groups of a run that has the digits
+    of a kind, as numbers may stand side by side; no stretch has more than 19
+    digits, so neither has a start more than 19 of them."""
+    groups = [g.span() for g in _digit_group.finditer(text, start, end)]
+    groups[0] = start, groups[0][1]
+    sizes = [b - a - text.count("(", a, b) for a, b in groups]
+    out: list[Span] = []
+    for i, (a, _) in enumerate(groups):
+        n = 0
+        for k in range(i, len(groups)):
+            n += sizes[k]
+            if n > 19:
+                break
+            b = groups[k][1]
+            if 7 <= n <= 15:
+                out.append(("phone", a, b))
+            if 8 <= n <= 12:
+                out.append(("id", a, b))
+            if 13 <= n <= 19:
+                out.append(("card", a, b))
+    if sum(sizes) > 19:  # cards whose first or last digits run into another number
+        cards = (("card", start + g.start(), start + g.end()) for g in _group.finditer(text[start:end]))
+        out = list(dict.fromkeys([*out, *cards]))
+    return out
+
+
 # --- features and trees -------------------------------------------------------------
 
 CUES = {
@@ -137,17 +160,19 @@ _cues = [re.compile(rf"(?i)\b(?:{p})\b") for p in CUES.values()]
 _shapes = [re.compile(p) for p in (
     r"\(?\d{3}\)?[ .-]?\d{3}[ .-]\d{4}\Z", r"\d{3}-\d{2}-\d{4}\Z", r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}", r"\d{3}-\d{4}\Z",
     r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}\Z", r"\d+\.\d+\Z", r"0\d{2,4}[ /-]\d", r"97[89]", r"[A-Z]{2}\d{2}")]
-FEATURES = 14 + len(_shapes) + 2 * len(_cues)
+FEATURES = 19 + len(_shapes) + 2 * len(_cues)
 
 
 def features(text: str, span: Span) -> list[float]:
     kind, start, end = span
     s, digits = text[start:end], _digits.sub("", text[start:end])
     before, after = text[max(0, start - 24):start], text[end:end + 12]
+    groups = [len(g) for g in _not_digits.split(s) if g] or [0]
     return [KINDS.index(kind), len(s), len(digits), s.count(" "), s.count("-"), s.count("."), s.count("(") + s.count("/"),
             float(luhn(digits)) if digits else 0.0, float(digits[:1] == "0"), len(set(digits)),
             float(before[-1:].isalnum()), float(before[-1:] in tuple("$€£#+.,-_=")), float(after[:1].isalnum() or after[:1] in "%€$°_"),
             float(bool(re.search(r"(?i)dot|punto|punkt|point", s))) + 2.0 * ("@" in s or bool(re.search(r"[\[({<]", s))),
+            float(bool(_digit_before.search(before[-3:]))), float(bool(_digit_after.match(after))), len(groups), groups[0], groups[-1],
             *(float(bool(p.match(s))) for p in _shapes),
             *(float(bool(p.search(before))) for p in _cues), *(float(bool(p.search(after))) for p in _cues)]
 
@@ -156,11 +181,12 @@ class Trees:
     """Gradient-boosted regression trees of fixed depth on the logistic loss;
     every level of a tree splits all its nodes (by feature and value)."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: float = 0.2):
+    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 100, depth: int = 3, rate: float = 0.2):
         self.depth, self.rate, self.trees = depth, rate, []
         self.start = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
         z = np.full(len(y), self.start)
         cuts = [np.unique(np.quantile(x[:, f], np.linspace(0.02, 0.98, 25))) for f in range(x.shape[1])]
+        sides = [np.searchsorted(values, x[:, f], "left") for f, values in enumerate(cuts)]  # value <= values[i] for side <= i
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-z))
             g, h = y - p, p * (1 - p)
@@ -172,7 +198,7 @@ class Trees:
                     best, split = 1e-6, (0, np.inf)
                     whole = g[rows].sum() ** 2 / (h[rows].sum() + 1)
                     for f, values in enumerate(cuts) if len(rows) > 1 else ():
-                        side = np.searchsorted(values, x[rows, f], "left")  # value <= values[i] for side <= i
+                        side = sides[f][rows]
                         gl, hl = (np.cumsum(np.bincount(side, w[rows], len(values) + 1))[:-1] for w in (g, h))
                         gain = gl ** 2 / (hl + 1) + (g[rows].sum() - gl) ** 2 / (h[rows].sum() - hl + 1) - whole
                         i = int(gain.argmax())
@@ -200,8 +226,8 @@ class Trees:
 # --- labelled examples ----------------------------------------------------------------
 
 def _examples(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates in made-up sentences; label 1 if the candidate is what was
-    put in as personal data of its kind."""
+    """The candidates of ``count`` made-up sentences that have any; label 1 if
+    the candidate is what was put in as personal data of its kind."""
     r = random.Random(seed)
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     w = lambda: "".join(r.choice("abdeilnorstuvm") for _ in range(r.randint(2, 9)))
@@ -228,18 +254,30 @@ def _examples(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     cues = {"phone": ("call", "tel", "phone", "mobile", "fax"), "email": ("email", "mail", "contact", "write to"),
             "card": ("card", "visa", "credit"), "id": ("ssn", "id", "passport"), "account": ("iban", "account", "konto")}
     other = ("order", "invoice", "version", "page", "on", "isbn", "ref", "total", "since")
-    x, y = [], []
-    while len(y) < count:
+    x, y, sentences = [], [], 0
+    while sentences < count:
         kind = r.choice(tuple(good)) if r.random() < 0.5 else None
         put = good[kind]() if kind else r.choice(bad)()
         cue = r.choice(cues[kind]) if kind and r.random() < 0.7 else r.choice(other) if not kind and r.random() < 0.5 else w()
         # without a cue a bare run of digits says nothing about its owner
         plain = kind == "phone" and put.isdigit() and cue not in cues["phone"]
         head = f"{w()} {w()} {cue}{r.choice((' ', ': ', ' '))}"
-        text = head + put + r.choice((" ", ". ", ", ", "; ")) + f"{w()} {w()}."
-        for span in candidates(text):
-            inside = span[1] >= len(head) - 1 and span[2] <= len(head) + len(put) + 1
-            right = span[0] == kind and inside and not plain and span[2] - span[1] >= 0.9 * len(put)
+        # another number may stand right before or after: one of the same kind, a date, or a short one
+        beside = [(kind, put)]
+        if kind and kind != "email" and not put.isdigit() and r.random() < 0.4:
+            other_one = r.choice(((kind, good[kind]()), (None, bad[0]()), (None, bad[1]()), (None, d(r.randint(1, 4)))))
+            beside.insert(r.randint(0, 1), other_one)
+        text, real = head, []
+        for k, (of, number) in enumerate(beside):
+            text += r.choice((" ", " ", "  ")) * (k > 0)
+            if of and not plain:
+                real.append((of, len(text), len(text) + len(number)))
+            text += number
+        text += r.choice((" ", ". ", ", ", "; ")) + f"{w()} {w()}."
+        found = candidates(text)
+        sentences += bool(found)
+        for span in found:
+            right = any(span[0] == of and span[1] >= a - 1 and span[2] <= b + 1 and span[2] - span[1] >= 0.9 * (b - a) for of, a, b in real)
             x.append(features(text, span))
             y.append(float(right))
     return np.array(x), np.array(y)
