@@ -199,6 +199,21 @@ def test_html(spark):
     assert got == {k: (t, len(t)) for k, (_, t) in enumerate(pages)}
 
 
+def html_of(html):
+    page = html_text.Page(html)
+    return page.text(html_text.train().marginals(page))
+
+
+def test_html_empty_svg_and_custom_elements():
+    page = "<article><p>One, two. Three.</p>%s<p>Whole article, of it. Yes.</p>%s<p>Last one, here.</p></article>"
+    want = "One, two. Three. Whole article, of it. Yes. Last one, here."
+    for tag in ('<svg viewBox="0 0 1 1"/>', "<math/>", '<svg a="x>y" />', "<svg><path/><text>no</text></svg>", "<math a='/'>no</math>"):
+        assert html_of(page % (tag, tag)) == want
+    for name in ("object-list", "select-menu", "template-x"):
+        assert html_of(page % (f"<{name}>", f"</{name}>")) == want
+    assert html_of(page % ("<select>no</select>", "<object data='x'>no</object>")) == want
+
+
 def test_html_marginals_are_exact():
     page = html_text.Page("<div><p>Text one.</p><article><p>More, here. Yes.</p><aside>x</aside></article></div>")
     model = html_text.train()

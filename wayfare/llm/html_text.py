@@ -10,7 +10,7 @@ same marginals.
 
 Defined results: null, empty and text-free pages give an empty text; tags left
 open are closed by their parents, stray end tags are ignored, unended comments
-and scripts run to the end; very deep trees are fine, as no step recurses;
+and scripts run to the end, svg and math tags that end in /> are empty; very deep trees are fine, as no step recurses;
 repeated rows give repeated rows; extra columns are ignored.
 """
 
@@ -42,7 +42,8 @@ SCOPE = frozenset("ul ol dl table body html article aside section nav div main h
 
 TOKEN = re.compile(r"""
     <!--.*?(?:-->|\Z)
-  | <(script|style|noscript|template|iframe|object|svg|math|select|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)
+  | <(?:svg|math)(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?<=/)>
+  | <(script|style|noscript|template|iframe|object|svg|math|select|textarea|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)
   | <[!?][^>]*(?:>|\Z)
   | <(/?)([a-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
   | ([^<]++|<)""", re.X | re.S | re.I)
