@@ -214,6 +214,19 @@ def test_html_empty_svg_and_custom_elements():
     assert html_of(page % ("<select>no</select>", "<object data='x'>no</object>")) == want
 
 
+def test_html_text_outside_a_body():
+    assert html_of("<h1>T</h1>Body text <b>x</b>.<br>More") == "T Body text x. More"
+    assert html_of("Just one bare text, here. And more of it.") == "Just one bare text, here. And more of it."
+    assert html_of("\ufeffshort") == "short"
+    one = "<nav><a>Menu</a></nav><h1>T</h1>Some text, long enough. It is.<p>More of it, too. Yes.</p><div class='footer'>&copy; me</div>"
+    want = "T Some text, long enough. It is. More of it, too. Yes."
+    for page in (one, f"<body>{one}</body>", f"<html><head><title>x</title></head>{one}", f"\n<!DOCTYPE html><html><body>{one}</body></html>\n",
+                 one.replace("It is.", "It is.</body></html>")):
+        assert html_of(page) == want
+    article = "<div class='ad'>Buy, now.</div><article><h1>T</h1><p>One, two. Three, four, five.</p></article><footer>Site</footer>"
+    assert html_of(article) == html_of(f"<body>{article}</body>") == "T One, two. Three, four, five."
+
+
 def test_html_marginals_are_exact():
     page = html_text.Page("<div><p>Text one.</p><article><p>More, here. Yes.</p><aside>x</aside></article></div>")
     model = html_text.train()

@@ -8,7 +8,8 @@ marginal of every node; text of nodes whose marginal is over one half is kept.
 Weights maximise the likelihood of labelled pages, whose gradient needs the
 same marginals.
 
-Defined results: null, empty and text-free pages give an empty text; tags left
+Defined results: null, empty and text-free pages give an empty text; text and
+elements outside any body get an implied one, after its end they go on in it; tags left
 open are closed by their parents, stray end tags are ignored, unended comments
 and scripts run to the end, svg and math tags that end in /> are empty; very deep trees are fine, as no step recurses;
 repeated rows give repeated rows; extra columns are ignored.
@@ -38,6 +39,7 @@ ENDS_P = frozenset("address article aside blockquote details div dl fieldset fig
                    "hr main nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
         "option": {"option"}}
+OUTER = frozenset("html head body frameset".split())
 SCOPE = frozenset("ul ol dl table body html article aside section nav div main header footer form".split())
 
 TOKEN = re.compile(r"""
@@ -68,7 +70,7 @@ TAGS = ("article", "main", "section", "div", "p", "h1", "h2", "ul", "li", "table
 ALIKE = {"h3": "h2", "h4": "h2", "h5": "h2", "h6": "h2", "ol": "ul", "dl": "ul", "dt": "li", "dd": "li", "td": "table", "tr": "table",
          "th": "table", "tbody": "table", "thead": "table", "button": "form", "fieldset": "form", "dialog": "form",
          "figcaption": "figure", "html": "body", "head": "body", "menu": "nav", "center": "div", "details": "section"}
-MEASURES = ("links", "own", "all", "sentences", "short", "paragraphs")
+MEASURES = ("links", "own", "all", "sentences", "short", "paragraphs", "share")
 FEATURES = ("bias", "other", "hidden", *(f"t:{t}" for t in TAGS), *(f"n:{n}" for n in NAMES), *MEASURES)
 INDEX = {f: k for k, f in enumerate(FEATURES)}
 
@@ -81,11 +83,14 @@ class Page:
         self.labels: list[int] = [0]
         self.pieces: list[tuple[int, str]] = []  # (node, text); (-1, "") ends a block
         stack: list[tuple[str, int]] = [("html", 0)]
+        self.body: tuple[str, int] | None = None  # the last body
         anchors = 0
-        for m in TOKEN.finditer(html):
+        for m in TOKEN.finditer(html.removeprefix("\ufeff")):
             raw, close, name, attributes, text = m.groups()
             if text is not None:
                 words = " ".join(unescape(text).split()) if text.strip() else ""
+                if words:
+                    self._body(stack)
                 node = stack[-1][1]
                 self.pieces.append((node, unescape(text)))
                 if words:
@@ -104,6 +109,10 @@ class Page:
                     self.pieces.append((-1, ""))
                 if name in VOID:
                     continue
+                if name not in OUTER:
+                    self._body(stack)
+                elif stack[-1] == self.body:
+                    stack.pop()
                 if name in ENDS_P:
                     self._close(stack, {"p"}, SCOPE)
                 if name in SAME:
@@ -111,6 +120,14 @@ class Page:
                 anchors += name == "a"
                 self._open(stack, name, attributes)
 
+    def _body(self, stack: list) -> None:
+        """Opens the body that a page leaves out, or goes on with one that ended early."""
+        if stack[-1][0] == "html":
+            if self.body:
+                stack.append(self.body)
+            else:
+                self._open(stack, "body", "")
+
     def _open(self, stack: list, name: str, attributes: str) -> None:
         at = stack[-1][1]
         inline = name in INLINE
@@ -127,6 +144,8 @@ class Page:
                 x.append(0)
             at = len(self.parent) - 1
         stack.append((name, at))
+        if name == "body":
+            self.body = stack[-1]
 
     def _close(self, stack: list, names: set, scope: frozenset) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -158,7 +177,8 @@ class Page:
             total[self.parent[i]] += total[i]
             linked[self.parent[i]] += linked[i]
         return [(linked[i] / total[i] if total[i] else 0.0, math.log1p(self.own[i]) / 6, math.log1p(total[i]) / 8,
-                 min(self.stops[i], 5) / 5, 1.0 if 0 < total[i] < 25 else 0.0, min(self.kids[i], 4) / 4)
+                 min(self.stops[i], 5) / 5, 1.0 if 0 < total[i] < 25 else 0.0, min(self.kids[i], 4) / 4,
+                 self.own[i] / total[0] if total[0] else 0.0)
                 for i in range(len(total))]
 
     def text(self, marginals: list[float]) -> str:
@@ -262,6 +282,20 @@ LISTS = tuple("<ul>" + f"<li><a>{w}</a></li>" * n + "</ul>" for n in (3, 6, 9) f
 SKELETONS += tuple(
     f'<body><{t}>{links}</{t}><div class="ad">S</div><article data-y="1"><h1>W</h1><p><b>S<br></b></p><p>W</p><p>L</p></article><{t}>{links}</{t}>'
     f'<footer>W S</footer></body>' for links in LISTS for t in ("nav", "header", "footer", 'div class="menu"', "div"))
+# Main content that stands directly in the body, tagged or implied (both give the same nodes), with and without boilerplate
+# around, and a body's own short text beside main content.
+TOP = ("L", "S", "L<br><br>S<br>L", "S <b>W</b> S", "<h1>W</h1>S <b>W</b>.<br>S", "<h1>W</h1>L<p>L</p>S<p>S</p>W", "<p>S</p><p>L</p>", "<p>S</p>",
+       "<h1>W</h1><p>L</p><ul><li>S</li><li>W</li></ul><p>S</p>", "<h2>W</h2>W <i>W</i><br>W", "W", "W <b>W</b> W<br>W")
+AROUND = (("", ""), ('<nav data-y="0"><a>W</a><a>W</a></nav>', '<footer data-y="0">W S</footer>'),
+          ('<div class="menu" data-y="0"><a>W</a> <a>W</a></div>', '<div class="footer" data-y="0">S</div>'),
+          ('<header data-y="0"><p>S</p></header><div class="ad" data-y="0">L</div>', '<aside data-y="0"><p>L</p></aside>'),
+          ('<form data-y="0"><p>W</p></form>', '<section class="comments" data-y="0"><p>S</p></section><form data-y="0"><p>S</p></form>'))
+SKELETONS += tuple(f'<body data-y="1">{a}{text}{b}</body>' for text in TOP for a, b in AROUND) + tuple(
+    f'<body>{a}<{main} data-y="1"><h1>W</h1><p>L</p><p>S</p></{main[:7].split()[0]}>{b}</body>' for main in ("article", "main", 'div class="content"')
+    for a, b in (("W", "W"), ("<a>W</a> <a>W</a>", "W W"), ("W <a>W</a>", "<a>W</a>"), ("", "W S"), ("S", ""))) + tuple(
+    f'<body><nav><a>W</a></nav><article data-y="1"><h1>W</h1><p>S</p><p>W</p>{a}</article><footer>W</footer></body>'
+    for a in ('<form data-y="0"><p>W</p></form>', '<form data-y="0"><p>S</p></form>', '<aside data-y="0"><p>W</p></aside><form data-y="0"><p>W</p></form>',
+              '<section class="comments" data-y="0"><p>W</p></section>', '<aside data-y="0"><p>S</p></aside><form data-y="0"><p>S</p></form><p>W</p>'))
 
 
 def labelled_pages(copies: int = 3) -> list[Page]:
