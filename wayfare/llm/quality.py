@@ -3,8 +3,9 @@
 Overlapping heuristics vote good, bad or nothing on every document. Their
 votes are counted by pattern over all documents (a table of at most 3^8 rows),
 and expectation-maximisation estimates from it the share of good documents
-and how each heuristic votes on either kind; that gives a posterior to each
-pattern. A linear scorer on hashed features of the words' shapes and of their
+and how each heuristic votes on bad ones; how it votes on good ones is all but
+fixed by a prior (votes can't tell a misfire from a kind of junk that only one
+heuristic sees). That gives a posterior to each pattern. A linear scorer on hashed features of the words' shapes and of their
 repetition is then fitted to the posteriors of at most ``rows`` documents,
 those with the least hash of their id, and scores all texts whole.
 
@@ -32,7 +33,7 @@ from .common import slices, small_batches
 
 ROWS, LONGEST = 4000, 20_000
 BUCKETS = 1 << 14
-PRIOR_WEIGHT = 20.0       # of the heuristics' prior, as a share of the documents
+PRIOR_WEIGHT = 20.0       # of the heuristics' prior, times all documents: it outweighs the votes
 GOOD, BAD, NONE = 1, 0, 2
 NAMES = ("symbols", "top_word", "capitals", "sentences", "bars", "repeats", "length", "word_length")
 MARKS = b"!#$%&*+/<=>@[\\]^`{|}~"  # fixed value: ASCII marks that prose has few of
