@@ -84,3 +84,29 @@ def test_single_request_tools(spark):
     w = query_weather(spark, live, weather, "东京", "2026-06-20", "2026-06-15").first()
     assert w.source == "database" and w.humidity == 60
     assert query_weather(spark, live, weather, "东京", "2026-06-21", "2026-06-15").count() == 0
+
+
+def test_prompt_parts_join_to_the_prompts(spark):
+    from wayfare.operators.answer import prompt_parts, prompt_rows
+    from wayfare.operators.lookup import with_tickets
+    tickets, weather, live = _tables(spark)
+    tickets = tickets.unionByName(tickets.withColumn("departure_city", F.lit("大阪")))  # a route nobody asks for
+    both = dict(SLOTS, city="东京", fx_date="2026-06-20")
+    reqs = spark.createDataFrame([
+        ("both", Q, _model([], both)), ("again {artifacts}", Q, _model([], both)), ("partial", Q, _model([], both)),
+        ("tickets", "2026-06-20从富山去东京的火车票", _model([], SLOTS)),
+        ("nf", "2026-06-21从富山去东京的火车票", _model([], dict(SLOTS, travel_date="2026-06-21"))),
+        ("clarify", "帮我查一下天气", _model([], {}))], "request_id string, query string, model_output string")
+    faults = spark.createDataFrame([("partial", "ticket_agent", "boom")], "request_id string, agent string, error string")
+    run = lambda **k: route_batch(reqs, tickets, live, weather, faults, "2026-06-15", "2026-06-15T00:00:00", with_data=True, **k)
+    want = {r.request_id: r.prompt for r in prompt_rows(run()).collect()}
+    assert len(want) == 5
+    for rows, most in ((2, 2), (1, 3), (1000, 1)):
+        parts = {}
+        for r in prompt_parts(run(listed=False), tickets, rows).orderBy("request_id", "part_no").collect():
+            parts.setdefault(r.request_id, []).append((r.part_no, r.text))
+        assert {k: "".join(t for _, t in v) for k, v in parts.items()} == want
+        assert [n for n, _ in parts["both"]] == list(range(most + 2)) and [n for n, _ in parts["nf"]] == [0]
+    asked = spark.createDataFrame([("富山", "东京", "2026-06-20")], "a string, b string, c string")
+    plan = with_tickets(asked, tickets, "a", "b", "c")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan  # other routes aren't gathered

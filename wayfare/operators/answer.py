@@ -45,12 +45,17 @@ def _open(obj: Column) -> Column:
     return F.substr(obj, F.lit(1), F.length(obj) - 1)
 
 
-def artifact_json(a: Column) -> Column:
-    """An artifact as JSON, its data in place (null without)."""
+def _around_data(a: Column) -> tuple[Column, Column]:
+    """What stands before and after the data in an artifact's JSON."""
     head = X.json_text({k: a[k] for k in ("artifact_type", "agent", "status")})
     tail = X.json_text({k: a[k] for k in ("summary", "metadata")})
-    return F.concat(_open(head), F.lit(',"data":'), F.coalesce(a["data"], F.lit("null")), F.lit(","),
-                    F.substr(tail, F.lit(2)))
+    return F.concat(_open(head), F.lit(',"data":')), F.concat(F.lit(","), F.substr(tail, F.lit(2)))
+
+
+def artifact_json(a: Column) -> Column:
+    """An artifact as JSON, its data in place (null without)."""
+    before, after = _around_data(a)
+    return F.concat(before, F.coalesce(a["data"], F.lit("null")), after)
 
 
 def _no_rows(template: str, data: Column, **values) -> Column:
@@ -63,8 +68,9 @@ def _missing_data() -> Column:
 
 
 def ticket_artifacts(tasks: DataFrame, tickets: DataFrame, created_at: str,
-                     currency: str = C.DEFAULT_CURRENCY, with_data: bool = True) -> DataFrame:
-    """ART-2: aliases -> missing (failed) -> search -> not_found / success."""
+                     currency: str = C.DEFAULT_CURRENCY, with_data: bool = True, listed: bool = True) -> DataFrame:
+    """ART-2: aliases -> missing (failed) -> search -> not_found / success.
+    Without ``listed`` the data of a success stays NULL (see ``prompt_parts``)."""
     s = task_slots(F.col("slots"), F.col("metadata"), C.TICKET_ALIASES)
     t = tasks.select("*", *[v.alias("t_" + k) for k, v in s.items()])
     t = t.withColumn("missing", _missing({k: F.col("t_" + k) for k in C.TICKET_ALIASES}))
@@ -75,10 +81,11 @@ def ticket_artifacts(tasks: DataFrame, tickets: DataFrame, created_at: str,
            "travel_date": F.col("t_travel_date")}
     data = F.lit(None).cast("string")
     if with_data:
-        looked = L.with_tickets(looked, tickets, "t_departure_city", "t_arrival_city", "t_travel_date")
+        if listed:
+            looked = L.with_tickets(looked, tickets, "t_departure_city", "t_arrival_city", "t_travel_date")
         data = (F.when(has_missing, _missing_data())
                 .when(F.col("ticket_count") == 0, _no_rows(C.TICKET_NO_ROWS, F.lit("[]"), **key))
-                .otherwise(F.col("tickets")))
+                .otherwise(F.col("tickets") if listed else data))
     looked = looked.unionByName(t.where(has_missing), allowMissingColumns=True)
     status = (F.when(has_missing, F.lit("failed"))
               .when(F.col("ticket_count") == 0, F.lit("not_found")).otherwise(F.lit("success")))
@@ -118,14 +125,15 @@ def weather_artifacts(tasks: DataFrame, live: DataFrame, weather: DataFrame, as_
 
 def route_batch(requests: DataFrame, tickets: DataFrame, live: DataFrame, weather: DataFrame,
                 faults: DataFrame, as_of: str, created_at: str, live_enabled: bool = True,
-                with_data: bool = False) -> DataFrame:
+                with_data: bool = False, listed: bool = True) -> DataFrame:
     """RES-2: requests -> analysis (written once) -> both lookups -> status.
 
     Requests that need clarification or name no agent stop before the
     lookups (filtered, like the reference's early return). Each called agent
     becomes a task row; a transport fault (``faults``: request_id, agent,
     error) replaces that agent's artifact with an error (JON-9). Artifacts and
-    errors of a request are in agent order; ``with_data`` lists the tickets.
+    errors of a request are in agent order; ``with_data`` lists the tickets
+    (not those found, if not ``listed``).
     """
     # The analysis feeds three branches (weather tasks, ticket tasks, the
     # final status); write it once to the shared checkpoint folder instead
@@ -142,7 +150,7 @@ def route_batch(requests: DataFrame, tickets: DataFrame, live: DataFrame, weathe
     t_tasks = base.filter(F.array_contains("required_agents", "ticket_agent")).drop("required_agents")
     w = weather_artifacts(w_tasks, live, weather, as_of, created_at, live_enabled).select(
         "request_id", F.lit("weather_agent").alias("agent"), F.lit(0).alias("agent_pos"), "artifact")
-    t = ticket_artifacts(t_tasks, tickets, created_at, with_data=with_data).select(
+    t = ticket_artifacts(t_tasks, tickets, created_at, with_data=with_data, listed=listed).select(
         "request_id", F.lit("ticket_agent").alias("agent"), F.lit(1).alias("agent_pos"), "artifact")
     calls = w.unionByName(t).join(faults, ["request_id", "agent"], "left")
     # AGG-9: per request, artifacts of the calls that returned, in agent order.
@@ -183,16 +191,52 @@ def route_batch(requests: DataFrame, tickets: DataFrame, live: DataFrame, weathe
         arts.alias("artifacts"))
 
 
+def _analysis(slots: Column) -> Column:
+    return X.json_text({"intent": "intent", "required_agents": "required_agents", "slots": slots,
+                        "missing_slots": "missing_slots", "need_clarification": "need_clarification",
+                        "clarification_question": "clarification_question"})
+
+
+def _slots() -> Column:
+    slots = F.create_map(*[x for n in C.SLOT_NAMES for x in (F.lit(n), F.col(f"slot_{n}"))])
+    return F.map_filter(slots, lambda k, v: v.isNotNull())
+
+
 def prompt_rows(batch: DataFrame) -> DataFrame:
     """SNK-6: the final-answer prompt per request that got artifacts
     (success or partial_success), for offline inference: query, analysis and
     artifacts with their data, as compact JSON. Needs ``with_data``."""
-    slots = F.create_map(*[x for n in C.SLOT_NAMES for x in (F.lit(n), F.col(f"slot_{n}"))])
-    analysis = X.json_text({"intent": "intent", "required_agents": "required_agents",
-                            "slots": F.map_filter(slots, lambda k, v: v.isNotNull()),
-                            "missing_slots": "missing_slots", "need_clarification": "need_clarification",
-                            "clarification_question": "clarification_question"})
     artifacts = F.concat(F.lit("["), F.array_join(F.transform("artifacts", artifact_json), ","), F.lit("]"))
-    prompt = X.render(C.FINAL_PROMPT, query=F.col("query"), analysis=analysis, artifacts=artifacts)
+    prompt = X.render(C.FINAL_PROMPT, query=F.col("query"), analysis=_analysis(_slots()), artifacts=artifacts)
     return (batch.filter(F.col("status").isin("success", "partial_success"))
             .select("request_id", prompt.alias("prompt")))
+
+
+def prompt_parts(batch: DataFrame, tickets: DataFrame, rows: int = L.BLOCK_ROWS) -> DataFrame:
+    """The texts of ``prompt_rows`` as ordered parts (request_id, part_no,
+    text), at most ``rows`` tickets in each: a route-day's list is never in
+    one row. Needs a batch with data that isn't ``listed``; parts are copied
+    to every request of a route-day, so a hot one can be split by AQE."""
+    before, _, after = C.FINAL_PROMPT.partition("{artifacts}")
+    text = lambda t: X.render(t, query=F.col("query"), analysis=_analysis(_slots()))
+    is_list = lambda a: (a["agent"] == "ticket_agent") & (a["status"] == "success")
+    mine = F.try_element_at(F.filter("artifacts", is_list), F.lit(1))
+    others = F.transform(F.filter("artifacts", lambda a: ~is_list(a)), artifact_json)  # the ticket agent comes last
+    head, tail = _around_data(mine)
+    key = task_slots(_slots(), F.create_map().cast("map<string,string>"), C.TICKET_ALIASES)
+    start = F.concat(text(before), F.lit("["), F.array_join(others, ","))
+    end = F.concat(F.lit("]"), text(after))
+    base = cut_lineage(batch.filter(F.col("status").isin("success", "partial_success")).select(
+        "request_id", key["departure_city"].alias("departure_city"), key["arrival_city"].alias("arrival_city"),
+        X.strict_date(key["travel_date"]).alias("__day"), mine.isNotNull().alias("__list"),
+        F.when(mine.isNull(), F.concat(start, end))
+        .otherwise(F.concat(start, F.when(F.size(others) > 0, F.lit(",")).otherwise(F.lit("")), head, F.lit("["))).alias("__start"),
+        F.concat(F.lit("]"), tail, end).alias("__end")))
+    asks = base.filter("__list")
+    blocks = cut_lineage(L.ticket_blocks(L.requested_tickets(asks, tickets, "departure_city", "arrival_city"), rows))
+    ends = blocks.groupBy(*L.ROUTE_DAY).agg((F.max("block") + 1).alias("part_no"))
+    comma = F.when(F.col("block") > 1, F.lit(",")).otherwise(F.lit(""))
+    return (base.select("request_id", F.lit(0).cast("long").alias("part_no"), F.col("__start").alias("text"))
+            .unionByName(asks.join(blocks, L.ROUTE_DAY).select("request_id", F.col("block").alias("part_no"),
+                                                               F.concat(comma, "text").alias("text")))
+            .unionByName(asks.join(ends, L.ROUTE_DAY).select("request_id", "part_no", F.col("__end").alias("text"))))

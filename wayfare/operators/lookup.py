@@ -21,6 +21,7 @@ TICKET_ORDER = ["departure_time", "train_number", "seat_type", "arrival_time", "
 LIVE_COLUMNS = ["city", "fx_date", "temp_max", "temp_min", "text_day", "text_night", "precip", "wind_speed_day",
                 "wind_dir_day", "source"]
 ROUTE_DAY = ["departure_city", "arrival_city", "__day"]
+BLOCK_ROWS = 1000  # tickets of one part of a prompt
 
 
 def _with_day(tickets: DataFrame) -> DataFrame:
@@ -33,6 +34,12 @@ def ranked_tickets(tickets: DataFrame) -> DataFrame:
     return rank_in_group(t, ROUTE_DAY, TICKET_ORDER, "rank")
 
 
+def requested_tickets(req: DataFrame, tickets: DataFrame, dep: str, arr: str) -> DataFrame:
+    """The tickets of the routes and days (``__day``) of the requests."""
+    asked = req.select(F.col(dep).alias("departure_city"), F.col(arr).alias("arrival_city"), "__day").distinct()
+    return _with_day(tickets).join(asked, ROUTE_DAY, "left_semi")
+
+
 def search_tickets(requests: DataFrame, tickets: DataFrame, dep: str = "departure_city",
                    arr: str = "arrival_city", date: str = "travel_date") -> DataFrame:
     """JON-1 + FLT-1: every ticket of the requested route and day, ranked.
@@ -44,10 +51,8 @@ def search_tickets(requests: DataFrame, tickets: DataFrame, dep: str = "departur
     join's right side.
     """
     req = requests.withColumn("__day", X.strict_date(date))
-    asked = req.select(F.col(dep).alias("departure_city"), F.col(arr).alias("arrival_city"), "__day").distinct()
-    wanted = _with_day(tickets).join(asked, ROUTE_DAY, "left_semi")
     names = dict(zip(ROUTE_DAY, ["__dep", "__arr", "__tday"]))
-    rt = ranked_tickets(wanted).withColumnsRenamed(names)
+    rt = ranked_tickets(requested_tickets(req, tickets, dep, arr)).withColumnsRenamed(names)
     cond = (req[dep] == F.col("__dep")) & (req[arr] == F.col("__arr")) & (req["__day"] == F.col("__tday"))
     known = _with_day(tickets).select(*ROUTE_DAY).distinct().withColumnsRenamed(names)
     return (req.join(rt, cond).unionByName(req.join(known, cond, "left_anti"), allowMissingColumns=True)
@@ -64,7 +69,8 @@ def route_day_tickets(tickets: DataFrame) -> DataFrame:
     """AGG-10: the ordered tickets of a (route, day) as one JSON list.
 
     A row holds what one answer about that route and day shows, so use it
-    where that text is wanted (prompts) and ``search_tickets`` elsewhere.
+    where that text is wanted in one piece, ``ticket_blocks`` where a route
+    may be hot and ``search_tickets`` elsewhere.
     """
     t = _with_day(tickets)
     cols = [*TICKET_ORDER, *[c for c in C.TICKET_SEARCH_COLUMNS if c not in TICKET_ORDER]]
@@ -74,10 +80,24 @@ def route_day_tickets(tickets: DataFrame) -> DataFrame:
         {"ignoreNullFields": "false"}).alias("tickets"))
 
 
+def ticket_blocks(tickets: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+    """AGG-10 in pieces: the list of ``route_day_tickets`` as ``block`` 1, 2, ..
+    of at most ``rows`` tickets and its ``text`` (objects joined by commas,
+    without the brackets), so that no task gathers a hot route."""
+    one = F.to_json(F.struct(*[v.alias(k) for k, v in ticket_fields(F.struct(*C.TICKET_SEARCH_COLUMNS)).items()]),
+                    {"ignoreNullFields": "false"})
+    t = ranked_tickets(tickets).select(*ROUTE_DAY, "rank", one.alias("__j"),
+                                       F.expr(f"(rank - 1) div {int(rows)} + 1").alias("block"))
+    listed = F.array_sort(F.collect_list(F.struct("rank", "__j")))
+    return t.groupBy(*ROUTE_DAY, "block").agg(listed.alias("__l")).select(
+        *ROUTE_DAY, "block", F.array_join(F.transform("__l", lambda x: x["__j"]), ",").alias("text"))
+
+
 def with_tickets(requests: DataFrame, tickets: DataFrame, dep: str, arr: str, date: str) -> DataFrame:
-    """The requests and their route-day's JSON list (``tickets``, NULL without one)."""
+    """The requests and their route-day's JSON list (``tickets``, NULL without
+    one). Only tickets of a requested route and day are listed."""
     req = requests.withColumn("__day", X.strict_date(date))
-    rows = route_day_tickets(tickets).toDF("__dep", "__arr", "__tday", "tickets")
+    rows = route_day_tickets(requested_tickets(req, tickets, dep, arr)).toDF("__dep", "__arr", "__tday", "tickets")
     return (req.join(rows, (req[dep] == F.col("__dep")) & (req[arr] == F.col("__arr"))
                      & (req["__day"] == F.col("__tday")), "left").drop("__dep", "__arr", "__tday", "__day"))
 
