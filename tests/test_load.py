@@ -89,3 +89,30 @@ def test_quoted_csv_cells(spark, tmp_path):
     (tmp_path / "t.csv").write_text(",".join(cells) + "\n" + ",".join(row) + "\n", encoding="utf-8")
     got = read_contract(spark, str(tmp_path / "t.csv"), "train_tickets").collect()
     assert [(r.departure_city, r.arrival_city, r.train_number) for r in got] == [('A, "x"', "B\nC", 'K "508"')]
+
+
+def test_ingest_reads_both_contracts(spark):
+    from wayfare.operators.load import ingest
+    d = tempfile.mkdtemp(prefix="wayfare-csv-")
+    _csv(d, "train_tickets_20260101.csv", [ROW])
+    header = ",".join(C.WEATHER_COLUMNS)
+
+    def day(**cells):
+        return ",".join(str(cells.get(c, "")) for c in C.WEATHER_COLUMNS)
+
+    _csv(d, "weather_data_20251231.csv", [day(city="old", fx_date="2026-06-20")], header=header)
+    _csv(d, "weather_data_20260101.csv", [
+        day(city="東京", fx_date="2026-06-20", temp_max=20, precip="0.5", update_time="2026-06-19 08:00:00"),
+        day(city="東京 ", fx_date="2026-06-20", temp_max=25, sunrise="04:25:00"), day(city="富山", fx_date="2026-06-21", humidity=60),
+        day(city="富山", fx_date="2026-6-2x"), day(fx_date="2026-06-20"), day(city="富山", fx_date="2026-06-22", temp_max="warm")],
+        bom=True, header=header)
+    first = ingest(spark, d, {})
+    assert set(first) == {"train_tickets", "weather_data"} and first["train_tickets"][0].count() == 1
+    weather, report = first["weather_data"]
+    assert sorted((r.city, str(r.fx_date), r.temp_max, r.sunrise, r.precip, r.humidity) for r in weather.collect()) == [
+        ("富山", "2026-06-21", None, None, None, 60), ("東京", "2026-06-20", 25, "04:25:00", None, None)]
+    assert tuple(report.first()) == ("weather_data", "weather_data_20260101.csv", 6, 3, 0, 2, 2, 0)
+    again = ingest(spark, d, {n: t for n, (t, _) in first.items()})
+    assert tuple(again["weather_data"][1].first())[4:] == (2, 2, 0, 2)
+    with pytest.raises(FileNotFoundError):
+        ingest(spark, tempfile.mkdtemp(prefix="wayfare-csv-"), {})

@@ -16,6 +16,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfare import contracts as C
+from wayfare.sources.files import accepted, newest_snapshot, read_contract
+
 
 def latest_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """WIN-3: keep, per key, the row with the greatest ``order`` (all columns)."""
@@ -60,6 +63,28 @@ def load_report(table_name: str, file_name: str, read: DataFrame, before: DataFr
         (n_after - n_before).alias("inserted"), n_upd.alias("updated"))
 
 
+def ingest(spark: SparkSession, data_dir: str, existing: dict[str, DataFrame]) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """ING-1: per table of the contracts that has a snapshot in ``data_dir``,
+    the table after the upsert of the newest one onto ``existing`` (empty if
+    not given), and its load report. A table without a snapshot doesn't stop
+    the others; ``publish`` writes the results at once."""
+    out = {}
+    for name, spec in C.TABLES.items():
+        newest = newest_snapshot(spark, data_dir, spec["pattern"], required=False)
+        if newest is None:
+            continue
+        read = read_contract(spark, newest, name)
+        incoming = accepted(read)
+        before = existing.get(name)
+        if before is None:
+            before = spark.createDataFrame([], incoming.drop("__order").schema)
+        after = upsert(before, incoming, spec["key"], ["__order"])
+        out[name] = after, load_report(name, newest.rstrip("/").rsplit("/", 1)[-1], read, before, after, spec["key"])
+    if not out:
+        raise FileNotFoundError(f"no snapshot of any table in {data_dir}")
+    return out
+
+
 def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> str:
     """SNK-3: write every table under a fresh version folder, then the manifest.
 

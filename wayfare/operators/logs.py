@@ -55,14 +55,21 @@ def open_attempts(logs: DataFrame) -> DataFrame:
 
 def trace_outcome(logs: DataFrame) -> DataFrame:
     """LOG-4: the last ``route_query_done`` status; else need_clarification if
-    the trace asked for it; else open. (Clarification and no-agent returns log
-    no done event, see X11.)"""
+    the trace asked for it; else no_supported_agent if its last analysis names
+    no supported agent; else open. (Clarification and no-agent returns log no
+    done event, see X11.) An analysis event without a list of agents says
+    nothing."""
     t = logs.filter(F.col("trace_id").isNotNull())
     done = F.when(F.col("event") == "route_query_done", F.struct("time", "status"))
+    supported = F.arrays_overlap(F.array_compact("required_agents"), F.array(*[F.lit(a) for a in C.SUPPORTED_AGENTS]))
+    analysis = F.when((F.col("event") == "route_analysis_done") & F.col("required_agents").isNotNull(),
+                      F.struct("time", supported.alias("supported")))
     g = t.groupBy("trace_id").agg(
+        F.max(analysis).alias("__analysis"),
         F.max(done).alias("__done"),
         F.max(F.col("event") == "route_need_clarification").alias("__clar"),
         F.count(F.lit(1)).alias("events"))
     return g.select("trace_id", F.coalesce(F.col("__done.status"),
                                            F.when(F.col("__clar"), F.lit("need_clarification")),
+                                           F.when(~F.col("__analysis.supported"), F.lit("no_supported_agent")),
                                            F.lit("open")).alias("outcome"), "events")
