@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 
 import pytest
 
@@ -144,6 +145,32 @@ def test_decontamination(spark):
         assert {x.doc_id for x in decontaminate.clean(df, bench, block=block).collect()} == {0, 1, 2, 5, 7}
 
 
+def test_repeated_rows_stay_bounded(spark, monkeypatch):
+    r = random.Random(8)
+    item, other = sentence(r, 30), sentence(r, 30)
+    bench = spark.createDataFrame([(1, item)] * 40 + [(2, other), (5, "..."), (None, item), (None, item)], "item_id long, text string")
+    assert sorted(len(b) for b, _ in decontaminate._blocks(bench, "item_id", "text", 1 << 20)) == [4]
+    docs = spark.createDataFrame([(1, f"x {item} y"), (2, other)], "doc_id long, text string")
+    for block in (10, 1 << 20):
+        got = [(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs, bench, block=block).collect()]
+        assert sorted(got, key=str) == [(1, 1)] * 40 + [(1, None)] * 2 + [(2, 2)]
+
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda texts, target: seen.append(texts) or (quality.np.zeros(quality.BUCKETS), 0.0))
+    rows = [(None, "one text " * 5)] * 300 + [(k, sentence(r, 9)) for k in range(100)]
+    quality.quality(spark.createDataFrame(rows, "doc_id long, text string"), rows=50)
+    quality.quality(spark.createDataFrame(rows[300:], "doc_id long, text string"), rows=500)
+    assert len(seen[0]) <= 50 and seen[1] == sorted(t for _, t in rows[300:])
+
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, rate: seen.append((texts, labels)))
+    ids = [k for k in range(60) if zlib.crc32(str(k).encode()) % 4 != 2][:3]
+    rows = [(ids[0], sentence(r, 9)) for _ in range(300)] + [(ids[1], "plain words"), (ids[2], "plain words"), (ids[2], "more")]
+    toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"),
+                   spark.createDataFrame([(ids[0], 1), (ids[1], 1), (ids[2], 0)], "doc_id long, toxic int"), rows=10)
+    texts, labels = seen[-1]
+    assert texts == sorted(set(texts)) and labels.count(1) == 10 and [t for t, y in zip(texts, labels) if not y] == ["more"]
+
+
 def test_toxicity(spark):
     r = random.Random(4)
     rows, labels = [], []

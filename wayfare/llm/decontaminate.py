@@ -76,11 +76,12 @@ class Seeds:
 
 class Benchmark:
     def __init__(self, rows: list[tuple[int, str]]):
-        self.ids, self.items, self.vocab = [], [], {}
-        for i, text in rows:
+        self.ids, self.rows, self.items, self.vocab = [], [], [], {}
+        for k, (i, text) in enumerate(rows):
             w = words(text)
             if w:
                 self.ids.append(i)
+                self.rows.append(k)
                 self.items.append(np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], np.uint64))
         by_width: dict[int, list[int]] = {}
         for i, item in enumerate(self.items):
@@ -134,14 +135,17 @@ def tiling(doc: np.ndarray, item: np.ndarray, places: list[tuple[int, int]], wid
     return int(item_used.sum()), tiles
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int) -> Iterator[list[tuple[int, str]]]:
-    """The items, in blocks of about ``block`` words at most (or one item)."""
-    rows = benchmark.select(F.col(item_col).alias("_w_id"), F.col(text_col).alias("_w_text")).where("_w_text is not null")
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int) -> Iterator[tuple[list[tuple[int, str]], list[int]]]:
+    """The items, equal ones once, and how many rows each has, in blocks of
+    about ``block`` words at most (or one item)."""
+    rows = (benchmark.select(F.col(item_col).alias("_w_id"), F.col(text_col).alias("_w_text")).where("_w_text is not null")
+            .groupBy("_w_id", "_w_text").agg(F.count("*").alias("_w_n")))
     total = rows.agg(F.sum(F.size(F.split("_w_text", r"\s+")))).first()[0] or 0
     n = -(-2 * total // block) if total > block else 1
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("_w_id", "_w_text"), F.lit(n)) == k)
-        yield [tuple(r) for r in part.orderBy("_w_id", "_w_text").collect()]
+        got = part.orderBy("_w_id", "_w_text").collect()
+        yield [(r[0], r[1]) for r in got], [r[2] for r in got]
 
 
 def _per_worker(shared) -> Benchmark:
@@ -160,10 +164,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """A row for each document and item with coverage of ``threshold`` or more."""
     texts = small_batches(docs).select(F.col(id_col).cast("bigint").alias("_w_id"), F.col(text_col).alias("_w_text"))
     out = None
-    for rows in _blocks(benchmark, item_col, item_text, block):
+    for rows, times in _blocks(benchmark, item_col, item_text, block):
         shared = docs.sparkSession.sparkContext.broadcast(rows)
+        repeats = {k: n for k, n in enumerate(times) if n > 1}
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, repeats=repeats) -> Iterator[pa.RecordBatch]:
             bench = _per_worker(shared)
             for batch in slices(batches):
                 found = []
@@ -171,13 +176,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     for item, n, tiles in bench.covered(text):
                         size = len(bench.items[item])
                         if n >= threshold * size:
-                            found.append((i, bench.ids[item], size, n, tiles, n / size))
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
-                columns = zip(*found) if found else [()] * 6
+                            found.append((i, bench.ids[item], size, n, tiles, n / size, repeats.get(bench.rows[item], 1)))
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64())
+                columns = zip(*found) if found else [()] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                                 names=[f.split()[0] for f in SCHEMA.split(", ")])
+                                                 names=[*(f.split()[0] for f in SCHEMA.split(", ")), "_w_n"])
 
-        part = texts.mapInArrow(run, SCHEMA)
+        part = texts.mapInArrow(run, f"{SCHEMA}, _w_n bigint")
+        if repeats:  # a row for each row of the benchmark
+            part = part.withColumn("_w_k", F.explode(F.sequence(F.lit(1).cast("long"), "_w_n"))).drop("_w_k")
+        part = part.drop("_w_n")
         out = part if out is None else out.unionByName(part)
     return out.withColumnsRenamed({"doc_id": id_col, "item_id": item_col})
 
@@ -186,7 +194,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
           item_text: str = "text", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, with all their columns."""
     at = docs.columns.index(text_col)
-    for rows in _blocks(benchmark, item_col, item_text, block):
+    for rows, _ in _blocks(benchmark, item_col, item_text, block):
         shared = docs.sparkSession.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, small_batches
+from .common import slices, small_batches, stage
 
 ROWS, LONGEST = 2000, 20_000
 BUCKETS, DIM, WINDOW = 1 << 18, 8, 4
@@ -202,9 +202,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("_w_id"), F.col(text_col).alias("_w_text")).where(F.length("_w_text") <= longest)
     picked = [known.where(F.col("_w_y") == y).orderBy(F.xxhash64("_w_id"), "_w_id").limit(rows) for y in (0, 1)]
     few = picked[0].unionByName(picked[1])  # at most 2 * rows ids and labels
-    got = texts.join(F.broadcast(few), "_w_id").select("_w_text", "_w_y").collect()
-    unique = {r[0]: r[1] for r in sorted(got, key=lambda r: (r[0], r[1]))}
-    return fit(list(unique), list(unique.values()), rates)
+    # repeated ids may bring any number of rows: equal texts are one, toxic if any is, and at most ``rows`` of a class come here
+    found = stage(texts.join(F.broadcast(few), "_w_id").groupBy("_w_text").agg(F.max("_w_y").alias("_w_y")))
+    got = [tuple(r) for y in (0, 1)
+           for r in found.where(F.col("_w_y") == y).orderBy(F.xxhash64("_w_text"), "_w_text").limit(rows).collect()]
+    return fit(*map(list, zip(*sorted(got))), rates) if got else fit([], [], rates)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
