@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,19 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
+def light_slices(batches: Iterator[pa.RecordBatch], column: str, rows: int = 500,
+                 most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``most`` bytes in ``column``, or of one row."""
+    for batch in slices(batches, rows):
+        start, held = 0, 0
+        for at, size in enumerate(pc.binary_length(batch.column(column)).fill_null(0).to_pylist()):
+            if held + size > most and at > start:
+                yield batch.slice(start, at - start)
+                start, held = at, 0
+            held += size
+        yield batch.slice(start)
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``; whole texts then go to Python 500 rows at a time, which bounds
     the memory of both sides. A session's own setting is left alone."""
