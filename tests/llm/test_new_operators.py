@@ -198,3 +198,44 @@ def test_token_counts_of_a_small_vocabulary():
         assert len(again.words) <= 5
     finally:
         token_count.WORDS = kept
+
+
+@pytest.fixture(scope="module")
+def codec():
+    import public_tokenizers
+    from wayfare.llm import bpe
+    with open(bpe.VOCABULARY, "rb") as f:
+        return bpe.Codec(f.read(), public_tokenizers.PATTERN)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(list("  aeinrst\n\t'12.,!é²日 \x1c\x85")), st.characters(exclude_categories=["Cs"])), max_size=60))
+def test_byte_bpe_of_any_text(codec, text):
+    import public_tokenizers
+    import tiktoken
+    global _TIKTOKEN
+    if "_TIKTOKEN" not in globals():
+        _TIKTOKEN = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.rank, special_tokens={})
+    assert np.frombuffer(codec.encode(text), np.int32).tolist() == _TIKTOKEN.encode_ordinary(text)
+
+
+def test_neighbours_agree_as_the_merges_say(codec):
+    def merged(data):
+        parts = [data[i:i + 1] for i in range(len(data))]
+        while len(parts) > 1:
+            low = min(codec.rank.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:]))
+            if low == 1 << 60:
+                break
+            i = next(i for i, (a, b) in enumerate(zip(parts, parts[1:])) if codec.rank.get(a + b) == low)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        return parts
+
+    r = random.Random(6)
+    tokens = [t for t in codec.token if len(codec.token[t]) < 9]
+    agreed = 0
+    for _ in range(20_000):
+        a, b = r.choice(tokens), r.choice(tokens[:r.choice([200, 3000, len(tokens)])])
+        want = merged(codec.token[a] + codec.token[b]) == [codec.token[a], codec.token[b]]
+        assert codec.fits(a << 32 | b) == want
+        agreed += want
+    assert 2000 < agreed < 19_500

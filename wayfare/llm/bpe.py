@@ -17,22 +17,28 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from itertools import islice
 
 import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, small_batches
+from .common import small_batches
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-PIECES = 150_000     # pieces remembered by a worker
-PAIRS = 300_000      # pairs of tokens
-LONG = 48            # longer pieces aren't remembered
+WORDS = 500_000      # words remembered by a worker
+PIECES = 200_000     # pieces of words
+PAIRS = 500_000      # pairs of tokens
+LONG = 48            # longer pieces and words aren't remembered
+STOPS = ".,;:!?"
+WHITE = regex.compile(r"\s").match
 
 
 def ranks(lines: bytes) -> dict[bytes, int]:
@@ -40,20 +46,21 @@ def ranks(lines: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines()) if a}
 
 
-class Pieces(dict):
-    """Packed ids of a match of the pattern; a whole token stays whole."""
+class Memo(dict):
+    """Values made when first asked for. The older half is forgotten when
+    there are too many; long texts, and those with an end that is quickly
+    put to the rest, aren't kept."""
 
-    def __init__(self, codec: Codec):
-        self.codec = codec
+    def __init__(self, make: Callable, most: int, ends: str = ""):
+        self.make, self.most, self.ends = make, most, ends
 
-    def __missing__(self, text: str) -> bytes:
-        data = text.encode()
-        rank = self.codec.rank.get(data)
-        got = array("i", self.codec.split(data) if rank is None else (rank,)).tobytes()
-        if len(text) <= LONG:
-            if len(self) > PIECES:
-                self.clear()
-            self[text] = got
+    def __missing__(self, key):
+        got = self.make(key)
+        if not isinstance(key, str) or (len(key) <= LONG and key[-1:] not in self.ends):
+            if len(self) >= self.most:
+                for old in list(islice(self, self.most // 2)):
+                    del self[old]
+            self[key] = got
         return got
 
 
@@ -64,79 +71,131 @@ class Codec:
         self.rank = ranks(lines)
         self.token = dict(zip(self.rank.values(), self.rank))
         self.find = regex.compile(pattern).findall
+        # no match of the pattern goes on from another character to a space
+        self.by_words = pattern == public_tokenizers.PATTERN
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for token, rank in self.rank.items():
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
         self.size = {r: len(t) for t, r in self.rank.items()}
-        self.shorter: dict[int, int] = {}
-        self.agree: dict[int, bool] = {}
-        self.pieces = Pieces(self)
-
-    def merged(self, data: bytes) -> list[int]:
-        """The merges as defined: the lowest rank first, the leftmost of equals."""
+        self.most = max(self.size.values())
+        self.halves = Memo(self.half, 1 << 62)     # of tokens: as many as there are
+        self.shorter = Memo(self.next_shorter, 1 << 62)
+        self.agree = Memo(self.fits, PAIRS)
+        self.pieces = Memo(self.piece, PIECES)
+        self.words = Memo(self.word, WORDS, STOPS)
+
+    def half(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that the last merge of a token joins, itself twice
+        for a byte, None if merges don't lead to it: the lowest rank first,
+        the leftmost of equals."""
+        data = self.token[token]
         parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > 2:
             ranks = [self.rank.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:])]
             low = min(ranks)
-            if low == 1 << 60:
-                break
+            if low >= token:
+                return None
             i = ranks.index(low)
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
-        return [self.rank[p] for p in parts]
-
-    def fits(self, last: int, token: int) -> bool:
-        """Whether ``token`` may follow ``last`` (-1: stand at the start)."""
-        key = last << 32 | token
-        known = self.agree.get(key)
-        if known is None:
-            if len(self.agree) > PAIRS:
-                self.agree.clear()
-            before = [last] if last >= 0 else []
-            data = b"".join(self.token[t] for t in (*before, token))
-            known = self.agree[key] = self.merged(data) == [*before, token]
-        return known
+        return self.rank[parts[0]], self.rank[parts[-1]]
+
+    def fits(self, key: int) -> bool:
+        """Whether a token may follow another (-1: stand at the start).
+
+        The merges that made the two are taken back in turn, the latest
+        first. Whatever then touches at the seam must not have been merged
+        across it before the token that was taken back was made."""
+        left, right = key >> 32, key & 0xFFFFFFFF
+        halves, token, rank = self.halves, self.token, self.rank
+        if left < 0:
+            return halves[right] is not None
+        if halves[left] is None or halves[right] is None:
+            return False
+        made = 1 << 60        # rank of the merge taken back last
+        on_left = True        # ... was it left of the seam
+        while True:
+            across = rank.get(token[left] + token[right], 1 << 60)
+            # of equal ranks the leftmost merge comes first
+            if across < made or (across == made and not on_left):
+                return False
+            ends = halves[left][1] if len(token[left]) > 1 else -1
+            begins = halves[right][0] if len(token[right]) > 1 else -1
+            if ends < 0 and begins < 0:
+                return True
+            if begins < 0 or (ends >= 0 and left > right):
+                made, on_left, left = left, True, ends
+            else:
+                made, on_left, right = right, False, begins
 
     def next_shorter(self, token: int) -> int:
         """The longest token that ``token`` starts with, or -1."""
-        if token not in self.shorter:
-            data = self.token[token]
-            self.shorter[token] = next((self.rank[data[:n]] for n in range(len(data) - 1, 0, -1) if data[:n] in self.rank), -1)
-        return self.shorter[token]
+        data = self.token[token]
+        return next((self.rank[data[:n]] for n in range(len(data) - 1, 0, -1) if data[:n] in self.rank), -1)
+
+    def longest(self, latin: str, at: int) -> int:
+        get = self.automaton.get
+        n = self.automaton.longest_prefix(latin[at:at + self.most])
+        return next((t for k in range(n, 0, -1) if (t := get(latin[at:at + k], -1)) >= 0), -1)
 
     def split(self, piece: bytes) -> list[int]:
         latin = piece.decode("latin-1")
-        known, last, out = self.agree.get, -1, []
-        for _, token in self.automaton.iter_long(latin):  # the longest at each place, from the left
-            if not (known(last << 32 | token) or self.fits(last, token)):
-                return self.backtrack(latin)
+        size, agree, shorter = self.size, self.agree, self.shorter
+        out, at, last, found = [], 0, -1, {}
+        for end, token in self.automaton.iter_long(latin):  # the longest at each place, from the left
+            if not agree[last << 32 | token]:
+                found[at] = token
+                break
             out.append(token)
-            last = token
-        return out
-
-    def backtrack(self, latin: str) -> list[int]:
-        size, known = self.size, self.agree.get
-        longest = array("i", [-1]) * len(latin)
-        for end, token in self.automaton.iter(latin):
-            longest[end + 1 - size[token]] = token  # later ends are longer
-        closed = bytearray(len(latin) + 1)
-        out, at, last = [], 0, -1
+            at, last = end + 1, token
+        closed = set()
         while at < len(latin):
-            token = longest[at]
-            while token >= 0 and (closed[at + size[token]] or not (known(last << 32 | token) or self.fits(last, token))):
-                token = self.next_shorter(token)
+            token = found.get(at)
+            if token is None:
+                token = found[at] = self.longest(latin, at)
+            while token >= 0 and (at + size[token] in closed or not agree[last << 32 | token]):
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at += size[token]
                 last = token
             else:
-                closed[at] = 1
-                at -= size[out.pop()]
+                closed.add(at)
+                last = out.pop()
+                at -= size[last]
+                found.setdefault(at, last)
                 last = out[-1] if out else -1
         return out
 
+    def piece(self, text: str) -> bytes:
+        """Packed ids of a match of the pattern; a whole token stays whole."""
+        data = text.encode()
+        rank = self.rank.get(data)
+        return array("i", self.split(data) if rank is None else (rank,)).tobytes()
+
+    def matches(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+
+    def word(self, word: str) -> bytes | None:
+        """Packed ids of a space and a word; None if white space ends it, as
+        the next space may then belong to it."""
+        core = word.rstrip(STOPS)
+        if core.isalpha() and max(core) < "\u0250":  # one match, and another one of marks
+            if core == word:
+                return self.piece(" " + word)
+            return self.words[core] + self.pieces[word[len(core):]]
+        return None if not word or WHITE(word[-1]) else self.matches(" " + word)
+
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.find(text or "")))
+        if not text:
+            return b""
+        first, *words = text.split(" ") if self.by_words else [text]
+        try:
+            if not first or WHITE(first[-1]):
+                return self.matches(text)
+            return self.matches(first) + b"".join(map(self.words.__getitem__, words))
+        except TypeError:  # a word ends with white space
+            return self.matches(text)
 
 
 _codecs: dict[tuple[int, str], Codec] = {}
@@ -160,17 +219,6 @@ def _tokens_of(lines: bytes) -> dict[int, bytes]:
     return _tokens[key]
 
 
-def _with_column(df: DataFrame, name: str, kind: T.DataType, source: str, make: Callable) -> DataFrame:
-    """``df`` and a column that ``make(array)`` gives for that of ``source``."""
-    at = df.columns.index(source)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns, make(batch.column(at))], names=[*batch.schema.names, name])
-
-    return small_batches(df).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, kind)]))
-
-
 def _shared(df: DataFrame, path: str):
     """The vocabulary file, of fixed size, for all executors."""
     with open(path, "rb") as f:
@@ -182,22 +230,24 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", vocabula
     """``df`` with the token ids of each text, an array of int."""
     lines = _shared(df, vocabulary)
 
-    def make(texts: pa.Array) -> pa.Array:
-        codec = _codec(lines.value, pattern)
-        packed = [codec.encode(t) for t in texts.to_pylist()]
+    # called non-deterministic, so that decode reads its column instead of calling it again
+    def ids(texts: pa.Array) -> pa.Array:
+        packed = [*map(_codec(lines.value, pattern).encode, texts.to_pylist())]
         ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
         return pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(packed), np.int32)))
 
-    return _with_column(df, ids_col, T.ArrayType(T.IntegerType()), text_col, make)
+    made = F.arrow_udf(ids, T.ArrayType(T.IntegerType())).asNondeterministic()
+    return small_batches(df).withColumn(ids_col, made(F.col(f"`{text_col}`")))
 
 
 def decode(df: DataFrame, ids_col: str = "ids", bytes_col: str = "decoded", vocabulary: str = VOCABULARY) -> DataFrame:
     """``df`` with the bytes that each array of ids stands for (null: none)."""
     lines = _shared(df, vocabulary)
 
-    def make(ids: pa.Array) -> pa.Array:
-        token = _tokens_of(lines.value).__getitem__
-        return pa.array([b"".join(map(token, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else b""
-                         for x in ids], pa.binary())
+    @F.arrow_udf(T.BinaryType())
+    def joined(ids: pa.Array) -> pa.Array:
+        found = [*map(_tokens_of(lines.value).__getitem__, ids.flatten().to_numpy().tolist())]
+        ends = np.cumsum([0, *pc.list_value_length(ids).fill_null(0).to_pylist()]).tolist()
+        return pa.array([b"".join(found[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())
 
-    return _with_column(df, bytes_col, T.BinaryType(), ids_col, make)
+    return small_batches(df).withColumn(bytes_col, joined(F.col(f"`{ids_col}`")))

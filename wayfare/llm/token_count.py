@@ -146,7 +146,7 @@ def count_tokens(df: DataFrame, text_col: str = "text", bytes_col: str = "n_byte
     @F.arrow_udf("long")
     def tokens(texts: pa.Array) -> pa.Array:
         count = _counter(packed.value).tokens
-        return pa.array([count(t.as_py()) for t in texts], pa.int64())
+        return pa.array([count(t) for t in texts.to_pylist()], pa.int64())
 
     text = F.col(f"`{text_col}`")
     return small_batches(df).withColumns({bytes_col: F.octet_length(F.coalesce(text, F.lit(""))).cast("long"),
