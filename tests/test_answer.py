@@ -88,7 +88,7 @@ def test_single_request_tools(spark):
 
 def test_prompt_parts_join_to_the_prompts(spark):
     from wayfare.operators.answer import prompt_parts, prompt_rows
-    from wayfare.operators.lookup import with_tickets
+    from wayfare.operators.lookup import first_departures
     tickets, weather, live = _tables(spark)
     tickets = tickets.unionByName(tickets.withColumn("departure_city", F.lit("大阪")))  # a route nobody asks for
     both = dict(SLOTS, city="东京", fx_date="2026-06-20")
@@ -108,5 +108,5 @@ def test_prompt_parts_join_to_the_prompts(spark):
         assert {k: "".join(t for _, t in v) for k, v in parts.items()} == want
         assert [n for n, _ in parts["both"]] == list(range(most + 2)) and [n for n, _ in parts["nf"]] == [0]
     asked = spark.createDataFrame([("富山", "东京", "2026-06-20")], "a string, b string, c string")
-    plan = with_tickets(asked, tickets, "a", "b", "c")._jdf.queryExecution().optimizedPlan().toString()
+    plan = first_departures(asked, tickets, "a", "b", "c", listed=True)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan  # other routes aren't gathered

@@ -10,7 +10,7 @@ from tools.check_oracle import TABLES, digest
 
 SF = os.environ.get("WAYFARE_TEST_SF", "/root/testdata/sf0.001")
 FAST = os.environ.get("WAYFARE_TEST_ALL") is None
-SKIP_WHEN_FAST = {"route_batch", "request_status", "prompt_rows", "run_comparison", "case_checks",
+SKIP_WHEN_FAST = {"request_status", "run_comparison", "case_checks",
                   "stream_sessions", "stream_sliding", "stream_dedupe", "stream_tumbling", "published_tables",
                   "load_report", "newest_snapshot", "eval_by_category", "eval_failures", "latency_percentiles"}
 

@@ -75,18 +75,16 @@ def ticket_artifacts(tasks: DataFrame, tickets: DataFrame, created_at: str,
     t = tasks.select("*", *[v.alias("t_" + k) for k, v in s.items()])
     t = t.withColumn("missing", _missing({k: F.col("t_" + k) for k in C.TICKET_ALIASES}))
     has_missing = F.size("missing") > 0
-    looked = L.first_departures(t.where(~has_missing), tickets, dep="t_departure_city", arr="t_arrival_city",
-                                date="t_travel_date")
-    key = {"departure_city": F.col("t_departure_city"), "arrival_city": F.col("t_arrival_city"),
-           "travel_date": F.col("t_travel_date")}
+    key = {k: F.col("t_" + k) for k in C.TICKET_ALIASES}
+    # where a slot is missing the lookup's keys are NULL and find nothing
+    t = t.withColumns({"__" + k: F.when(~has_missing, v) for k, v in key.items()})
+    looked = L.first_departures(t, tickets, dep="__departure_city", arr="__arrival_city", date="__travel_date",
+                                listed=with_data and listed)
     data = F.lit(None).cast("string")
     if with_data:
-        if listed:
-            looked = L.with_tickets(looked, tickets, "t_departure_city", "t_arrival_city", "t_travel_date")
         data = (F.when(has_missing, _missing_data())
                 .when(F.col("ticket_count") == 0, _no_rows(C.TICKET_NO_ROWS, F.lit("[]"), **key))
                 .otherwise(F.col("tickets") if listed else data))
-    looked = looked.unionByName(t.where(has_missing), allowMissingColumns=True)
     status = (F.when(has_missing, F.lit("failed"))
               .when(F.col("ticket_count") == 0, F.lit("not_found")).otherwise(F.lit("success")))
     not_found = X.render(C.TICKET_NOT_FOUND_SUMMARY, **key)
@@ -95,7 +93,7 @@ def ticket_artifacts(tasks: DataFrame, tickets: DataFrame, created_at: str,
                .otherwise(L.ticket_summary_text(F.col("first"), F.col("ticket_count"), currency)))
     return looked.select(
         *tasks.columns, "missing",
-        F.when(has_missing, F.lit(0).cast("long")).otherwise(F.col("ticket_count")).alias("ticket_count"),
+        "ticket_count",
         artifact("ticket_result", "ticket_agent", status, data, summary, F.lit(created_at)).alias("artifact"))
 
 
@@ -106,8 +104,8 @@ def weather_artifacts(tasks: DataFrame, live: DataFrame, weather: DataFrame, as_
     t = tasks.select("*", *[v.alias("t_" + k) for k, v in s.items()])
     t = t.withColumn("missing", _missing({k: F.col("t_" + k) for k in C.WEATHER_ALIASES}))
     has_missing = F.size("missing") > 0
-    looked = L.live_or_stored(t.where(~has_missing), live, weather, as_of, city="t_city", date="t_fx_date",
-                              live_enabled=live_enabled).unionByName(t.where(has_missing), allowMissingColumns=True)
+    t = t.withColumns({"__k_" + k: F.when(~has_missing, F.col("t_" + k)) for k in C.WEATHER_ALIASES})
+    looked = L.live_or_stored(t, live, weather, as_of, city="__k_city", date="__k_fx_date", live_enabled=live_enabled)
     found = F.col("source").isNotNull()
     status = (F.when(has_missing, F.lit("failed")).when(~found, F.lit("not_found")).otherwise(F.lit("success")))
     key = {"city": F.col("t_city"), "fx_date": F.col("t_fx_date")}
@@ -202,6 +200,11 @@ def _slots() -> Column:
     return F.map_filter(slots, lambda k, v: v.isNotNull())
 
 
+def analyzer_prompts(requests: DataFrame) -> DataFrame:
+    """SNK-6: the analyzer's prompt for every request (request_id, query)."""
+    return requests.select("request_id", X.render(C.ANALYZE_PROMPT, query=F.col("query")).alias("prompt"))
+
+
 def prompt_rows(batch: DataFrame) -> DataFrame:
     """SNK-6: the final-answer prompt per request that got artifacts
     (success or partial_success), for offline inference: query, analysis and

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from wayfare import contracts as C
 from wayfare.functions import text as X
-from wayfare.operators.ordering import rank_in_group
+from wayfare.operators.hotkeys import left_join
+from wayfare.operators.ordering import global_index, rank_in_group
+from wayfare.session import cut_lineage
 
 TICKET_ORDER = ["departure_time", "train_number", "seat_type", "arrival_time", "price",
                 "total_seats", "remaining_seats"]
@@ -45,18 +47,27 @@ def search_tickets(requests: DataFrame, tickets: DataFrame, dep: str = "departur
     """JON-1 + FLT-1: every ticket of the requested route and day, ranked.
 
     ``date`` is request text ``yyyy-MM-dd`` (strict). Only tickets of a
-    requested route and day are ranked. Requests without tickets keep one row
-    with NULL ticket columns; they come from an anti join beside the inner
-    join, which AQE can split on a hot route where it can't split an outer
-    join's right side.
+    requested route and day are read on; they are put in order once, by a
+    range sort that splits a hot route-day, and written. A ticket's rank is
+    its place less the place of its route-day's first, which the requests
+    get from one row per route-day; requests without one keep one row with
+    NULL ticket columns. The tickets then come by an inner join, which AQE
+    can split on a hot route.
     """
-    req = requests.withColumn("__day", X.strict_date(date))
-    names = dict(zip(ROUTE_DAY, ["__dep", "__arr", "__tday"]))
-    rt = ranked_tickets(requested_tickets(req, tickets, dep, arr)).withColumnsRenamed(names)
-    cond = (req[dep] == F.col("__dep")) & (req[arr] == F.col("__arr")) & (req["__day"] == F.col("__tday"))
-    known = _with_day(tickets).select(*ROUTE_DAY).distinct().withColumnsRenamed(names)
-    return (req.join(rt, cond).unionByName(req.join(known, cond, "left_anti"), allowMissingColumns=True)
-            .drop("__dep", "__arr", "__tday", "__day"))
+    req = requests.withColumn("__rday", X.strict_date(date))
+    asked = cut_lineage(req)
+    t = requested_tickets(asked.withColumnRenamed("__rday", "__day"), tickets, dep, arr).select(
+        *ROUTE_DAY, *[c for c in C.TICKET_SEARCH_COLUMNS if c not in ROUTE_DAY])
+    placed = cut_lineage(global_index(t, [*ROUTE_DAY, *TICKET_ORDER], "__pos").withColumnsRenamed(
+        {"departure_city": "__dep", "arrival_city": "__arr", "__day": "__tday"}))
+    firsts = placed.groupBy(F.col("__dep").alias("__fdep"), F.col("__arr").alias("__farr"), F.col("__tday").alias("__fday")).agg(
+        F.min("__pos").alias("__first"))
+    begun = cut_lineage(left_join(asked, firsts, {dep: "__fdep", arr: "__farr", "__rday": "__fday"}))
+    hit = begun.where("__first is not null")
+    cond = (hit[dep] == placed["__dep"]) & (hit[arr] == placed["__arr"]) & (hit["__rday"] == placed["__tday"])
+    found = hit.join(placed, cond).withColumn("rank", (F.col("__pos") - F.col("__first") + 1).cast("long"))
+    return (found.unionByName(begun.where("__first is null"), allowMissingColumns=True)
+            .drop("__dep", "__arr", "__tday", "__rday", "__pos", "__first"))
 
 
 def ticket_fields(row: Column) -> dict[str, Column]:
@@ -66,7 +77,8 @@ def ticket_fields(row: Column) -> dict[str, Column]:
 
 
 def route_day_tickets(tickets: DataFrame) -> DataFrame:
-    """AGG-10: the ordered tickets of a (route, day) as one JSON list.
+    """AGG-10: the ordered tickets of a (route, day) as one JSON list, their
+    number and the first of them.
 
     A row holds what one answer about that route and day shows, so use it
     where that text is wanted in one piece, ``ticket_blocks`` where a route
@@ -74,8 +86,8 @@ def route_day_tickets(tickets: DataFrame) -> DataFrame:
     """
     t = _with_day(tickets)
     cols = [*TICKET_ORDER, *[c for c in C.TICKET_SEARCH_COLUMNS if c not in TICKET_ORDER]]
-    listed = F.array_sort(F.collect_list(F.struct(*cols)))
-    return t.groupBy(*ROUTE_DAY).agg(listed.alias("__l")).select(*ROUTE_DAY, F.to_json(
+    listed = t.groupBy(*ROUTE_DAY).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("__l"))
+    return listed.select(*ROUTE_DAY, F.size("__l").cast("long").alias("ticket_count"), F.col("__l")[0].alias("first"), F.to_json(
         F.transform("__l", lambda x: F.struct(*[v.alias(k) for k, v in ticket_fields(x).items()])),
         {"ignoreNullFields": "false"}).alias("tickets"))
 
@@ -93,15 +105,6 @@ def ticket_blocks(tickets: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
         *ROUTE_DAY, "block", F.array_join(F.transform("__l", lambda x: x["__j"]), ",").alias("text"))
 
 
-def with_tickets(requests: DataFrame, tickets: DataFrame, dep: str, arr: str, date: str) -> DataFrame:
-    """The requests and their route-day's JSON list (``tickets``, NULL without
-    one). Only tickets of a requested route and day are listed."""
-    req = requests.withColumn("__day", X.strict_date(date))
-    rows = route_day_tickets(requested_tickets(req, tickets, dep, arr)).toDF("__dep", "__arr", "__tday", "tickets")
-    return (req.join(rows, (req[dep] == F.col("__dep")) & (req[arr] == F.col("__arr"))
-                     & (req["__day"] == F.col("__tday")), "left").drop("__dep", "__arr", "__tday", "__day"))
-
-
 def route_day_fold(tickets: DataFrame) -> DataFrame:
     """AGG-10 on the ticket side: count and first departure per (route, day)."""
     t = _with_day(tickets)
@@ -111,15 +114,20 @@ def route_day_fold(tickets: DataFrame) -> DataFrame:
 
 
 def first_departures(requests: DataFrame, tickets: DataFrame, dep: str = "departure_city",
-                     arr: str = "arrival_city", date: str = "travel_date") -> DataFrame:
-    """WIN-2 / AGG-10: per request, the ticket count and the first departure."""
-    fold = route_day_fold(tickets).withColumnRenamed("departure_city", "__dep").withColumnRenamed(
-        "arrival_city", "__arr").withColumnRenamed("__day", "__tday")
-    req = requests.withColumn("__day", X.strict_date(date))
-    out = req.join(fold, (req[dep] == F.col("__dep")) & (req[arr] == F.col("__arr"))
-                   & (req["__day"] == F.col("__tday")), "left")
-    return (out.withColumn("ticket_count", F.coalesce("ticket_count", F.lit(0).cast("long")))
-            .drop("__dep", "__arr", "__tday", "__day"))
+                     arr: str = "arrival_city", date: str = "travel_date", listed: bool = False) -> DataFrame:
+    """WIN-2 / AGG-10: per request, the ticket count and the first departure;
+    with ``listed`` also the route-day's ``tickets`` as one JSON list (NULL
+    without one). Both come from one pass over the tickets; lists are made
+    for requested route-days only."""
+    req = requests.withColumn("__rday", X.strict_date(date))
+    if listed:
+        req = cut_lineage(req)
+        fold = route_day_tickets(requested_tickets(req.withColumnRenamed("__rday", "__day"), tickets, dep, arr))
+    else:
+        fold = route_day_fold(tickets)
+    fold = fold.withColumnsRenamed({"departure_city": "__dep", "arrival_city": "__arr", "__day": "__tday"})
+    out = left_join(req, fold, {dep: "__dep", arr: "__arr", "__rday": "__tday"})
+    return out.withColumn("ticket_count", F.coalesce("ticket_count", F.lit(0).cast("long"))).drop("__rday")
 
 
 def ticket_summary_text(first: Column, count: Column, currency: str = C.DEFAULT_CURRENCY) -> Column:
@@ -146,13 +154,13 @@ def stored_weather(requests: DataFrame, weather: DataFrame, city: str = "city",
     """JON-2 / FLT-2 / LIM-1: the stored row for (city, day) or NULLs.
 
     The weather table is unique on its key (it is the upsert's output), so
-    the left join keeps one row per request without a rank.
+    the left join keeps one row per request without a rank; a city and day
+    that many requests ask for is dealt over tasks.
     """
-    w = weather.select(*[F.col(c).alias("w_" + c) for c in C.WEATHER_LOOKUP_COLUMNS])
+    w = weather.select(*[F.col(c).alias("w_" + c) for c in C.WEATHER_LOOKUP_COLUMNS], F.col("city").alias("__wcity"),
+                       F.col("fx_date").alias("__wday"), F.lit("database").alias("w_source"))
     req = requests.withColumn("__day", X.strict_date(date))
-    out = req.join(w, (req[city] == F.col("w_city")) & (req["__day"] == F.col("w_fx_date")), "left")
-    return (out.withColumn("w_source", F.when(F.col("w_city").isNotNull(), F.lit("database")))
-            .drop("__day"))
+    return left_join(req, w, {city: "__wcity", "__day": "__wday"}).drop("__day")
 
 
 def code_text(code: Column) -> Column:
@@ -203,53 +211,56 @@ def live_rows(payloads: DataFrame) -> DataFrame:
         F.lit("open-meteo").alias("source"))
 
 
+def weather_by_day(live: DataFrame, weather: DataFrame, as_of: str, live_enabled: bool = True) -> DataFrame:
+    """JON-3 on the weather side: per (``__city``, ``__wday``) the row that
+    answers any request for it. The whole live row if the day is in the
+    window, else the whole stored row; row level, not per-column coalesce: a
+    live row never borrows the stored humidity. Of several live rows the
+    least counts. ``data`` is the chosen row whole, as JSON."""
+    stored = weather.select(F.col("city").alias("__city"), F.col("fx_date").alias("__wday"),
+                            F.struct(*C.WEATHER_LOOKUP_COLUMNS).alias("__stored"))
+    rows = stored
+    if live_enabled:
+        day = X.strict_date("fx_date")
+        fresh = live.where((X.iso_date(day) == F.col("fx_date")) & in_forecast_window(F.col("fx_date"), as_of)).select(
+            F.col("city").alias("__city"), day.alias("__wday"), F.struct(*LIVE_COLUMNS).alias("__live"))
+        # a group is a live row and a stored one
+        rows = stored.unionByName(fresh, allowMissingColumns=True).groupBy("__city", "__wday").agg(
+            F.min("__live").alias("__live"), F.first("__stored", ignorenulls=True).alias("__stored"))
+    else:
+        kinds = live.select(F.struct(*LIVE_COLUMNS).alias("x")).schema["x"].dataType
+        rows = stored.withColumn("__live", F.lit(None).cast(kinds))
+    lv, st = F.col("__live"), F.col("__stored")
+    use_live = lv.isNotNull()
+
+    def pick(live_c, db_c):
+        return F.when(use_live, live_c).otherwise(db_c)
+
+    shown = {c: st[c] for c in C.WEATHER_LOOKUP_COLUMNS} | {
+        "fx_date": X.iso_date(st["fx_date"]), "update_time": X.iso_datetime(st["update_time"]), "source": F.lit("database")}
+    return rows.select(
+        "__city", "__wday", pick(lv["source"], F.lit("database")).alias("source"),
+        pick(lv["city"], st["city"]).alias("weather_city"), pick(lv["fx_date"], X.iso_date(st["fx_date"])).alias("weather_date"),
+        *[pick(lv[c], st[c].cast("double")).alias(c) for c in ("temp_max", "temp_min")],
+        pick(lv["text_day"], st["text_day"]).alias("text_day"), pick(F.lit(None).cast("int"), st["humidity"]).alias("humidity"),
+        pick(lv["precip"], st["precip"].cast("double")).alias("precip"),
+        *[pick(lv[c].cast("string"), st[c].cast("string")).alias(f"{c}_text") for c in ("temp_max", "temp_min", "precip")],
+        pick(X.json_text({c: lv[c] for c in LIVE_COLUMNS}), X.json_text(shown)).alias("data"))
+
+
 def live_or_stored(requests: DataFrame, live: DataFrame, weather: DataFrame, as_of: str,
                    city: str = "city", date: str = "fx_date", live_enabled: bool = True) -> DataFrame:
-    """JON-3: the whole live row if the day is in the window and a live row
-    exists, else the whole stored row, else nothing. Row level, not per-column
-    coalesce: a live row never borrows the stored humidity.
+    """JON-3: per request the live row, else the stored one, else nothing
+    (see ``weather_by_day``, whose choice hangs on city and day only). One
+    join; a hot city and day is dealt over tasks.
 
     Adds source, weather_city, weather_date, temp_max, temp_min, text_day,
     humidity, precip (numbers as double), *_text renderings of the numbers
     (int, float or decimal) and ``data``, the chosen row whole as JSON.
     """
-    req = requests.withColumn("__req_day", X.iso_date(X.strict_date(date)))
-    if live_enabled:
-        lv = live.select(*[F.col(c).alias("l_" + c) for c in
-                           ["city", "fx_date", "temp_max", "temp_min", "text_day", "precip", "source"]],
-                         X.json_text({c: c for c in LIVE_COLUMNS}).alias("l_data"))
-        req = req.join(lv, (req[city] == F.col("l_city")) & (req["__req_day"] == F.col("l_fx_date"))
-                       & in_forecast_window(req[date], as_of), "left")
-    else:
-        req = req.select("*", *[F.lit(None).cast(t).alias("l_" + c) for c, t in
-                                [("city", "string"), ("fx_date", "string"), ("data", "string"), ("temp_max", "double"),
-                                 ("temp_min", "double"), ("text_day", "string"), ("precip", "double"),
-                                 ("source", "string")]])
-    st = stored_weather(req, weather, city, date)
-    use_live = F.col("l_source").isNotNull()
-    use_db = ~use_live & F.col("w_source").isNotNull()
-
-    def pick(live_c, db_c):
-        return F.when(use_live, live_c).when(use_db, db_c)
-
-    return st.select(
-        *requests.columns,
-        pick(F.col("l_source"), F.col("w_source")).alias("source"),
-        pick(F.col("l_city"), F.col("w_city")).alias("weather_city"),
-        pick(F.col("l_fx_date"), X.iso_date("w_fx_date")).alias("weather_date"),
-        pick(F.col("l_temp_max"), F.col("w_temp_max").cast("double")).alias("temp_max"),
-        pick(F.col("l_temp_min"), F.col("w_temp_min").cast("double")).alias("temp_min"),
-        pick(F.col("l_text_day"), F.col("w_text_day")).alias("text_day"),
-        pick(F.lit(None).cast("int"), F.col("w_humidity")).alias("humidity"),
-        pick(F.col("l_precip"), F.col("w_precip").cast("double")).alias("precip"),
-        pick(F.col("l_temp_max").cast("string"), F.col("w_temp_max").cast("string")).alias("temp_max_text"),
-        pick(F.col("l_temp_min").cast("string"), F.col("w_temp_min").cast("string")).alias("temp_min_text"),
-        pick(F.col("l_precip").cast("string"), F.col("w_precip").cast("string")).alias("precip_text"),
-        pick(F.col("l_data"), X.json_text(
-            {c: F.col("w_" + c) for c in C.WEATHER_LOOKUP_COLUMNS}
-            | {"fx_date": X.iso_date("w_fx_date"), "update_time": X.iso_datetime("w_update_time"),
-               "source": F.col("w_source")})).alias("data"),
-    )
+    req = requests.withColumn("__day", X.strict_date(date))
+    rows = weather_by_day(live, weather, as_of, live_enabled)
+    return left_join(req, rows, {city: "__city", "__day": "__wday"}).drop("__day")
 
 
 def weather_summary_text(found: Column, city: Column, fx_date: Column, text_day: Column, temp_min: Column,

@@ -224,11 +224,11 @@ def weather_tasks(spark, sf):
                       X.list_text("missing").alias("missing"))
 
 
-def _batch(spark, sf, with_data=False):
+def _batch(spark, sf, **options):
     from wayfare.operators.answer import route_batch as run
     return run(B.requests(spark, sf).select("request_id", "query", "model_output"), B.trips(spark, sf),
                L.live_rows(B.live_payloads(spark, sf)), B.weather_table(spark, sf),
-               B.agent_faults(spark, sf), B.AS_OF, CREATED_AT, with_data=with_data)
+               B.agent_faults(spark, sf), B.AS_OF, CREATED_AT, **options)
 
 
 @register("route_batch")
@@ -246,10 +246,28 @@ def request_status(spark, sf):
     return _batch(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("requests"))
 
 
+def _digest(text: str) -> list:
+    """A long text as its length and digest."""
+    return [F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias(f"{text}_sha256")]
+
+
 @register("prompt_rows")
 def prompt_rows(spark, sf):
     from wayfare.operators.answer import prompt_rows as build
-    return build(_batch(spark, sf, with_data=True))
+    return build(_batch(spark, sf, with_data=True)).select("request_id", *_digest("prompt"))
+
+
+@register("prompt_parts")
+def prompt_parts(spark, sf):
+    from wayfare.operators.answer import prompt_parts as build
+    parts = build(_batch(spark, sf, with_data=True, listed=False), B.trips(spark, sf), rows=2)
+    return parts.select("request_id", "part_no", *_digest("text"))
+
+
+@register("analyzer_prompts")
+def analyzer_prompts(spark, sf):
+    from wayfare.operators.answer import analyzer_prompts as build
+    return build(B.requests(spark, sf).select("request_id", "query")).select("request_id", *_digest("prompt"))
 
 
 # --- evaluation cases and scores ---------------------------------------------

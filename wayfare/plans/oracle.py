@@ -57,7 +57,7 @@ def with_ctes(*ctes: str, body: str) -> str:
 
 # --- bindings ---------------------------------------------------------------
 
-TRIPS = """trips AS (
+TRIPS = """trips AS MATERIALIZED (
   SELECT sn.n_name AS departure_city, cn.n_name AS arrival_city,
          l.l_shipdate AS departure_time,
          l.l_shipdate + to_hours(l.l_linenumber) AS arrival_time,
@@ -173,7 +173,7 @@ def analysis_ctes(src: str, name: str = "analysis") -> str:
       lambda s: NOT coalesce(lower(trim({slot_case('s', 's_')})) NOT IN ({", ".join(q(v) for v in C.INVALID_SLOT_VALUES)}), false))))
       AS missing_slots
   FROM {name}_s),
-{name} AS (
+{name} AS MATERIALIZED (
   SELECT *,
     CASE WHEN len(required_agents) = 1 AND required_agents[1] = 'weather_agent' THEN 'weather_query'
          WHEN len(required_agents) = 1 AND required_agents[1] = 'ticket_agent' THEN 'ticket_query'
@@ -345,20 +345,18 @@ def ticket_summary_sql() -> str:
                   remaining_seats="remaining_seats")
 
 
-FIRSTS = f"""firsts AS (
-  SELECT * FROM (
-    SELECT departure_city AS f_dep, arrival_city AS f_arr, CAST(departure_time AS DATE) AS day, t.*,
-           '[' || string_agg(CAST(to_json({{'departure_city': departure_city, 'arrival_city': arrival_city,
+TICKET_JSON = f"""CAST(to_json({{'departure_city': departure_city, 'arrival_city': arrival_city,
              'departure_time': {iso_ts('departure_time')}, 'arrival_time': {iso_ts('arrival_time')},
              'train_number': train_number, 'seat_type': seat_type, 'total_seats': total_seats,
-             'remaining_seats': remaining_seats, 'price': CAST(price AS DOUBLE)}}) AS VARCHAR), ',') OVER (
-               PARTITION BY departure_city, arrival_city, CAST(departure_time AS DATE) ORDER BY {TICKET_ORDER_SQL}
-               ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) || ']' AS tickets,
-           row_number() OVER (PARTITION BY departure_city, arrival_city, CAST(departure_time AS DATE)
-                              ORDER BY {TICKET_ORDER_SQL}) AS rn,
-           count(*) OVER (PARTITION BY departure_city, arrival_city, CAST(departure_time AS DATE)) AS n
-    FROM trips t) WHERE rn = 1)"""
+             'remaining_seats': remaining_seats, 'price': CAST(price AS DOUBLE)}}) AS VARCHAR)"""
 
+FIRSTS = f"""lists AS (
+  SELECT departure_city AS f_dep, arrival_city AS f_arr, CAST(departure_time AS DATE) AS day, count(*) AS n,
+         '[' || string_agg({TICKET_JSON}, ',' ORDER BY {TICKET_ORDER_SQL}) || ']' AS tickets,
+         arg_min(t, ({TICKET_ORDER_SQL})) AS f
+  FROM trips t GROUP BY 1, 2, 3),
+firsts AS (SELECT f_dep, f_arr, day, n, tickets, f.train_number AS train_number, f.departure_time AS departure_time,
+                  f.arrival_time AS arrival_time, f.price AS price, f.remaining_seats AS remaining_seats FROM lists)"""
 
 def first_lookup(name: str, src: str, dep: str, arr: str, date: str) -> str:
     return f"""{name} AS (
@@ -547,9 +545,37 @@ SELECT request_id, intent, status, called_agents, artifact_count, agent_error_co
     s["request_status"] = with_ctes(*batch, body="SELECT status, count(*) AS requests FROM batch GROUP BY status")
     analysis = ("""'{"intent":"' || intent || '","required_agents":["' || array_to_string(required_agents, '","') || '"],"""
                 """"slots":{' || slots || '},"missing_slots":[],"need_clarification":false,"clarification_question":""}'""")
-    s["prompt_rows"] = with_ctes(*batch, body=f"""
-SELECT request_id, {render(C.FINAL_PROMPT, query='query', analysis=analysis, artifacts="'[' || arts || ']'")} AS prompt
-FROM batch WHERE status IN ('success', 'partial_success')""")
+    text = render(C.FINAL_PROMPT, query='query', analysis=analysis, artifacts="'[' || arts || ']'")
+    prompts = f"""prompts AS (SELECT request_id, {text} AS prompt FROM batch WHERE status IN ('success', 'partial_success'))"""
+    s["prompt_rows"] = with_ctes(*batch, prompts, body="""
+SELECT request_id, length(prompt) AS n_chars, sha256(prompt) AS prompt_sha256 FROM prompts""")
+    # a prompt with a ticket list falls into what stands before it, parts of two tickets, and what follows
+    parts = f"""lists2 AS (
+  SELECT f_dep, f_arr, day, (k - 1) // 2 + 1 AS part_no, string_agg(j, ',' ORDER BY k) AS text FROM (
+    SELECT departure_city AS f_dep, arrival_city AS f_arr, CAST(departure_time AS DATE) AS day, {TICKET_JSON} AS j,
+           row_number() OVER (PARTITION BY departure_city, arrival_city, CAST(departure_time AS DATE)
+                              ORDER BY {TICKET_ORDER_SQL}) AS k FROM trips)
+  GROUP BY 1, 2, 3, 4),
+cut AS (
+  SELECT p.request_id, prompt, dep, arr, CAST(try_strptime(d, '%Y-%m-%d') AS DATE) AS day,
+         CASE WHEN f.agent = 'ticket_agent' THEN f.tickets END AS tickets
+  FROM prompts p LEFT JOIN (SELECT request_id, agent, tickets, dep, arr, d FROM (
+      SELECT *, 'ticket_agent' AS agent FROM tl) WHERE ticket_count > 0 AND re % 17 <> 0) f ON p.request_id = f.request_id),
+parts AS (
+  SELECT request_id, 0 AS part_no,
+         CASE WHEN tickets IS NULL THEN prompt ELSE substr(prompt, 1, position(tickets IN prompt)) END AS text FROM cut
+  UNION ALL
+  SELECT request_id, part_no, CASE WHEN part_no > 1 THEN ',' ELSE '' END || l.text
+  FROM cut c JOIN lists2 l ON l.f_dep = c.dep AND l.f_arr = c.arr AND l.day = c.day WHERE tickets IS NOT NULL
+  UNION ALL
+  SELECT request_id, m.part_no, substr(prompt, position(tickets IN prompt) + length(tickets) - 1)
+  FROM cut c JOIN (SELECT f_dep, f_arr, day, max(part_no) + 1 AS part_no FROM lists2 GROUP BY 1, 2, 3) m
+    ON m.f_dep = c.dep AND m.f_arr = c.arr AND m.day = c.day WHERE tickets IS NOT NULL)"""
+    s["prompt_parts"] = with_ctes(*batch, prompts, parts, body="""
+SELECT request_id, part_no, length(text) AS n_chars, sha256(text) AS text_sha256 FROM parts""")
+    s["analyzer_prompts"] = with_ctes(TRIPS, REQUESTS, f"""prompts AS (
+  SELECT request_id, replace({q(C.ANALYZE_PROMPT)}, '{{query}}', query) AS prompt FROM requests)""", body="""
+SELECT request_id, length(prompt) AS n_chars, sha256(prompt) AS prompt_sha256 FROM prompts""")
 
 
 # --- cases and scoring ----------------------------------------------------------

@@ -39,10 +39,13 @@ def query_train_tickets_sql(spark: SparkSession, view: str, departure_city: str,
 
 def query_weather(spark: SparkSession, live: DataFrame, weather: DataFrame, city: str, fx_date: str,
                   as_of: str, live_enabled: bool = True) -> DataFrame:
-    """UDF-3: live row if in the window, else the stored row, else no row."""
-    req = spark.createDataFrame([(city, fx_date)], "city string, fx_date string")
-    out = L.live_or_stored(req, live, weather, as_of, live_enabled=live_enabled)
-    return out.filter(F.col("source").isNotNull())
+    """UDF-3: live row if in the window, else the stored row, else no row.
+    The literals filter both tables on their scans."""
+    day = X.strict_date(F.lit(fx_date))
+    stored = weather.where((F.col("city") == city) & (F.col("fx_date") == day))
+    fresh = live.where((F.col("city") == city) & (F.col("fx_date") == fx_date))
+    out = L.weather_by_day(fresh, stored, as_of, live_enabled).drop("__city", "__wday")
+    return out.select(F.lit(city).alias("city"), F.lit(fx_date).alias("fx_date"), "*")
 
 
 def register_sql_functions(spark: SparkSession) -> None:
