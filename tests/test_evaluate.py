@@ -1,5 +1,9 @@
 """EVL-* / JON-8 on hand-made cases, and STM-5's idle timeout."""
 
+from pyspark.sql import functions as F
+
+import pytest
+
 import pandas as pd
 
 from wayfare.operators import evaluate as V
@@ -63,3 +67,13 @@ def test_dialog_gap_goes_out_after_the_timeout():
     state.hasTimedOut = False
     late = pd.DataFrame({"turn": [0, 5], "role": ["user", "user"], "text": ["z", "e"]})
     assert next(fn((7,), [late], state))[["turn", "query_sent"]].values.tolist() == [[5, "e"]]
+
+
+@pytest.mark.parametrize("most", [30, 1 << 20])
+def test_percentiles_by_rank_equal_the_aggregate(spark, most):
+    from wayfare.operators.evaluate import percentiles
+    scored = spark.range(5000).selectExpr("CASE WHEN id < 4500 THEN 'all' WHEN id < 4502 THEN 'two' WHEN id < 4503 THEN 'one' ELSE 'none' END AS category",
+                                          "CASE WHEN id >= 4503 THEN NULL WHEN id % 2 = 0 THEN id * 31 % 977 ELSE 500 END AS latency_ms")
+    want = scored.groupBy("category").agg(*[F.round(F.percentile("latency_ms", F.lit(p)), 3).alias(c) for c, p in (("p50_ms", 0.5), ("p90_ms", 0.9))])
+    assert sorted(map(str, percentiles(scored, most=most).collect())) == sorted(map(str, want.collect()))
+    assert percentiles(scored.limit(0)).count() == 0

@@ -2,12 +2,14 @@
 
 import os
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from wayfare import contracts as C
-from wayfare.operators.load import latest_version, publish, read_published, upsert
+from wayfare.operators.load import (create_if_absent, expire, ingest, latest_version, manifest, publish, read_published,
+                                    upsert, upsert_published)
 from wayfare.sources.files import accepted, newest_snapshot, read_contract, rejected
 
 HEADER = ",".join(["id", *C.TICKET_COLUMNS, "extra"])
@@ -92,7 +94,6 @@ def test_quoted_csv_cells(spark, tmp_path):
 
 
 def test_ingest_reads_both_contracts(spark):
-    from wayfare.operators.load import ingest
     d = tempfile.mkdtemp(prefix="wayfare-csv-")
     _csv(d, "train_tickets_20260101.csv", [ROW])
     header = ",".join(C.WEATHER_COLUMNS)
@@ -106,13 +107,86 @@ def test_ingest_reads_both_contracts(spark):
         day(city="東京 ", fx_date="2026-06-20", temp_max=25, sunrise="04:25:00"), day(city="富山", fx_date="2026-06-21", humidity=60),
         day(city="富山", fx_date="2026-6-2x"), day(fx_date="2026-06-20"), day(city="富山", fx_date="2026-06-22", temp_max="warm")],
         bom=True, header=header)
-    first = ingest(spark, d, {})
-    assert set(first) == {"train_tickets", "weather_data"} and first["train_tickets"][0].count() == 1
-    weather, report = first["weather_data"]
+    root = tempfile.mkdtemp(prefix="wayfare-pub-")
+    first = {r.table: tuple(r) for r in ingest(spark, d, root).collect()}
+    assert first["train_tickets"] == ("train_tickets", "train_tickets_20260101.csv", 1, 0, 0, 1, 1, 0)
+    assert first["weather_data"] == ("weather_data", "weather_data_20260101.csv", 6, 3, 0, 2, 2, 0)
+    assert latest_version(spark, root) and manifest(spark, root)["seq"] == 1  # both tables, one version
+    weather = read_published(spark, root, "weather_data")
     assert sorted((r.city, str(r.fx_date), r.temp_max, r.sunrise, r.precip, r.humidity) for r in weather.collect()) == [
         ("富山", "2026-06-21", None, None, None, 60), ("東京", "2026-06-20", 25, "04:25:00", None, None)]
-    assert tuple(report.first()) == ("weather_data", "weather_data_20260101.csv", 6, 3, 0, 2, 2, 0)
-    again = ingest(spark, d, {n: t for n, (t, _) in first.items()})
-    assert tuple(again["weather_data"][1].first())[4:] == (2, 2, 0, 2)
+    again = {r.table: tuple(r) for r in ingest(spark, d, root).collect()}
+    assert again["weather_data"][4:] == (2, 2, 0, 2)
     with pytest.raises(FileNotFoundError):
-        ingest(spark, tempfile.mkdtemp(prefix="wayfare-csv-"), {})
+        ingest(spark, tempfile.mkdtemp(prefix="wayfare-csv-"), root)
+
+
+def test_upsert_under_a_collation(spark):
+    schema = "city string, day int, v string, o int"
+    old = spark.createDataFrame([("Genève", 1, "old", 0), ("Ulm", 1, "old", 0)], schema).drop("o")
+    new = spark.createDataFrame([("GENEVE  ", 1, "new", 1), ("ulm", 2, "new", 2)], schema)
+    got = upsert(old, new, ["city", "day"], ["o"], "UNICODE_CI_AI_RTRIM")
+    assert sorted(map(tuple, got.collect())) == [("GENEVE  ", 1, "new"), ("Ulm", 1, "old"), ("ulm", 2, "new")]
+    assert upsert(old, new, ["city", "day"], ["o"]).count() == 4
+
+
+def table(spark, rows):
+    return spark.createDataFrame(rows, "k long, part string, v string")
+
+
+def files_of(root, seq_manifest):
+    out = {}
+    for folder in seq_manifest["tables"]["t"].values():
+        for f in sorted(os.listdir(f"{root}/{folder}")):
+            path = f"{root}/{folder}/{f}"
+            out[path] = (open(path, "rb").read(), os.stat(path).st_mtime_ns)
+    return out
+
+
+def put(spark, root, rows, **more):
+    return upsert_published(spark, root, {"t": table(spark, rows)}, keys={"t": ["k", "part"]}, parts={"t": F.col("part")}, **more)
+
+
+def test_a_small_drop_leaves_other_files_untouched(spark):
+    root = tempfile.mkdtemp(prefix="wayfare-cow-")
+    put(spark, root, [(k, f"p{k % 50}" if k % 50 else None, "old") for k in range(5000)])
+    before = files_of(root, manifest(spark, root))
+    put(spark, root, [(k, f"p{k % 50}" if k % 50 else None, "new") for k in range(0, 5000, 50)] + [(9999, "p/x=1", "new")])  # 2 % of the keys
+    after = files_of(root, manifest(spark, root))
+    assert len(set(before) & set(after)) >= len(before) - 2 and all(after[p] == before[p] for p in set(before) & set(after))
+    rows = {(r.k, r.part): r.v for r in read_published(spark, root, "t").collect()}
+    assert len(rows) == 5001 and rows[(50, None)] == "new" and rows[(51, "p1")] == "old" and rows[(9999, "p/x=1")] == "new"
+    put(spark, root, [(9999, "p/x=1", "newer")])
+    assert read_published(spark, root, "t").where("k = 9999").collect()[0].v == "newer" and read_published(spark, root, "t").count() == 5001
+    put(spark, root, [])
+    assert read_published(spark, root, "t").count() == 5001
+
+
+def test_writers_at_once_lose_nothing(spark):
+    root = tempfile.mkdtemp(prefix="wayfare-race-")
+    publish(spark, {"t": table(spark, [(0, "a", "first")])}, root, {"t": lambda: F.col("part")})
+    with ThreadPoolExecutor(6) as pool:
+        jobs = [pool.submit(put, spark, root, [(k, "a", f"w{k}"), (100 + k, f"b{k}", f"w{k}")]) for k in range(1, 7)]
+        jobs.append(pool.submit(publish, spark, {"u": spark.range(3)}, root))
+        versions = {j.result() for j in jobs}
+    assert len(versions) == 7 and manifest(spark, root)["seq"] == 8
+    got = {r.k: r.v for r in read_published(spark, root, "t").collect()}
+    assert got == {0: "first", **{k: f"w{k}" for k in range(1, 7)}, **{100 + k: f"w{k}" for k in range(1, 7)}}
+    assert read_published(spark, root, "u").count() == 3
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: create_if_absent(spark, f"{root}/one", str(k)), range(16)))
+    assert sum(won) == 1 and open(f"{root}/one").read() == str(won.index(True))
+    assert sorted(os.listdir(root)) == sorted(["_manifests", "one", *(f for f in os.listdir(root) if f.startswith("v="))])  # no drafts
+
+
+def test_stamped_versions_expire_and_replays_are_harmless(spark):
+    root = tempfile.mkdtemp(prefix="wayfare-exp-")
+    sizes = []
+    for batch in range(20):
+        put(spark, root, [(k, f"p{batch % 3}", f"b{batch}") for k in range(20)], stamp={"batch": batch})
+        assert put(spark, root, [(0, "p0", "replayed")], stamp={"batch": batch}) is None
+        expire(spark, root, keep=2)
+        sizes.append(sum(len(f) for _, _, f in os.walk(root)))
+    assert max(sizes[5:]) <= max(sizes[:5]) + 4 and len(os.listdir(f"{root}/_manifests")) <= 2 * 3
+    rows = read_published(spark, root, "t")
+    assert rows.count() == 60 and {r.v for r in rows.select("v").distinct().collect()} == {"b17", "b18", "b19"}

@@ -6,6 +6,8 @@ to its templates, numbered and rendered column-wise.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,15 +68,25 @@ def _arr(items) -> F.Column:
 
 
 class KeySamples:
-    """The three ordered key tables the case families sample, each indexed once."""
+    """The three ordered key tables the case families sample, each counted once."""
 
     def __init__(self, keys: DataFrame, routes: DataFrame):
         self.spark = keys.sparkSession
-        # Both route samplers read the same keys: build them once.
-        routes = cut_lineage(routes.select(*ROUTE_ORDER))
-        self.weather = EvenSampler(keys.select(*WEATHER_ORDER), WEATHER_ORDER)
-        self.routes = EvenSampler(routes, ROUTE_ORDER)
-        self.usable = EvenSampler(routes_with_readings(routes, keys), ROUTE_ORDER)
+        # The samplers read their keys more than once: build them once.
+        self._keys = cut_lineage(keys.select(*WEATHER_ORDER))
+        self._routes = cut_lineage(routes.select(*ROUTE_ORDER))
+
+    @cached_property
+    def weather(self) -> EvenSampler:
+        return EvenSampler(self._keys, WEATHER_ORDER)
+
+    @cached_property
+    def routes(self) -> EvenSampler:
+        return EvenSampler(self._routes, ROUTE_ORDER)
+
+    @cached_property
+    def usable(self) -> EvenSampler:
+        return EvenSampler(cut_lineage(routes_with_readings(self._routes, self._keys)), ROUTE_ORDER)
 
 
 def weather_cases(ks: KeySamples) -> DataFrame:

@@ -7,13 +7,15 @@ report-edge concern, see XPR-17).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare import contracts as C
 from wayfare.functions import text as X
 from wayfare.operators import routing as R
-from wayfare.operators.ordering import numbered
+from wayfare.operators.ordering import RankSelector, numbered
 
 CHECKS = ["intent", "agent_routing", "slot_exact", "missing_slots", "need_clarification"]
 METRICS = dict(zip(CHECKS, ["intent_accuracy", "agent_routing_accuracy", "slot_exact_match",
@@ -139,17 +141,38 @@ def failures(scored: DataFrame) -> DataFrame:
     return numbered(rows, ["__place", "category", "id"], "position").drop("__place")
 
 
-def percentiles(scored: DataFrame, exact: bool = True) -> DataFrame:
-    """AGG-12: latency percentiles per category (exact, or approximate at scale)."""
-    if exact:
-        p50 = F.percentile(F.col("latency_ms"), F.lit(0.5))
-        p90 = F.percentile(F.col("latency_ms"), F.lit(0.9))
-    else:
-        p50 = F.percentile_approx("latency_ms", 0.5).cast("double")
-        p90 = F.percentile_approx("latency_ms", 0.9).cast("double")
+def percentiles(scored: DataFrame, exact: bool = True, most: int = 1 << 20) -> DataFrame:
+    """AGG-12: latency percentiles per category (exact, or approximate).
+
+    Exact ones are taken by rank (see ``RankSelector``): a category's values
+    are counted in ranges and only the ranges around the percentiles are
+    sorted, so no task holds all of a category. ``scored`` is read a few
+    times. Between two ranks the value is interpolated.
+    """
+    points = {"p50_ms": 0.5, "p90_ms": 0.9}
+    if not exact:
+        return scored.groupBy("category").agg(*[F.round(F.percentile_approx("latency_ms", p).cast("double"), 3).alias(c)
+                                                for c, p in points.items()])
+    some = scored.where("latency_ms is not null").select("category", F.col("latency_ms").cast("double").alias("__ms"))
+    ranks = RankSelector(some, ["__ms"], ["category"], most)
+    wanted, weights = [], []
+    for group, n in ranks.counts.items():
+        for column, p in points.items():
+            low = math.floor(p * (n - 1))
+            share = p * (n - 1) - low
+            for rank, weight in ((low, 1 - share), (low + 1, share)):
+                if weight > 0:
+                    weights.append((len(wanted), column, weight))
+                    wanted.append((group, rank, len(wanted)))
+    # a few rows per category
+    table = scored.sparkSession.createDataFrame(weights, "__wanted long, column string, weight double")
+    values = ranks.rows_at(wanted).join(F.broadcast(table), "__wanted")
     # Interpolation may differ in the last bit between engines: round at the
     # report edge (milliseconds, 3 decimals).
-    return scored.groupBy("category").agg(F.round(p50, 3).alias("p50_ms"), F.round(p90, 3).alias("p90_ms"))
+    per = values.groupBy("category").agg(*[F.round(F.sum(F.when(F.col("column") == c, F.col("__ms") * F.col("weight"))), 3).alias(c)
+                                           for c in points])
+    per = per.withColumnRenamed("category", "__category")
+    return scored.select("category").distinct().join(per, F.col("category").eqNullSafe(F.col("__category")), "left").drop("__category")
 
 
 def compare_runs(runs: dict[str, DataFrame], baseline: str, final: str) -> DataFrame:

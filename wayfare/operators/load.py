@@ -1,10 +1,14 @@
 """Keyed upsert, load report and all-or-nothing publish (SNK-1..3, ING-1).
 
-No table format with MERGE is installed, so the upsert is expressed as
-``union`` of the current rows and the incoming rows followed by a
-last-write-wins aggregate per key. ``max_by`` is a partial aggregate: each
-task keeps one winner per key before the shuffle, so a hot key does not
-gather its rows in one place.
+No table format with MERGE is installed, so an upsert is a last-write-wins
+aggregate per key over the current and the incoming rows (``max_by``
+combines map-side, so a hot key doesn't gather its rows in one place). A
+published table is a set of Parquet folders, one per partition value (the
+day, as a rule); a manifest names them. An upsert reads and rewrites only
+the partitions that the incoming rows fall in, into new folders, and puts
+the others into the next manifest as they are. Manifests are numbered and
+created only if absent, so of two writers one wins a number and the other
+goes on from there; readers see whole versions only.
 """
 
 from __future__ import annotations
@@ -12,117 +16,248 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare import contracts as C
+from wayfare.session import cut_lineage
 from wayfare.sources.files import accepted, newest_snapshot, read_contract
 
+#: The partition of a published table's rows (a day where months are large).
+PARTS = {"train_tickets": lambda: F.date_format("departure_time", "yyyy-MM"), "weather_data": lambda: F.date_format("fx_date", "yyyy-MM")}
 
-def latest_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """WIN-3: keep, per key, the row with the greatest ``order`` (all columns)."""
-    value_cols = [c for c in df.columns if c not in key]
-    packed = F.struct(*[F.col(c) for c in value_cols])
+
+def _same(df: DataFrame, column: str, collation: str | None) -> Column:
+    """A key column as it is compared."""
+    text = df.schema[column].dataType.typeName() in ("string", "varchar", "char")
+    return F.collate(F.col(column), collation) if collation and text else F.col(column)
+
+
+def latest_per_key(df: DataFrame, key: list[str], order: list[str], collation: str | None = None) -> DataFrame:
+    """WIN-3: keep, per key, the row with the greatest ``order`` (all columns).
+    With a collation, keys are equal as it says and the row's own spelling stays."""
     rank = F.struct(*[F.col(c) for c in order])
-    winner = df.groupBy(*key).agg(F.max_by(packed, rank).alias("__w"))
-    return winner.select(*key, *[F.col("__w")[c].alias(c) for c in value_cols])
+    if collation is None:
+        values = F.struct(*[F.col(c) for c in df.columns if c not in key])
+        winner = df.groupBy(*key).agg(F.max_by(values, rank).alias("__w"))
+        return winner.select(*[c if c in key else F.col("__w")[c].alias(c) for c in df.columns])
+    keys = [_same(df, k, collation).alias(f"__k{i}") for i, k in enumerate(key)]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), rank).alias("__w")).select("__w.*")
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
+def upsert(existing: DataFrame, incoming: DataFrame, key: list[str], order: list[str] | None = None,
+           collation: str | None = None) -> DataFrame:
     """SNK-1: on key match replace every column (NULLs included); later rows win.
 
     ``order`` columns order the incoming rows (file, then row position);
     existing rows always lose to incoming ones.
     """
     order = order or []
-    cols = [c for c in existing.columns]
-    old = existing.select(*cols, F.lit(0).alias("__src"), *[F.lit(None).cast(incoming.schema[c].dataType).alias(c + "__o")
-                                                             for c in order])
+    cols = existing.columns
     new = incoming.select(*cols, F.lit(1).alias("__src"), *[F.col(c).alias(c + "__o") for c in order])
-    both = old.unionByName(new)
-    merged = latest_per_key(both, key, ["__src", *[c + "__o" for c in order]])
-    return merged.select(*cols)
+    both = existing.withColumn("__src", F.lit(0)).unionByName(new, allowMissingColumns=True)
+    return latest_per_key(both, key, ["__src", *[c + "__o" for c in order]], collation).select(*cols)
 
 
-def load_report(table_name: str, file_name: str, read: DataFrame, before: DataFrame,
-                after: DataFrame, key: list[str]) -> DataFrame:
+def load_report(table_name: str, file_name: str, read: DataFrame, before: DataFrame, key: list[str],
+                collation: str | None = None) -> DataFrame:
     """SNK-2: one row: file, csv_rows (all rows read), rejected, before, after,
-    inserted = after - before, updated = accepted keys that already existed."""
-    spark = read.sparkSession
-    ok = read.filter(F.col("__reason").isNull())
-    n_in = read.select(F.count(F.lit(1))).scalar()
-    n_bad = read.select(F.count_if(F.col("__reason").isNotNull())).scalar()
-    n_before = before.select(F.count(F.lit(1))).scalar()
-    n_after = after.select(F.count(F.lit(1))).scalar()
-    n_upd = (ok.select(*key).distinct().join(before.select(*key).distinct(), key, "left_semi")
-             .select(F.count(F.lit(1))).scalar())
-    return spark.range(1).select(
-        F.lit(table_name).alias("table"), F.lit(file_name).alias("file"),
-        n_in.alias("csv_rows"), n_bad.alias("rejected"), n_before.alias("before"), n_after.alias("after"),
-        (n_after - n_before).alias("inserted"), n_upd.alias("updated"))
-
-
-def ingest(spark: SparkSession, data_dir: str, existing: dict[str, DataFrame]) -> dict[str, tuple[DataFrame, DataFrame]]:
-    """ING-1: per table of the contracts that has a snapshot in ``data_dir``,
-    the table after the upsert of the newest one onto ``existing`` (empty if
-    not given), and its load report. A table without a snapshot doesn't stop
-    the others; ``publish`` writes the results at once."""
-    out = {}
-    for name, spec in C.TABLES.items():
-        newest = newest_snapshot(spark, data_dir, spec["pattern"], required=False)
-        if newest is None:
-            continue
-        read = read_contract(spark, newest, name)
-        incoming = accepted(read)
-        before = existing.get(name)
-        if before is None:
-            before = spark.createDataFrame([], incoming.drop("__order").schema)
-        after = upsert(before, incoming, spec["key"], ["__order"])
-        out[name] = after, load_report(name, newest.rstrip("/").rsplit("/", 1)[-1], read, before, after, spec["key"])
-    if not out:
-        raise FileNotFoundError(f"no snapshot of any table in {data_dir}")
-    return out
+    inserted = after - before, updated = accepted keys that already existed.
+    One pass: each key's part in the old table and in the file says what
+    becomes of it, so the table after the load isn't read."""
+    ok = F.col("__reason").isNull()
+    flag = lambda c, name: c.cast("long").alias(name)
+    rows = (before.select(*key, flag(F.lit(1), "old"), *[flag(F.lit(0), n) for n in ("new", "bad", "csv")])
+            .unionByName(read.select(*key, flag(F.lit(0), "old"), flag(ok, "new"), flag(~ok, "bad"), flag(F.lit(1), "csv"))))
+    keys = [_same(rows, k, collation).alias(f"__k{i}") for i, k in enumerate(key)]
+    per = rows.groupBy(*keys).agg(F.max("old").alias("old"), F.max("new").alias("new"), F.sum("bad").alias("bad"), F.sum("csv").alias("csv"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))
+    return per.agg(total("csv").alias("csv_rows"), total("bad").alias("rejected"), total("old").alias("before"),
+                   total(F.greatest("old", "new")).alias("after"), total(F.col("new") * (1 - F.col("old"))).alias("inserted"),
+                   total(F.col("new") * F.col("old")).alias("updated")).select(
+        F.lit(table_name).alias("table"), F.lit(file_name).alias("file"), "*")
+
+
+# --- published tables -------------------------------------------------------------
+
+def _file(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    hadoop = jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def create_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """A small file with ``text``, whole at once and only if there is none of
+    that name; False otherwise."""
+    target, fs = _file(spark, path)
+    draft, _ = _file(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(draft)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if fs.getScheme() == "file":  # renaming would replace; a link doesn't
+            files, place = spark._jvm.java.nio.file.Files, lambda p: fs.pathToFile(p).toPath()
+            files.createLink(place(target), place(draft))
+        else:
+            jvm = spark._jvm
+            never = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            never[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(
+                draft, target, never)
+    except Exception as e:  # noqa: BLE001 - the JVM's exceptions come wrapped
+        if "FileAlreadyExists" in str(e):
+            return False
+        raise
+    finally:
+        fs.delete(draft, False)
+    return True
+
+
+def _manifests(spark: SparkSession, root: str) -> list[int]:
+    folder, fs = _file(spark, f"{root}/_manifests")
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
 
-def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> str:
-    """SNK-3: write every table under a fresh version folder, then the manifest.
+def manifest(spark: SparkSession, root: str, seq: int | None = None) -> dict:
+    """The live manifest, or that of a number: ``seq`` (0: nothing
+    published), ``version``, for each table its folder by partition, and the
+    ``stamps`` that writers leave."""
+    if seq is None:
+        seq = max(_manifests(spark, root), default=0)
+    if seq == 0:
+        return {"seq": 0, "version": None, "tables": {}, "stamps": {}}
+    return json.loads(spark.read.text(f"{root}/_manifests/{seq:012d}.json", wholetext=True).first()[0])
 
-    Readers go through ``read_published``, which only sees versions named by
-    a manifest, so a failure before the manifest leaves the old version live.
-    Each manifest carries the next publish number; the highest one is live.
-    Returns the version id.
+
+def _next(spark: SparkSession, root: str, current: dict, version: str, tables: dict, stamp: dict) -> bool:
+    """Try to make ``tables`` (over those of ``current``) the next manifest."""
+    seq = current["seq"] + 1
+    made = {"seq": seq, "version": version, "tables": current["tables"] | tables, "stamps": current.get("stamps", {}) | stamp}
+    return create_if_absent(spark, f"{root}/_manifests/{seq:012d}.json", json.dumps(made, sort_keys=True))
+
+
+def _write(df: DataFrame, root: str, folder: str, part: Column | None) -> dict[str, str]:
+    """The rows in a new folder, by partition; folder by partition value."""
+    if part is None:
+        df.write.mode("errorifexists").parquet(f"{root}/{folder}")
+        return {"": folder}
+    # rebalanced, so that a large partition takes several tasks and files
+    (df.withColumn("__part", part).hint("rebalance", "__part")
+     .write.mode("errorifexists").partitionBy("__part").parquet(f"{root}/{folder}"))
+    path, fs = _file(df.sparkSession, f"{root}/{folder}")
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    if not any(n.startswith("__part=") for n in names):  # no rows; the schema is kept
+        df.limit(0).write.mode("errorifexists").parquet(f"{root}/{folder}/none")
+        return {"": f"{folder}/none"}
+    return {df.sparkSession._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(n[7:]): f"{folder}/{n}"
+            for n in names if n.startswith("__part=")}
+
+
+def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, parts: dict | None = None) -> str:
+    """SNK-3: write every table under a fresh folder, then the next manifest.
+
+    A failure before the manifest leaves the old version live; tables that
+    aren't given stay as they are. A writer that loses a number to another
+    takes the next one. Returns the version id.
     """
+    parts = PARTS if parts is None else parts
     version = uuid.uuid4().hex[:12]
-    for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(f"{root}/v={version}/{name}")
-    current = _manifests(spark, root)
-    seq = 1 if current is None else (current.agg(F.max("seq")).first()[0] or 0) + 1
-    manifest = json.dumps({"version": version, "tables": sorted(tables)})
-    (spark.createDataFrame([(version, seq, manifest)], "version string, seq long, manifest string")
-     .coalesce(1).write.mode("append").json(f"{root}/_manifests"))
+    placed = {name: _write(df, root, f"v={version}/{name}", parts[name]() if name in parts else None)
+              for name, df in tables.items()}
+    while not _next(spark, root, manifest(spark, root), version, placed, {}):
+        pass
     return version
 
 
-def _manifests(spark: SparkSession, root: str) -> DataFrame | None:
-    try:
-        return spark.read.schema("version string, seq long, manifest string").json(f"{root}/_manifests")
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":  # no manifest folder yet
+def upsert_published(spark: SparkSession, root: str, incoming: dict[str, DataFrame], order: list[str] | None = None,
+                     collation: str | None = None, keys: dict | None = None, parts: dict | None = None,
+                     stamp: dict | None = None) -> str | None:
+    """SNK-1 on published tables, all or none: only the partitions that
+    incoming rows fall in are read and written again; the folders of the
+    others, and their files, pass into the next version untouched. A table's
+    key must decide the partition. If another writer was first, a table's
+    rows are merged again only where that one changed a partition in
+    question. With a ``stamp`` (name and number) that the manifest has
+    already reached, nothing is done. Returns the version."""
+    keys = keys or {n: C.TABLES[n]["key"] for n in incoming}
+    parts = parts or {n: PARTS[n]() for n in incoming}
+    # one row per partition
+    hit = {n: [r[0] for r in df.select(parts[n].alias("p")).distinct().collect()] for n, df in incoming.items()}
+    base, placed, version = {}, {}, uuid.uuid4().hex[:12]
+    while True:
+        current = manifest(spark, root)
+        if any(current.get("stamps", {}).get(k, -1) >= v for k, v in (stamp or {}).items()):
             return None
-        raise
+        tables = {}
+        for name, df in incoming.items():
+            folders = current["tables"].get(name, {})
+            touched = {p: folders.get(p) for p in hit[name]}
+            if base.get(name) != touched:
+                base[name] = touched
+                columns = [c for c in df.columns if c not in (order or [])]
+                old = [f"{root}/{f}" for f in touched.values() if f]
+                existing = spark.read.parquet(*old) if old else df.select(*columns).limit(0)
+                rows = upsert(existing, df, keys[name], order, collation)
+                placed[name] = _write(rows, root, f"v={version}/{name}-{uuid.uuid4().hex[:6]}", parts[name])
+            kept = {p: f for p, f in folders.items() if p not in touched and p != ""}
+            tables[name] = kept | {p: f for p, f in placed[name].items() if p != "" or not kept}
+        if _next(spark, root, current, version, tables, stamp or {}):
+            return version
+
+
+def expire(spark: SparkSession, root: str, keep: int = 3) -> int:
+    """Delete the folders that none of the last ``keep`` manifests names, and
+    the older manifests; returns how many folders went. What a writer hasn't
+    published yet is named by no manifest and stays."""
+    numbers = _manifests(spark, root)
+    names = lambda seq: {f for t in manifest(spark, root, seq)["tables"].values() for f in t.values()}
+    live = set().union(*map(names, numbers[-keep:])) if numbers else set()
+    gone = 0
+    for seq in numbers[:-keep]:
+        for folder in names(seq) - live:
+            path, fs = _file(spark, f"{root}/{folder}")
+            gone += bool(fs.delete(path, True))
+            above = path.getParent()  # of a load, then of a version: gone once no partition is left in it
+            while above.getName() != _file(spark, root)[0].getName() and fs.exists(above) and not any(
+                    s.isDirectory() for s in fs.listStatus(above)):
+                fs.delete(above, True)
+                above = above.getParent()
+        path, fs = _file(spark, f"{root}/_manifests/{seq:012d}.json")
+        fs.delete(path, False)
+    return gone
 
 
 def latest_version(spark: SparkSession, root: str) -> str | None:
-    m = _manifests(spark, root)
-    if m is None:
-        return None
-    row = m.agg(F.max_by("version", "seq").alias("v")).first()
-    return row["v"] if row else None
+    return manifest(spark, root)["version"]
 
 
 def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    version = latest_version(spark, root)
-    if version is None:
-        raise FileNotFoundError(f"nothing published under {root}")
-    return spark.read.parquet(f"{root}/v={version}/{name}")
+    """The live version of a table."""
+    folders = manifest(spark, root)["tables"].get(name)
+    if folders is None:
+        raise FileNotFoundError(f"nothing published as {name} under {root}")
+    return spark.read.parquet(*[f"{root}/{f}" for f in folders.values()])
+
+
+def ingest(spark: SparkSession, data_dir: str, root: str, collation: str | None = None) -> DataFrame:
+    """ING-1: the newest snapshots in ``data_dir``, of each table of the
+    contracts that has one, checked and put into the tables published under
+    ``root`` as one version; the load reports, one row a table."""
+    reports, rows = None, {}
+    for name, spec in C.TABLES.items():
+        newest = newest_snapshot(spark, data_dir, spec["pattern"], required=False)
+        if newest is None:
+            continue
+        read = cut_lineage(read_contract(spark, newest, name))  # parsed once, read for report, partitions and merge
+        rows[name] = accepted(read)
+        known = name in manifest(spark, root)["tables"]
+        before = read_published(spark, root, name) if known else rows[name].drop("__order").limit(0)
+        report = load_report(name, newest.rstrip("/").rsplit("/", 1)[-1], read, before, spec["key"], collation)
+        reports = report if reports is None else reports.unionByName(report)
+    if reports is None:
+        raise FileNotFoundError(f"no snapshot of any table in {data_dir}")
+    upsert_published(spark, root, rows, ["__order"], collation)
+    return reports

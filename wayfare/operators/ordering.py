@@ -84,35 +84,121 @@ def rank_in_group(df: DataFrame, group_cols: list, order_cols: list, out_col: st
             .drop(_PID, _MID, "__place", "__first", "__begun"))
 
 
+class RankSelector:
+    """Rows by their rank inside groups, without sorting the table.
+
+    Cut points from a sample of bounded size split the
+    rows into ranges; counting the ranges (map-side, no row moves) tells
+    which of them hold a wanted rank, and only their rows are looked at
+    again: split further while a range has more than ``most`` rows, then
+    sorted. A range of equal rows needs neither. The driver sees counts of
+    ranges only. ``df`` is read a few times, so callers stage what is dear
+    to compute. Groups are few by nature (a table's categories).
+    """
+
+    SAMPLE, CUTS, ROUNDS = 8192, 1024, 8
+
+    def __init__(self, df: DataFrame, order_cols: list[str], group_cols: list[str] = (), most: int = 1 << 20):
+        self.columns, self.groups, self.most = df.columns, list(group_cols), most
+        rest = [c for c in df.columns if c not in (*order_cols, *group_cols)]
+        self.row = F.struct(*[F.col(f"`{c}`") for c in (*order_cols, *rest)])
+        self.df = df
+        levels = [F.col(f"`{c}`").alias(f"__l{k}") for k, c in enumerate(self.groups)]
+        self.rows = df.select(*levels, self.row.alias("__row"))
+        self.levels = [f"__l{k}" for k in range(len(levels))]
+        counted = self.rows.groupBy(*self.levels).agg(F.count(F.lit(1)).alias("n")).collect()
+        self.counts = {tuple(r[:-1]): r["n"] for r in counted}
+
+    def _cut(self, rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` with the number of their range as ``name``."""
+        # equal rows have hashes of their own, so that a hot one doesn't fill the sample
+        chance = F.xxhash64(F.monotonically_increasing_id(), "__row")
+        some = cut_lineage(rows.select("__row").withColumn("__chance", chance).orderBy("__chance").limit(self.SAMPLE))
+        place = F.row_number().over(Window.orderBy("__row"))  # of a sample of bounded size
+        step = max(1, self.SAMPLE // self.CUTS)
+        cuts = some.withColumn("__n", place).where(F.col("__n") % step == 0).agg(
+            F.sort_array(F.collect_list("__row")).alias("__cuts"))
+        halves = F.array(*[F.lit(1 << k) for k in reversed(range(self.CUTS.bit_length()))])
+        below = F.aggregate(halves, F.lit(0), lambda at, half: F.when(
+            F.try_element_at(F.col("__cuts"), at + half) <= F.col("__row"), at + half).otherwise(at))
+        return rows.join(F.broadcast(cuts)).withColumn(name, below).drop("__cuts")  # one row, at most CUTS of them in it
+
+    def rows_at(self, wanted: list[tuple]) -> DataFrame:
+        """The rows at ``wanted`` (group values, 0-based rank, number), with
+        the number as ``__wanted``."""
+        spark, rows, levels = self.df.sparkSession, self.rows, list(self.levels)
+        sizes, same = dict(self.counts), {}
+        places = {number: (tuple(group), rank) for group, rank, number in wanted}  # range and rank inside it
+        for _ in range(self.ROUNDS):
+            if all(sizes[at] <= self.most or at in same for at, _ in places.values()):
+                break
+            rows = self._cut(self._in(rows, levels, {at for at, _ in places.values()}), f"__l{len(levels)}")
+            finer = [*levels, f"__l{len(levels)}"]
+            counted = rows.groupBy(*finer).agg(F.count(F.lit(1)).alias("n"), F.min("__row").eqNullSafe(F.max("__row")).alias("same")).collect()
+            inside: dict[tuple, list] = {}
+            for r in sorted(counted, key=lambda r: r[len(levels)]):
+                inside.setdefault(tuple(r[:len(levels)]), []).append((r[len(levels)], r["n"], r["same"]))
+            known, sizes, same = same, {}, {}
+            for number, (at, rank) in places.items():
+                for cut, n, equal in inside[at]:
+                    if rank < n:
+                        break
+                    rank -= n
+                places[number] = ((*at, cut), rank)
+                sizes[*at, cut] = n
+                if equal or at in known:
+                    same[*at, cut] = True
+            levels = finer
+        types = [rows.schema[c].dataType.simpleString() for c in levels]
+        table = spark.createDataFrame([(*at, 0 if at in same else rank, bool(same.get(at)), number) for number, (at, rank) in places.items()],
+                                      ", ".join([*(f"{c} {t}" for c, t in zip(levels, types)), "__rank long", "__same boolean", "__wanted long"]))
+        near = self._in(rows, levels, set(sizes) & {at for at, _ in places.values()})
+        sort = self._in(near, levels, {at for at, _ in places.values() if at not in same})
+        ranked = sort.withColumn("__rank", F.row_number().over(Window.partitionBy(*(levels or [F.lit(0)])).orderBy("__row")).cast("long") - 1)
+        if same:  # any row of these ranges is the one
+            one = self._in(near, levels, set(same)).groupBy(*levels).agg(F.min("__row").alias("__row"))
+            ranked = ranked.unionByName(one.withColumn("__rank", F.lit(0).cast("long")))
+        return self._match(ranked, table, [*levels, "__rank"]).select(
+            *[F.col(f"__l{self.groups.index(c)}").alias(c) if c in self.groups else F.col(f"__row.`{c}`").alias(c) for c in self.columns],
+            "__wanted")
+
+    @staticmethod
+    def _match(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+        """``table`` has a row per wanted rank: a caller's bound, broadcast."""
+        right = table.withColumnsRenamed({c: c + "r" for c in on})
+        cond = F.lit(True)
+        for c in on:
+            cond = cond & F.col(c).eqNullSafe(F.col(c + "r"))
+        out = rows.join(F.broadcast(right), cond, how)
+        return out if how == "left_semi" else out.drop(*[c + "r" for c in on])
+
+    def _in(self, rows: DataFrame, levels: list[str], ranges: set) -> DataFrame:
+        if not levels:
+            return rows
+        kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in levels)
+        return self._match(rows, rows.sparkSession.createDataFrame(sorted(ranges, key=str), kinds), levels, "left_semi")
+
+
 class EvenSampler:
-    """SMP-1 ``_pick_evenly`` over one ordered table, indexed once.
+    """SMP-1 ``_pick_evenly`` over one ordered table, counted once.
 
-    Several samples of the same table (different counts) share the index.
-    Rows sit at ``round(i * (n-1)/(count-1))``; Python's ``round`` is
-    half-even on the binary value and so is ``rint``. Too few rows raise,
-    ``count == 1`` gives the first row. ``pick`` is 1-based (the
-    reference's enumerate index).
+    Several samples of the same table (different counts) share the count.
+    Rows sit at ``round(i * (n-1)/(count-1))``, half-even on the binary
+    value as Python's ``round``. Too few rows raise, ``count == 1`` gives the
+    first row. ``pick`` is 1-based (the reference's enumerate index). The
+    table is neither sorted nor written (see ``RankSelector``).
     """
 
-    def __init__(self, df: DataFrame, order_cols: list):
-        self.indexed = global_index(df, order_cols, "__pos")
-        self.n = self.indexed.select(F.count(F.lit(1)).alias("n")).scalar()
+    def __init__(self, df: DataFrame, order_cols: list, most: int = 1 << 20):
+        self.ranks = RankSelector(df, order_cols, most=most)
+        self.n = self.ranks.counts.get((), 0)
 
     def pick(self, count: int, pick_col: str = "pick") -> DataFrame:
-        spark = self.indexed.sparkSession
-        n = self.n
-        if count == 1:
-            pos = F.lit(0).cast("long")
-        else:
-            step = (n - F.lit(1)).cast("double") / F.lit(float(count - 1))
-            pos = F.rint(F.col("id").cast("double") * step).cast("long")
-        picks = spark.range(count).select(
-            (F.col("id") + 1).alias(pick_col),
-            F.when(n < F.lit(count),
-                   F.raise_error(F.lit(f"Not enough rows for an even sample of {count}")))
-            .otherwise(pos).cast("long").alias("__pos"))
-        # picks holds ``count`` rows, a caller's parameter: broadcast is bounded.
-        return self.indexed.join(F.broadcast(picks), "__pos").drop("__pos")
+        if self.n < count:
+            raise ValueError(f"Not enough rows for an even sample of {count}")
+        step = (self.n - 1) / (count - 1) if count > 1 else 0.0
+        rows = self.ranks.rows_at([((), round(i * step), i + 1) for i in range(count)])
+        return rows.withColumnRenamed("__wanted", pick_col)
 
 
 def even_sample(df: DataFrame, order_cols: list, count: int, pick_col: str = "pick") -> DataFrame:

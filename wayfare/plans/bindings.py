@@ -381,8 +381,11 @@ DROP_HEADER = ["id", "price", "departure_city", "arrival_city", "departure_time"
 
 def ticket_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tickets as a feed writes them: train number = part-order-line (unique
-    per departure), line number kept for the drop rules."""
+    per departure), line number kept for the drop rules. The seat type of
+    line 4 has a line break, quotes and a comma."""
     t = trips(spark, sf_dir)
+    t = t.withColumn("seat_type", F.when(F.col("l_linenumber") == 4, F.concat("seat_type", F.lit('\n"a,b"\n')
+                                         , F.lit("c"))).otherwise(F.col("seat_type")))
     return t.withColumn("train_number", F.concat_ws(
         "-", F.col("train_number"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
 
@@ -424,18 +427,48 @@ def ticket_drops(spark: SparkSession, sf_dir: str) -> str:
             (F.col("total_seats") if fresh else F.col("remaining_seats")).cast("string").alias("remaining_seats"),
             F.lit("").alias("created_at"))
 
-    shaped(feed.filter(ln <= 4), True).write.option("header", True).csv(f"{root}/{TICKET_FILES[0]}")
-    shaped(feed.filter(ln >= 3), False).write.option("header", True).csv(f"{root}/{TICKET_FILES[1]}")
+    write_csv(shaped(feed.filter(ln <= 4), True), f"{root}/{TICKET_FILES[0]}")
+    write_csv(shaped(feed.filter(ln >= 3), False), f"{root}/{TICKET_FILES[1]}")
     return root
 
 
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """CSV with a header, quotes doubled in quoted cells."""
+    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+
+
+WEATHER_FILES = ["weather_data_20240101.csv", "weather_data_20240102.csv"]
+
+
+def weather_drops(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """Two CSV snapshots of the readings (last one per city and day), beside
+    the ticket drops. Older file: orders that 3 doesn't divide. Newer file:
+    those that leave no rest of 1, its cities in lower case with an accent
+    on every a and blanks at the end, so that they are the same cities only
+    under the table's collation; a humidity ending in 3 comes with a bad
+    temperature."""
+    r = readings(spark, sf_dir)
+    newer = F.concat(F.translate(F.lower("city"), "a", "\u00e1"), F.lit("  "))
+    for name, rest, city in ((WEATHER_FILES[0], 0, F.col("city")), (WEATHER_FILES[1], 1, newer)):
+        from wayfare.operators.load import latest_per_key
+        rows = latest_per_key(r.where(F.col("seq") % 3 != rest), C.WEATHER_KEY, ["seq"])
+        bad = F.lit(rest == 1) & (F.col("humidity") % 10 == 3)
+        known = {"city": city, "fx_date": X.iso_date("fx_date"), "update_time": F.date_format("update_time", "yyyy-MM-dd HH:mm:ss"),
+                 "temp_max": F.when(bad, F.lit("warm")).otherwise(F.col("temp_max").cast("string"))}
+        has = [c for c in C.WEATHER_COLUMNS if c in rows.columns]
+        write_csv(rows.select(*[known.get(c, F.col(c).cast("string") if c in has else F.lit("")).alias(c)
+                                for c in C.WEATHER_COLUMNS]), f"{root}/{name}")
+
+
 def ticket_drop_stream_folder(spark: SparkSession, sf_dir: str) -> str:
     """The two snapshots landed one after another in one folder (older first)."""
     import time
+    from wayfare.sources.files import read_csv
     root = ticket_drops(spark, sf_dir)
     folder = f"{root}/incoming"
     for i, name in enumerate(TICKET_FILES):
         if i:
             time.sleep(1.1)
-        spark.read.option("header", True).csv(f"{root}/{name}").write.mode("append").option("header", True).csv(folder)
+        rows, order = read_csv(spark, f"{root}/{name}")
+        write_csv(rows.drop(order), folder, "append")
     return folder

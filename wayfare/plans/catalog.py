@@ -19,6 +19,7 @@ from wayfare.operators import lookup as L
 from wayfare.operators import routing as R
 from wayfare.operators.ordering import even_sample
 from wayfare.plans import bindings as B
+from wayfare.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -55,7 +56,8 @@ def routes_without_readings(spark, sf):
 
 @register("even_sample")
 def even_sample_q(spark, sf):
-    rows = even_sample(B.route_keys(spark, sf), K.ROUTE_ORDER, C.CASE_COUNTS["ticket"])
+    keys = cut_lineage(B.route_keys(spark, sf))  # the sampler reads it more than once
+    rows = even_sample(keys, K.ROUTE_ORDER, C.CASE_COUNTS["ticket"])
     return rows.select("pick", "departure_city", "arrival_city", "travel_date", "ticket_count")
 
 
@@ -344,7 +346,7 @@ def eval_failures(spark, sf):
 @register("latency_percentiles")
 def latency_percentiles(spark, sf):
     from wayfare.operators.evaluate import percentiles
-    return percentiles(_scored(spark, sf))
+    return percentiles(cut_lineage(_scored(spark, sf).select("category", "latency_ms")))
 
 
 @register("run_comparison")
@@ -407,21 +409,28 @@ def followup_nested(spark, sf):
 
 # --- ingest: snapshot, contract, upsert, report, publish ------------------------
 
-class _Ingest:
-    """ING-1 over the ticket drops: newest file, contract read, upsert onto
-    the table loaded from the older file."""
+def _newest_tickets(spark, sf):
+    """The newer ticket drop: its name and its checked rows."""
+    from wayfare.sources import files as S
+    newest = S.newest_snapshot(spark, B.ticket_drops(spark, sf), "train_tickets_*.csv")
+    return newest.rstrip("/").rsplit("/", 1)[-1], S.read_contract(spark, newest, "train_tickets")
 
-    def __init__(self, spark, sf):
-        from wayfare.operators.load import latest_per_key, upsert
-        from wayfare.sources import files as S
-        self.root = B.ticket_drops(spark, sf)
-        self.newest = S.newest_snapshot(spark, self.root, "train_tickets_*.csv")
-        self.file = self.newest.rstrip("/").rsplit("/", 1)[-1]
-        old = S.accepted(S.read_contract(spark, f"{self.root}/{B.TICKET_FILES[0]}", "train_tickets"))
-        self.before = latest_per_key(old, C.TICKET_KEY, ["__order"]).drop("__order")
-        self.read = S.read_contract(spark, self.newest, "train_tickets")
-        self.incoming = S.accepted(self.read)
-        self.after = upsert(self.before, self.incoming, C.TICKET_KEY, ["__order"])
+
+def _ingested(spark, sf, names=("train_tickets", "weather_data")):
+    """ING-1: tables published from their older drops, then the newest drops
+    put in under the tables' collation; root and load reports."""
+    import uuid
+    from wayfare.operators.load import ingest, latest_per_key, publish
+    from wayfare.session import ensure_checkpoint_dir
+    from wayfare.sources import files as S
+    root = f"{ensure_checkpoint_dir(spark)}/published-{uuid.uuid4().hex[:8]}"
+    drops = B.ticket_drops(spark, sf) if "train_tickets" in names else f"{root}-drops"
+    if "weather_data" in names:
+        B.weather_drops(spark, sf, drops)
+    older = {"train_tickets": B.TICKET_FILES[0], "weather_data": B.WEATHER_FILES[0]}
+    publish(spark, {n: latest_per_key(S.accepted(S.read_contract(spark, f"{drops}/{older[n]}", n)), C.TABLES[n]["key"], ["__order"],
+                                      X.COLLATION).drop("__order") for n in names}, root)
+    return root, ingest(spark, drops, root, X.COLLATION)
 
 
 def _ticket_report(df):
@@ -433,21 +442,20 @@ def _ticket_report(df):
 
 @register("newest_snapshot")
 def newest_snapshot(spark, sf):
-    ing = _Ingest(spark, sf)
-    n = ing.read.select(F.count(F.lit(1))).scalar()
-    return spark.range(1).select(F.lit("train_tickets").alias("table"), F.lit(ing.file).alias("file"),
-                                 n.alias("csv_rows"))
+    name, read = _newest_tickets(spark, sf)
+    return read.agg(F.count(F.lit(1)).alias("csv_rows")).select(F.lit("train_tickets").alias("table"), F.lit(name).alias("file"), "csv_rows")
 
 
 @register("csv_contract")
 def csv_contract(spark, sf):
-    return _ticket_report(_Ingest(spark, sf).incoming)
+    from wayfare.sources.files import accepted
+    return _ticket_report(accepted(_newest_tickets(spark, sf)[1]))
 
 
 @register("rejected_rows")
 def rejected_rows(spark, sf):
     from wayfare.sources.files import rejected
-    r = rejected(_Ingest(spark, sf).read)
+    r = rejected(_newest_tickets(spark, sf)[1])
     return r.select(F.col("raw_departure_city").alias("departure_city"), F.col("raw_arrival_city").alias("arrival_city"),
                     F.col("raw_departure_time").alias("departure_time"), F.col("raw_train_number").alias("train_number"),
                     F.col("raw_seat_type").alias("seat_type"), F.col("__reason").alias("reason"))
@@ -455,34 +463,39 @@ def rejected_rows(spark, sf):
 
 @register("upsert")
 def upsert_q(spark, sf):
-    return _ticket_report(_Ingest(spark, sf).after)
+    from wayfare.operators.load import read_published
+    return _ticket_report(read_published(spark, _ingested(spark, sf, ["train_tickets"])[0], "train_tickets"))
+
+
+@register("weather_upsert")
+def weather_upsert(spark, sf):
+    from wayfare.operators.load import read_published
+    w = read_published(spark, _ingested(spark, sf, ["weather_data"])[0], "weather_data")
+    return w.select("city", X.iso_date("fx_date").alias("fx_date"), "temp_max", "temp_min", "text_day", "text_night",
+                    "wind_speed_day", F.col("precip").cast("double").alias("precip"), "humidity",
+                    X.iso_datetime("update_time").alias("update_time"))
 
 
 @register("load_report")
 def load_report(spark, sf):
-    from wayfare.operators.load import load_report as report
-    ing = _Ingest(spark, sf)
-    return report("train_tickets", ing.file, ing.read, ing.before, ing.after, C.TICKET_KEY)
+    return _ingested(spark, sf)[1]
+
+
+def _counts(tables: dict):
+    parts = [df.select(F.lit(n).alias("table")) for n, df in tables.items()]
+    return parts[0].unionByName(parts[1]).groupBy("table").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @register("table_counts")
 def table_counts(spark, sf):
-    ing = _Ingest(spark, sf)
-    t = ing.after.select(F.lit("train_tickets").alias("table"))
-    w = B.weather_table(spark, sf).select(F.lit("weather_data").alias("table"))
-    return t.unionByName(w).groupBy("table").agg(F.count(F.lit(1)).alias("rows"))
+    return _counts({"train_tickets": B.trips(spark, sf), "weather_data": B.weather_table(spark, sf)})
 
 
 @register("published_tables")
 def published_tables(spark, sf):
-    import uuid
-    from wayfare.operators.load import publish, read_published
-    from wayfare.session import ensure_checkpoint_dir
-    ing = _Ingest(spark, sf)
-    root = f"{ensure_checkpoint_dir(spark)}/published-{uuid.uuid4().hex[:8]}"
-    publish(spark, {"train_tickets": ing.after, "weather_data": B.weather_table(spark, sf)}, root)
-    parts = [read_published(spark, root, n).select(F.lit(n).alias("table")) for n in ["train_tickets", "weather_data"]]
-    return parts[0].unionByName(parts[1]).groupBy("table").agg(F.count(F.lit(1)).alias("rows"))
+    from wayfare.operators.load import read_published
+    root = _ingested(spark, sf)[0]
+    return _counts({n: read_published(spark, root, n) for n in ("train_tickets", "weather_data")})
 
 
 # --- streams ---------------------------------------------------------------------
@@ -585,8 +598,8 @@ def stream_dialog(spark, sf):
 
 @register("stream_upsert")
 def stream_upsert(spark, sf):
+    from wayfare.operators.load import read_published
     from wayfare.streaming import streams as S
     folder = B.ticket_drop_stream_folder(spark, sf)
-    out = S.scratch(spark, "stm-upsert")
-    last = S.upsert_stream(spark, folder, "train_tickets", C.TICKET_KEY, out, B.DROP_HEADER)
-    return _ticket_report(spark.read.parquet(last))
+    root = S.upsert_stream(spark, folder, "train_tickets", S.scratch(spark, "stm-upsert"))
+    return _ticket_report(read_published(spark, root, "train_tickets"))

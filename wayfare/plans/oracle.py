@@ -900,7 +900,8 @@ FROM u5""")
 FEED = """feed AS (
   SELECT departure_city, arrival_city, departure_time, arrival_time,
          train_number || '-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS tn,
-         seat_type, total_seats, remaining_seats, price, l_linenumber AS ln
+         CASE WHEN l_linenumber = 4 THEN seat_type || chr(10) || '"a,b"' || chr(10) || 'c' ELSE seat_type END AS seat_type,
+         total_seats, remaining_seats, price, l_linenumber AS ln
   FROM trips)""", """newf AS (
   SELECT *, CASE WHEN ln = 7 THEN 'missing train_number'
                  WHEN ln = 6 AND seat_type = 'R' THEN 'bad departure_time'
@@ -915,6 +916,16 @@ FEED = """feed AS (
       SELECT departure_city, arrival_city, departure_time, tn, seat_type, total_seats, remaining_seats, price, 1
       FROM newf WHERE reason IS NULL)) WHERE rn = 1)"""
 
+# the weather drops, their cities equal as the table's collation has it
+WEATHER_FILES = """wold AS (
+  SELECT *, city AS spelt FROM (SELECT *, row_number() OVER (PARTITION BY city, fx_date ORDER BY seq DESC) AS rn
+                                FROM readings WHERE seq % 3 <> 0) WHERE rn = 1)""", """wnew AS (
+  SELECT *, replace(lower(city), 'a', 'á') AS spelt, humidity % 10 = 3 AS bad
+  FROM (SELECT *, row_number() OVER (PARTITION BY city, fx_date ORDER BY seq DESC) AS rn
+        FROM readings WHERE seq % 3 <> 1) WHERE rn = 1)""", """wmerged AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY strip_accents(lower(spelt)), fx_date ORDER BY src DESC) AS k FROM (
+      SELECT * EXCLUDE (rn), 0 AS src FROM wold UNION ALL SELECT * EXCLUDE (rn, bad), 1 FROM wnew WHERE NOT bad)) WHERE k = 1)"""
+
 TICKET_REPORT = """strftime(departure_time, '%Y-%m-%d') AS departure_day,
   strftime(departure_time, '%Y-%m-%d %H:%M:%S') AS departure_time, tn AS train_number, departure_city, arrival_city,
   seat_type, total_seats, remaining_seats, CAST(price AS DOUBLE) AS price"""
@@ -933,18 +944,26 @@ SELECT departure_city, arrival_city,
   CASE WHEN reason = 'too long seat_type' THEN repeat('X', 25) ELSE seat_type END AS seat_type, reason
 FROM newf WHERE reason IS NOT NULL""")
     s["upsert"] = with_ctes(*base, body=f"SELECT {TICKET_REPORT} FROM merged")
-    s["load_report"] = with_ctes(*base, body="""
+    s["weather_upsert"] = with_ctes(READINGS, *WEATHER_FILES, body=f"""
+SELECT spelt AS city, strftime(fx_date, '%Y-%m-%d') AS fx_date, temp_max, temp_min, text_day, text_night, wind_speed_day,
+       CAST(precip AS DOUBLE) AS precip, humidity, {iso_ts('update_time')} AS update_time FROM wmerged""")
+    s["load_report"] = with_ctes(*base, READINGS, *WEATHER_FILES, body="""
 SELECT 'train_tickets' AS "table", 'train_tickets_20240102.csv' AS file,
   (SELECT count(*) FROM newf) AS csv_rows, (SELECT count(*) FROM newf WHERE reason IS NOT NULL) AS rejected,
   (SELECT count(*) FROM oldf) AS before, (SELECT count(*) FROM merged) AS after,
   (SELECT count(*) FROM merged) - (SELECT count(*) FROM oldf) AS inserted,
   (SELECT count(*) FROM newf n WHERE reason IS NULL AND EXISTS (
-     SELECT 1 FROM oldf o WHERE o.departure_time = n.departure_time AND o.tn = n.tn)) AS updated""")
-    counts = with_ctes(*base, READINGS, WEATHER, body="""
+     SELECT 1 FROM oldf o WHERE o.departure_time = n.departure_time AND o.tn = n.tn)) AS updated
+UNION ALL
+SELECT 'weather_data', 'weather_data_20240102.csv', (SELECT count(*) FROM wnew), (SELECT count(*) FROM wnew WHERE bad),
+  (SELECT count(*) FROM wold), (SELECT count(*) FROM wmerged), (SELECT count(*) FROM wmerged) - (SELECT count(*) FROM wold),
+  (SELECT count(*) FROM wnew n WHERE NOT bad AND EXISTS (SELECT 1 FROM wold o WHERE o.city = n.city AND o.fx_date = n.fx_date))""")
+    s["published_tables"] = with_ctes(*base, READINGS, *WEATHER_FILES, body="""
 SELECT 'train_tickets' AS "table", count(*) AS rows FROM merged
+UNION ALL SELECT 'weather_data', count(*) FROM wmerged""")
+    s["table_counts"] = with_ctes(TRIPS, READINGS, WEATHER, body="""
+SELECT 'train_tickets' AS "table", count(*) AS rows FROM trips
 UNION ALL SELECT 'weather_data', count(*) FROM weather""")
-    s["table_counts"] = counts
-    s["published_tables"] = counts
 
 
 # --- streams (batch SQL over the same rows) -------------------------------------------
