@@ -239,3 +239,59 @@ def test_neighbours_agree_as_the_merges_say(codec):
         assert codec.fits(a << 32 | b) == want
         agreed += want
     assert 2000 < agreed < 19_500
+
+
+def naive_tiling(doc, item, width):
+    """Greedy string tiling by its definition."""
+    doc_free, item_free, tiles = [True] * len(doc), [True] * len(item), 0
+    while True:
+        best = (0, 0, 0)
+        for p in range(len(doc)):
+            for q in range(len(item)):
+                n = 0
+                while p + n < len(doc) and q + n < len(item) and doc_free[p + n] and item_free[q + n] and doc[p + n] == item[q + n]:
+                    n += 1
+                best = max(best, (n, -p, -q))
+        n, p, q = best[0], -best[1], -best[2]
+        if n < width:
+            return item_free.count(False), tiles
+        tiles += 1
+        doc_free[p:p + n] = item_free[q:q + n] = [False] * n
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 3), max_size=45), st.lists(st.integers(1, 3), min_size=1, max_size=30), st.integers(2, 5))
+def test_tiling_equals_its_definition(doc, item, width):
+    from wayfare.llm.decontaminate import tiling
+    assert tiling(np.array(doc, np.uint64), np.array(item, np.uint64), width) == naive_tiling(doc, item, width)
+
+
+def test_decontamination_equals_naive_tiling(spark):
+    from wayfare.llm import decontaminate as D
+    r = random.Random(8)
+    vocab = [f"w{k}" for k in range(40)]
+    text = lambda n: " ".join(r.choice(vocab[:r.choice([2, 40])]) for _ in range(n))
+    items = [(k, text(r.choice([1, 3, 5, 8, 20, 40]))) for k in range(40)] + [(40, None), (41, ""), (7, "w1 w2")]
+    docs = [(k, text(r.randint(0, 60)) + " " + " ".join(items[r.randrange(40)][1].split()[r.randint(0, 4):])) for k in range(120)]
+    want = set()
+    for i, t in docs:
+        for j, it in items:
+            w, v = t.split(), (it or "").split()
+            if v:
+                n, tiles = naive_tiling(w, v, min(5, len(v)))
+                if n and n >= 0.5 * len(v):
+                    want.add((i, j, len(v), n, tiles))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench, block=100)
+    assert {tuple(x)[:5] for x in got.collect()} == want
+    assert D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench.limit(0)).count() == 0
+
+
+def test_repeated_words_cost_no_more_than_others():
+    import time
+    from wayfare.llm.decontaminate import Benchmark
+    start = time.time()
+    bench = Benchmark([(1, "la " * 20_000), (2, "la lu " * 3000)])
+    assert dict((i, (n, k)) for i, n, k in bench.covered("la " * 20_000, 0.5)) == {0: (20_000, 1)}
+    assert list(bench.covered("lu la " * 5000, 0.5)) == [(1, 6000, 1)]
+    assert time.time() - start < 5

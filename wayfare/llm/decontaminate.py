@@ -2,11 +2,12 @@
 
 Texts become lower-case words without ASCII punctuation. Running Karp-Rabin
 hashes of five words find the seeds that a document shares with an item of
-the benchmark; seeds on one diagonal join to maximal matches. The longest
-match whose words are free in both texts becomes a tile, again and again (a
-match of which a part is taken goes back as what is left, while that has five
-words). The share of an item's words that lie in tiles is its coverage, so
-that passages in another order still count. A document of which some item
+the benchmark; an item is looked at if its shared seeds could cover enough of it.
+The longest match whose words are free in both texts becomes a tile, again
+and again, down to five words; running hashes of a length's runs find the
+matches, so repeats cost no more than other words. The share of an item's
+words that lie in tiles is its coverage, so that passages in another order
+still count. A document of which some item
 has ``threshold`` coverage is contaminated.
 
 The benchmark is sent to the executors in blocks of at most ``block`` words,
@@ -20,7 +21,6 @@ each; empty tables give no rows; extra columns pass through ``clean``.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -65,13 +65,16 @@ class Seeds:
         self.may = np.zeros(1 << 22, bool)
         self.may[(h & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
-    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, place in the document, place in the item) of shared runs."""
-        h = _rolling(ids, self.width)
-        for p in np.flatnonzero(self.may[(h & np.uint64((1 << 22) - 1)).astype(np.int64)]):
-            lo, hi = np.searchsorted(self.hash, h[p], "left"), np.searchsorted(self.hash, h[p], "right")
-            for k in range(lo, hi):
-                yield int(self.item[k]), int(p), int(self.at[k])
+    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, place in the item), in order, of the runs that a document
+        shares, each once however often the document has it."""
+        h = np.unique(_rolling(ids, self.width))
+        h = h[self.may[(h & np.uint64((1 << 22) - 1)).astype(np.int64)]]
+        lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
+        n = hi - lo
+        k = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else lo
+        order = np.lexsort((self.at[k], self.item[k]))
+        return self.item[k][order], self.at[k][order]
 
 
 class Benchmark:
@@ -88,51 +91,102 @@ class Benchmark:
             by_width.setdefault(min(SEED, len(item)), []).append(i)
         self.seeds = [Seeds(self.items, which, width) for width, which in sorted(by_width.items())]
 
-    def covered(self, text: str | None) -> Iterator[tuple[int, int, int]]:
-        """(index of the item, words covered, tiles) of items that share a seed."""
+    def covered(self, text: str | None, share: float = 0.0) -> Iterator[tuple[int, int, int]]:
+        """(index of the item, words covered, tiles) of items that share a
+        seed and may have ``share`` of their words covered: no more can be
+        than lie in shared seeds."""
         if not text or not self.items:
             return
         w = words(text)
         doc = np.fromiter(map(self.vocab.get, w, repeat(0)), np.uint64, len(w))
         for seeds in self.seeds:
-            shared: dict[int, list[tuple[int, int]]] = {}
-            for item, p, q in seeds.hits(doc):
-                shared.setdefault(item, []).append((p, q))
-            for item, places in shared.items():
-                yield item, *tiling(doc, self.items[item], places, seeds.width)
-
-
-def tiling(doc: np.ndarray, item: np.ndarray, places: list[tuple[int, int]], width: int) -> tuple[int, int]:
-    """Words of the item in tiles, and tiles. ``places``: of shared runs."""
-    runs: list[tuple[int, int, int]] = []  # (length, place in the document, in the item)
-    for p, q in sorted(places, key=lambda x: (x[0] - x[1], x[0])):
-        if not (doc[p:p + width] == item[q:q + width]).all():
-            continue  # equal hashes only
-        if runs and runs[-1][1] - runs[-1][2] == p - q and p <= runs[-1][1] + runs[-1][0]:
-            runs[-1] = (p + width - runs[-1][1], *runs[-1][1:])
-        else:
-            runs.append((width, p, q))
-    heap = [(-n, p, q) for n, p, q in runs]
-    heapq.heapify(heap)
-    doc_used, item_used = set(), np.zeros(len(item), bool)
-    tiles = 0
-    while heap:
-        n, p, q = heapq.heappop(heap)
-        free = [not item_used[q + k] and p + k not in doc_used for k in range(-n)]
-        if all(free):
-            tiles += 1
-            item_used[q:q - n] = True
-            doc_used.update(range(p, p - n))
-            continue
-        start = None
-        for k, is_free in enumerate([*free, False]):
-            if is_free and start is None:
-                start = k
-            elif not is_free and start is not None:
-                if k - start >= width:
-                    heapq.heappush(heap, (start - k, p + start, q + start))
-                start = None
-    return int(item_used.sum()), tiles
+            item, at = seeds.hits(doc)
+            if not len(item):
+                continue
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(item)) + 1))
+            step = np.minimum(np.append(np.diff(at), seeds.width), seeds.width)  # words that a seed has before the next
+            step[np.append(starts[1:] - 1, len(item) - 1)] = seeds.width
+            for i, most in zip(item[starts].tolist(), np.add.reduceat(step, starts).tolist()):
+                if most >= share * len(self.items[i]):
+                    yield i, *tiling(doc, self.items[i], seeds.width)
+
+
+class _Windows:
+    """Hashes of all runs of a length, by differences of one running sum."""
+
+    def __init__(self, ids: np.ndarray):
+        x = (ids + np.uint64(1)) * _P
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        n = len(ids)
+        power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, _P))))
+        self.back = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, np.uint64(pow(int(_P), -1, 1 << 64))))))
+        self.sums = np.concatenate(([np.uint64(0)], np.cumsum((x ^ (x >> np.uint64(31))) * power[:n], dtype=np.uint64)))
+        self.used = np.zeros(n, bool)
+
+    def free(self, length: int) -> np.ndarray:
+        """Where runs of the length begin that no tile has touched."""
+        taken = np.concatenate(([0], np.cumsum(self.used)))
+        n = len(self.used) - length + 1
+        return np.flatnonzero(taken[length:length + n] == taken[:n]) if n > 0 else np.zeros(0, np.int64)
+
+    def hashes(self, at: np.ndarray, length: int) -> np.ndarray:
+        return (self.sums[at + length] - self.sums[at]) * self.back[at]
+
+
+def tiling(doc: np.ndarray, item: np.ndarray, width: int) -> tuple[int, int]:
+    """Words of the item in tiles, and tiles: the longest match of free words
+    first, of equals the first in the document, then in the item.
+
+    The longest length is found by bisection with running Karp-Rabin hashes;
+    all tiles of a length are then laid in order. So a length costs time
+    linear in both texts (but for sorting), however often they repeat, and
+    lengths are few: they add up to no more than the item.
+    """
+    d, t = _Windows(doc), _Windows(item)
+
+    def matches(length: int) -> tuple[np.ndarray, ...]:
+        """Places in the document whose run the item has, too; the item's
+        places, ordered by hash; where each of the former finds its own."""
+        places = t.free(length)
+        h = t.hashes(places, length)
+        order = np.argsort(h, kind="stable")
+        places, h = places[order], h[order]
+        at = d.free(length)
+        mine = d.hashes(at, length)
+        lo = np.searchsorted(h, mine, "left")
+        found = lo < len(h)
+        found[found] = h[lo[found]] == mine[found]
+        return at[found], places, lo[found], np.searchsorted(h, mine[found], "right")
+
+    tiles, most = 0, min(len(doc), len(item))
+    while most >= width:
+        if not len(matches(most)[0]):
+            low, high = width - 1, most  # a match of ``low`` words or none at all; none of ``high``
+            while high - low > 1:
+                middle = (low + high) // 2
+                low, high = (middle, high) if len(matches(middle)[0]) else (low, middle)
+            most = low
+            if most < width:
+                break
+        at, places, lo, hi = matches(most)
+        next_place, k = {}, 0  # the item's places of a hash that are behind
+        while k < len(at):
+            p, first = int(at[k]), int(lo[k])
+            spot = next_place.get(first, first)
+            while spot < hi[k] and (t.used[places[spot]:places[spot] + most].any()
+                                    or (doc[p:p + most] != item[places[spot]:places[spot] + most]).any()):
+                spot += 1
+            next_place[first] = spot
+            if spot < hi[k]:
+                q = int(places[spot])
+                tiles += 1
+                d.used[p:p + most] = t.used[q:q + most] = True
+                k = int(np.searchsorted(at, p + most))
+            else:
+                k += 1
+        most -= 1
+    return int(t.used.sum()), tiles
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int) -> Iterator[tuple[list[tuple[int, str]], list[int]]]:
@@ -173,7 +227,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             for batch in slices(batches):
                 found = []
                 for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    for item, n, tiles in bench.covered(text):
+                    for item, n, tiles in bench.covered(text, threshold):
                         size = len(bench.items[item])
                         if n >= threshold * size:
                             found.append((i, bench.ids[item], size, n, tiles, n / size, repeats.get(bench.rows[item], 1)))
@@ -200,7 +254,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             bench = _per_worker(shared)
             for batch in slices(batches):
-                keep = [all(n < threshold * len(bench.items[item]) for item, n, _ in bench.covered(text))
+                keep = [all(n < threshold * len(bench.items[item]) for item, n, _ in bench.covered(text, threshold))
                         for text in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
