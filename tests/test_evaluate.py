@@ -1,13 +1,10 @@
-"""EVL-* / JON-8 on hand-made cases, and STM-5's idle timeout."""
+"""EVL-* / JON-8 on hand-made cases."""
 
 from pyspark.sql import functions as F
 
 import pytest
 
-import pandas as pd
-
 from wayfare.operators import evaluate as V
-from wayfare.streaming import streams as S
 
 CASE = "id string, category string, query string, expected struct<intent: string, required_agents: array<string>, " \
        "slots: map<string,string>, missing_slots: array<string>, need_clarification: boolean>"
@@ -46,29 +43,6 @@ def test_no_cases_give_zeros(spark):
     assert (total.case_count, total.intent_accuracy, total.average_latency_seconds) == (0, 0.0, 0.0)
 
 
-class State:
-    """What the dialog function uses of a group's state."""
-    exists, hasTimedOut, get, wait = False, False, None, None
-
-    def update(self, value):
-        self.exists, self.get = True, value
-
-    def setTimeoutDuration(self, ms):
-        self.wait = ms
-
-
-def test_dialog_gap_goes_out_after_the_timeout():
-    fn, state = S._dialog_fn("?", "{original}/{question}/{reply}", 5000), State()
-    turns = pd.DataFrame({"turn": [1, 2, 4], "role": ["user", "assistant", "user"], "text": ["a", "b?", "d"]})
-    assert len(next(fn((7,), [turns], state))) == 0 and state.wait == 5000
-    state.hasTimedOut = True
-    out = next(fn((7,), [], state))
-    assert out[["turn", "follow_up", "query_sent"]].values.tolist() == [[1, False, "a"], [4, True, "a/b?/d"]]
-    state.hasTimedOut = False
-    late = pd.DataFrame({"turn": [0, 5], "role": ["user", "user"], "text": ["z", "e"]})
-    assert next(fn((7,), [late], state))[["turn", "query_sent"]].values.tolist() == [[5, "e"]]
-
-
 @pytest.mark.parametrize("most", [30, 1 << 20])
 def test_percentiles_by_rank_equal_the_aggregate(spark, most):
     from wayfare.operators.evaluate import percentiles

@@ -521,13 +521,37 @@ TS = "yyyy-MM-dd'T'HH:mm:ss"
 TS_US = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
+def _tumbled(spark, sf):
+    """STM-1 over events of which every tenth lands only when all others have
+    been counted, then the sentinel; the emitted windows and the landed rows."""
+    from wayfare.operators.logs import LOG_TIME_WRITE_FORMAT
+    from wayfare.streaming import streams as S
+    path, out = S.scratch(spark, "log-waves"), S.scratch(spark, "stm-tumbling")
+    logs = B.log_events(spark, sf)
+    flat = lambda b, _: b.select(F.date_format("w.start", TS).alias("window_start"), "events", "errors")
+    late = F.col("event_id") % 10 == 0
+    for wave in (logs.where(~late), logs.where(late), None):
+        if wave is None:
+            _land_sentinel(spark, path)
+        else:
+            wave.drop("event_id").write.mode("append").option("timestampFormat", LOG_TIME_WRITE_FORMAT).json(path)
+        # a run a wave: it goes on from the checkpoint, watermark included
+        S.run_batches(S.tumbling_counts(S.log_stream(spark, path, max_files=10_000)), out, "append", flat)
+    return S.final_rows(spark, out, ["window_start"]).where("window_start < '2100'"), logs
+
+
 @register("stream_tumbling")
 def stream_tumbling(spark, sf):
-    from wayfare.streaming import streams as S
-    out = S.scratch(spark, "stm-tumbling")
-    flat = lambda b, _: b.select(F.date_format("w.start", TS).alias("window_start"), "events", "errors")
-    S.run_batches(S.tumbling_counts(S.log_stream(spark, _landed_log_folder(spark, sf))), out, "update", flat)
-    return S.final_rows(spark, out, ["window_start"])
+    return _tumbled(spark, sf)[0]
+
+
+@register("stream_late")
+def stream_late(spark, sf):
+    """How many landed rows came too late for their window."""
+    windows, logs = _tumbled(spark, sf)
+    landed = logs.agg(F.count(F.lit(1)).alias("landed"))
+    counted = windows.agg(F.coalesce(F.sum("events"), F.lit(0)).alias("counted"))
+    return landed.join(counted).select("landed", "counted", (F.col("landed") - F.col("counted")).alias("dropped"))
 
 
 @register("stream_sliding")
@@ -579,23 +603,33 @@ def stream_dedupe(spark, sf):
     return S.final_rows(spark, out, ["trace_id", "time", "event"])
 
 
-@register("stream_dialog")
-def stream_dialog(spark, sf):
-    import time
+def _dialog(spark, turns) -> DataFrame:
+    """The dialog stream over turns of which the later land first; an end
+    far in the future lands last and lets timers expire."""
+    import datetime as dt
     from wayfare.streaming import streams as S
-    src = S.scratch(spark, "turn-drops")
-    t = B.turns(spark, sf)
-    t.filter(F.col("turn") > 3).write.json(f"{src}/late")      # later turns land first
-    time.sleep(1.1)
-    t.filter(F.col("turn") <= 3).write.mode("append").json(f"{src}/early")
-    out = S.scratch(spark, "stm-dialog")
-    schema = "conv_id long, turn long, role string, text string"
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 2)
-              .option("recursiveFileLookup", True).json(src))
-    S.run_batches(S.dialog_stream(stream), out, "append")
+    src, out = S.scratch(spark, "turn-drops"), S.scratch(spark, "stm-dialog")
+    schema = "conv_id long, turn long, role string, text string, time timestamp"
+    timed = turns.withColumn("time", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("turn") * 60))
+    end = spark.createDataFrame([(-1, 0, "system", "end", dt.datetime(2100, 1, 1))], schema)
+    for wave in (timed.filter(F.col("turn") > 3), timed.filter(F.col("turn") <= 3), end):
+        wave.write.mode("append").json(src)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 10_000).json(src)
+        S.run_batches(S.dialog_stream(stream), out, "append")
     return S.final_rows(spark, out, ["conv_id", "turn"])
 
 
+@register("stream_dialog")
+def stream_dialog(spark, sf):
+    return _dialog(spark, B.turns(spark, sf))
+
+
+@register("stream_dialog_gaps")
+def stream_dialog_gaps(spark, sf):
+    """Every third conversation never gets its turn 1."""
+    return _dialog(spark, B.turns(spark, sf).where("not (conv_id % 3 = 0 and turn = 1)"))
+
+
 @register("stream_upsert")
 def stream_upsert(spark, sf):
     from wayfare.operators.load import read_published

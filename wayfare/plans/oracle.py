@@ -832,10 +832,10 @@ LOGS = f"""logs AS (
   FROM events)"""
 
 
-def _dialog_ctes() -> list[str]:
-    return ["""u AS (
+def _dialog_ctes(turns: str = "conversations") -> list[str]:
+    return [f"""u AS (
   SELECT a.conv_id, a.turn, a.text, CASE WHEN n.role = 'assistant' THEN n.text END AS reply
-  FROM conversations a LEFT JOIN conversations n ON n.conv_id = a.conv_id AND n.turn = a.turn + 1
+  FROM {turns} a LEFT JOIN {turns} n ON n.conv_id = a.conv_id AND n.turn = a.turn + 1
   WHERE a.role = 'user')""",
             """u2 AS (SELECT *, coalesce(contains(reply, ' the '), false) AS asks FROM u)""",
             """u3 AS (
@@ -882,10 +882,12 @@ FROM logs s WHERE s.event IN ('a2a_call_start', 'llm_call_start') AND NOT EXISTS
 SELECT g.trace_id, coalesce(d.status, CASE WHEN g.clar THEN 'need_clarification' END, 'open') AS outcome, g.events
 FROM g LEFT JOIN done d ON d.trace_id = g.trace_id""")
     web = render(C.FOLLOWUP_WEB, original="original", question="coalesce(question, '')", reply="text")
-    s["followup_latest"] = with_ctes(*_dialog_ctes(), """u5 AS (
+    latest = lambda turns, *more: with_ctes(*more, *_dialog_ctes(turns), """u5 AS (
   SELECT *, first_value(text) OVER (PARTITION BY conv_id, episode ORDER BY turn) AS original FROM u4)""", body=f"""
 SELECT conv_id, turn, episode, prev_asks AS follow_up, CASE WHEN prev_asks THEN {web} ELSE text END AS query_sent
-FROM u5""")
+FROM u5""")
+    s["followup_latest"] = latest("conversations")
+    s["stream_dialog_gaps"] = latest("gappy", "gappy AS (SELECT * FROM conversations WHERE NOT (conv_id % 3 = 0 AND turn = 1))")
     cli = render(C.FOLLOWUP_CLI, original="acc", reply="x")
     s["followup_nested"] = with_ctes(*_dialog_ctes(), """u5 AS (
   SELECT *, list(text) OVER (PARTITION BY conv_id, episode ORDER BY turn
@@ -969,10 +971,16 @@ UNION ALL SELECT 'weather_data', count(*) FROM weather""")
 # --- streams (batch SQL over the same rows) -------------------------------------------
 
 def stream_sql(s: dict[str, str]) -> None:
-    s["stream_tumbling"] = with_ctes(LOGS, body="""
-SELECT strftime(time_bucket(INTERVAL 1 minute, time), '%Y-%m-%dT%H:%M:%S') AS window_start, count(*) AS events,
-       count_if(level = 'WARNING') AS errors
-FROM logs GROUP BY 1""")
+    waves = """mark AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY AS wm FROM events WHERE event_id % 10 <> 0)""", \
+        """counted AS (
+  SELECT time_bucket(INTERVAL 1 minute, ts) AS w, event_type FROM events, mark
+  WHERE event_id % 10 <> 0 OR time_bucket(INTERVAL 1 minute, ts) + INTERVAL 1 MINUTE > wm)"""
+    s["stream_tumbling"] = with_ctes(*waves, body="""
+SELECT strftime(w, '%Y-%m-%dT%H:%M:%S') AS window_start, count(*) AS events, count_if(event_type = 'error') AS errors
+FROM counted GROUP BY 1""")
+    s["stream_late"] = with_ctes(*waves, body="""
+SELECT (SELECT count(*) FROM events) AS landed, (SELECT count(*) FROM counted) AS counted,
+       (SELECT count(*) FROM events) - (SELECT count(*) FROM counted) AS dropped""")
     s["stream_sliding"] = with_ctes(LOGS, """sl AS (
   SELECT time_bucket(INTERVAL 1 minute, time) - to_minutes(CAST(i AS BIGINT)) AS ws, name, elapsed_seconds
   FROM logs, range(10) r(i) WHERE event = 'timer')""", body="""
