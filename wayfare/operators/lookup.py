@@ -30,6 +30,22 @@ def _with_day(tickets: DataFrame) -> DataFrame:
     return tickets.withColumn("__day", F.to_date("departure_time"))
 
 
+def same_cities(requests: DataFrame, table: DataFrame, cols: list[str], collation: str = X.COLLATION) -> tuple[DataFrame, DataFrame]:
+    """Both tables with their cities in one spelling wherever the collation
+    calls them equal (case, accents and trailing blanks don't count), so that
+    the lookups, which compare plainly, find what the reference finds."""
+    names = None
+    for df in (requests, table):
+        for c in cols:
+            some = df.select(F.col(c).alias("name"))
+            names = some if names is None else names.unionByName(some)
+    # the spellings, a small part of the rows
+    mapping = cut_lineage(X.canonical_map(names, "name", collation))
+    for c in cols:
+        requests, table = X.canonicalize(requests, c, mapping), X.canonicalize(table, c, mapping)
+    return requests, table
+
+
 def ranked_tickets(tickets: DataFrame) -> DataFrame:
     """SRT-1: departure order inside each (route, day), ties broken by every column."""
     t = _with_day(tickets).select(*ROUTE_DAY, *[c for c in C.TICKET_SEARCH_COLUMNS if c not in ROUTE_DAY])

@@ -295,7 +295,9 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     trace = user and day; view/click/error are a call's start/success/error
     (agent by user parity, attempt 1 + event_id % 2); purchase is a stage
     timer (name by event_id % 3, seconds = value); signup ends the trace with
-    a status by event_id % 3, or (event_id % 4 == 3) asks for clarification.
+    a status by event_id % 3, or (event_id % 4 == 3) asks for clarification,
+    or (event_id % 4 == 1) tells an analysis, which names a supported agent
+    when event_id % 8 == 1 and one that isn't otherwise.
     """
     ev = table(spark, sf_dir, "events")
     et = F.col("event_type")
@@ -305,6 +307,7 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     event = (F.when(et == "view", F.lit("a2a_call_start")).when(et == "click", F.lit("a2a_call_success"))
              .when(et == "error", F.lit("a2a_call_error")).when(et == "purchase", F.lit("timer"))
              .when(F.col("event_id") % 4 == 3, F.lit("route_need_clarification"))
+             .when(F.col("event_id") % 4 == 1, F.lit("route_analysis_done"))
              .otherwise(F.lit("route_query_done")))
     is_call = et.isin("view", "click", "error")
     return ev.select(
@@ -321,7 +324,8 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(et == "purchase", timer).alias("name"),
         F.when(event == "route_query_done", done).alias("status"),
         F.lit(None).cast("string").alias("intent"),
-        F.lit(None).cast("array<string>").alias("required_agents"),
+        F.when(event == "route_analysis_done", F.array(F.when(F.col("event_id") % 8 == 1, F.lit("weather_agent"))
+                                                       .otherwise(F.lit("attraction_agent")))).alias("required_agents"),
         F.lit(None).cast("array<string>").alias("missing_slots"),
         F.when(et == "error", F.lit("TimeoutError()")).alias("error"),
         F.col("event_id"))

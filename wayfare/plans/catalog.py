@@ -94,6 +94,23 @@ def ticket_summary(spark, sf):
                     L.ticket_summary_text(F.col("first"), F.col("ticket_count")).alias("summary"))
 
 
+@register("collated_first_departure")
+def collated_first_departure(spark, sf):
+    """Requests that spell cities in lower case, with accents and blanks."""
+    other = lambda c: F.concat(F.translate(F.lower(c), "aeiou", "\u00e1\u00e8\u00ee\u00f6\u00fc"), F.lit("  ")).alias(c)
+    req = B.requests(spark, sf).select("request_id", other("departure_city"), other("arrival_city"), "asked_date")
+    out = L.first_departures(*L.same_cities(req, B.trips(spark, sf), ["departure_city", "arrival_city"]), date="asked_date")
+    return out.select("request_id", "ticket_count", F.col("first.train_number").alias("first_train"))
+
+
+@register("collated_reading")
+def collated_reading(spark, sf):
+    """Weather asked for in lower case and with an accent."""
+    req = B.requests(spark, sf).select("request_id", F.translate(F.lower("arrival_city"), "ae", "\u00e0\u00e9").alias("city"), "asked_date")
+    out = L.stored_weather(*L.same_cities(req, B.weather_table(spark, sf), ["city"]), date="asked_date")
+    return out.select("request_id", F.col("w_source").alias("source"), F.col("w_temp_max").alias("temp_max"), F.col("w_humidity").alias("humidity"))
+
+
 @register("reading_lookup")
 def reading_lookup(spark, sf):
     req = B.requests(spark, sf).select("request_id", "arrival_city", "asked_date")
@@ -166,6 +183,17 @@ def forecast_window(spark, sf):
                     L.in_forecast_window(F.col("fx_date"), B.AS_OF).alias("in_window"))
 
 
+@register("landed_forecasts")
+def landed_forecasts(spark, sf):
+    """SRC-6: payloads landed as JSON lines, read back and laid out by day."""
+    from wayfare.sources.files import read_payloads
+    from wayfare.streaming.streams import scratch
+    path = scratch(spark, "payloads")
+    B.live_payloads(spark, sf).write.json(path)
+    e = L.explode_payloads(read_payloads(spark, path))
+    return e.select(F.col("name").alias("city"), "fx_date", "temp_max", "temp_min", "precip", "weather_code", "wind_speed_day")
+
+
 @register("code_text")
 def code_text(spark, sf):
     e = L.explode_payloads(B.live_payloads(spark, sf))
@@ -196,6 +224,38 @@ def tool_result_triage(spark, sf):
 
 # --- tasks, artifacts, status ------------------------------------------------
 
+@register("sql_functions")
+def sql_functions(spark, sf):
+    """UDF-1 as a SQL user calls it."""
+    from wayfare.plans.tools import register_sql_functions
+    register_sql_functions(spark)
+    B.requests(spark, sf).createOrReplaceTempView("wayfare_requests")
+    return spark.sql("SELECT request_id, x.json AS model_json, x.error AS model_error FROM "
+                     "(SELECT request_id, extract_model_json(model_output) AS x FROM wayfare_requests)")
+
+
+@register("ticket_tool")
+def ticket_tool(spark, sf):
+    """UDF-2 for the first route and day of the tickets."""
+    from wayfare.plans.tools import query_train_tickets
+    trips = B.trips(spark, sf)
+    k = trips.agg(F.min(F.struct("departure_city", "arrival_city", F.to_date("departure_time").cast("string").alias("d"))).alias("k")).first()["k"]
+    t = query_train_tickets(spark, trips, k["departure_city"], k["arrival_city"], k["d"])
+    return t.select("rank", "train_number", "seat_type", X.iso_datetime("departure_time").alias("departure_time"),
+                    X.iso_datetime("arrival_time").alias("arrival_time"), "total_seats", "remaining_seats",
+                    F.col("price").cast("double").alias("price"))
+
+
+@register("weather_tool")
+def weather_tool(spark, sf):
+    """UDF-3 for the first city and day of the weather table."""
+    from wayfare.plans.tools import query_weather
+    weather = B.weather_table(spark, sf)
+    k = weather.agg(F.min(F.struct("city", F.col("fx_date").cast("string").alias("d"))).alias("k")).first()["k"]
+    w = query_weather(spark, L.live_rows(B.live_payloads(spark, sf)), weather, k["city"], k["d"], B.AS_OF)
+    return w.select("city", "fx_date", "source", "weather_city", "weather_date", "temp_max", "temp_min", "text_day", "humidity", "precip")
+
+
 @register("slot_aliases")
 def slot_aliases(spark, sf):
     from wayfare.operators.answer import task_slots
@@ -308,6 +368,34 @@ def all_cases(spark, sf):
     return K.flat_cases(K.all_cases(_samples(spark, sf)))
 
 
+@register("case_files")
+def case_files(spark, sf):
+    """SNK-4 and SRC-5: the cases written as a file and read back."""
+    from wayfare.sources.files import read_cases
+    from wayfare.sources.sinks import write_cases
+    from wayfare.streaming.streams import scratch
+    path = scratch(spark, "cases")
+    write_cases(K.all_cases(_samples(spark, sf)), path)
+    return K.flat_cases(read_cases(spark, path, lines=True))
+
+
+@register("run_files")
+def run_files(spark, sf):
+    """SNK-5: two runs' results and summaries, the first run's written again."""
+    from wayfare.operators import evaluate as V
+    from wayfare.sources.sinks import write_results
+    from wayfare.streaming.streams import scratch
+    cases = cut_lineage(K.all_cases(_samples(spark, sf)))
+    answers = B.model_answers(cases)
+    path = scratch(spark, "runs")
+    runs = {"baseline": V.score(cases, V.model_only(answers)), "rules": V.score(cases, V.predictions(answers))}
+    for label in ("baseline", "rules", "baseline"):
+        write_results(runs[label], V.summary(runs[label]), path, label)
+    written = spark.read.parquet(f"{path}/results").groupBy("run_label").agg(F.count(F.lit(1)).alias("results"))
+    sums = spark.read.json(f"{path}/summary")
+    return sums.join(written, "run_label").select("run_label", "case_count", "failed_count", "results")
+
+
 def _scored(spark, sf):
     from wayfare.operators import evaluate as V
     cases = K.all_cases(_samples(spark, sf))

@@ -454,6 +454,19 @@ FROM requests""")
          ELSE 'unknown' END AS raw_status
   FROM tx)""", body="""
 SELECT request_id, raw_status, CASE WHEN raw_status = 'success' THEN 'success' ELSE 'not_found' END AS status FROM tr""")
+    s["landed_forecasts"] = with_ctes(LIVE, body="""
+SELECT city, fx_date, temp_max, temp_min, precip, weather_code, wind_speed_day FROM live""")
+    s["sql_functions"] = s["model_output_json"]
+    s["ticket_tool"] = with_ctes(TRIPS, """least AS (
+  SELECT min((departure_city, arrival_city, CAST(departure_time AS DATE))) AS k FROM trips),
+asked AS (SELECT t.*, row_number() OVER (ORDER BY """ + TICKET_ORDER_SQL + """) AS "rank" FROM trips t, least
+          WHERE (departure_city, arrival_city, CAST(departure_time AS DATE)) = k)""", body=f"""
+SELECT "rank", train_number, seat_type, {iso_ts('departure_time')} AS departure_time, {iso_ts('arrival_time')} AS arrival_time,
+       total_seats, remaining_seats, CAST(price AS DOUBLE) AS price FROM asked""")
+    s["weather_tool"] = with_ctes(LIVE, READINGS, WEATHER, """least AS (
+  SELECT min({'city': city, 'fx_date': strftime(fx_date, '%Y-%m-%d')}) AS k FROM weather),
+asked AS (SELECT k.city AS city, k.fx_date AS fx_date FROM least)""", los("lw", "asked", "city", "fx_date"), body="""
+SELECT city, fx_date, source, weather_city, weather_date, temp_max, temp_min, text_day, humidity, precip FROM lw""")
     s["slot_aliases"] = with_ctes(TRIPS, REQUESTS, TASKS, body="""
 SELECT request_id, shape, departure_city, arrival_city, travel_date, city, fx_date FROM tasks""")
     tmiss = _missing_sql(["departure_city", "arrival_city", "travel_date"])
@@ -819,14 +832,16 @@ LOGS = f"""logs AS (
   SELECT ts AS time, CASE WHEN event_type = 'error' THEN 'WARNING' ELSE 'INFO' END AS level,
     CASE event_type WHEN 'view' THEN 'a2a_call_start' WHEN 'click' THEN 'a2a_call_success'
          WHEN 'error' THEN 'a2a_call_error' WHEN 'purchase' THEN 'timer'
-         ELSE CASE WHEN event_id % 4 = 3 THEN 'route_need_clarification' ELSE 'route_query_done' END END AS event,
+         ELSE CASE event_id % 4 WHEN 3 THEN 'route_need_clarification' WHEN 1 THEN 'route_analysis_done'
+                                ELSE 'route_query_done' END END AS event,
+    event_id % 8 = 1 AS supported,
     'u' || CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y%m%d') AS trace_id,
     CASE WHEN event_type IN ('view', 'click', 'error')
          THEN CASE WHEN user_id % 2 = 0 THEN 'weather_agent' ELSE 'ticket_agent' END END AS agent,
     CASE WHEN event_type IN ('view', 'click', 'error') THEN CAST(event_id % 2 + 1 AS INTEGER) END AS attempt,
     value AS elapsed_seconds,
     CASE WHEN event_type = 'purchase' THEN {sql_list(C.TIMER_NAMES)}[event_id % 3 + 1] END AS name,
-    CASE WHEN event_type NOT IN ('view', 'click', 'error', 'purchase') AND event_id % 4 <> 3
+    CASE WHEN event_type NOT IN ('view', 'click', 'error', 'purchase') AND event_id % 4 NOT IN (1, 3)
          THEN ['success', 'partial_success', 'agent_failed'][event_id % 3 + 1] END AS status,
     CASE WHEN event_type = 'error' THEN 'TimeoutError()' END AS error
   FROM events)"""
@@ -878,9 +893,11 @@ FROM logs s WHERE s.event IN ('a2a_call_start', 'llm_call_start') AND NOT EXISTS
     SELECT trace_id, status, row_number() OVER (PARTITION BY trace_id ORDER BY time DESC, status DESC) AS rn
     FROM logs WHERE event = 'route_query_done') WHERE rn = 1)""", """g AS (
   SELECT trace_id, bool_or(event = 'route_need_clarification') AS clar, count(*) AS events
-  FROM logs WHERE trace_id IS NOT NULL GROUP BY trace_id)""", body="""
-SELECT g.trace_id, coalesce(d.status, CASE WHEN g.clar THEN 'need_clarification' END, 'open') AS outcome, g.events
-FROM g LEFT JOIN done d ON d.trace_id = g.trace_id""")
+  FROM logs WHERE trace_id IS NOT NULL GROUP BY trace_id)""", """an AS (
+  SELECT trace_id, arg_max(supported, (time, supported)) AS supported FROM logs WHERE event = 'route_analysis_done' GROUP BY 1)""", body="""
+SELECT g.trace_id, coalesce(d.status, CASE WHEN g.clar THEN 'need_clarification' END,
+                            CASE WHEN NOT an.supported THEN 'no_supported_agent' END, 'open') AS outcome, g.events
+FROM g LEFT JOIN done d ON d.trace_id = g.trace_id LEFT JOIN an ON an.trace_id = g.trace_id""")
     web = render(C.FOLLOWUP_WEB, original="original", question="coalesce(question, '')", reply="text")
     latest = lambda turns, *more: with_ctes(*more, *_dialog_ctes(turns), """u5 AS (
   SELECT *, first_value(text) OVER (PARTITION BY conv_id, episode ORDER BY turn) AS original FROM u4)""", body=f"""
@@ -960,6 +977,12 @@ UNION ALL
 SELECT 'weather_data', 'weather_data_20240102.csv', (SELECT count(*) FROM wnew), (SELECT count(*) FROM wnew WHERE bad),
   (SELECT count(*) FROM wold), (SELECT count(*) FROM wmerged), (SELECT count(*) FROM wmerged) - (SELECT count(*) FROM wold),
   (SELECT count(*) FROM wnew n WHERE NOT bad AND EXISTS (SELECT 1 FROM wold o WHERE o.city = n.city AND o.fx_date = n.fx_date))""")
+    s["collated_first_departure"] = f"SELECT request_id, ticket_count, first_train FROM ({s['first_departure']})"
+    s["collated_reading"] = f"SELECT request_id, source, temp_max, humidity FROM ({s['reading_lookup']})"
+    s["case_files"] = s["all_cases"]
+    run = lambda label, mode: with_ctes(*scored_ctes(mode), body=f"""
+SELECT '{label}' AS run_label, count(*) AS case_count, count_if(failed) AS failed_count, count(*) AS results FROM scored2""")
+    s["run_files"] = f"SELECT * FROM ({run('baseline', 'model_only')}) UNION ALL SELECT * FROM ({run('rules', 'rules')})"
     s["published_tables"] = with_ctes(*base, READINGS, *WEATHER_FILES, body="""
 SELECT 'train_tickets' AS "table", count(*) AS rows FROM merged
 UNION ALL SELECT 'weather_data', count(*) FROM wmerged""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_cases(cases: DataFrame, path: str) -> None:
@@ -11,15 +12,15 @@ def write_cases(cases: DataFrame, path: str) -> None:
 
 
 def write_results(scored: DataFrame, summary: DataFrame, path: str, run_label: str) -> None:
-    """SNK-5: per-case results partitioned by run, plus a one-row summary.
+    """SNK-5: per-case results and a one-row summary, partitioned by run; a
+    run that is written again replaces its own.
 
     The reference's environment-gated extra copies become ``run_label``
     partitions (``baseline``, ``thinking``, ...), so runs sit side by side.
     """
-    from pyspark.sql import functions as F
-    scored.withColumn("run_label", F.lit(run_label)).write.mode("overwrite") \
-        .partitionBy("run_label").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/results")
-    summary.withColumn("run_label", F.lit(run_label)).write.mode("append").json(f"{path}/summary")
+    for rows, name, fmt in ((scored, "results", "parquet"), (summary, "summary", "json")):
+        (rows.withColumn("run_label", F.lit(run_label)).write.mode("overwrite").partitionBy("run_label")
+         .option("partitionOverwriteMode", "dynamic").format(fmt).save(f"{path}/{name}"))
 
 
 def write_prompts(prompts: DataFrame, path: str) -> None:
