@@ -295,3 +295,61 @@ def test_repeated_words_cost_no_more_than_others():
     assert dict((i, (n, k)) for i, n, k in bench.covered("la " * 20_000, 0.5)) == {0: (20_000, 1)}
     assert list(bench.covered("lu la " * 5000, 0.5)) == [(1, 6000, 1)]
     assert time.time() - start < 5
+
+
+def html_of(html):
+    from wayfare.llm import html_text
+    page = html_text.Page(html)
+    return page.text(html_text.train().marginals(page))
+
+
+def test_html_odd_markup_loses_no_article():
+    page = "<article><p>One, two. Three.</p>%s<p>Whole article, of it. Yes.</p>%s<p>Last one, here.</p></article>"
+    want = "One, two. Three. Whole article, of it. Yes. Last one, here."
+    for odd in ("<!-->", "<!--->", "<!-- no --!>", "<!-- a > b -->", "<script>var a='<p>no';</script foo>", "<style>p{}</style\n>",
+                "<object>no<object>no</object>no</object>", "<svg><svg>no</svg>no</svg>", "<svg>", "<template>", "<object data='x'>"):
+        assert html_of(page % (odd, odd)) == want, odd
+    for cut in ("<p class='x", '<a href="y', "<div", "</p", "<!-- rest", "<script>rest"):
+        assert html_of(page % ("", "") + cut) == want, cut
+
+
+def test_long_addresses_begin_where_they_begin():
+    from wayfare.llm import pii
+    local, domain = "a" * 90 + ".b", " dot ".join(f"label{k}" for k in range(9))
+    text = f"write to {local} at {domain}."
+    assert ("email", 9, len(text) - 1) in pii.candidates(text)
+    assert pii.candidates("at dot") == [] and pii.candidates(" at x.y") == []
+
+
+def test_warc_records_are_told_apart_by_any_reader(spark):
+    """A reader of the bare format: frames, headers, blocks by length."""
+    import struct
+    import zstandard
+    from wayfare.llm import warc
+    body = "<p>" + "text " * 400 + "</p>"
+    rows = [(1, "http://a.org/x y", body), (2, "http://b.org/", body), (2, "http://b.org/", body), (3, None, "short"), (3, None, "short"), (None, None, None)]
+    archives = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)).collect()
+    ids, kinds, refers = [], [], []
+    for a in archives:
+        content = bytes(a.content)
+        magic, size = struct.unpack_from("<II", content)
+        assert 0x184D2A50 <= magic <= 0x184D2A5F
+        plain = content[8:8 + size]
+        reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(plain) if plain else None)
+        data = reader.stream_reader(content[8 + size:], read_across_frames=True).read()
+        while data:
+            head, _, data = data.partition(b"\r\n\r\n")
+            lines = head.decode().split("\r\n")
+            assert lines[0] == "WARC/1.1"
+            fields = dict(x.split(": ", 1) for x in lines[1:])
+            n = int(fields["Content-Length"])
+            assert data[n:n + 4] == b"\r\n\r\n"
+            data = data[n + 4:]
+            assert {"WARC-Date", "WARC-Type", "WARC-Record-ID"} <= set(fields)
+            ids.append(fields["WARC-Record-ID"])
+            kinds.append(fields["WARC-Type"])
+            if fields["WARC-Type"] == "revisit":
+                assert fields["WARC-Profile"].endswith("/identical-payload-digest")
+                refers.append((fields["WARC-Refers-To-Target-URI"], fields["WARC-Refers-To-Date"]))
+    assert len(set(ids)) == len(ids) == 6 and sorted(kinds) == ["response"] * 5 + ["revisit"]
+    assert refers == [("http://b.org/", "1970-01-01T00:00:00Z")]

@@ -180,7 +180,7 @@ class Codec:
         """Packed ids of a space and a word; None if white space ends it, as
         the next space may then belong to it."""
         core = word.rstrip(STOPS)
-        if core.isalpha() and max(core) < "\u0250":  # one match, and another one of marks
+        if core.isalpha() and (core.isascii() or max(core) < "\u0250"):  # one match, and another one of marks
             if core == word:
                 return self.piece(" " + word)
             return self.words[core] + self.pieces[word[len(core):]]

@@ -58,6 +58,14 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def window(text: Column, longest: int) -> Column:
+    """A text of a bounded sample: whole, or ``longest`` characters of it
+    from a place that a hash of the text draws."""
+    spare = F.length(text) - F.lit(longest)
+    start = F.pmod(F.xxhash64(text), F.greatest(spare, F.lit(0)).cast("long") + F.lit(1)).cast("int") + F.lit(1)
+    return F.when(spare > 0, F.substring(text, start, F.lit(longest))).otherwise(text)
+
+
 # --- blocked Bloom filters ---------------------------------------------------
 # A key belongs to one block and sets two of its bits. A filter is a table of
 # (_w_block, _w_bits): at most ``max_bits / 8`` bytes whatever the input, so it

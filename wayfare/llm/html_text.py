@@ -11,8 +11,12 @@ same marginals.
 Defined results: null, empty and text-free pages give an empty text; text and
 elements outside any body get an implied one, after its end they go on in it; tags left
 open are closed by their parents, stray end tags are ignored, unended comments
-and scripts run to the end, svg and math tags that end in /> are empty; very deep trees are fine, as no step recurses;
-repeated rows give repeated rows; extra columns are ignored.
+and scripts run to the end (a comment ends at --> or --!>, and <!--> is one),
+svg and math tags that end in /> are empty; nested templates, objects, svg,
+math and selects are left out as wholes, but of one that nothing closes only
+the tag; a tag with an open quote ends at the next bracket, one that the page
+cuts off is left out; very deep trees are fine, as no step recurses; repeated
+rows give repeated rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,12 +47,14 @@ OUTER = frozenset("html head body frameset".split())
 SCOPE = frozenset("ul ol dl table body html article aside section nav div main header footer form".split())
 
 TOKEN = re.compile(r"""
-    <!--.*?(?:-->|\Z)
-  | <(?:svg|math)(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?<=/)>
-  | <(script|style|noscript|template|iframe|object|svg|math|select|textarea|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)
+    <!--(?:-?>|.*?(?:--!?>|\Z))
+  | <(script|style|noscript|iframe|textarea|title)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*(?:>|\Z)|\Z)
   | <[!?][^>]*(?:>|\Z)
   | <(/?)([a-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
+  | <(/?)([a-z][^\s/>]*)([^>]*)(?:>|(?P<cut>\Z))
   | ([^<]++|<)""", re.X | re.S | re.I)
+SKIPPED = frozenset("template object svg math select".split())
+SKIPPED_TAG = re.compile(r"<(/?)(template|object|svg|math|select)(?=[\s/>])[^>]*>", re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|data-y|hidden|aria-label)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 # What names say, by group; a group is a feature.
@@ -75,6 +81,41 @@ FEATURES = ("bias", "other", "hidden", *(f"t:{t}" for t in TAGS), *(f"n:{n}" for
 INDEX = {f: k for k, f in enumerate(FEATURES)}
 
 
+def _skips(html: str) -> dict[int, int]:
+    """Where elements whose content is no text end, by the end of their start
+    tags; they may be nested. Those that nothing closes aren't among them."""
+    ends, open_tags = {}, {}
+    for m in SKIPPED_TAG.finditer(html):
+        name = m[2].lower()
+        if m[1]:
+            if open_tags.get(name):
+                ends[open_tags[name].pop()] = m.end()
+        elif not (name in ("svg", "math") and m[0].endswith("/>")):
+            open_tags.setdefault(name, []).append(m.end())
+    return ends
+
+
+def tokens(html: str) -> Iterator[tuple]:
+    """(is an end tag, name, attributes, None) of tags, (.., text) of text."""
+    at, skips = 0, None
+    while m := TOKEN.match(html, at):
+        at = m.end()
+        close, name, attributes = m[2], m[3], m[4]
+        if m[6] is not None:  # a quote is left open: the tag ends at the next bracket, or with the page
+            close, name, attributes = m[5], m[6], m[7]
+            if m["cut"] is not None:
+                return
+        if name is None:
+            if m[9] is not None:
+                yield None, None, None, m[9]
+            continue
+        if not close and name.lower() in SKIPPED:
+            skips = _skips(html) if skips is None else skips
+            at = skips.get(at, at)
+            continue
+        yield close, name, attributes, None
+
+
 class Page:
     """Nodes in page order (a parent before its children), and the text."""
 
@@ -85,8 +126,7 @@ class Page:
         stack: list[tuple[str, int]] = [("html", 0)]
         self.body: tuple[str, int] | None = None  # the last body
         anchors = 0
-        for m in TOKEN.finditer(html.removeprefix("\ufeff")):
-            raw, close, name, attributes, text = m.groups()
+        for close, name, attributes, text in tokens(html.removeprefix("\ufeff")):
             if text is not None:
                 words = " ".join(unescape(text).split()) if text.strip() else ""
                 if words:
@@ -98,8 +138,6 @@ class Page:
                     self.stops[node] += words.count(". ") + words.count(", ") + (words[-1] in ".!?")
                     self.links[node] += len(words) if anchors else 0
                 continue
-            if name is None:
-                continue
             name = name.lower()
             if close:
                 anchors = max(0, anchors - (name == "a"))

@@ -92,8 +92,8 @@ def base_spans(text: str) -> list[Span]:
 # --- candidates ------------------------------------------------------------------
 
 _word_at = re.compile(r"[\[({<]?\s?\b(?:at|arroba)\b\s?[\])}>]?|[\[({<]\s?@\s?[\])}>]| @ ", re.I)
-_around_at = (re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\s?\Z"),
-              re.compile(r"\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|[\[({<]?\b(?:dot|punto|punkt|point)\b[\])}>]?)\s?[A-Za-z0-9-]{1,63}){1,4}", re.I))
+_spelt_local = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+_spelt_domain = re.compile(r"\s?[A-Za-z0-9-]++(?:\s?(?:\.|[\[({<]?\b(?:dot|punto|punkt|point)\b[\])}>]?)\s?[A-Za-z0-9-]++)+", re.I)
 _run = re.compile(r"[0-9(](?:[ ().\/-]{0,2}[0-9])++")
 _group = re.compile(r"[0-9]{13,19}(?![0-9])|[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])")
 _letters_run = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b")
@@ -107,10 +107,15 @@ def candidates(text: str) -> list[Span]:
     """Possible spans of every kind; they may overlap."""
     out: list[Span] = []
     for m in _word_at.finditer(text):
-        left = _around_at[0].search(text[max(0, m.start() - 66):m.start()])
-        right = _around_at[1].match(text, m.end())
-        if left and right:
-            out.append(("email", m.start() - len(left[0]), right.end()))
+        end = m.start() - text[max(0, m.start() - 1):m.start()].isspace()
+        start = end
+        while start and text[start - 1] in _spelt_local:
+            start -= 1
+        while start < end and not text[start].isalnum():
+            start += 1
+        right = _spelt_domain.match(text, m.end()) if start < end else None
+        if right:
+            out.append(("email", start, right.end()))
     if not _has_digit.search(text):
         return out
     for m in _run.finditer(text):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import slices, small_batches, window
 
 ROWS, LONGEST = 4000, 20_000
 BUCKETS = 1 << 14
@@ -189,11 +189,11 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
     patterns = (texts.select("text").mapInArrow(vote, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
                 .orderBy("code").collect())  # 3^8 rows at most
     weak = WeakLabels(np.array([r[0] for r in patterns], np.int64), np.array([r[1] for r in patterns], np.int64))
-    picked = (texts.where(F.length("text") <= longest).select("id", F.xxhash64("id", "text").alias("h"))
+    picked = (texts.where("text is not null").select("id", F.xxhash64("id", "text").alias("h"))
               .orderBy("h", "id").limit(rows).groupBy("h").agg(F.count("*").alias("n")))
     # equal rows come as one and count as often as they were picked
-    sample = sorted(r[1] for r in texts.where(F.length("text") <= longest).withColumn("h", F.xxhash64("id", "text"))
-                    .join(F.broadcast(picked), "h").groupBy("h", "text").agg(F.max("n").alias("n")).collect() for _ in range(r[2]))
+    sample = sorted(r[1] for r in texts.where("text is not null").withColumn("h", F.xxhash64("id", "text"))
+                    .join(F.broadcast(picked), "h").withColumn("text", window(F.col("text"), longest)).groupBy("h", "text").agg(F.max("n").alias("n")).collect() for _ in range(r[2]))
     codes = np.array([_code(votes(measures(t)[1])) for t in sample], np.int64)
     weight, bias = fit(sample, weak.posterior(codes)) if sample else (np.zeros(BUCKETS), 0.0)
     shared = docs.sparkSession.sparkContext.broadcast((weak, weight, bias))  # of fixed size

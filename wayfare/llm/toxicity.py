@@ -12,7 +12,8 @@ Since the softmax is linear, an n-gram's vector adds one number to a window's
 logit; executors get these numbers only (1 MiB, whatever the input).
 
 The model is fitted on at most ``rows`` labelled texts of each class, those
-with the least hash of their id, and of at most ``longest`` characters; all
+with the least hash of their id, and ``longest`` characters of a longer text,
+from a place that its hash draws; all
 texts are scored whole. Defined results: null and empty texts have no words
 and get the rate of label 1; without labels of both classes the score is the rate
 of label 1 (0 without any); rows with null labels or ids don't train; repeated
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, small_batches, stage
+from .common import slices, small_batches, stage, window
 
 ROWS, LONGEST = 2000, 20_000
 BUCKETS, DIM, WINDOW = 1 << 18, 8, 4
@@ -199,11 +200,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(F.col(id_col).alias("_w_id"), F.col(label_col).cast("int").alias("_w_y")).where(
         "_w_id is not null and _w_y in (0, 1)").where(~held_out("_w_id"))
     rates = known.agg(F.avg("_w_y")).first()[0] or 0.0
-    texts = docs.select(F.col(id_col).alias("_w_id"), F.col(text_col).alias("_w_text")).where(F.length("_w_text") <= longest)
+    texts = docs.select(F.col(id_col).alias("_w_id"), F.col(text_col).alias("_w_text")).where("_w_text is not null")
     picked = [known.where(F.col("_w_y") == y).orderBy(F.xxhash64("_w_id"), "_w_id").limit(rows) for y in (0, 1)]
     few = picked[0].unionByName(picked[1])  # at most 2 * rows ids and labels
     # repeated ids may bring any number of rows: equal texts are one, toxic if any is, and at most ``rows`` of a class come here
-    found = stage(texts.join(F.broadcast(few), "_w_id").groupBy("_w_text").agg(F.max("_w_y").alias("_w_y")))
+    found = stage(texts.join(F.broadcast(few), "_w_id").withColumn("_w_text", window(F.col("_w_text"), longest)).groupBy("_w_text").agg(F.max("_w_y").alias("_w_y")))
     got = [tuple(r) for y in (0, 1)
            for r in found.where(F.col("_w_y") == y).orderBy(F.xxhash64("_w_text"), "_w_text").limit(rows).collect()]
     return fit(*map(list, zip(*sorted(got))), rates) if got else fit([], [], rates)

@@ -33,6 +33,7 @@ from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,23 +53,30 @@ RECORDS = ("page_id bigint, url string, payload_bytes bigint, payload_digest str
 
 # --- records -----------------------------------------------------------------
 
+def _uri(url: str) -> str:
+    return re.sub(r"[\x00-\x20\x7f\s]", lambda m: quote(m[0]), url)
+
+
 def record(page_id: int | None, url: str | None, digest: str, size: int, refers_to: int | None, payload: bytes,
-           date: str = DATE) -> bytes:
-    """One WARC/1.1 record; a revisit keeps no payload."""
+           refers_url: str | None = None, place: str = "", date: str = DATE) -> bytes:
+    """One WARC/1.1 record; a revisit keeps no payload, and names the url and
+    date of the record that has it. ``place`` tells equal rows apart."""
     revisit = refers_to is not None
     head = [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(size))]
     block = ("HTTP/1.1 200 OK\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n").encode() + payload
     fields = [("WARC-Type", "revisit" if revisit else "response"),
-              ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {digest}')}>"),
+              ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{place} {page_id} {url} {digest}')}>"),
               ("WARC-Date", date), ("WARC-Payload-Digest", f"sha1:{digest}"),
               ("Content-Type", "application/http; msgtype=response")]
     if url is not None:
-        fields.append(("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f\s]", lambda m: quote(m[0]), url)))
+        fields.append(("WARC-Target-URI", _uri(url)))
     if page_id is not None:
         fields.append(("X-Page-Id", str(page_id)))
     if revisit:
         fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-                   ("X-Refers-To-Page-Id", str(refers_to))]
+                   ("WARC-Refers-To-Date", date), ("X-Refers-To-Page-Id", str(refers_to))]
+        if refers_url is not None:
+            fields.append(("WARC-Refers-To-Target-URI", _uri(refers_url)))
     fields.append(("Content-Length", str(len(block))))
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode() + block + b"\r\n\r\n"
 
@@ -126,7 +134,8 @@ def unpack(content: bytes) -> Iterator[bytes]:
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
+    held, size, number = [], 0, 0
+    part = TaskContext.get().partitionId()
 
     def archive() -> pa.RecordBatch:
         content = pack(held)
@@ -135,7 +144,8 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in slices(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            held.append(record(*row))
+            held.append(record(*row, place=f"{part}.{number}"))
+            number += 1
             size += len(held[-1])
             if size >= SIZE:
                 yield archive()
@@ -155,22 +165,23 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def decided(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
             least: int = LEAST) -> DataFrame:
-    """(page_id, url, digest, size, refers_to, payload) of every row."""
+    """(page_id, url, digest, size, refers_to, payload, refers_url) of every row."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"),
                         F.sha1(payload).alias("digest"), F.octet_length(payload).cast("bigint").alias("size"),
                         payload.alias("payload"))
-    keys = rows.where(F.col("size") >= least).select("digest", "page_id")
-    repeated = stage(keys.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("first"))
-                     .where("n > 1 and first is not null").select("digest", "first"))
+    keys = rows.where(F.col("size") >= least).select("digest", "page_id", "url")
+    last = F.max_by("url", F.struct("page_id", "url"))
+    repeated = stage(keys.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("first"), last.alias("refers_url"))
+                     .where("n > 1 and first is not null").select("digest", "first", "refers_url"))
     blocks = filter_blocks(repeated.count())
     tagged = probe(rows, "digest", bloom_filter(repeated, "digest", blocks), blocks)
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    alone = tagged.where("not _w_maybe").withColumn("refers_to", F.lit(None).cast("bigint"))
+    alone = tagged.where("not _w_maybe").withColumns({"refers_to": F.lit(None).cast("bigint"), "refers_url": F.lit(None).cast("string")})
     hits = tagged.where("_w_maybe").join(repeated, "digest", "left").withColumn("refers_to", refers)
     kept = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")).alias("payload")
     columns = ["page_id", "url", "digest", "size", "refers_to"]
-    return alone.select(*columns, "payload").unionByName(hits.select(*columns, kept))
+    return alone.select(*columns, "payload", "refers_url").unionByName(hits.select(*columns, kept, "refers_url"))
 
 
 def write(pages: DataFrame, **names) -> DataFrame:
