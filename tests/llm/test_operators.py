@@ -16,7 +16,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from wayfare.llm import bpe, decontaminate, html_text, pii, quality, toxicity, warc  # noqa: E402
 from wayfare.llm.components import components  # noqa: E402
 from wayfare.llm.exact_dedup import exact_dedup, exact_groups  # noqa: E402
-from wayfare.llm.minhash import near_duplicates  # noqa: E402
+from wayfare.llm.minhash import drop_near_duplicates, near_duplicates  # noqa: E402
 from wayfare.llm.url_filter import judge_urls  # noqa: E402
 
 DOCS = "doc_id long, text string, kept string, h string"  # two extra columns with names used inside
@@ -73,6 +73,21 @@ def test_near_duplicates_null_id_and_empty(spark):
     assert near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_near_duplicates_of_an_id_with_several_texts(spark):
+    r = random.Random(11)
+    base = [sentence(r, 60) for _ in range(5)]
+    edited = base[0].rsplit(" ", 1)[0] + " edited"
+    rows = [(1, base[0], "a", ""), (2, edited, "b", ""), (2, base[1], "c", ""), (2, base[1], "d", ""), (3, base[1], "e", ""),
+            (3, base[2], "f", ""), (4, base[2], "g", ""), (4, None, "h", ""), (5, base[3], "i", ""), (None, base[0], "j", "")]
+    df = spark.createDataFrame(rows, DOCS)
+    got = sorted(((x.doc_id or -1), x.n_shingles, x.component_id or -1, x.kept) for x in near_duplicates(df).collect())
+    assert sorted((i, c, k) for i, _, c, k in got) == [
+        (-1, -1, True), (1, 1, True), (2, 1, False), (2, 2, True), (2, 2, True), (3, 2, False), (3, 3, True), (4, 3, False), (4, 4, True),
+        (5, 5, True)]
+    kept = drop_near_duplicates(df)
+    assert kept.columns == df.columns and sorted(x.kept for x in kept.collect()) == list("acdfhij")
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
