@@ -54,9 +54,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
 
     keys = F.array_distinct(F.array(*[
         F.concat(F.substring_index("host", ".", -k), F.lit(SEP), F.substring("path", 1, n)) for k, n in sorted(shapes)]))
-    distinct = rows.where("host != ''").select("host", "path").distinct()
-    cand = distinct.select("host", "path", F.explode(keys).alias("_w_key"))
-    hits = probe(cand, "_w_key", blooms, blocks).where("_w_maybe").drop("_w_maybe")
+    # probed where they lie: only possible hits are shuffled, each url once
+    cand = rows.where("host != ''").select("host", "path", F.explode(keys).alias("_w_key"))
+    hits = probe(cand, "_w_key", blooms, blocks).where("_w_maybe").drop("_w_maybe").distinct()
     best = (hits.join(listed.select("_w_key", "rule", "_w_hlen", "verdict"), "_w_key")
             .groupBy("host", "path")
             .agg(F.max(F.struct(F.length("rule"), "_w_hlen", "rule", "verdict")).alias("_w_best")))
