@@ -33,9 +33,9 @@ from pyspark.sql import types as T
 from .common import small_batches
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-WORDS = 500_000      # words remembered by a worker
-PIECES = 200_000     # pieces of words
-PAIRS = 500_000      # pairs of tokens
+WORDS = 150_000      # words remembered by a worker
+PIECES = 60_000      # pieces of words
+PAIRS = 250_000      # pairs of tokens
 LONG = 48            # longer pieces and words aren't remembered
 STOPS = ".,;:!?"
 WHITE = regex.compile(r"\s").match
@@ -225,19 +225,31 @@ def _shared(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
+def _joined(lines: bytes, ids: pa.Array) -> pa.Array:
+    """The bytes of each array of ids (null: none)."""
+    found = [*map(_tokens_of(lines).__getitem__, ids.flatten().to_numpy().tolist())]
+    ends = np.cumsum([0, *pc.list_value_length(ids).fill_null(0).to_pylist()]).tolist()
+    return pa.array([b"".join(found[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())
+
+
 def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", vocabulary: str = VOCABULARY,
-           pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """``df`` with the token ids of each text, an array of int."""
+           pattern: str = public_tokenizers.PATTERN, bytes_col: str | None = None) -> DataFrame:
+    """``df`` with the token ids of each text, an array of int; with
+    ``bytes_col`` also what ``decode`` makes of them, in the same pass."""
     lines = _shared(df, vocabulary)
 
-    # called non-deterministic, so that decode reads its column instead of calling it again
-    def ids(texts: pa.Array) -> pa.Array:
+    def both(texts: pa.Array) -> pa.Array:
         packed = [*map(_codec(lines.value, pattern).encode, texts.to_pylist())]
         ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
-        return pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(packed), np.int32)))
+        ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(packed), np.int32)))
+        return pa.StructArray.from_arrays([ids] + ([_joined(lines.value, ids)] if bytes_col else []), names=["i", "b"][:1 + bool(bytes_col)])
 
-    made = F.arrow_udf(ids, T.ArrayType(T.IntegerType())).asNondeterministic()
-    return small_batches(df).withColumn(ids_col, made(F.col(f"`{text_col}`")))
+    kind = T.StructType([T.StructField("i", T.ArrayType(T.IntegerType())), T.StructField("b", T.BinaryType())][:1 + bool(bytes_col)])
+    # called non-deterministic, so that its fields are read from one call
+    made = F.arrow_udf(both, kind).asNondeterministic()
+    out = small_batches(df).withColumn("_w_made", made(F.col(f"`{text_col}`")))
+    out = out.withColumn(ids_col, F.col("_w_made.i"))
+    return (out.withColumn(bytes_col, F.col("_w_made.b")) if bytes_col else out).drop("_w_made")
 
 
 def decode(df: DataFrame, ids_col: str = "ids", bytes_col: str = "decoded", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -246,8 +258,6 @@ def decode(df: DataFrame, ids_col: str = "ids", bytes_col: str = "decoded", voca
 
     @F.arrow_udf(T.BinaryType())
     def joined(ids: pa.Array) -> pa.Array:
-        found = [*map(_tokens_of(lines.value).__getitem__, ids.flatten().to_numpy().tolist())]
-        ends = np.cumsum([0, *pc.list_value_length(ids).fill_null(0).to_pylist()]).tolist()
-        return pa.array([b"".join(found[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())
+        return _joined(lines.value, ids)
 
     return small_batches(df).withColumn(bytes_col, joined(F.col(f"`{ids_col}`")))

@@ -64,7 +64,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokens(docs: DataFrame) -> DataFrame:
     """Digests of the ids of each text and of the bytes they decode to."""
-    done = bpe.decode(bpe.encode(docs.select("doc_id", "text")).select("doc_id", "ids"))
+    done = bpe.encode(docs.select("doc_id", "text"), bytes_col="decoded")
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return done.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                        F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

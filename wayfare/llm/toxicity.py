@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from .common import slices, small_batches, stage, window
 
-ROWS, LONGEST = 2000, 20_000
+ROWS, LONGEST = 2000, 8_000
 BUCKETS, DIM, WINDOW = 1 << 18, 8, 4
 GRAMS = (3, 4, 5, 6)
 SUPPORT, SHRINK, DECAY, START = 3, 10, 1e-5, 4.0
