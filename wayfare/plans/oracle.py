@@ -561,7 +561,7 @@ SELECT request_id, intent, status, called_agents, artifact_count, agent_error_co
     text = render(C.FINAL_PROMPT, query='query', analysis=analysis, artifacts="'[' || arts || ']'")
     prompts = f"""prompts AS (SELECT request_id, {text} AS prompt FROM batch WHERE status IN ('success', 'partial_success'))"""
     s["prompt_rows"] = with_ctes(*batch, prompts, body="""
-SELECT request_id, length(prompt) AS n_chars, sha256(prompt) AS prompt_sha256 FROM prompts""")
+SELECT request_id, prompt FROM prompts""")
     # a prompt with a ticket list falls into what stands before it, parts of two tickets, and what follows
     parts = f"""lists2 AS (
   SELECT f_dep, f_arr, day, (k - 1) // 2 + 1 AS part_no, string_agg(j, ',' ORDER BY k) AS text FROM (
