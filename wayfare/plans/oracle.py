@@ -986,8 +986,8 @@ SELECT '{label}' AS run_label, count(*) AS case_count, count_if(failed) AS faile
     s["published_tables"] = with_ctes(*base, READINGS, *WEATHER_FILES, body="""
 SELECT 'train_tickets' AS "table", count(*) AS rows FROM merged
 UNION ALL SELECT 'weather_data', count(*) FROM wmerged""")
-    s["table_counts"] = with_ctes(TRIPS, READINGS, WEATHER, body="""
-SELECT 'train_tickets' AS "table", count(*) AS rows FROM trips
+    s["table_counts"] = with_ctes(*base, READINGS, WEATHER, body="""
+SELECT 'train_tickets' AS "table", count(*) AS rows FROM merged
 UNION ALL SELECT 'weather_data', count(*) FROM weather""")
 
 
