@@ -1,5 +1,6 @@
 """SNK-1..3 and SRC-1..3: upsert, contract read, publish."""
 
+import datetime as dt
 import os
 import tempfile
 from concurrent.futures import ThreadPoolExecutor
@@ -190,3 +191,55 @@ def test_stamped_versions_expire_and_replays_are_harmless(spark):
     assert max(sizes[5:]) <= max(sizes[:5]) + 4 and len(os.listdir(f"{root}/_manifests")) <= 2 * 3
     rows = read_published(spark, root, "t")
     assert rows.count() == 60 and {r.v for r in rows.select("v").distinct().collect()} == {"b17", "b18", "b19"}
+
+
+def test_plain_keys_of_a_collation(spark):
+    import itertools
+    import random
+
+    from pyspark.sql import functions as F
+
+    from wayfare.functions import text as X
+    r = random.Random(1)
+    signs = [chr(c) for c in range(32, 127)]
+    words = ["", " ", *signs, *(s + " " for s in signs), *("".join(r.choice("aAáÀbB1- é") for _ in range(3)) for _ in range(300)),
+             "ﬀ", "ff", "Ａ", "ß", "ss", "SS ", "日", "日  ", None]
+    for some in (words, [w for w in words if w is None or w.isascii()]):
+        df = spark.createDataFrame([(w,) for w in some], "w string")
+        per = X.collated_keys(df, ["w"], ["k"]).withColumn("same", F.collate("w", X.COLLATION))
+        got = per.groupBy("same").agg(F.count_distinct("k").alias("n")).agg(F.max("n"), F.count("*")).first()
+        assert per.count() == len(some) and got[0] == 1
+        assert per.select("k").distinct().count() == got[1]
+    pairs = spark.createDataFrame(list(itertools.product(signs, signs)), "a string, b string").where("a <> ' ' and b <> ' '")
+    assert pairs.where((F.collate("a", X.COLLATION) == F.collate("b", X.COLLATION)) != (F.lower("a") == F.lower("b"))).count() == 0
+
+
+@pytest.fixture
+def one_order(spark, tmp_path):
+    """An order of seven lines."""
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    day = dt.datetime(2024, 1, 16)
+    put("nation", [(k, f"NATION_{k}") for k in range(2)], "n_nationkey int, n_name string")
+    put("customer", [(1, 0)], "c_custkey long, c_nationkey int")
+    put("supplier", [(1, 1)], "s_suppkey long, s_nationkey int")
+    put("orders", [(1, 1, "O", 10.0, day, "1-URGENT")],
+        "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string")
+    put("lineitem", [(1, 1, 1, n, 20.0, 30.0, "A", day) for n in range(1, 8)],
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+        "l_returnflag string, l_shipdate timestamp_ntz")
+    put("events", [(1, 1, day, 2.0)], "event_id long, user_id long, ts timestamp_ntz, value double")
+    return str(tmp_path)
+
+
+def test_table_counts_are_those_after_the_ingest(spark, one_order):
+    from wayfare.plans.catalog import table_counts
+    # line 7 comes without a train number and is rejected
+    assert {tuple(r) for r in table_counts(spark, one_order).collect()} == {("train_tickets", 6), ("weather_data", 1)}
+
+
+def test_prompt_rows_are_whole_texts(spark, one_order):
+    from wayfare.plans.catalog import prompt_rows
+    df = prompt_rows(spark, one_order)
+    assert df.columns == ["request_id", "prompt"]
+    for r in df.collect():
+        assert "NATION_" in r.prompt and len(r.prompt) > 100
