@@ -219,6 +219,49 @@ def test_byte_bpe_of_any_text(codec, text):
     assert np.frombuffer(codec.encode(text), np.int32).tolist() == _TIKTOKEN.encode_ordinary(text)
 
 
+def test_words_around_a_line_break_are_looked_up(codec):
+    import tiktoken
+    want = tiktoken.Encoding("own", pat_str=__import__("public_tokenizers").PATTERN, mergeable_ranks=codec.rank, special_tokens={})
+    found, kept = [], codec.find
+    codec.find = lambda text: found.append(text) or kept(text)
+    try:
+        text = "Some qzxv.\nThen wvrk,\nzorp!\nÀ la\nfin x"
+        assert np.frombuffer(codec.encode(text), np.int32).tolist() == want.encode_ordinary(text)
+        assert found == ["Some", "zorp!\nÀ"]  # the first word, and a tail that isn't one word
+    finally:
+        codec.find = kept
+    for text in ("a\n", "a\n b", "a \nb", "a\n\nb", "a.\n.b", "a\n's", "\na", "a b\n\x85c", "a b\n12.\nc", "a b\r\nc", "a b\nc\nd "):
+        assert np.frombuffer(codec.encode(text), np.int32).tolist() == want.encode_ordinary(text)
+
+
+def test_memo_keeps_what_comes_again():
+    from wayfare.llm import bpe
+    made = []
+    memo = bpe.Memo(lambda key: made.append(key) or len(key), 16)
+    for k in range(16):
+        assert memo[f"w{k:02}"] == 3
+    assert memo["again"] == 5  # the last before marks are needed
+    often = [f"w{k:02}" for k in range(2, 16)] + ["again"]
+    for k in range(40):
+        assert memo[f"once{k}"] == len(f"once{k}") and len(memo) <= 16
+    made.clear()
+    assert [memo[k] for k in often] == [len(k) for k in often] and not made  # words that came once drove none out
+    memo["twice"], memo["twice"]
+    assert "twice" in memo and made == ["twice", "twice"]
+
+
+def test_decoded_bytes_of_odd_id_arrays():
+    import pyarrow as pa
+    from wayfare.llm import bpe
+    lines = b"YQ== 0\nYmM= 2\n/w== 3\n"  # no token 1
+    ids = pa.array([[9], [0, 2], None, [], [3, 3, 0]], pa.list_(pa.int32())).slice(1)
+    assert bpe._joined(lines, ids).to_pylist() == [b"abc", b"", b"", b"\xff\xffa"]
+    assert bpe._joined(lines, ids.slice(0, 0)).to_pylist() == [] and bpe._joined(lines, ids.slice(1, 1)).to_pylist() == [b""]
+    for bad in (1, 7):
+        with pytest.raises((KeyError, IndexError)):
+            bpe._joined(lines, pa.array([[0, bad]], pa.list_(pa.int32())))
+
+
 def test_neighbours_agree_as_the_merges_say(codec):
     def merged(data):
         parts = [data[i:i + 1] for i in range(len(data))]

@@ -36,6 +36,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = 150_000      # words remembered by a worker
 PIECES = 60_000      # pieces of words
 PAIRS = 250_000      # pairs of tokens
+MARKS = 1 << 22      # of texts that were asked for once
 LONG = 48            # longer pieces and words aren't remembered
 STOPS = ".,;:!?"
 WHITE = regex.compile(r"\s").match
@@ -46,20 +47,39 @@ def ranks(lines: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines()) if a}
 
 
+def letters(word: str) -> bool:
+    """Whether a word is surely one run of letters to the pattern."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
+
+
 class Memo(dict):
-    """Values made when first asked for. The older half is forgotten when
-    there are too many; long texts, and those with an end that is quickly
-    put to the rest, aren't kept."""
+    """Values made when first asked for. The oldest eighth is forgotten when
+    there are too many, and from then on a text is kept when asked for again
+    (marks by hash say so, wiped in time), as most come once. Long texts, and
+    those with an end that is quickly put to the rest, aren't kept."""
 
     def __init__(self, make: Callable, most: int, ends: str = ""):
         self.make, self.most, self.ends = make, most, ends
+        self.marks, self.marked = bytearray(), 0
+
+    def again(self, key: str) -> bool:
+        at = hash(key) % MARKS
+        if self.marks[at]:
+            return True
+        if self.marked >= MARKS // 2:
+            self.marks, self.marked = bytearray(MARKS), 0
+        self.marks[at] = 1
+        self.marked += 1
+        return False
 
     def __missing__(self, key):
         got = self.make(key)
-        if not isinstance(key, str) or (len(key) <= LONG and key[-1:] not in self.ends):
+        if not isinstance(key, str) or (len(key) <= LONG and key[-1:] not in self.ends and (not self.marks or self.again(key))):
             if len(self) >= self.most:
-                for old in list(islice(self, self.most // 2)):
+                for old in list(islice(self, self.most // 8)):
                     del self[old]
+                if isinstance(key, str) and not self.marks:
+                    self.marks = bytearray(MARKS)
             self[key] = got
         return got
 
@@ -133,39 +153,37 @@ class Codec:
         data = self.token[token]
         return next((self.rank[data[:n]] for n in range(len(data) - 1, 0, -1) if data[:n] in self.rank), -1)
 
-    def longest(self, latin: str, at: int) -> int:
-        get = self.automaton.get
-        n = self.automaton.longest_prefix(latin[at:at + self.most])
-        return next((t for k in range(n, 0, -1) if (t := get(latin[at:at + k], -1)) >= 0), -1)
-
     def split(self, piece: bytes) -> list[int]:
         latin = piece.decode("latin-1")
         size, agree, shorter = self.size, self.agree, self.shorter
-        out, at, last, found = [], 0, -1, {}
+        out, at, last, closed = [], 0, -1, set()
         for end, token in self.automaton.iter_long(latin):  # the longest at each place, from the left
             if not agree[last << 32 | token]:
-                found[at] = token
                 break
             out.append(token)
             at, last = end + 1, token
-        closed = set()
-        while at < len(latin):
-            token = found.get(at)
-            if token is None:
-                token = found[at] = self.longest(latin, at)
-            while token >= 0 and (at + size[token] in closed or not agree[last << 32 | token]):
+        else:
+            return out
+        prefix, get, most = self.automaton.longest_prefix, self.automaton.get, self.most
+        while True:
+            while token >= 0 and (not agree[last << 32 | token] or at + size[token] in closed):
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
-                at += size[token]
                 last = token
-            else:
+                at += size[token]
+                if at == len(latin):
+                    return out
+                rest = latin[at:at + most]
+                n = prefix(rest)
+                while (token := get(rest[:n], -1)) < 0:
+                    n -= 1
+            else:  # longer ones than the one taken back were tried before it
                 closed.add(at)
                 last = out.pop()
                 at -= size[last]
-                found.setdefault(at, last)
+                token = shorter[last]
                 last = out[-1] if out else -1
-        return out
 
     def piece(self, text: str) -> bytes:
         """Packed ids of a match of the pattern; a whole token stays whole."""
@@ -180,11 +198,23 @@ class Codec:
         """Packed ids of a space and a word; None if white space ends it, as
         the next space may then belong to it."""
         core = word.rstrip(STOPS)
-        if core.isalpha() and (core.isascii() or max(core) < "\u0250"):  # one match, and another one of marks
+        if letters(core):  # one match, and another one of marks
             if core == word:
                 return self.piece(" " + word)
             return self.words[core] + self.pieces[word[len(core):]]
-        return None if not word or WHITE(word[-1]) else self.matches(" " + word)
+        if not word or WHITE(word[-1]):
+            return None
+        head, line, tail = word.partition("\n")
+        if line and head and not WHITE(head[-1]) and not WHITE(tail[0]):  # a match of its own between two others
+            return self.words[head] + self.pieces[line] + self.unspaced(tail)
+        return self.matches(" " + word)
+
+    def unspaced(self, text: str) -> bytes:
+        """Packed ids of a text that no white space ends."""
+        core = text.rstrip(STOPS)
+        if letters(core):
+            return self.pieces[core] + (self.pieces[text[len(core):]] if core != text else b"")
+        return self.matches(text)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -208,14 +238,15 @@ def _codec(lines: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
-_tokens: dict[int, dict[int, bytes]] = {}
+_tokens: dict[int, pa.Array] = {}
 
 
-def _tokens_of(lines: bytes) -> dict[int, bytes]:
-    """Token by rank: all that decoding needs."""
+def _tokens_of(lines: bytes) -> pa.Array:
+    """The tokens by rank: all that decoding needs."""
     key = hash(lines)
     if key not in _tokens:
-        _tokens[key] = {r: t for t, r in ranks(lines).items()}
+        token = {r: t for t, r in ranks(lines).items()}
+        _tokens[key] = pa.array(map(token.get, range(max(token) + 1)), pa.binary())
     return _tokens[key]
 
 
@@ -227,9 +258,13 @@ def _shared(df: DataFrame, path: str):
 
 def _joined(lines: bytes, ids: pa.Array) -> pa.Array:
     """The bytes of each array of ids (null: none)."""
-    found = [*map(_tokens_of(lines).__getitem__, ids.flatten().to_numpy().tolist())]
-    ends = np.cumsum([0, *pc.list_value_length(ids).fill_null(0).to_pylist()]).tolist()
-    return pa.array([b"".join(found[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())
+    found = _tokens_of(lines).take(ids.flatten())
+    if found.null_count:
+        raise KeyError("an id that no token has")
+    # the tokens lie one after the other: a text's bytes run from its first one to its last
+    starts = np.frombuffer(found.buffers()[1], np.int32, len(found) + 1)
+    ends = np.cumsum([0, *pc.list_value_length(ids).fill_null(0).to_pylist()])
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(starts[ends]), found.buffers()[2]])
 
 
 def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", vocabulary: str = VOCABULARY,
