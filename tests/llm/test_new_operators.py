@@ -219,17 +219,26 @@ def test_byte_bpe_of_any_text(codec, text):
     assert np.frombuffer(codec.encode(text), np.int32).tolist() == _TIKTOKEN.encode_ordinary(text)
 
 
+def test_characters_that_the_library_does_not_know(codec):
+    import tiktoken
+    want = tiktoken.Encoding("own", pat_str=__import__("public_tokenizers").PATTERN, mergeable_ranks=codec.rank, special_tokens={})
+    later = [0x558, 0x88F, 0x11DE0, 0x16FF4, 0x187F8, 0x2B73A, 0x3323C, 0x33479]
+    for c in [*later, *range(0x80, 0xD800, 61), *range(0xE000, 0x40000, 61)]:
+        for text in (f"{chr(c)}대", f"no a{chr(c)}1 {chr(c)}é.{chr(c)}"):
+            assert np.frombuffer(codec.encode(text), np.int32).tolist() == want.encode_ordinary(text), text
+
+
 def test_words_around_a_line_break_are_looked_up(codec):
     import tiktoken
     want = tiktoken.Encoding("own", pat_str=__import__("public_tokenizers").PATTERN, mergeable_ranks=codec.rank, special_tokens={})
     found, kept = [], codec.find
-    codec.find = lambda text: found.append(text) or kept(text)
+    codec.find = lambda text: found.append(text) or kept(text)  # hides the method
     try:
         text = "Some qzxv.\nThen wvrk,\nzorp!\nÀ la\nfin x"
         assert np.frombuffer(codec.encode(text), np.int32).tolist() == want.encode_ordinary(text)
         assert found == ["Some", "zorp!\nÀ"]  # the first word, and a tail that isn't one word
     finally:
-        codec.find = kept
+        del codec.find
     for text in ("a\n", "a\n b", "a \nb", "a\n\nb", "a.\n.b", "a\n's", "\na", "a b\n\x85c", "a b\n12.\nc", "a b\r\nc", "a b\nc\nd "):
         assert np.frombuffer(codec.encode(text), np.int32).tolist() == want.encode_ordinary(text)
 

@@ -41,6 +41,17 @@ LONG = 48            # longer pieces and words aren't remembered
 STOPS = ".,;:!?"
 WHITE = regex.compile(r"\s").match
 
+# letters and numbers of later Unicode than the tiktoken library's, to which they are
+# unassigned; they split as another unassigned character does
+LATER = regex.compile("[" + "".join("-".join(chr(int(c, 16)) for c in r.split("-")) for r in (
+    "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf "
+    "10940-10959 10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f "
+    "12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 "
+    "18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff "
+    "1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e "
+    "2cea2-2cead 323b0-33479 3d000-3fc3f").split()) + "]")
+UNASSIGNED = "\u0378"
+
 
 def ranks(lines: bytes) -> dict[bytes, int]:
     """A line is a token in base 64 and its rank."""
@@ -90,7 +101,7 @@ class Codec:
     def __init__(self, lines: bytes, pattern: str):
         self.rank = ranks(lines)
         self.token = dict(zip(self.rank.values(), self.rank))
-        self.find = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         # no match of the pattern goes on from another character to a space
         self.by_words = pattern == public_tokenizers.PATTERN
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
@@ -191,6 +202,12 @@ class Codec:
         rank = self.rank.get(data)
         return array("i", self.split(data) if rank is None else (rank,)).tobytes()
 
+    def find(self, text: str) -> list[str]:
+        """The matches of the pattern."""
+        if text.isascii() or not LATER.search(text):
+            return self.pattern.findall(text)
+        return [text[slice(*m.span())] for m in self.pattern.finditer(LATER.sub(UNASSIGNED, text))]
+
     def matches(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.find(text)))
 
