@@ -243,3 +243,68 @@ def test_prompt_rows_are_whole_texts(spark, one_order):
     assert df.columns == ["request_id", "prompt"]
     for r in df.collect():
         assert "NATION_" in r.prompt and len(r.prompt) > 100
+
+
+def test_many_rows_are_merged_in_slices(spark, monkeypatch):
+    from wayfare.operators import load
+    monkeypatch.setattr(load, "SLICE_ROWS", 30)
+    jobs, write = [], load._write
+    monkeypatch.setattr(load, "_write", lambda df, *rest: jobs.append(df.count()) or write(df, *rest))
+    root = tempfile.mkdtemp(prefix="wayfare-slice-")
+    rows = [(k, f"p{k % 7}" if k % 7 else None, "old") for k in range(70)]
+    put(spark, root, [*rows, *rows])
+    assert jobs == [10] * 7  # 20 rows of a partition come in, two partitions would be 40
+    put(spark, root, [(k, p, "new") for k, p, _ in rows if k % 7 in (2, 3, 4)] + [(99, "p3", "new")])
+    assert jobs[7:] == [20 + 1, 10]
+    got = {(r.k, r.part): r.v for r in read_published(spark, root, "t").collect()}
+    assert read_published(spark, root, "t").count() == 71 and got.pop((99, "p3")) == "new"
+    assert got == {(k, p): "new" if k % 7 in (2, 3, 4) else "old" for k, p, _ in rows}
+    monkeypatch.setattr(load, "SLICE_BYTES", 1)
+    put(spark, root, [(k, f"p{k}", "newest") for k in (1, 2, 3)])
+    assert jobs[9:] == [10, 10, 11]
+
+    del jobs[:]
+    last = lambda df: load.latest_per_key(df, ["k", "part"], ["v"])
+    publish(spark, {"t": (table(spark, [*rows, *[(k, p, "zz") for k, p, _ in rows]]), last), "u": spark.range(5)}, root, {"t": lambda: F.col("part")})
+    assert jobs == [10] * 7 + [5]
+    assert sorted(r.v for r in read_published(spark, root, "t").collect()) == ["zz"] * 70
+    publish(spark, {"t": (table(spark, []), last)}, root, {"t": lambda: F.col("part")})
+    assert read_published(spark, root, "t").count() == 0
+
+
+def tables_left(spark):
+    from urllib.parse import urlparse
+
+    from wayfare.session import ensure_checkpoint_dir
+    folder = f"{urlparse(ensure_checkpoint_dir(spark)).path}/tables"
+    return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+
+def test_an_ingest_leaves_what_it_publishes_and_reports(spark, one_order):
+    import glob
+
+    from wayfare.plans.catalog import _ingested
+    tables = tables_left(spark)
+    root, reports = _ingested(spark, one_order)
+    assert len(tables_left(spark) - tables) == 2  # the checked rows of a newest drop, for its report
+    assert {tuple(r) for r in reports.collect()} == {
+        ("train_tickets", "train_tickets_20240102.csv", 5, 1, 4, 6, 2, 2), ("weather_data", "weather_data_20240102.csv", 0, 0, 1, 1, 0, 0)}
+    drops = glob.glob(f"{root.rsplit('/', 1)[0].removeprefix('file:')}/drops-*/*.csv/part-*")
+    assert drops and all(f.endswith(".csv.lz4") for f in drops)
+
+
+def test_a_written_table_leaves_no_shuffle(spark):
+    import time
+
+    from wayfare.session import CLEANUP, cut_lineage, cut_through, scratch_tables
+    files = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split()
+                     if "/shuffle_" in f}
+    setting, before, tables = spark.conf.get(CLEANUP, None), files(), tables_left(spark)
+    with scratch_tables(spark):
+        df = cut_through(spark, lambda: cut_lineage(spark.range(1000)).repartition(7).groupBy((F.col("id") % 5).alias("k")).count())
+        assert len(tables_left(spark) - tables) == 1 and len(df.collect()) == 5
+    assert tables_left(spark) == tables and spark.conf.get(CLEANUP, None) == setting
+    until = time.time() + 30
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
